@@ -7,6 +7,9 @@ from importlib import import_module
 MODULES = (
     "secrets",
     "chat",
+    "simhash",
+    "merkle",
+    "toxicity",
     "urls",
 )
 

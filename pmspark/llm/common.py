@@ -88,14 +88,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, A to Z folded."""
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A 64-bit hash of each byte range, with A to Z folded or not."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
     begin = np.cumsum(lens) - lens
     place = np.arange(int(lens.sum())) - np.repeat(begin, lens)
-    terms = (LOWER[data[place + np.repeat(starts, lens)]].astype(np.uint64) + np.uint64(1)) * powers(P_BYTE, int(lens.max()))[place]
+    chars = data[place + np.repeat(starts, lens)]
+    terms = ((LOWER[chars] if fold else chars).astype(np.uint64) + np.uint64(1)) * powers(P_BYTE, int(lens.max()))[place]
     return mixed(np.add.reduceat(terms, begin) + lens.astype(np.uint64))
 
 
