@@ -4,22 +4,15 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = (
-    "secrets",
-    "chat",
-    "simhash",
-    "merkle",
-    "toxicity",
-    "urls",
-)
+MODULES = ("secrets", "chat", "simhash", "merkle", "toxicity", "tiling", "urls", "mixing", "sharding", "lines")
 
 
 def queries() -> dict:
-    """Name to ``f(spark, sf_dir) -> DataFrame`` for every operator."""
+    """Name to ``f(spark, sf_dir) -> DataFrame`` for every operator, and ``pipeline``."""
     found = {}
     for name in MODULES:
         found |= import_module(f"pmspark.llm.{name}").QUERIES
-    return found
+    return found | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,15 +35,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there: its lineage ends.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one is made only where that is unset.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``, one of our own only where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it from there: its lineage ends."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
