@@ -94,7 +94,7 @@ def ns_text(ns: Column) -> Column:
 
 
 def clip01(x: Column) -> Column:
-    return F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
 
 
 def clip_day_window(day_ns: Column, start_ns: Column, end_ns: Column) -> Column:
