@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Shared:
+    """A value that tasks read from a broadcast; sent with its classes, so executors need no copy of them."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get(self):
+        return pickle.loads(self.sent.value)
+
+
 def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``most`` bytes; null counts as empty."""
     texts = texts.cast(pa.large_string()).fill_null("")

@@ -1,6 +1,6 @@
 """Line dedup: exact and fuzzy copies of lines, by MinHash, with one line kept of each component.
 
-One pass over the texts gives each line a 64-bit hash (A to Z folded) and, from its shingles of five
+One pass over the texts gives each line a 64-bit hash (A to Z folded) and, from its shingles of eight
 characters, eight bands of four min-hashes: lines of Jaccard similarity 0.8 share a band with a chance of 0.985, of 0.9 with
 0.9999. Lines are dealt by band; within a task's batch equal lines are sent once, so a common line is no hot key. Keys
 that a sample of the lines shows to be hot are dealt in chunks, of which every two meet in a task of
@@ -11,7 +11,7 @@ distributed union-find makes the components; the first line, by (doc_id, line nu
 Marked for DataFrame functions only, this operator signs and compares lines in numpy instead; the README has the figures.
 
 Defined results: lines are parted by line feeds; a null text is one empty line; blank lines are kept and
-compared with nothing; lines of fewer than five characters are one shingle; rows that repeat a doc_id count
+compared with nothing; lines of fewer than eight characters are one shingle; rows that repeat a doc_id count
 as one document; null ids come first; an empty table gives no rows; other columns are ignored, and kept
 by ``deduplicated``.
 """
@@ -29,7 +29,7 @@ from .common import P_BYTE, P_WORD, SPACES, cut, mixed, powers, steps, table
 from .components import components
 from .simhash import Sets
 
-SHINGLE, ROWS, BANDS, SIMILAR = 5, 4, 8, 0.8
+SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 8, 0.8
 #: Lines of a chunk of a hot bucket.
 CHUNK = 512
 #: One line in so many shows which keys are hot; this decides how they are dealt, not what is compared.
@@ -213,7 +213,7 @@ def _links(docs: DataFrame, firsts: DataFrame, buckets: DataFrame) -> DataFrame:
     wanted = firsts.join(wanted, F.col("lid") == F.col("_lid")).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "lid")).alias("_wanted")).withColumnRenamed("doc_id", "_id")
     pieces = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
     pieces = pieces.select(F.explode("_wanted").alias("w"), "_lines").select(F.col("w.lid").alias("_lid"), F.get("_lines", F.col("w.line_no")).alias("line"))
-    texts = cut(pieces.where("line is not null").dropDuplicates(["_lid"]))
+    texts = cut(pieces.where("line is not null"))
     members = buckets.join(texts, F.col("lid") == F.col("_lid")).select("bucket", "lid", "line").repartition("bucket").sortWithinPartitions("bucket", "lid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _links(docs: DataFrame, firsts: DataFrame, buckets: DataFrame) -> DataFrame:
                 if len(out) > 8192:
                     yield made(out)
                     out = []
-            if bucket is not None:
+            if bucket is not None and lid not in ids[-1:]:
                 ids.append(lid)
                 sets_of.append(shingles(line))
         yield made(out)

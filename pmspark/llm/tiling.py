@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, cut, gram_hashes, range_hashes, spans, steps, table
+from .common import LETTERS, Shared, cut, gram_hashes, range_hashes, spans, steps, table
 
 #: Words of a seed, and so of the shortest tile.
 LEAST = 5
@@ -153,10 +153,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     schema = f"doc_id {id_type}, item_id {item_type}, tiles int, covered int, item_words int, coverage double"
     out = None
     for block in blocks_of(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held = Shared(docs.sparkSession, block)
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            b = held.value
+            b = held.get()
             for batch in batches:
                 found = list(shared(batch.column(1), b, coverage))
                 sizes = [int(b.sizes[x[1]]) for x in found]
@@ -178,12 +178,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs``, with all columns, that cover no item so far."""
     for block in blocks_of(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+        held = Shared(docs.sparkSession, block)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            b = held.get()
             for batch in batches:
                 clean = np.ones(batch.num_rows, dtype=bool)
-                for row, *_ in shared(batch.column(batch.schema.get_field_index("text")), held.value, coverage):
+                for row, *_ in shared(batch.column(batch.schema.get_field_index("text")), b, coverage):
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
