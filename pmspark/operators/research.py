@@ -27,3 +27,292 @@ def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
     """All combinations of a dict of lists, equal ones once; as large as the caller's lists."""
     points = list(dict.fromkeys(product(*parameters.values())))
     return spark.createDataFrame(points, list(parameters))
+
+
+# Discovery.
+
+#: Words that mark a market as one on a game.
+GAME_WORDS = r"\b(vs|versus|game|match|winner|beat|defeat)\b"
+
+
+def filter_markets(markets: DataFrame, min_volume: float, yes_min: float | None, yes_max: float | None, min_close, predicate: Column | Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """Volume floor, band of the YES price (a null price fails a band), earliest close (null passes), optional predicate."""
+    keep = F.coalesce("volume", F.lit(0.0)) >= min_volume
+    if yes_min is not None:
+        keep &= F.coalesce(F.col("yes_price") >= yes_min, F.lit(False))
+    if yes_max is not None:
+        keep &= F.coalesce(F.col("yes_price") <= yes_max, F.lit(False))
+    keep &= F.coalesce(F.col("close_time") >= min_close, F.lit(True))
+    if predicate is not None:
+        keep &= F.coalesce(predicate(markets) if callable(predicate) else predicate, F.lit(False))
+    return markets.where(keep)
+
+
+def top_markets(markets: DataFrame, n: int, key: str = "volume", desc: bool = True) -> DataFrame:
+    return markets.orderBy(F.desc(key) if desc else F.asc(key), "market_id").limit(n)
+
+
+def discover_markets(markets: DataFrame, n: int, **rules) -> DataFrame:
+    return top_markets(filter_markets(markets, **rules), n)
+
+
+def is_game_market(slug: Column, text: Column, prefixes: list[str], excluded: str = r"\b(season|champion)\b") -> Column:
+    """By slug prefix, not excluded, and by the words of a game or a date in the slug."""
+    starts = reduce(lambda a, b: a | b, [slug.startswith(p) for p in prefixes])
+    return starts & ~F.lower(text).rlike(excluded) & (F.lower(text).rlike(GAME_WORDS) | slug.rlike(r"\d{4}-\d{2}-\d{2}"))
+
+
+def is_sports_market(close: Column, now: Column, max_hours: float, category: Column, categories: list[str]) -> Column:
+    hours = (F.unix_micros(close) - F.unix_micros(now)) / 3_600_000_000
+    return F.coalesce((hours > 0) & (hours <= max_hours) & category.isin(*categories), F.lit(False))
+
+
+def is_resolved_sports_market(close: Column, now: Column, max_hours: float, category: Column, categories: list[str]) -> Column:
+    hours = (F.unix_micros(now) - F.unix_micros(close)) / 3_600_000_000
+    return F.coalesce((hours >= 0) & (hours <= max_hours) & category.isin(*categories), F.lit(False))
+
+
+def first_valid_time(*texts: Column) -> Column:
+    return F.coalesce(*(F.try_to_timestamp(t) for t in texts))
+
+
+def first_number(*texts: Column, low: float = 0.0) -> Column:
+    """The first of the texts that is a number above ``low``."""
+    numbers = [t.try_cast("double") for t in texts]
+    return F.coalesce(*(F.when(x > low, x) for x in numbers))
+
+
+def normalize_market(catalog: DataFrame) -> DataFrame:
+    """Catalog rows (ids, outcomes, prices as lists) as markets with ``tokens``; prices default to 0.5, ticks to 0.001, sizes to 5."""
+    token = lambda t: F.struct(t["ids"].alias("token_id"), t["outcomes"].alias("outcome"), F.coalesce(t["prices"].try_cast("double"), F.lit(0.5)).alias("price"))
+    zipped = F.arrays_zip("ids", "outcomes", "prices")
+    return catalog.withColumn("tokens", F.transform(zipped, token)).withColumn("tick", F.coalesce("tick", F.lit(0.001))).withColumn("min_size", F.coalesce("min_size", F.lit(5.0)))
+
+
+#: Columns that reveal a market's resolution.
+RESOLUTION_COLUMNS = ("winner", "resolution", "resolved", "result", "settlement", "settled_at", "payout", "final_price", "outcome_prices", "closed_time")
+
+
+def strip_resolution(markets: DataFrame) -> DataFrame:
+    """Without what reveals the resolution, also in the tokens."""
+    out = markets.drop(*(c for c in RESOLUTION_COLUMNS if c in markets.columns))
+    if "tokens" in out.columns and "winner" in out.schema["tokens"].dataType.elementType.names:
+        out = out.withColumn("tokens", F.transform("tokens", lambda t: t.dropFields("winner")))
+    return out
+
+
+def extract_resolution(markets: DataFrame, key: str = "market_id") -> DataFrame:
+    """The complement: the key, what reveals the resolution, and the tokens with a flag."""
+    kept = [c for c in RESOLUTION_COLUMNS if c in markets.columns]
+    tokens = [F.filter("tokens", lambda t: t["winner"].isNotNull()).alias("tokens")] if "tokens" in markets.columns else []
+    return markets.select(key, *kept, *tokens)
+
+
+def realized_outcome(result: Column, value: Column, tokens: Column) -> Column:
+    """yes or no, then a number 0, 1 or 100, then the place of the winning token; 50-50 and the rest are null."""
+    text = F.lower(F.trim(result))
+    by_text = F.when(text == "yes", 1.0).when(text == "no", 0.0)
+    by_value = F.when(value == 0, 0.0).when(value.isin(1, 100), 1.0)
+    winners = F.transform(tokens, lambda t: F.coalesce(t["winner"], F.lit(False)))
+    by_token = F.when(F.size(F.filter(winners, lambda w: w)) == 1, (F.array_position(winners, True) == 1).cast("double"))
+    return F.coalesce(by_text, by_value, by_token)
+
+
+def extend_event_markets(events: DataFrame, skipped: list[str]) -> DataFrame:
+    """Rows of the nested ``markets`` (array of struct with slug) with the event's fields, without slugs of the skipped prefixes."""
+    out = events.select("event", F.inline("markets"))
+    return out.where(~reduce(lambda a, b: a | b, [F.col("slug").startswith(p) for p in skipped]))
+
+
+def enrich_fee_rate(markets: DataFrame, fees: DataFrame) -> DataFrame:
+    """The table's fee where the market's own maker and taker fees are both zero or missing."""
+    none = (F.coalesce("maker_bps", F.lit(0)) == 0) & (F.coalesce("taker_bps", F.lit(0)) == 0)
+    return markets.join(fees, "category", "left").withColumn("fee_bps", F.when(none, F.coalesce("table_bps", F.lit(0))).otherwise(F.col("taker_bps"))).drop("table_bps")
+
+
+# Trade windows.
+
+
+def trade_window_bounds(markets: DataFrame, hours: int, now: Column) -> DataFrame:
+    """end: close or now; activation: the later of game start and close minus hours, not after the end."""
+    end = F.least(F.coalesce("close_time", now), now)
+    start = F.least(F.greatest("game_start", end - F.make_dt_interval(F.lit(0), F.lit(hours))), end)
+    return markets.withColumn("window_end", end).withColumn("activation", start)
+
+
+def window_diagnostics(trades: DataFrame, windows: DataFrame, level: float) -> DataFrame:
+    """For each instrument, over its window and its active part: trades, first, greatest and last price, volume, first crossing."""
+    was = F.lag("price").over(Window.partitionBy("instrument_id").orderBy("ts_ns", "seq"))
+    t = trades.join(windows, "instrument_id").where(F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns"))).withColumn("was", was)
+    active, order = F.col("ts_ns") >= F.col("active_ns"), F.struct("ts_ns", "seq")
+    crossed = active & (F.col("was") < level) & (F.col("price") >= level)
+    return t.groupBy("instrument_id").agg(
+        F.count("*").alias("trades"), F.min_by("price", order).alias("first_price"), F.max("price").alias("max_price"), F.max_by("price", order).alias("last_price"), F.sum("size").alias("volume"),
+        F.count_if(active).alias("active_trades"), F.max(F.when(active, F.col("price"))).alias("active_max"), F.min(F.when(crossed, F.col("ts_ns"))).alias("cross_ns"),
+    )
+
+
+def pick_best_token(diagnostics: DataFrame, market: str) -> DataFrame:
+    """Of each market's tokens: by the earliest crossing (then trades, volume), else the one of greatest price."""
+    order = [F.col("cross_ns").asc_nulls_last(), F.when(F.col("cross_ns").isNull(), F.col("max_price")).desc_nulls_last(), F.desc("trades"), F.desc("volume"), "instrument_id"]
+    return diagnostics.withColumn("_rank", F.row_number().over(Window.partitionBy(market).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def pick_per_event(diagnostics: DataFrame, event: str) -> DataFrame:
+    """Of events with two and more markets: the earliest crossing, else the lowest first price; ties by volume. With the event's volume."""
+    by = Window.partitionBy(event)
+    order = [F.col("cross_ns").asc_nulls_last(), "first_price", F.desc("volume"), "instrument_id"]
+    d = diagnostics.withColumn("_n", F.count("*").over(by)).withColumn("event_volume", F.sum("volume").over(by)).withColumn("_rank", F.row_number().over(by.orderBy(*order)))
+    return d.where("_n >= 2 and _rank = 1").drop("_n", "_rank")
+
+
+def display_markets(quotes: DataFrame, fills: DataFrame, n: int) -> DataFrame:
+    """Traded instruments first, then by the range of price."""
+    span = quotes.groupBy("instrument_id").agg((F.max("price") - F.min("price")).alias("range"))
+    traded = fills.select("instrument_id").distinct().withColumn("traded", F.lit(True))
+    out = span.join(traded, "instrument_id", "left").withColumn("traded", F.coalesce("traded", F.lit(False)))
+    return out.orderBy(F.desc("traded"), F.desc("range"), "instrument_id").limit(n)
+
+
+def validate_replays(records: DataFrame, min_records: int, min_range: float) -> DataFrame:
+    """Instruments with enough records and range of price."""
+    per = records.groupBy("instrument_id").agg(F.count("*").alias("records"), (F.max("price") - F.min("price")).alias("range"))
+    return per.where((F.col("records") >= min_records) & (F.col("range") >= min_range))
+
+
+def resolve_windows(requests: DataFrame, lookback_hours: float, now_ns: int) -> tuple[DataFrame, DataFrame]:
+    """(requests with start_ns and end_ns, rejects whose start is not before their end)."""
+    end = F.coalesce("end_ns", F.lit(now_ns))
+    start = F.coalesce("start_ns", end - (F.coalesce("lookback_hours", F.lit(lookback_hours)) * 3_600_000_000_000).cast("bigint"))
+    out = requests.withColumn("_end", end).withColumn("_start", start).withColumn("end_ns", F.col("_end")).withColumn("start_ns", F.col("_start")).drop("_start", "_end")
+    return out.where("start_ns < end_ns"), out.where("not coalesce(start_ns < end_ns, false)")
+
+
+# Ledgers.
+
+
+def ledger_schedule(ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows in order with a position, rejects): sizes above 0, prices in [0, 1], side BUY or SELL, integer times."""
+    good = F.coalesce((F.col("size").try_cast("decimal(18,6)") > 0) & F.col("price").try_cast("decimal(18,6)").between(0, 1) & F.upper(F.trim("side")).isin("BUY", "SELL") & F.col("ts").try_cast("bigint").isNotNull(), F.lit(False))
+    order = Window.partitionBy("slug", "outcome_index").orderBy("ts", "input_seq")
+    return ledger.where(good).withColumn("side", F.upper(F.trim("side"))).withColumn("position", F.row_number().over(order)), ledger.where(~good)
+
+
+def ledger_windows(ledger: DataFrame) -> DataFrame:
+    """start and end in seconds: ten minutes before the first trade, thirty after the last, at least the minutes that the slug names (``15m``)."""
+    minutes = F.coalesce(F.regexp_extract("slug", r"(\d+)m\b", 1).try_cast("bigint"), F.lit(0))
+    out = ledger.groupBy("slug", "outcome_index").agg((F.min("ts") - 600).alias("start"), (F.max("ts") + 1800).alias("end"))
+    return out.withColumn("end", F.greatest("end", F.col("start") + minutes * 60))
+
+
+def ledger_match(ledger: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Would an immediate order at the ledger's price have crossed the quote of its time, and for what size?"""
+    from .asof import asof
+
+    orders = ledger.select("instrument_id", "ts_ns", "side", "price", "size", "input_seq")
+    out = asof(orders, quotes.select("instrument_id", "ts_ns", "seq", "bid", "ask", "bid_size", "ask_size"), "instrument_id", ["bid", "ask", "bid_size", "ask_size"])
+    buy = F.col("side") == "BUY"
+    crossed = F.coalesce(F.when(buy, F.col("ask") <= F.col("price")).otherwise(F.col("bid") >= F.col("price")), F.lit(False))
+    visible = F.when(buy, F.col("ask_size")).otherwise(F.col("bid_size"))
+    return out.withColumn("crossed", crossed).withColumn("fillable", F.when(crossed, F.least(F.col("size").cast("double"), visible)).otherwise(0.0))
+
+
+# Planning.
+
+
+def plan_days(windows: DataFrame, closed: bool = True) -> DataFrame:
+    """The UTC days that start_ns to end_ns touches; half-open windows leave out a day that they only reach."""
+    end = F.col("end_ns") if closed else F.col("end_ns") - 1
+    day = lambda c: F.to_date(F.timestamp_micros((c / 1000).cast("bigint")))
+    return windows.where(F.col("start_ns") <= end).withColumn("day", F.explode(F.sequence(day(F.col("start_ns")), day(end))))
+
+
+def plan_hours(windows: DataFrame) -> DataFrame:
+    """The hours from one before the start to the end's."""
+    hour = 3_600_000_000_000
+    first, last = F.floor(F.col("start_ns") / hour) - 1, F.floor(F.col("end_ns") / hour)
+    return windows.where("start_ns <= end_ns").withColumn("hour_ns", F.explode(F.transform(F.sequence(first, last), lambda h: h * F.lit(hour))))
+
+
+def missing_hours(planned: DataFrame, present: DataFrame) -> DataFrame:
+    return planned.join(present, ["instrument_id", "hour_ns"], "left_anti")
+
+
+def plan_jobs(catalog: DataFrame, channels: list[str], segments: list[str], start: str, end: str) -> DataFrame:
+    """channel, slug, segment, day: each market's days (first_day to last_day, clipped) for every channel and segment."""
+    days = F.sequence(F.greatest("first_day", F.lit(start).cast("date")), F.least("last_day", F.lit(end).cast("date")))
+    inside = catalog.where((F.col("first_day") <= F.lit(end).cast("date")) & (F.col("last_day") >= F.lit(start).cast("date")))
+    out = inside.select("slug", F.explode(days).alias("day"))
+    return out.withColumn("channel", F.explode(F.array(*map(F.lit, channels)))).withColumn("segment", F.explode(F.array(*map(F.lit, segments))))
+
+
+def prune_jobs(jobs: DataFrame, completed: DataFrame, empty: DataFrame, today: str, recheck_days: int) -> DataFrame:
+    """Without completed days and those found empty lately."""
+    keys = ["channel", "slug", "segment", "day"]
+    recent = empty.where(F.datediff(F.lit(today).cast("date"), "checked_at") < recheck_days)
+    return jobs.join(completed.select(*keys).distinct(), keys, "left_anti").join(recent.select(*keys).distinct(), keys, "left_anti")
+
+
+# Parameter grids.
+
+
+def sample_grid(points: DataFrame, n: int, seed: int) -> DataFrame:
+    """At most n points, by a seeded hash of their parameters."""
+    return points.orderBy(F.xxhash64(F.lit(seed), *points.columns), *points.columns).limit(n)
+
+
+def grid_trades(quotes: DataFrame, grid: DataFrame, windows: DataFrame) -> DataFrame:
+    """Per trial, window and instrument: P&L, drawdown, fills and coverage of the mean-reversion signal.
+
+    Trials that share a window length share its mean: the mean is computed once for each length, as a column, and the
+    thresholds of trials are joined to it. ``grid`` has trial, win, entry, exit; ``windows`` name, start_ns, end_ns, holdout.
+    """
+    lengths = sorted(r["win"] for r in grid.select("win").distinct().collect())  # as few as the grid has values
+    order = Window.partitionBy("name", "instrument_id").orderBy("ts_ns", "seq")
+    q = quotes.join(F.broadcast(windows), F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns")))
+    means = []
+    for n in lengths:
+        w = order.rowsBetween(-n, -1)
+        means.append(F.struct(F.lit(n).alias("win"), F.when(F.count("*").over(w) == n, F.avg("price").over(w)).alias("mean")))
+    q = q.withColumn("_all", F.array(*means)).withColumn("_m", F.explode("_all")).drop("_all").select("*", "_m.win", "_m.mean").drop("_m").join(F.broadcast(grid), "win")
+    per = Window.partitionBy("trial", "name", "instrument_id").orderBy("ts_ns", "seq")
+    mark = F.when(F.col("price") >= F.col("mean") - F.col("exit"), 0).when(F.col("price") <= F.col("mean") - F.col("entry"), 1)
+    q = q.withColumn("position", F.coalesce(F.last(mark, ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    held, was = F.lag("position", 1, 0).over(per), F.lag("price").over(per)
+    q = q.withColumn("gain", F.coalesce(held * (F.col("price") - was), F.lit(0.0))).withColumn("fill", (F.col("position") != held).cast("int"))
+    q = q.withColumn("equity", F.sum("gain").over(per.rowsBetween(Window.unboundedPreceding, 0)))
+    q = q.withColumn("peak", F.greatest(F.max("equity").over(per.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    return q.groupBy("trial", "name", "holdout", "instrument_id").agg(
+        F.sum("gain").alias("pnl"), F.max(F.col("peak") - F.col("equity")).alias("drawdown"), F.sum("fill").alias("fills"),
+        ((F.max("ts_ns") - F.first("start_ns")) / (F.first("end_ns") - F.first("start_ns"))).alias("coverage"),
+    )
+
+
+def score(evals: DataFrame, cash: float, min_fills: int) -> DataFrame:
+    """P&L - half the drawdown - 10 cash * (0.98 - coverage, if above 0) - 2 if there are too few fills."""
+    short = F.greatest(F.lit(0.98) - F.col("coverage"), F.lit(0.0)) * 10 * cash
+    return evals.withColumn("score", F.col("pnl") - 0.5 * F.col("drawdown") - short - F.when(F.col("fills") < min_fills, 2.0).otherwise(0.0))
+
+
+INVALID = -1e9
+
+
+def score_windows(trades: DataFrame, grid: DataFrame, windows: DataFrame, cash: float, min_fills: int) -> DataFrame:
+    """One row for every trial and window; a trial without result gets the invalid score."""
+    per = trades.groupBy("trial", "name").agg(F.sum("pnl").alias("pnl"), F.sum("drawdown").alias("drawdown"), F.sum("fills").alias("fills"), F.avg("coverage").alias("coverage"))
+    every = windows.select("name", "holdout").crossJoin(F.broadcast(grid.select("trial")))
+    return score(every.join(per, ["trial", "name"], "left"), cash, min_fills).withColumn("score", F.coalesce("score", F.lit(INVALID)))
+
+
+def leaderboard(scored: DataFrame) -> DataFrame:
+    """Medians of score, P&L, drawdown, fills and coverage over train and holdout windows of each trial."""
+    split = F.when(F.col("holdout"), "holdout").otherwise("train")
+    stats = [F.median(c).alias(c) for c in ("score", "pnl", "drawdown", "fills", "coverage")]
+    return scored.withColumn("split", split).groupBy("trial").pivot("split", ["train", "holdout"]).agg(*stats)
+
+
+def rank_trials(board: DataFrame, top: int) -> DataFrame:
+    """train_rank by train score; the first ``top`` keep their holdout score; final_rank by holdout, then train."""
+    b = board.withColumn("train_rank", F.row_number().over(Window.orderBy(F.desc("train_score"), "trial")))
+    b = b.withColumn("holdout_score", F.when(F.col("train_rank") <= top, F.col("holdout_score")))
+    return b.withColumn("final_rank", F.row_number().over(Window.orderBy(F.col("holdout_score").desc_nulls_last(), F.desc("train_score"), "trial")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-PLANS = ("values", "accounts", "joins", "book", "signals")
+PLANS = ("values", "accounts", "joins", "book", "signals", "metrics", "research", "storage")
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
 
