@@ -117,38 +117,47 @@ def _masks(blocks: int, agree: int) -> list[int]:
     return [signed(sum(c)) for c in combinations(each, agree)]
 
 
-def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs a, b of distinct fingerprints ``fp`` (a written table), enough to join all that are within the radius."""
-    n = nodes.count()
-    blocks = next((b for b in range(radius + 1, radius + 4) if n >> (64 * (b - radius) // b) <= SHARD), radius + 4)
-    masks = _masks(blocks, blocks - radius)
-    shards = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col("fp").bitwiseAND(m).alias("bits")) for i, m in enumerate(masks))))
-    member = nodes.select("fp", shards.alias("s")).select("fp", "s.way", "s.bits")
+def _dealt(member: DataFrame) -> DataFrame:
+    """``member`` (id, fp, way, bits), without shards of one node, dealt and sorted by shard and pair of chunks."""
     sizes = cut(member.groupBy("way", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     member = member.join(sizes, ["way", "bits"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     member = member.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    member = member.select("fp", "way", "bits", "mine", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("q"))
-    keys = ["way", "bits", "t", "q"]
-    dealt = member.repartition(*keys).sortWithinPartitions(*keys, "mine", "fp")
+    member = member.select("id", "fp", "way", "bits", "mine", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("q"))
+    # Within a chunk by a hash of id and way, so that every way meets the nodes in another order.
+    return member.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "mine", F.xxhash64("id", "way"), "id")
+
+
+_KEYS = ("way", "bits", "t", "q")
+_MASK = (1 << 64) - 1
+
+
+def _searched(dealt: DataFrame, radius: int, nearest: bool) -> DataFrame:
+    """Pairs a, b of ids within the radius: in each group those that join two of its sets so far, and with
+    ``nearest`` also each node's nearest neighbour among those before it."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in (*keys, "mine", "fp")), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in (*_KEYS, "mine", "fp", "id")), strict=True)
 
         a, b = [], []
         for (*_, t, q), group in groupby(rows(), key=lambda r: r[:4]):
-            tree, sets = BKTree(), Sets()
-            for *_, mine, fp in group:
+            tree, sets, ids = BKTree(), Sets(), {}
+            for *_, mine, fp, node in group:
+                fp &= _MASK
                 if t == q or mine == q:
-                    for y in tree.within(fp & 0xFFFFFFFFFFFFFFFF, radius):
-                        if sets.join(fp & 0xFFFFFFFFFFFFFFFF, y):
-                            a.append(fp)
-                            b.append(y - (1 << 64) if y >> 63 else y)
+                    hits = list(tree.within(fp, radius))
+                    best = min(hits, key=lambda y: ((y ^ fp).bit_count(), y), default=None) if nearest else None
+                    for y in hits:
+                        for other in ids[y]:
+                            if sets.join(node, other) or y == best:
+                                a.append(node)
+                                b.append(other)
                 if mine == t:
-                    tree.add(fp & 0xFFFFFFFFFFFFFFFF)
+                    tree.add(fp)
+                    ids.setdefault(fp, []).append(node)
             if len(a) >= 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -157,6 +166,19 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(search, "a bigint, b bigint")
 
 
+def _ways(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    shards = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col("fp").bitwiseAND(m).alias("bits")) for i, m in enumerate(masks))))
+    return nodes.select("id", "fp", shards.alias("s")).select("id", "fp", "s.way", "s.bits")
+
+
+def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs a, b of distinct fingerprints ``fp`` (a written table), enough to join all that are within the radius."""
+    n = nodes.count()
+    blocks = next((b for b in range(radius + 1, radius + 4) if n >> (64 * (b - radius) // b) <= SHARD), radius + 4)
+    member = _ways(nodes.select(F.col("fp").alias("id"), "fp"), _masks(blocks, blocks - radius))
+    return _searched(_dealt(member), radius, nearest=False)
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
     """doc_id, fp and component_id (smallest doc_id that the links reach) of every row."""
     each = cut(fingerprints(docs, words))
@@ -172,9 +194,72 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
-    """The row of the smallest doc_id of every component, once; rows without a doc_id stay."""
-    first = near_duplicates(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+# Near copies by similarity: fingerprints propose, shingles decide.
+
+SIMILAR, SIMILAR_WORDS, WIDE = 0.8, 5, 13
+#: Random choices of so many bits; two fingerprints that differ in 9 of 64 bits share one with a chance of 0.998, in 11 with 0.98.
+WAYS, WAY_BITS = 64, 15
+
+
+def shingle_set(text: str, words: int = SIMILAR_WORDS) -> set[bytes]:
+    w = text.encode().lower().split()
+    return set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else {b" ".join(w)}
+
+
+def _random_masks() -> list[int]:
+    rng = np.random.default_rng(48)
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return [signed(sum(1 << int(i) for i in rng.choice(64, WAY_BITS, replace=False))) for _ in range(WAYS)]
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
+    """doc_id and component_id of every row: texts are linked from a Jaccard similarity of ``similar`` of their word shingles on.
+
+    Candidates are fingerprints (of three words) within WIDE bits of each other that meet in one of WAYS shards, each a
+    random choice of bits with a BK-tree; a shard proposes each text's nearest neighbour and what joins its sets. Every
+    proposed pair is then compared by its texts. Equal texts, but for case and spacing, are one node.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = np.fromiter(map(fingerprint, texts), dtype=np.int64, count=len(texts))
+            whole = (xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), seed=7) for t in texts)
+            ids = np.fromiter(whole, dtype=np.uint64, count=len(texts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(ids)], ["doc_id", "fp", "id"])
+
+    each = cut(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, fp bigint, id bigint"))
+    nodes = cut(each.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
+    pairs = _searched(_dealt(_ways(nodes, _random_masks())), WIDE, nearest=True)
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
+    reps = nodes.join(named, F.col("id") == F.col("_id")).select(F.col("first").alias("_first"), "_id")
+    texts = cut(docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("_first")).select(F.col("_id").alias("id"), "text"))
+    left, right = (texts.select(F.col("id").alias(f"_{c}"), F.coalesce("text", F.lit("")).alias(f"text_{c}")) for c in "ab")
+    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "text_a", "text_b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good, now, mine = [], None, set()
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != now:
+                    now, mine = a, shingle_set(x.as_py(), words)
+                other = shingle_set(y.as_py(), words)
+                common = len(mine & other)
+                good.append(common >= similar * (len(mine) + len(other) - common))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    found = cut(components(both.mapInArrow(compare, "a bigint, b bigint")))
+    member = cut(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))
+    least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = cut(member.join(least, "root").select(F.col("id").alias("_id"), "component_id"))
+    return each.join(classes, F.col("id") == F.col("_id")).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row of the smallest doc_id of every component (``doc_id, component_id``), once; rows without a doc_id stay."""
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
