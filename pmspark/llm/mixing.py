@@ -58,10 +58,11 @@ def _targets(slim: DataFrame) -> tuple[DataFrame, int]:
 
 
 def mixed(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """doc_id, _size, _source_size, _target, _times (how often the mix takes it) and the ``carry`` columns of every row."""
+    """doc_id, _size, _source_size, _target, _times (how often the mix takes it) of every row, and its ``carry`` columns as struct _carried."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
-        *dict.fromkeys(("doc_id", *carry)),
+        "doc_id",
+        *([F.struct(*carry).alias("_carried")] if carry else []),
         F.col("source").cast("string").alias("_source"),
         F.regexp_count(text, F.lit(_WORD)).cast("long").alias("_size"),
         quality_level(text).alias("_level"),
@@ -82,13 +83,13 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = SEED) -> Dat
     epochs = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(0)
     rest = F.col("_target") - epochs * F.col("_source_size")
     times = epochs + F.when(F.col("_before") + F.col("_size") / 2 <= rest, 1).otherwise(0)
-    return out.select("doc_id", *(c for c in carry if c != "doc_id"), "_size", "_source_size", "_target", F.when(F.col("_size") > 0, F.least(times, F.lit(CAP))).otherwise(0).cast("int").alias("_times"))
+    return out.select("doc_id", *(["_carried"] if carry else []), "_size", "_source_size", "_target", F.when(F.col("_size") > 0, F.least(times, F.lit(CAP))).otherwise(0).cast("int").alias("_times"))
 
 
 def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself: the columns of ``docs``, each row as often as it is taken."""
     out = mixed(docs, tuple(docs.columns), seed).withColumn("_again", F.explode(F.array_repeat(F.lit(0), F.col("_times"))))
-    return out.select(*docs.columns)
+    return out.select(*(F.col("_carried")[c].alias(c) for c in docs.columns))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,11 @@ SHARDS, SEED = 16, 9
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """doc_id, the ``carry`` columns, _size, _crc, _shard (from 0) and _slot (from 0 in its shard) of every row."""
+    """doc_id, _size, _crc, _shard (from 0) and _slot (from 0 in its shard) of every row, and its ``carry`` columns as struct _carried."""
     text = F.coalesce("text", F.lit(""))
     base = docs.select(
-        *dict.fromkeys(("doc_id", *carry)),
+        "doc_id",
+        *([F.struct(*carry).alias("_carried")] if carry else []),
         F.col("source").cast("string").alias("_source"),
         (F.octet_length(text) + 1).cast("long").alias("_size"),
         F.crc32(text).alias("_crc"),
@@ -51,7 +52,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, carry: tuple[str, ...] = (),
     out = with_prefix(ranked(base) if carry else placed, placed, None, "_band", ["_fraction", "_sid"], "_one", "_place")
     shard = F.expr(f"(_place * {shards}) div {max(rows, 1)}")
     return out.withColumn("_shard", shard.cast("int")).select(
-        "doc_id", *(c for c in carry if c != "doc_id"), "_size", "_crc", "_shard", F.expr(f"_place - (_shard * {rows}L + {shards - 1}) div {shards}").alias("_slot")
+        "doc_id", *(["_carried"] if carry else []), "_size", "_crc", "_shard", F.expr(f"_place - (_shard * {rows}L + {shards - 1}) div {shards}").alias("_slot")
     )
 
 
