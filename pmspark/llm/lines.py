@@ -1,14 +1,16 @@
 """Line dedup: exact and fuzzy copies of lines, by MinHash, with one line kept of each component.
 
-One pass over the texts gives each line a 64-bit hash (A to Z folded) and, from its shingles of eight
-characters, eight bands of four min-hashes: lines of Jaccard similarity 0.8 share a band with a chance of 0.985, of 0.9 with
-0.9999. Lines are dealt by band; within a task's batch equal lines are sent once, so a common line is no hot key. Keys
-that a sample of the lines shows to be hot are dealt in chunks, of which every two meet in a task of
-their own. Buckets with the same lines are one bucket. The lines of a bucket are then compared exactly, by the
-Jaccard similarity of their shingles, and links that join two sets of a bucket are reported, at most one for each line. A
-distributed union-find makes the components; the first line, by (doc_id, line number), is kept.
-
-Marked for DataFrame functions only, this operator signs and compares lines in numpy instead; the README has the figures.
+Equal lines (lower-cased) are one line with its first place. Each distinct line is signed from its shingles of
+eight bytes by one-permutation MinHash: a shingle's hash falls into one of 32 bins, each bin keeps its least hash, and four
+bins make a band. Lines of fewer than 64 shingles hash each of them four times, so that bins fill; those of
+48 to 63 are signed both ways, since similar lines differ by at most a fifth in length. Lines of Jaccard similarity
+0.8 share a band with a chance of 0.985, of 0.9 with 0.9999. Keys that a sample shows to be hot are dealt in
+chunks, of which every two meet in a group of their own. Buckets with the same lines are one bucket. The lines of a
+bucket are compared exactly, by the Jaccard similarity of their shingles of eight characters; a line reports one link for
+each component of the bucket's other lines that it is similar to, and components are made anew until no bucket has
+such a link. So links are linear in the lines, and none is lost. The first line, by (doc_id, line number), is kept.
+
+Everything runs as DataFrame functions. Candidate hashes are broadcast only up to SMALL rows, else joined by key.
 
 Defined results: lines are parted by line feeds; a null text is one empty line; blank lines are kept and
 compared with nothing; lines of fewer than eight characters are one shingle; rows that repeat a doc_id count
@@ -18,241 +20,129 @@ by ``deduplicated``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from uuid import uuid4
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P_BYTE, P_WORD, SPACES, cut, mixed, powers, steps, table
+from .common import cut, shared_folder, table
 from .components import components
-from .simhash import Sets
 
-SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 8, 0.8
+SHINGLE, BINS, ROWS, SIMILAR = 8, 32, 4, 0.8
+#: Lines with fewer shingles than the second hash them REPEAT times; from the first on, lines are signed plainly.
+PLAIN_FROM, REPEAT_BELOW, REPEAT = 48, 64, 4
 #: Lines of a chunk of a hot bucket.
-CHUNK = 512
+CHUNK = 256
 #: One line in so many shows which keys are hot; this decides how they are dealt, not what is compared.
 SAMPLE = 64
-_RNG = np.random.default_rng(5)
-_A = (_RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
-_B = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.int64).astype(np.uint32)
-
-
-def _shingle_hashes(chars: np.ndarray) -> np.ndarray:
-    """Of every SHINGLE characters in a row."""
-    n = len(chars) - SHINGLE + 1
-    h = np.zeros(max(n, 0), dtype=np.uint64)
-    for j in range(SHINGLE if n > 0 else 0):
-        h = h * np.uint64(P_WORD) + chars[j : j + n]
-    return mixed(h)
-
-
-def _line_hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    lens = ends - starts
-    n = int(lens.sum())
-    out = np.zeros(len(starts), dtype=np.uint64)
-    full = lens > 0
-    if n:
-        begin = (np.cumsum(lens) - lens)[full]
-        place = np.arange(n) - np.repeat(begin, lens[full])
-        terms = (chars[place + np.repeat(starts[full], lens[full])] + np.uint64(1)) * powers(P_BYTE, int(lens.max()))[place]
-        out[full] = np.add.reduceat(terms, begin)
-    return mixed(out + lens.astype(np.uint64))
-
-
-def _folded(data: np.ndarray) -> np.ndarray:
-    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
-    return np.where((chars >= 65) & (chars <= 90), chars + 32, chars).astype(np.uint64)
-
-
-def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of (row, line number, hash, is it blank, bands) of all lines of all rows."""
-    for first, end, data, offsets in steps(texts):
-        begins = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]  # in code points
-        chars = _folded(data)
-        feeds = np.flatnonzero(chars == 10)
-        of = np.searchsorted(begins, feeds, "right") - 1
-        rows = np.arange(end - first)
-        row = np.concatenate([rows, of])
-        order = np.lexsort((np.concatenate([begins[:-1], feeds + 1]), row))
-        row, starts = row[order], np.concatenate([begins[:-1], feeds + 1])[order]
-        ends = np.concatenate([feeds, begins[1:]])
-        ends = ends[np.lexsort((ends, np.concatenate([of, rows])))]
-        number = np.arange(len(row)) - np.searchsorted(row, rows)[row]
-        lid = _line_hashes(chars, starts, ends)
-        dark = np.append(0, np.cumsum(~SPACES[np.minimum(chars, 255).astype(np.int64)]))
-        blank = dark[starts] == dark[ends]
-        # Shingles lie within a line; a short line is one shingle, its own hash.
-        lens = ends - starts
-        count = np.maximum(lens - SHINGLE + 1, 1)
-        at = np.cumsum(count) - count
-        source = np.repeat(starts - at, count) + np.arange(int(count.sum()))
-        all_h = _shingle_hashes(chars)
-        short = np.repeat(lens < SHINGLE, count)
-        h = np.empty(len(source), dtype=np.uint32)
-        h[~short] = (all_h[source[~short]] >> np.uint64(32)).astype(np.uint32)
-        h[short] = (lid[lens < SHINGLE] >> np.uint64(32)).astype(np.uint32)
-        bands = np.empty((len(row), BANDS), dtype=np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(row), b + 1, dtype=np.uint64)
-            for j in range(b * ROWS, (b + 1) * ROWS):
-                key = mixed(key * np.uint64(P_WORD) + np.minimum.reduceat(h * _A[j] + _B[j], at))
-            bands[:, b] = key
-        yield first + row, number, lid.view(np.int64), blank, bands.view(np.int64)
-
-
-def shingles(line: str) -> np.ndarray:
-    chars = _folded(np.frombuffer(line.encode(), dtype=np.uint8))
-    if len(chars) < SHINGLE:
-        return _line_hashes(chars, np.array([0]), np.array([len(chars)]))
-    return np.unique(_shingle_hashes(chars))
-
-
-def similar_links(ids: list[int], sets_of: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
-    """Links between the members of a bucket that are similar, those that join two sets so far."""
-    joined, out = Sets(), []
-    if len(ids) == 2:
-        x, y = sets_of
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return [(ids[0], ids[1])] if both >= least * (len(x) + len(y) - both) else []
-    sizes = np.array([len(s) for s in sets_of])
-    values, back = np.unique(np.concatenate(sets_of), return_inverse=True)
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    order = np.argsort(back, kind="stable")
-    holders, heads = owner[order], np.searchsorted(back[order], np.arange(len(values) + 1))
-    ends = np.cumsum(sizes)
-    for i in range(len(ids)):
-        mine = back[ends[i] - sizes[i] : ends[i]]
-        n = heads[mine + 1] - heads[mine]
-        pick = np.repeat(heads[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(holders[pick], minlength=len(ids))
-        for j in np.flatnonzero(both[:i] >= least * (sizes[:i] + sizes[i] - both[:i])).tolist():
-            if joined.join(i, j):
-                out.append((ids[i], ids[j]))
-    return out
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """A written table: doc_id, line_no, lid, blank, bands of every line."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, number, lid, blank, bands in line_table(batch.column(1)):
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-                columns = [batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(lid), pa.array(blank), flat]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "lid", "blank", "bands"])
-
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, lid bigint, blank boolean, bands array<bigint>"
-    return cut(docs.select("doc_id", "text").mapInArrow(read, schema))
+#: Rows of a table of hashes that may be broadcast.
+SMALL = 2_000_000
+
+
+def _line_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, line_no, line (lower-cased), lid (its hash; null for a blank line) of every line."""
+    each = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
+    each = each.select("doc_id", "line_no", F.lower("line").alias("line"))
+    return each.withColumn("lid", F.when(F.col("line").rlike(r"\S"), F.xxhash64("line")))
+
+
+def _signed(lines: DataFrame) -> DataFrame:
+    """lid, bands of distinct lines that are hash-partitioned by lid: nothing is shuffled."""
+    n = F.greatest(F.octet_length("line") - SHINGLE + 1, F.lit(1))
+    repeats = F.when(n < REPEAT_BELOW, F.when(n >= PLAIN_FROM, F.sequence(F.lit(0), F.lit(REPEAT))).otherwise(F.sequence(F.lit(1), F.lit(REPEAT)))).otherwise(F.array(F.lit(0)))
+    at = lines.select("lid", F.encode("line", "utf-8").alias("b"), F.explode(repeats).alias("r"), n.alias("n")).select("lid", "b", "r", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
+    h = at.select("lid", (F.col("r") > 0).alias("many"), F.xxhash64(F.substring(F.col("b"), F.col("i"), F.lit(SHINGLE)), F.col("r")).alias("h"))
+    least = h.groupBy("lid", "many", F.col("h").bitwiseAND(BINS - 1).alias("bin")).agg(F.min(F.shiftrightunsigned("h", 5)).alias("least"))
+    one = F.xxhash64("bin", "least", "many")
+    bands = [F.bit_xor(F.when(F.floor(F.col("bin") / ROWS) == b, one)) for b in range(BINS // ROWS)]
+    per = least.groupBy("lid", "many").agg(F.array_compact(F.array(*bands)).alias("bands"))
+    return per.groupBy("lid").agg(F.flatten(F.collect_list("bands")).alias("bands"))
+
+
+def _distinct(docs: DataFrame) -> DataFrame:
+    """A written table of distinct lines: lid, doc_id and line_no of the first, line, bands."""
+    place = F.struct("doc_id", "line_no")
+    lines = _line_rows(docs).where("lid is not null").groupBy("lid").agg(F.min(place).alias("first"), F.min("line").alias("line"))
+    out = lines.join(_signed(lines.select("lid", "line")), "lid").select("lid", "first.doc_id", "first.line_no", "line", "bands")
+    out.write.parquet(path := f"{shared_folder(docs.sparkSession)}/lines-{uuid4().hex}")
+    return docs.sparkSession.read.parquet(path)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, marked for a broadcast if it has few rows; df is a written table."""
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
-    """A written table: bucket, lid, for the buckets (or pairs of chunks) of two and more lines."""
-    spark = lines.sparkSession
-    some = lines.where(~F.col("blank") & (F.pmod(F.xxhash64("lid"), F.lit(SAMPLE)) == 0)).select("lid", "bands").dropDuplicates(["lid"])
+    """A written table: bucket and lids (an array, at most two chunks) of the buckets of two and more lines."""
+    some = lines.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLE)) == 0)
     hot = some.select(F.explode("bands").alias("key")).groupBy("key").count().where(f"count * {SAMPLE} > {CHUNK}").orderBy(F.desc("count"), "key").limit(10_000)
-    hot = {r["key"]: -(-r["count"] * SAMPLE // CHUNK) for r in hot.collect()}
-    shared = spark.sparkContext.broadcast(hot)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        hot_keys = np.array(sorted(known), dtype=np.int64)
-        for batch in batches:
-            lid, at = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal lines once
-            if not len(lid):
-                continue
-            bands = batch.column(1).flatten().to_numpy().reshape(-1, BANDS)[at]
-            key, of = bands.ravel(), np.repeat(lid, BANDS)
-            part = np.zeros(len(key), dtype=np.int32)
-            warm = np.isin(key, hot_keys) if len(hot_keys) else np.zeros(len(key), bool)
-            more_k, more_p, more_l = [key[~warm]], [part[~warm]], [of[~warm]]
-            for k in np.unique(key[warm]):
-                n = known[int(k)]
-                members = of[key == k]
-                mine = (members.view(np.uint64) % np.uint64(n)).astype(np.int64)
-                for other in range(n):
-                    more_k.append(np.full(len(members), k))
-                    more_p.append((np.minimum(mine, other) * n + np.maximum(mine, other)).astype(np.int32))
-                    more_l.append(members)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (more_k, more_p, more_l)], ["key", "part", "lid"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-
-        def closed(key, part, lid):
-            new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
-            fresh = new | np.append(True, lid[1:] != lid[:-1])
-            new, lid, group = new[fresh], lid[fresh], np.cumsum(new[fresh]) - 1
-            n = np.bincount(group, minlength=1)
-            # The bucket is named by its lines, so that equal buckets of several bands are one.
-            name = np.zeros(len(n), dtype=np.uint64)
-            np.add.at(name, group, mixed(lid.view(np.uint64)))
-            keep = n[group] > 1
-            return pa.RecordBatch.from_arrays([pa.array(mixed(name)[group[keep]].view(np.int64)), pa.array(lid[keep])], ["bucket", "lid"])
-
-        for batch in batches:
-            now = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
-            if not len(now[0]):
-                continue
-            open_ = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if (now[0] != now[0][-1]).any() or (now[1] != now[1][-1]).any() else 0
-            if open_:
-                yield closed(*(x[:open_] for x in now))
-            rest = [x[open_:] for x in now]
-        if len(rest[0]):
-            yield closed(*rest)
-
-    dealt = lines.where("not blank").select("lid", "bands").mapInArrow(deal, "key bigint, part int, lid bigint")
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "lid")
-    return cut(dealt.mapInArrow(gather, "bucket bigint, lid bigint").dropDuplicates(["bucket", "lid"]))
-
-
-def _links(docs: DataFrame, firsts: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Pairs a, b of similar lines' hashes. firsts: lid, doc_id, line_no of one line of each hash."""
-    wanted = buckets.select(F.col("lid").alias("_lid")).distinct()
-    wanted = firsts.join(wanted, F.col("lid") == F.col("_lid")).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "lid")).alias("_wanted")).withColumnRenamed("doc_id", "_id")
-    pieces = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    pieces = pieces.select(F.explode("_wanted").alias("w"), "_lines").select(F.col("w.lid").alias("_lid"), F.get("_lines", F.col("w.line_no")).alias("line"))
-    texts = cut(pieces.where("line is not null"))
-    members = buckets.join(texts, F.col("lid") == F.col("_lid")).select("bucket", "lid", "line").repartition("bucket").sortWithinPartitions("bucket", "lid")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets_of, out = None, [], [], []
-
-        def rows():
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            yield None, None, None
-
-        def made(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        for bucket, lid, line in rows():
-            if bucket != now or bucket is None:
-                if len(ids) > 1:
-                    out += similar_links(ids, sets_of)
-                now, ids, sets_of = bucket, [], []
-                if len(out) > 8192:
-                    yield made(out)
-                    out = []
-            if bucket is not None and lid not in ids[-1:]:
-                ids.append(lid)
-                sets_of.append(shingles(line))
-        yield made(out)
-
-    return members.mapInArrow(compare, "a bigint, b bigint")
+    hot = cut(hot.select(F.col("key").alias("_hot"), F.ceil(F.col("count") * SAMPLE / CHUNK).cast("int").alias("chunks")))
+    dealt = lines.select("lid", F.explode("bands").alias("key")).join(F.broadcast(hot), F.col("key") == F.col("_hot"), "left").drop("_hot")
+    mine = F.pmod("lid", F.col("chunks")).cast("int")
+    cold, warm = dealt.where("chunks is null").select("key", F.lit(0).alias("t"), F.lit(0).alias("q"), "lid"), dealt.where("chunks is not null").withColumn("mine", mine)
+    warm = warm.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("key", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("q"), "lid")
+    groups = cold.unionByName(warm).groupBy("key", "t", "q").agg(F.array_sort(F.collect_set("lid")).alias("lids")).where("size(lids) > 1")
+    return cut(groups.select(F.xxhash64("lids").alias("bucket"), "lids").dropDuplicates(["bucket"]))
+
+
+def shingles(line: Column) -> Column:
+    """Hashes of the distinct shingles of eight characters; a short line is one."""
+    n = F.greatest(F.length(line) - SHINGLE + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.substring(line, i, F.lit(SHINGLE)))))
+
+
+def _new_links(members: DataFrame) -> DataFrame:
+    """Links a, b between similar lines of different components: for each line one to each component.
+
+    members: bucket, lid, root (its component so far), set.
+    """
+    m = members.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("lid", "root", "set"))).alias("m")).where(F.size(F.array_distinct(F.col("m.root"))) > 1)
+
+    def similar(x: Column, y: Column) -> Column:
+        both = F.size(F.array_intersect(x["set"], y["set"]))
+        return (x["root"] != y["root"]) & (both >= SIMILAR * (F.size(x["set"]) + F.size(y["set"]) - both))
+
+    def linked(x: Column, i: Column) -> Column:
+        found = F.filter(F.slice("m", F.lit(1), i), lambda y: similar(x, y))
+        once = F.filter(found, lambda y, j: ~F.exists(F.slice(found, F.lit(1), j), lambda z: z["root"] == y["root"]))
+        return F.transform(once, lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b")))
+
+    return m.select(F.explode(F.flatten(F.transform("m", linked))).alias("l")).select("l.a", "l.b")
+
+
+def _components(lines: DataFrame, buckets: DataFrame) -> DataFrame:
+    """node, root of the lines that are similar to others."""
+    pairs = buckets.select("bucket", F.explode("lids").alias("lid"))
+    wanted = cut(pairs.select(F.col("lid").alias("_lid")).distinct())
+    texts = cut(lines.select("lid", "line").join(_small(wanted), F.col("lid") == F.col("_lid"), "left_semi"))
+    members = pairs.join(texts.withColumnRenamed("lid", "_lid"), F.col("lid") == F.col("_lid")).select("bucket", "lid", shingles(F.col("line")).alias("set"))
+    links, found = None, None
+    while True:
+        if found is None:
+            now = members.withColumn("root", F.col("lid"))
+        else:
+            roots = found.select(F.col("node").alias("_node"), "root")
+            now = members.join(_small(roots), F.col("lid") == F.col("_node"), "left").select("bucket", "lid", "set", F.coalesce("root", "lid").alias("root"))
+        more = cut(_new_links(now))
+        if links is not None and more.isEmpty():
+            return found
+        links = more if links is None else links.unionByName(more)
+        found = cut(components(links))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, kept, keeper_doc, keeper_line of every line; the keepers of blank lines are null."""
-    lines = _lines(docs)
-    place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
-    firsts = cut(lines.where("not blank").groupBy("lid").agg(F.min(place).alias("first")).select("lid", "first.doc_id", "first.line_no"))
-    found = cut(components(_links(docs, firsts, _buckets(lines))))
-    classed = cut(firsts.join(found, F.col("lid") == F.col("node"), "left").select("lid", "doc_id", "line_no", F.coalesce("root", "lid").alias("root")))
-    keeper = cut(classed.groupBy("root").agg(F.min(place).alias("keeper")))
-    keeper = cut(classed.join(keeper, "root").select(F.col("lid").alias("_lid"), "keeper"))
-    every = lines.select("doc_id", "line_no", F.when(~F.col("blank"), F.col("lid")).alias("lid"))
+    lines = _distinct(docs)
+    found = _components(lines, _buckets(lines))
+    place = F.struct("doc_id", "line_no")
+    classed = lines.select("lid", "doc_id", "line_no").join(_small(found), F.col("lid") == F.col("node"), "left").select("lid", "doc_id", "line_no", F.coalesce("root", "lid").alias("root"))
+    # Only components of several lines need their first line; others are their own.
+    several = classed.join(_small(found.select("root").distinct().withColumnRenamed("root", "_root")), F.col("root") == F.col("_root"), "left_semi")
+    keeper = cut(several.groupBy("root").agg(F.min(place).alias("keeper")).withColumnRenamed("root", "_root"))
+    moved = classed.join(_small(keeper), F.col("root") == F.col("_root"), "left")
+    keeper = cut(moved.select(F.col("lid").alias("_lid"), F.coalesce("keeper", place).alias("keeper")))
+    every = _line_rows(docs).select("doc_id", "line_no", "lid")
     out = every.where("lid is not null").join(keeper, F.col("lid") == F.col("_lid")).select("doc_id", "line_no", "keeper")
     out = out.unionByName(every.where("lid is null").select("doc_id", "line_no", F.lit(None).cast(keeper.schema["keeper"].dataType).alias("keeper")))
     kept = F.col("keeper").isNull() | (F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("keeper.line_no") == F.col("line_no")))

@@ -333,7 +333,7 @@ def slow_lines(rows):
     blank = set()
     for doc, text in rows:
         for n, line in enumerate((text or "").split("\n")):
-            (blank.add((doc, n)) if not line.strip(" \t\n\r\v\f") else places[lowered(line)].append((doc, n)))
+            (blank.add((doc, n)) if not line.strip(" \t\n\r\v\f") else places[line.lower()].append((doc, n)))
     keys = list(places)
     shingles = {k: {k[i : i + 8] for i in range(max(len(k) - 7, 1))} for k in keys}
     roots = brute_components(shingles, lambda x, y: len(x & y) >= 0.8 * len(x | y))
