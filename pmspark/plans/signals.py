@@ -202,15 +202,15 @@ def rolling_user_prob(spark, d):
     return brier(spark, d).where("user_prob is not null").select("instrument_id", "seq", F.round("user_prob", 6).alias("user_prob"))
 
 
-@query("brier_advantage", sql(_BRIER + f" SELECT instrument_id, seq, round(advantage, 6) + 0.0 AS advantage, round(sum(advantage) OVER ({_O} ROWS UNBOUNDED PRECEDING), 5) + 0.0 AS cumulative FROM adv", "fx_prices"))
+@query("brier_advantage", sql(_BRIER + f" SELECT instrument_id, seq, round(advantage, 10) + 0.0 AS advantage, round(sum(advantage) OVER ({_O} ROWS UNBOUNDED PRECEDING), 10) + 0.0 AS cumulative FROM adv", "fx_prices"))
 def brier_advantage(spark, d):
     out = G.brier_advantage(brier(spark, d))
-    return out.select("instrument_id", "seq", (F.round("advantage", 6) + F.lit(0.0)).alias("advantage"), (F.round("cumulative", 5) + F.lit(0.0)).alias("cumulative"))
+    return out.select("instrument_id", "seq", (F.round("advantage", 10) + F.lit(0.0)).alias("advantage"), (F.round("cumulative", 10) + F.lit(0.0)).alias("cumulative"))
 
 
-@query("brier_total", sql(_BRIER + ", t AS (SELECT ts_ns, sum(advantage) AS a FROM adv GROUP BY 1) SELECT ts_ns, round(sum(a) OVER (ORDER BY ts_ns), 5) + 0.0 AS total FROM t", "fx_prices"))
+@query("brier_total", sql(_BRIER + ", t AS (SELECT ts_ns, sum(advantage) AS a FROM adv GROUP BY 1) SELECT ts_ns, round(sum(a) OVER (ORDER BY ts_ns), 10) + 0.0 AS total FROM t", "fx_prices"))
 def brier_total(spark, d):
     from pmspark.operators.portfolio import prefix_sum
 
     per = G.brier_advantage(brier(spark, d)).groupBy("ts_ns").agg(F.sum("advantage").alias("a"))
-    return prefix_sum(per, "a").select("ts_ns", (F.round("total", 5) + F.lit(0.0)).alias("total"))
+    return prefix_sum(per, "a").select("ts_ns", (F.round("total", 10) + F.lit(0.0)).alias("total"))
