@@ -84,3 +84,24 @@ def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def to_fills(reports: DataFrame) -> DataFrame:
+    """Fills from reports of several shapes: the first of the known names of each field, quantity above 0.
+
+    Without a side, an instrument id that ends in ``-NO`` or ``:no`` is a NO position, any other YES.
+    """
+    first = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in reports.columns), F.lit(None))
+    ident = first("instrument_id", "market_id")
+    side = F.when(F.lower(ident).rlike(r"[-:]no$"), "no").otherwise("yes")
+    out = reports.select(
+        first("order_id", "client_order_id").alias("order_id"),
+        ident.alias("instrument_id"),
+        F.lower(first("action", "order_side")).alias("action"),
+        F.coalesce(F.lower(first("side")), side).alias("side"),
+        first("price", "avg_px", "last_px").try_cast("decimal(9,4)").alias("price"),
+        first("quantity", "filled_qty", "last_qty").try_cast("decimal(18,6)").alias("quantity"),
+        first("ts_ns", "ts_last", "ts_event").try_cast("bigint").alias("ts_ns"),
+        F.coalesce(first("commission", "commissions").try_cast("decimal(9,4)"), F.lit(0).cast("decimal(9,4)")).alias("commission"),
+    )
+    return out.where("quantity > 0 and ts_ns is not null")

@@ -195,3 +195,14 @@ def microprice(spark, d):
 def vwap_for_size(spark, d):
     s = fx.snapshots(spark, d).select("instrument_id", "ts_ns", F.round(B.vwap_for_size(F.col("asks"), F.lit(60)), 6).alias("vwap"))
     return s.where("vwap is not null")
+
+
+@query("spread", sql(_BEST + " SELECT instrument_id, min(ask - bid) AS narrowest, max(ask - bid) AS widest FROM best WHERE bid >= 0 AND ask >= 0 GROUP BY 1", "fx_updates"))
+def spread(spark, d):
+    q = _best(spark, d).where("bid >= 0 and ask >= 0").withColumn("spread", F.col("ask") - F.col("bid"))
+    return q.groupBy("instrument_id").agg(F.min("spread").alias("narrowest"), F.max("spread").alias("widest"))
+
+
+@query("union_deltas_trades", sql(_DELTAS + ", u AS (SELECT instrument_id, 0 AS kind FROM deltas UNION ALL SELECT instrument_id, 1 FROM fx_fills) SELECT instrument_id, kind, count(*) AS n FROM u GROUP BY 1, 2", "fx_updates", "fx_fills"))
+def union_deltas_trades(spark, d):
+    return B.merge_streams(_deltas(spark, d), fx.fills(spark, d)).groupBy("instrument_id", "kind").agg(F.count("*").alias("n"))

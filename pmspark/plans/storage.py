@@ -147,6 +147,22 @@ def sink_ticks(spark, d):
     return I.read_ticks(spark, path).groupBy("asset").agg(F.count("*").alias("n"))
 
 
+@query("scan_tick_table", sql("SELECT CASE WHEN upper(trim(side)) IN ('BUY', 'SELL') THEN upper(trim(side)) ELSE 'UNKNOWN' END AS aggressor, count(*) AS n FROM fx_trades WHERE price > 0 AND price < 1 GROUP BY 1", "fx_trades"))
+def scan_tick_table(spark, d):
+    from pmspark.operators.trades import public_trade_rows
+
+    public_trade_rows(fx.trades(spark, d)).write.parquet(path := O.scratch(spark))
+    return I.read_ticks(spark, path).groupBy("aggressor").agg(F.count("*").alias("n"))
+
+
+@query("sink_comparison", sql("SELECT slug, outcome_index, count(*) AS trades FROM fx_ledger GROUP BY 1, 2", "fx_ledger"))
+def sink_comparison(spark, d):
+    ledger = fx.ledger(spark, d)
+    out = R.ledger_compare(ledger, ledger.select("slug", "outcome_index").distinct())
+    O.write_report(out.select("slug", "outcome_index", "trades"), path := O.scratch(spark))
+    return spark.read.schema("slug string, outcome_index bigint, trades bigint").csv(path, header=True)
+
+
 @query("sink_blob_parts", "SELECT l_returnflag AS channel, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def sink_blob_parts(spark, d):
     days = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"))

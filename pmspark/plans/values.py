@@ -230,3 +230,14 @@ def bars_from_trades(spark, d):
 @query("dedup_last", sql("SELECT asset, ts_s, arg_max(transaction_hash, input_seq) AS transaction_hash FROM fx_trades GROUP BY 1, 2", "fx_trades"))
 def dedup_last(spark, d):
     return T.dedup_last(fx.trades(spark, d), ["asset", "ts_s"], ["input_seq"]).select("asset", "ts_s", "transaction_hash")
+
+
+@query("ordered_fill_projection", sql("SELECT instrument_id || CASE side WHEN 'no' THEN '-NO' ELSE '' END AS instrument_id, seq, action, side, CAST(price AS DOUBLE) AS price, CAST(quantity AS DOUBLE) AS quantity, ts_ns FROM fx_fills WHERE seq % 9 <> 0", "fx_fills"))
+def ordered_fill_projection(spark, d):
+    f = fx.fills(spark, d)
+    odd = F.col("seq") % 2 == 1
+    reports = f.select(
+        F.col("seq").alias("client_order_id"), F.concat("instrument_id", F.when(F.col("side") == "no", "-NO").otherwise("")).alias("instrument_id"), F.upper("action").alias("order_side"),
+        F.when(odd, F.col("price")).alias("avg_px"), F.when(~odd, F.col("price")).alias("last_px"), F.when(F.col("seq") % 9 == 0, 0).otherwise(F.col("quantity")).alias("filled_qty"), F.col("ts_ns").alias("ts_last"),
+    )
+    return T.to_fills(reports).select("instrument_id", F.col("order_id").cast("bigint").alias("seq"), "action", "side", F.col("price").cast("double"), F.col("quantity").cast("double"), "ts_ns")
