@@ -82,7 +82,7 @@ def _catalog(spark, d):
     return m.select("market_id", ids.alias("ids"), F.array(F.lit("Yes"), F.lit("No")).alias("outcomes"), prices.alias("prices"), F.when(k % 2 == 0, 0.01).alias("tick"), F.when(k % 3 == 0, 10.0).alias("min_size"))
 
 
-@query("normalize_market", sql("SELECT market_id, coalesce(CASE WHEN market_id % 2 = 0 THEN 0.01 END, 0.001) AS tick, coalesce(CASE WHEN market_id % 3 = 0 THEN 10.0 END, 5.0) AS min_size, market_id || '-Y' AS token_id, CASE WHEN market_id % 4 <> 0 THEN CAST(yes_price AS DOUBLE) ELSE 0.5 END AS price FROM fx_markets", "fx_markets"))
+@query("normalize_market", sql("SELECT market_id, CAST(coalesce(CASE WHEN market_id % 2 = 0 THEN 0.01 END, 0.001) AS DOUBLE) AS tick, CAST(coalesce(CASE WHEN market_id % 3 = 0 THEN 10.0 END, 5.0) AS DOUBLE) AS min_size, market_id || '-Y' AS token_id, CASE WHEN market_id % 4 <> 0 THEN CAST(yes_price AS DOUBLE) ELSE 0.5 END AS price FROM fx_markets", "fx_markets"))
 def normalize_market(spark, d):
     n = R.normalize_market(_catalog(spark, d))
     return n.select("market_id", "tick", "min_size", F.col("tokens")[0]["token_id"].alias("token_id"), F.col("tokens")[0]["price"].alias("price"))

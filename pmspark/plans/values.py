@@ -133,7 +133,7 @@ def add_commission(spark, d):
     return fx.fills(spark, d).select("instrument_id", "seq", S.taker_fee(q, p, F.lit(200)).cast("double").alias("taker_fee"), S.cent_fee(q, p, F.lit(0.07)).cast("double").alias("cent_fee"))
 
 
-@query("rebate_share", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0.0 WHEN contains(lower(p_type), 'promo') THEN 0.25 ELSE 0.25 END AS share FROM part")
+@query("rebate_share", "SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE 0.25 END AS DOUBLE) AS share FROM part")
 def rebate_share(spark, d):
     return fx.table(spark, d, "part").select("p_partkey", S.rebate_share(F.col("p_type"), F.col("p_size") % 5).alias("share"))
 
