@@ -117,14 +117,14 @@ def _masks(blocks: int, agree: int) -> list[int]:
     return [signed(sum(c)) for c in combinations(each, agree)]
 
 
-def _dealt(member: DataFrame) -> DataFrame:
-    """``member`` (id, fp, way, bits), without shards of one node, dealt and sorted by shard and pair of chunks."""
+def _dealt(member: DataFrame, *more: str) -> DataFrame:
+    """``member`` (id, fp, way, bits, and the columns ``more``), without shards of one node, dealt and sorted by shard and pair of chunks."""
     sizes = cut(member.groupBy("way", "bits").agg(F.count("*").alias("n")).where("n > 1"))
     member = member.join(sizes, ["way", "bits"])
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     member = member.withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    member = member.select("id", "fp", "way", "bits", "mine", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("q"))
+    member = member.select("id", "fp", *more, "way", "bits", "mine", F.least("mine", "other").alias("t"), F.greatest("mine", "other").alias("q"))
     # Within a chunk by a hash of id and way, so that every way meets the nodes in another order.
     return member.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "mine", F.xxhash64("id", "way"), "id")
 
@@ -133,9 +133,8 @@ _KEYS = ("way", "bits", "t", "q")
 _MASK = (1 << 64) - 1
 
 
-def _searched(dealt: DataFrame, radius: int, nearest: bool) -> DataFrame:
-    """Pairs a, b of ids within the radius: in each group those that join two of its sets so far, and with
-    ``nearest`` also each node's nearest neighbour among those before it."""
+def _searched(dealt: DataFrame, radius: int) -> DataFrame:
+    """Pairs a, b of ids within the radius: in each group those that join two of its sets so far."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -148,11 +147,9 @@ def _searched(dealt: DataFrame, radius: int, nearest: bool) -> DataFrame:
             for *_, mine, fp, node in group:
                 fp &= _MASK
                 if t == q or mine == q:
-                    hits = list(tree.within(fp, radius))
-                    best = min(hits, key=lambda y: ((y ^ fp).bit_count(), y), default=None) if nearest else None
-                    for y in hits:
+                    for y in tree.within(fp, radius):
                         for other in ids[y]:
-                            if sets.join(node, other) or y == best:
+                            if sets.join(node, other):
                                 a.append(node)
                                 b.append(other)
                 if mine == t:
@@ -166,9 +163,9 @@ def _searched(dealt: DataFrame, radius: int, nearest: bool) -> DataFrame:
     return dealt.mapInArrow(search, "a bigint, b bigint")
 
 
-def _ways(nodes: DataFrame, masks: list[int]) -> DataFrame:
+def _ways(nodes: DataFrame, masks: list[int], *more: str) -> DataFrame:
     shards = F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("way"), F.col("fp").bitwiseAND(m).alias("bits")) for i, m in enumerate(masks))))
-    return nodes.select("id", "fp", shards.alias("s")).select("id", "fp", "s.way", "s.bits")
+    return nodes.select("id", "fp", *more, shards.alias("s")).select("id", "fp", *more, "s.way", "s.bits")
 
 
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
@@ -176,7 +173,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     n = nodes.count()
     blocks = next((b for b in range(radius + 1, radius + 4) if n >> (64 * (b - radius) // b) <= SHARD), radius + 4)
     member = _ways(nodes.select(F.col("fp").alias("id"), "fp"), _masks(blocks, blocks - radius))
-    return _searched(_dealt(member), radius, nearest=False)
+    return _searched(_dealt(member), radius)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFrame:
@@ -199,6 +196,8 @@ def hex16(fp: Column) -> Column:
 SIMILAR, SIMILAR_WORDS, WIDE = 0.8, 5, 13
 #: Random choices of so many bits; two fingerprints that differ in 9 of 64 bits share one with a chance of 0.998, in 11 with 0.98.
 WAYS, WAY_BITS = 64, 15
+#: Of these, what the first round searches, which only saves comparisons.
+FIRST_WAYS = 8
 
 
 def shingle_set(text: str, words: int = SIMILAR_WORDS) -> set[bytes]:
@@ -212,27 +211,62 @@ def _random_masks() -> list[int]:
     return [signed(sum(1 << int(i) for i in rng.choice(64, WAY_BITS, replace=False))) for _ in range(WAYS)]
 
 
-def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id and component_id of every row: texts are linked from a Jaccard similarity of ``similar`` of their word shingles on.
+def _odd(shingles: set[bytes]) -> np.ndarray:
+    """128 bits as two longs: which are hit by an odd number of the shingles."""
+    at = np.fromiter((xxhash.xxh64_intdigest(x, seed=5) & 127 for x in shingles), dtype=np.int64, count=len(shingles))
+    return np.packbits(np.bincount(at, minlength=128) & 1, bitorder="little").view("<i8")
 
-    Candidates are fingerprints (of three words) within WIDE bits of each other that meet in one of WAYS shards, each a
-    random choice of bits with a BK-tree; a shard proposes each text's nearest neighbour and what joins its sets. Every
-    proposed pair is then compared by its texts. Equal texts, but for case and spacing, are one node.
-    """
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = np.fromiter(map(fingerprint, texts), dtype=np.int64, count=len(texts))
-            whole = (xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), seed=7) for t in texts)
-            ids = np.fromiter(whole, dtype=np.uint64, count=len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(ids)], ["doc_id", "fp", "id"])
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's bits
+
+
+def _may_be(sizes: np.ndarray, odd_0: np.ndarray, odd_1: np.ndarray, most: float) -> np.ndarray:
+    """False only where two sets cannot have the similarity: each bit in which their ``_odd`` differ takes a shingle that
+    only one of them has, and those are at most (1 - similarity) / (1 + similarity) of both sizes together."""
+    return _ones(odd_0) + _ones(odd_1) <= most * sizes + 1e-6
+
+
+def _proposed(nodes: DataFrame, masks: list[int], similar: float, every: bool) -> DataFrame:
+    """Pairs a < b of ids whose fingerprints lie within WIDE, that meet in a shard and that ``_may_be`` allows; ``nodes`` has
+    id, fp, shingles, odd_0, odd_1 and root. With ``every`` all of them whose roots differ, each once, in the first way that both share; else
+    in each group each node's nearest among those before it and what joins two of its sets so far."""
+    more = ("shingles", "odd_0", "odd_1", "root")
+    most = (1 - similar) / (1 + similar)
 
-    each = cut(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, fp bigint, id bigint"))
-    nodes = cut(each.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")))
-    pairs = _searched(_dealt(_ways(nodes, _random_masks())), WIDE, nearest=True)
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in (*_KEYS, "mine", "fp", "id", *more)), strict=True)
+
+        bits = np.array(masks, dtype=np.int64)
+        a, b = [], []
+        for (way, _, t, q), group in groupby(rows(), key=lambda r: r[:4]):
+            mine, fps, ids, n, odd_0, odd_1, roots = (np.array(c, dtype=np.int64) for c in list(zip(*group, strict=True))[4:])
+            sets, old = Sets(), np.flatnonzero(mine == t)
+            for i in np.flatnonzero(mine == q):
+                y = old if t != q else old[old < i]
+                far = _ones(fps[y] ^ fps[i])
+                good = (far <= WIDE) & (roots[y] != roots[i])
+                y, far = y[good], far[good]
+                y, far = (c[_may_be(n[y] + n[i], odd_0[y] ^ odd_0[i], odd_1[y] ^ odd_1[i], most)] for c in (y, far))
+                if every:
+                    y = y[((fps[y] ^ fps[i])[:, None] & bits[:way]).all(axis=1)]
+                elif len(y):
+                    best = y[far.argmin()]
+                    y = np.array([k for k in y if sets.join(i, k) or k == best])
+                a.extend(np.minimum(ids[y], ids[i]))
+                b.extend(np.maximum(ids[y], ids[i]))
+                if len(a) >= 8192:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _dealt(_ways(nodes, masks, *more), *more).mapInArrow(search, "a bigint, b bigint")
+
+
+def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float, words: int) -> DataFrame:
+    """Those of the pairs (a written table) whose texts have the similarity."""
     named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
     reps = nodes.join(named, F.col("id") == F.col("_id")).select(F.col("first").alias("_first"), "_id")
     texts = cut(docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("_first")).select(F.col("_id").alias("id"), "text"))
@@ -241,17 +275,45 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, now, mine = [], None, set()
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != now:
-                    now, mine = a, shingle_set(x.as_py(), words)
-                other = shingle_set(y.as_py(), words)
+            good, last = [], [(None, set())] * 2
+            for *ends, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                last = [was if was[0] == end else (end, shingle_set(text.as_py(), words)) for was, end, text in zip(last, ends, (x, y), strict=True)]
+                (_, mine), (_, other) = last
                 common = len(mine & other)
                 good.append(common >= similar * (len(mine) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    found = cut(components(both.mapInArrow(compare, "a bigint, b bigint")))
-    member = cut(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))
+    return both.mapInArrow(compare, "a bigint, b bigint")
+
+
+def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
+    """doc_id and component_id of every row: texts are linked from a Jaccard similarity of ``similar`` of their word shingles on.
+
+    Candidates are fingerprints (of three words) within WIDE bits of each other that meet in one of WAYS shards, each a
+    random choice of bits. Every one of them that the sizes and parities of the shingle sets do not exclude is compared by its texts, unless links of compared texts join the two already: a first
+    round over FIRST_WAYS shards, which propose each text's nearest neighbour and what joins their sets, finds those links, so
+    that a large group of near copies costs few pairs. Equal texts, but for case and spacing, are one node.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = np.fromiter(map(fingerprint, texts), dtype=np.int64, count=len(texts))
+            whole = (xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), seed=7) for t in texts)
+            ids = np.fromiter(whole, dtype=np.uint64, count=len(texts)).view(np.int64)
+            sums = np.array([(len(x), *_odd(x)) for x in (shingle_set(t or "", words) for t in texts)], dtype=np.int64).reshape(-1, 3)  # one set at a time
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (fps, ids, *sums.T))], ["doc_id", "fp", "id", "shingles", "odd_0", "odd_1"])
+
+    each = cut(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, fp bigint, id bigint, shingles bigint, odd_0 bigint, odd_1 bigint"))
+    nodes = cut(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "shingles", "odd_0", "odd_1"))))
+    masks = _random_masks()
+    pairs = cut(_proposed(nodes.withColumn("root", F.col("id")), masks[:FIRST_WAYS], similar, every=False).distinct())
+    near = cut(_alike(docs, nodes, pairs, similar, words))
+    rooted = lambda found: cut(nodes.join(found, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "id").alias("root")))
+    member = rooted(components(near))
+    rest = cut(_proposed(member, masks, similar, every=True).join(pairs, ["a", "b"], "left_anti"))
+    member = rooted(components(near.unionByName(_alike(docs, nodes, rest, similar, words))))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut(member.join(least, "root").select(F.col("id").alias("_id"), "component_id"))
     return each.join(classes, F.col("id") == F.col("_id")).select("doc_id", "component_id")

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -146,6 +147,35 @@ def test_near_copies_and_survivors(docs, rows, none):
     assert simhash.near_copies(none).count() == 0
 
 
+def test_pairs_inside_a_family_of_false_candidates(spark):
+    """Texts of one template below 0.8 lie within the candidate bits; true pairs among them are linked all the same."""
+    rng = random.Random(48)
+    base = [f"t{i}" for i in range(200)]
+    vary = lambda w, n, tag: [f"{tag}{i}" if i in at else x for at in [set(rng.sample(range(200), n))] for i, x in enumerate(w)]
+    family = [vary(base, 5, f"f{k}_") for k in range(300)]
+    texts = [" ".join(w) for w in [*family, *(vary(w, 4, f"g{k}_") for k, w in enumerate(family[:60]))]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    sets, prints = [simhash.shingle_set(t) for t in texts], [simhash.fingerprint(t) & ((1 << 64) - 1) for t in texts]
+    masks = simhash._random_masks()
+    meets = lambda x, y: (d := prints[x] ^ prints[y]).bit_count() <= simhash.WIDE and any(d & m & ((1 << 64) - 1) == 0 for m in masks)
+    alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
+    assert got == brute_components(dict(enumerate(range(len(texts)))), lambda x, y: meets(x, y) and alike(x, y))
+    true = [(x, y) for x in range(len(texts)) for y in range(x) if alike(x, y)]
+    assert sum(got[x] == got[y] for x, y in true) >= 0.95 * len(true) >= 30
+
+
+def test_parities_exclude_only_unlike_sets():
+    rng = random.Random(6)
+    for n in (1, 5, 40, 400):
+        for _ in range(50):
+            x = {b"%d" % rng.randrange(2 * n) for _ in range(n)}
+            y = {k for k in x if rng.random() > 0.15} | {b"y%d" % k for k in range(rng.randrange(n // 8 + 1))} or x
+            a, b = simhash._odd(x), simhash._odd(y)
+            may = simhash._may_be(np.array([len(x) + len(y)]), a[:1] ^ b[:1], a[1:] ^ b[1:], 0.2 / 1.8)[0]
+            assert may or len(x & y) < 0.8 * len(x | y)
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(1000, 2000 + i) for i in range(50)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
