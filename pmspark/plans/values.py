@@ -205,14 +205,28 @@ def venue2_trade_rows(spark, d):
     "SELECT instrument_id, s * 1000000000 AS ts_ns, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, volume FROM (SELECT 'U' || user_id AS instrument_id, epoch_us(ts) // 1000000 AS s, CAST(event_id % 100 AS DOUBLE) / 100 AS open, CAST(event_id % 100 AS DOUBLE) / 100 AS high, 0.01 AS low, CAST(event_id % 90 AS DOUBLE) / 100 AS close, event_id % 50 + 1 AS volume FROM events WHERE event_id % 6 <> 0 AND event_id % 100 > 1 AND event_id % 90 > 1)",
 )
 def candles_to_bars(spark, d):
+    return _candle_bars(fx.table(spark, d, "events").where("event_id % 100 > 1 and event_id % 90 > 1"))
+
+
+def _candle_bars(events):
     e = F.col("event_id")
     text = lambda n: F.format_string("%.2f", (e % n) / 100)
     price = F.struct(F.when(e % 6 != 0, text(100)).alias("open"), (e % 100).cast("string").alias("high"), F.lit("1").alias("low"), text(90).alias("close"))
-    c = fx.table(spark, d, "events").where("event_id % 100 > 1 and event_id % 90 > 1").select(F.concat(F.lit("U"), "user_id").alias("instrument_id"), F.expr("unix_micros(ts) div 1000000").alias("end_period_ts"), price.alias("price"), (e % 50 + 1).alias("volume"))
+    c = events.select(F.concat(F.lit("U"), "user_id").alias("instrument_id"), F.expr("unix_micros(ts) div 1000000").alias("end_period_ts"), price.alias("price"), (e % 50 + 1).alias("volume"))
     out = T.candles_to_bars(c)
     return out.select("instrument_id", "ts_ns", *(F.col(k).cast("double").alias(k) for k in ("open", "high", "low", "close")), "volume")
 
 
+@query(
+    "candles_to_bars_whole",
+    "WITH c AS (SELECT 'U' || user_id AS instrument_id, epoch_us(ts) // 1000000 * 1000000000 AS ts_ns, CAST(event_id % 100 AS DOUBLE) / 100 AS open, CAST(event_id % 100 AS DOUBLE) AS high, 1.0 AS low, CAST(event_id % 90 AS DOUBLE) / 100 AS close, event_id % 50 + 1 AS volume FROM events WHERE event_id % 6 <> 0) "
+    "SELECT instrument_id, ts_ns, open, CASE WHEN high < 1 THEN high ELSE high / 100 END AS high, CAST(CASE WHEN low < 1 THEN low ELSE low / 100 END AS DOUBLE) AS low, close, volume FROM c",
+)
+def candles_to_bars_whole(spark, d):
+    """Of every event, so with prices of 0 and of one cent."""
+    return _candle_bars(fx.table(spark, d, "events"))
+
+
 @query("resample_last", sql(f"SELECT instrument_id, ts_ns // {H} * {H} AS bucket_ns, CAST(arg_max(price, ts_ns) AS DOUBLE) AS price FROM fx_prices GROUP BY 1, 2", "fx_prices"))
 def resample_last(spark, d):
     return T.resample_last(fx.prices(spark, d), "1 hour").withColumn("price", F.col("price").cast("double"))
