@@ -161,3 +161,9 @@ def align_to_timeline(spark, d):
 def forward_fill(spark, d):
     gaps = fx.prices(spark, d).withColumn("p", F.when(F.col("seq") % 3 == 0, F.col("price")))
     return gaps.select("instrument_id", "seq", F.last("p", ignorenulls=True).over(A.running("instrument_id", ("ts_ns", "seq"))).cast("double").alias("price"))
+
+
+@query("join_request_keys_whole", sql("SELECT instrument_id, count(*) AS n FROM fx_prices WHERE instrument_id IN (SELECT 'U' || c_custkey FROM customer) GROUP BY 1", "fx_prices"))
+def join_request_keys_whole(spark, d):
+    requests = fx.table(spark, d, "customer").select(F.concat(F.lit("U"), "c_custkey").alias("instrument_id"))
+    return fx.prices(spark, d).join(requests, "instrument_id").groupBy("instrument_id").agg(F.count("*").alias("n"))

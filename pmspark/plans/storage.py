@@ -360,3 +360,31 @@ def stream_best_quote(spark, d):
 def stream_snapshot_diff(spark, d):
     out = V.finished(V.stream_snapshot_diff(V.stream_levels(spark, d)), O.scratch(spark))
     return out.groupBy("instrument_id").agg(F.count("*").alias("changes"))
+
+
+# The request queries above, over all instruments and keys.
+
+
+@query("scan_payload_archive_whole", sql("SELECT instrument_id AS token_id, count(*) AS n FROM fx_updates WHERE update_type = 'price_change' AND seq % 13 <> 0 AND instrument_id IN (SELECT 'M' || s_suppkey FROM supplier) GROUP BY 1", "fx_updates"))
+def scan_payload_archive_whole(spark, d):
+    _payload(spark, d).drop("seq").write.parquet(path := O.scratch(spark))
+    requests = fx.outcomes(spark, d).select(F.lit("m").alias("market_id"), F.col("instrument_id").alias("token_id"))
+    return I.scan_payload_archive(spark, path, requests).groupBy("token_id").agg(F.count("*").alias("n"))
+
+
+@query("split_shared_scan_whole", sql("SELECT instrument_id, count(*) AS n FROM fx_updates WHERE instrument_id IN (SELECT 'M' || s_suppkey FROM supplier) GROUP BY 1", "fx_updates"))
+def split_shared_scan_whole(spark, d):
+    requests = fx.table(spark, d, "supplier").select(F.concat(F.lit("M"), "s_suppkey").alias("instrument_id"))
+    return I.join_requests(fx.updates(spark, d), requests, ["instrument_id"]).groupBy("instrument_id").agg(F.count("*").alias("n"))
+
+
+@query("manifest_empty_days_whole", sql(f"{_JOBS}, {_EMPTY} SELECT channel, count(*) AS n FROM em GROUP BY 1", "fx_completed"))
+def manifest_empty_days_whole(spark, d):
+    return O.manifest_empty_days(_empty(spark, d), _jobs(spark, d)).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("manifest_parts_whole", "SELECT DISTINCT l_returnflag AS channel, 'M' || l_suppkey AS slug, l_linestatus AS segment, 'part-' || year(l_shipdate) AS part FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-06-30'")
+def manifest_parts_whole(spark, d):
+    done = fx.completed_days(spark, d).withColumn("part", F.concat(F.lit("part-"), F.year("day")))
+    requests = done.select("channel", "slug", "segment").distinct().withColumn("first_day", F.lit("1997-01-01").cast("date")).withColumn("last_day", F.lit("1998-06-30").cast("date"))
+    return O.manifest_parts(done, requests)
