@@ -5,6 +5,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 from collections.abc import Iterator
+from functools import cache
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as Parquet, which takes less room for a wide table."""
+    spark = df.sparkSession
+    df.write.parquet(path := f"{shared_folder(spark)}/table-{uuid4().hex}")
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of ids or hashes that may be broadcast: some 20 MB.
+SMALL_IDS = 500_000
+
+
+def small(df: DataFrame, rows: int = SMALL_IDS) -> DataFrame:
+    """df, a written table of a few numbers in a row, marked for a broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Shared:
     """A value that tasks read from a broadcast; sent with its classes, so executors need no copy of them."""
 
@@ -102,6 +128,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@cache
+def _ladder(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of P_BYTE and of its inverse modulo 2^64, up to 2^bits of them."""
+    return powers(P_BYTE, 1 << bits), powers(pow(P_BYTE, -1, 1 << 64), 1 << bits)
+
+
+class Rolling:
+    """Polynomial hashes of any ranges of a sequence of numbers, from its prefix sums."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _ladder(max(len(values), 1).bit_length())
+        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each range; one of no length has that of its length alone."""
+        return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each byte range, with A to Z folded or not."""
     if not len(starts):

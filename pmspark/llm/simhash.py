@@ -23,10 +23,11 @@ from itertools import combinations, groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, table
+from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, small, spans, steps, table, written
 from .components import components
 
 #: Nodes of a chunk: what a task holds as a tree at once.
@@ -196,13 +197,14 @@ def hex16(fp: Column) -> Column:
 SIMILAR, SIMILAR_WORDS, WIDE = 0.8, 5, 13
 #: Random choices of so many bits; two fingerprints that differ in 9 of 64 bits share one with a chance of 0.998, in 11 with 0.98.
 WAYS, WAY_BITS = 64, 15
-#: Of these, what the first round searches, which only saves comparisons.
+#: Of these, those whose nearest neighbours are compared first, which only saves comparisons.
 FIRST_WAYS = 8
-
-
-def shingle_set(text: str, words: int = SIMILAR_WORDS) -> set[bytes]:
-    w = text.encode().lower().split()
-    return set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False))) if len(w) >= words else {b" ".join(w)}
+#: Bits of the parities of a text's shingles.
+ODD_BITS = 512
+#: Nodes of a hot shard that a task compares with each other, or with as many others.
+WIDE_CHUNK = 8192
+#: One node in so many shows which shards are hot; this decides how they are dealt, not what is compared.
+SAMPLE = 64
 
 
 def _random_masks() -> list[int]:
@@ -211,119 +213,301 @@ def _random_masks() -> list[int]:
     return [signed(sum(1 << int(i) for i in rng.choice(64, WAY_BITS, replace=False))) for _ in range(WAYS)]
 
 
-def _odd(shingles: set[bytes]) -> np.ndarray:
-    """128 bits as two longs: which are hit by an odd number of the shingles."""
-    at = np.fromiter((xxhash.xxh64_intdigest(x, seed=5) & 127 for x in shingles), dtype=np.int64, count=len(shingles))
-    return np.packbits(np.bincount(at, minlength=128) & 1, bitorder="little").view("<i8")
-
-
 def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's bits
 
 
-def _may_be(sizes: np.ndarray, odd_0: np.ndarray, odd_1: np.ndarray, most: float) -> np.ndarray:
-    """False only where two sets cannot have the similarity: each bit in which their ``_odd`` differ takes a shingle that
+def _may_be(sizes: np.ndarray, odd: np.ndarray, most: float) -> np.ndarray:
+    """False only where two sets cannot have the similarity: each parity in which they differ (``odd``) takes a shingle that
     only one of them has, and those are at most (1 - similarity) / (1 + similarity) of both sizes together."""
-    return _ones(odd_0) + _ones(odd_1) <= most * sizes + 1e-6
-
+    return _ones(odd).sum(axis=-1) <= most * sizes + 1e-6
+
+
+def _grams(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every k words of each text, and where each text's begin; of fewer than k words their whole sequence, of none one too."""
+    counts = np.diff(begins)
+    n = np.maximum(counts - k + 1, 1)
+    at = np.append(0, np.cumsum(n))
+    starts = np.arange(at[-1]) - np.repeat(at[:-1] - begins[:-1], n)
+    return Rolling(words)(starts, starts + np.repeat(np.minimum(counts, k), n)), at
+
+
+def sketches(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, ...]:
+    """Of each text: hash of its words, fingerprint of three words, number of its distinct shingles, and their parities (ODD_BITS as longs)."""
+    ids, fps, sizes, odds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, ODD_BITS // 64), np.int64)]
+    for first, end, data, offsets in steps(texts):
+        n = end - first
+        starts, ends, begins = spans(data, offsets, NOT_SPACE)
+        w = Rolling(LOWER[data])(starts, ends)
+        ids.append(Rolling(w)(begins[:-1], begins[1:]))
+        h, at = _grams(w, begins, 3)
+        of = np.repeat(np.arange(n), np.diff(at))
+        ones = np.zeros((n, 64), dtype=np.int64)
+        for a in range(0, len(h), 1 << 17):  # a long text's bits, piece by piece
+            z = min(a + (1 << 17), len(h))
+            bits = np.unpackbits(h[a:z].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones[of[a] : of[z - 1] + 1] += np.add.reduceat(bits, np.maximum(at[of[a] : of[z - 1] + 1], a) - a, axis=0, dtype=np.int64)
+        fps.append(np.packbits(ones * 2 > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
+        h, at = _grams(w, begins, words)
+        of = np.repeat(np.arange(n), np.diff(at))
+        _, new = np.unique(h + of.astype(np.uint64) * np.uint64(P_WORD), return_index=True)
+        h, of = h[new], of[new]
+        sizes.append(np.bincount(of, minlength=n))
+        odd = np.bincount(of * ODD_BITS + (h >> np.uint64(20)).astype(np.int64) % ODD_BITS, minlength=n * ODD_BITS) & 1
+        odds.append(np.packbits(odd.astype(np.uint8).reshape(-1, ODD_BITS), axis=1, bitorder="little").view(np.int64))
+    return np.concatenate(ids).view(np.int64), np.concatenate(fps).view(np.int64), np.concatenate(sizes), np.concatenate(odds)
+
+
+def meetings(groups: np.ndarray, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i > j of every two rows of one group; ``groups`` is sorted. Rows with sides of 0 and more meet those of other sides only.
+
+    The rows of all small groups meet at once, distance by distance, those of a large one row by row; no i comes twice in a step of the former.
+    """
+    heads = np.append(np.flatnonzero(np.append(len(groups) > 0, groups[1:] != groups[:-1])), len(groups))
+    sizes = np.diff(heads)
+    last = np.repeat(heads[1:], sizes)
+    far, at = 0, np.flatnonzero(np.repeat(sizes <= 64, sizes))
+    apart = lambda i, j: (sides[i] < 0) | (sides[i] != sides[j])
+    while len(at):
+        far += 1
+        at = at[at + far < last[at]]
+        i, j = at + far, at
+        if sides is not None:
+            i, j = (x[apart(i, j)] for x in (i, j))
+        yield i, j
+    for k in np.flatnonzero(sizes > 64):
+        for i in range(heads[k] + 1, heads[k + 1]):
+            j = np.arange(heads[k], i)
+            j = j if sides is None else j[apart(i, j)]
+            yield np.full(len(j), i), j
+
+
+def _runs(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups (the first column, sorted), about ``rows`` rows or one group at once."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(h[0]) for h in held) < rows or held[-1][0][-1] == held[0][0][0]:
+            continue
+        now = [np.concatenate(c) for c in zip(*held, strict=True)]
+        edge = int(np.flatnonzero(now[0] != now[0][-1])[-1]) + 1
+        yield [c[:edge] for c in now]
+        held = [[c[edge:] for c in now]]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _arrow(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
+
+
+def _shard(way: Column, bits: Column) -> Column:
+    """A name of the shard of these bits; its low six bits are the way."""
+    return F.xxhash64(way, bits).bitwiseAND(-64).bitwiseOR(way.cast("bigint"))
+
+
+_ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
+
+
+def _neighbours(nodes: DataFrame, masks: list[int]) -> DataFrame:
+    """A written table of two kinds of rows: a, way (b is null) if node a has another within WIDE in its shard of that way; and a, b for
+    each node's nearest of these in the first ways (way is null). A hot shard is dealt in chunks here, and all its nodes have their row."""
+    def sharded(df: DataFrame) -> DataFrame:
+        shards = F.array(*(_shard(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)))
+        return df.select("id", "fp", F.explode(shards).alias("shard"))
+
+    hot = sharded(nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("shard").count().where(F.col("count") * SAMPLE > WIDE_CHUNK)
+    hot = cut(hot.select(F.col("shard").alias("_hot"), F.ceil(F.col("count") * SAMPLE / WIDE_CHUNK).alias("chunks")))
+    member, more = sharded(nodes), None
+    if not hot.isEmpty():
+        member = member.join(small(hot), F.col("shard") == F.col("_hot"), "left")
+        way = F.col("shard").bitwiseAND(63)
+        more = member.where("chunks is not null").select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), way.cast("int").alias("way"))
+        dealt = F.xxhash64("shard", F.pmod(F.xxhash64("id"), "chunks")).bitwiseAND(-64).bitwiseOR(way)
+        member = member.select("id", "fp", F.coalesce(F.when(F.col("chunks").isNotNull(), dealt), "shard").alias("shard"))
 
-def _proposed(nodes: DataFrame, masks: list[int], similar: float, every: bool) -> DataFrame:
-    """Pairs a < b of ids whose fingerprints lie within WIDE, that meet in a shard and that ``_may_be`` allows; ``nodes`` has
-    id, fp, shingles, odd_0, odd_1 and root. With ``every`` all of them whose roots differ, each once, in the first way that both share; else
-    in each group each node's nearest among those before it and what joins two of its sets so far."""
-    more = ("shingles", "odd_0", "odd_1", "root")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, ids, fps in _runs(batches):
+            near, best = np.full(len(ids), WIDE + 1), np.zeros(len(ids), np.int64)
+            met = np.zeros(len(ids), dtype=bool)
+            for i, j in meetings(shard):
+                d = _ones(fps[i] ^ fps[j])
+                good = d <= WIDE
+                i, j, d = i[good], j[good], d[good]
+                met[i] = met[j] = True
+                if len(i) > 1 and i[0] == i[-1]:
+                    i, j, d = (x[[d.argmin()]] for x in (i, j, d))
+                less = d < near[i]
+                near[i[less]], best[i[less]] = d[less], j[less]
+            way = (shard & 63).astype(np.int32)
+            met, first = np.flatnonzero(met), np.flatnonzero((near <= WIDE) & (way < FIRST_WAYS))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.nulls(len(met), pa.int64()), pa.array(way[met])], ["a", "b", "way"])
+            a, b = ids[first], ids[best[first]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(first), pa.int32())], ["a", "b", "way"])
+
+    member = member.select("shard", "id", "fp").repartition("shard").sortWithinPartitions("shard", F.xxhash64("id", "shard"))
+    found = member.mapInArrow(search, "a bigint, b bigint, way int")
+    return written(found if more is None else found.unionByName(more))
+
+
+def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], similar: float) -> DataFrame:
+    """Pairs a < b of nodes of different ``root`` that lie within WIDE and share a shard, and whose sets ``_may_be`` similar; each once.
+
+    nodes: id, fp, shingles, the parities and root; met: id, way of nodes that have others within WIDE in their shard.
+    """
     most = (1 - similar) / (1 + similar)
+    mask = F.element_at(F.array(*map(F.lit, masks)), F.col("way") + 1)
+    shard = _shard(F.col("way"), F.col("fp").bitwiseAND(mask))
+    member = met.join(nodes.select(F.col("id").alias("_id"), "fp", "root", "shingles", *_ODD), F.col("id") == F.col("_id"))
+    member = member.select(shard.alias("group"), "id", F.lit(-1).alias("side"), "way", "fp", "root", "shingles", *_ODD)
+    hot = member.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_CHUNK)
+    hot = cut(hot.select(F.col("group").alias("_group"), F.ceil(F.col("n") / WIDE_CHUNK).cast("int").alias("chunks")))
+    if not hot.isEmpty():
+        # Every two chunks of a hot shard meet in a group of their own, the rows of a chunk in that of the chunk alone.
+        placed = member.join(small(hot), F.col("group") == F.col("_group"), "left").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        warm = placed.where("chunks is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        warm = warm.withColumn("side", F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int")))
+        warm = warm.withColumn("group", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
+        member = placed.where("chunks is null").select(*member.columns).unionByName(warm.select(*member.columns))
+    bits = np.array(masks, dtype=np.int64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in (*_KEYS, "mine", "fp", "id", *more)), strict=True)
-
-        bits = np.array(masks, dtype=np.int64)
-        a, b = [], []
-        for (way, _, t, q), group in groupby(rows(), key=lambda r: r[:4]):
-            mine, fps, ids, n, odd_0, odd_1, roots = (np.array(c, dtype=np.int64) for c in list(zip(*group, strict=True))[4:])
-            sets, old = Sets(), np.flatnonzero(mine == t)
-            for i in np.flatnonzero(mine == q):
-                y = old if t != q else old[old < i]
-                far = _ones(fps[y] ^ fps[i])
-                good = (far <= WIDE) & (roots[y] != roots[i])
-                y, far = y[good], far[good]
-                y, far = (c[_may_be(n[y] + n[i], odd_0[y] ^ odd_0[i], odd_1[y] ^ odd_1[i], most)] for c in (y, far))
-                if every:
-                    y = y[((fps[y] ^ fps[i])[:, None] & bits[:way]).all(axis=1)]
-                elif len(y):
-                    best = y[far.argmin()]
-                    y = np.array([k for k in y if sets.join(i, k) or k == best])
-                a.extend(np.minimum(ids[y], ids[i]))
-                b.extend(np.maximum(ids[y], ids[i]))
-                if len(a) >= 8192:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return _dealt(_ways(nodes, masks, *more), *more).mapInArrow(search, "a bigint, b bigint")
+        for group, ids, side, way, fps, roots, n, *odd in _runs(batches):
+            heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            several = np.minimum.reduceat(roots, heads) != np.maximum.reduceat(roots, heads)
+            several = np.repeat(several, np.diff(np.append(heads, len(group))))  # rows of groups that hold several roots
+            group, ids, side, way, fps, roots, n = (c[several] for c in (group, ids, side, way, fps, roots, n))
+            odd, a, b, held = np.stack([c[several] for c in odd], axis=1), [], [], 0
+            for i, j in meetings(group, side):
+                x = fps[i] ^ fps[j]
+                good = (roots[i] != roots[j]) & (_ones(x) <= WIDE)
+                i, j, x = i[good], j[good], x[good]
+                good = _may_be(n[i] + n[j], odd[i] ^ odd[j], most)
+                i, j, x = i[good], j[good], x[good]
+                for w in range(int(way[i].max()) if len(i) else 0):  # they have met in an earlier way
+                    good = (way[i] <= w) | (x & bits[w] != 0)
+                    i, j, x = i[good], j[good], x[good]
+                a.append(np.minimum(ids[i], ids[j]))
+                b.append(np.maximum(ids[i], ids[j]))
+                held += len(i)
+                if held > 1 << 16:
+                    yield _arrow(a=np.concatenate(a), b=np.concatenate(b))
+                    a, b, held = [], [], 0
+            if held:
+                yield _arrow(a=np.concatenate(a), b=np.concatenate(b))
+
+    return member.repartition("group").sortWithinPartitions("group", "id").mapInArrow(search, "a bigint, b bigint")
+
+
+#: Pairs of one node that a task compares.
+PAIRS = 256
 
 
 def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float, words: int) -> DataFrame:
-    """Those of the pairs (a written table) whose texts have the similarity."""
+    """Those of the pairs a, b (a written table) whose texts have the similarity, by the 64-bit hashes of their shingles."""
+    most = (1 - similar) / (1 + similar)
+    node = lambda c: nodes.select(F.col("id").alias(f"_{c}"), F.col("shingles").alias(f"_n{c}"), *(F.col(o).alias(f"_{o}{c}") for o in _ODD))
+    both = pairs.join(node("a"), F.col("a") == F.col("_a")).join(node("b"), F.col("b") == F.col("_b"))
+    differ = sum((F.bit_count(F.col(f"_{o}a").bitwiseXOR(F.col(f"_{o}b"))) for o in _ODD), F.lit(0))
+    pairs = cut(both.where(differ <= most * (F.col("_na") + F.col("_nb")) + 1e-6).select("a", "b"))
     named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    reps = nodes.join(named, F.col("id") == F.col("_id")).select(F.col("first").alias("_first"), "_id")
-    texts = cut(docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("_first")).select(F.col("_id").alias("id"), "text"))
-    left, right = (texts.select(F.col("id").alias(f"_{c}"), F.coalesce("text", F.lit("")).alias(f"text_{c}")) for c in "ab")
-    both = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "text_a", "text_b")
+    reps = cut(nodes.join(named, F.col("id") == F.col("_id")).select(F.col("first").alias("_first"), F.col("id").alias("_id")))
+    chosen = docs.select("doc_id", "text").join(small(reps), F.col("doc_id") == F.col("_first")).select(F.coalesce("text", F.lit("")).alias("text"), "_id")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # rows that repeat a doc_id may hold other texts
+            texts = batch.column(0)
+            mine = np.concatenate([np.zeros(0, np.uint64), *(_text_ids(data, offsets) for _, _, data, offsets in steps(texts))]).view(np.int64)
+            yield batch.filter(pa.array(mine == batch.column(1).to_numpy()))
+
+    texts = written(chosen.mapInArrow(own, "text string, _id bigint").dropDuplicates(["_id"]))
+    degree = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PAIRS).alias("_parts"))
+    dealt = cut(pairs.join(degree, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part")))
+    firsts = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("_id")).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
+    rows = dealt.join(texts, F.col("b") == F.col("_id")).select("a", "part", "b", "text").unionByName(firsts)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
         for batch in batches:
-            good, last = [], [(None, set())] * 2
-            for *ends, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                last = [was if was[0] == end else (end, shingle_set(text.as_py(), words)) for was, end, text in zip(last, ends, (x, y), strict=True)]
-                (_, mine), (_, other) = last
-                common = len(mine & other)
-                good.append(common >= similar * (len(mine) + len(other) - common))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            a, b, own = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            good = np.zeros(batch.num_rows, dtype=bool)
+            for first, _, data, offsets in steps(batch.column(3)):
+                starts, ends, begins = spans(data, offsets, NOT_SPACE)
+                h, at = _grams(Rolling(LOWER[data])(starts, ends), begins, words)
+                for k, (x, y) in enumerate(zip(at, at[1:], strict=False), first):
+                    other = np.unique(h[x:y])
+                    if own[k]:  # the text of a itself comes first
+                        mine = other
+                    else:
+                        common = len(np.intersect1d(mine, other, assume_unique=True))
+                        good[k] = common >= similar * (len(mine) + len(other) - common)
+            yield _arrow(a=a[good], b=b[good])
+
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a bigint, b bigint")
 
-    return both.mapInArrow(compare, "a bigint, b bigint")
+
+def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    starts, ends, begins = spans(data, offsets, NOT_SPACE)
+    return Rolling(Rolling(LOWER[data])(starts, ends))(begins[:-1], begins[1:])
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
-    """doc_id and component_id of every row: texts are linked from a Jaccard similarity of ``similar`` of their word shingles on.
+    """doc_id, text_id (a hash of the text's words) and component_id of every row: texts are linked from a Jaccard similarity of
+    ``similar`` of their word shingles on. Equal texts, but for case and spacing, are one node.
 
     Candidates are fingerprints (of three words) within WIDE bits of each other that meet in one of WAYS shards, each a
-    random choice of bits. Every one of them that the sizes and parities of the shingle sets do not exclude is compared by its texts, unless links of compared texts join the two already: a first
-    round over FIRST_WAYS shards, which propose each text's nearest neighbour and what joins their sets, finds those links, so
-    that a large group of near copies costs few pairs. Equal texts, but for case and spacing, are one node.
+    random choice of bits. A first round compares each text with its nearest neighbours in the first shards and unites what is
+    similar. The second compares every candidate pair that these links do not join yet and that the sizes and
+    parities of the shingle sets do not exclude, so that nothing unverified stands for a pair, and a large group of near copies costs few.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            fps = np.fromiter(map(fingerprint, texts), dtype=np.int64, count=len(texts))
-            whole = (xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), seed=7) for t in texts)
-            ids = np.fromiter(whole, dtype=np.uint64, count=len(texts)).view(np.int64)
-            sums = np.array([(len(x), *_odd(x)) for x in (shingle_set(t or "", words) for t in texts)], dtype=np.int64).reshape(-1, 3)  # one set at a time
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (fps, ids, *sums.T))], ["doc_id", "fp", "id", "shingles", "odd_0", "odd_1"])
-
-    each = cut(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, fp bigint, id bigint, shingles bigint, odd_0 bigint, odd_1 bigint"))
-    nodes = cut(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "shingles", "odd_0", "odd_1"))))
+            ids, fps, sizes, odd = sketches(batch.column(1), words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, fps, sizes, *odd.T))], ["doc_id", "id", "fp", "shingles", *_ODD])
+
+    each = written(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, id bigint, fp bigint, shingles bigint, " + ", ".join(f"{o} bigint" for o in _ODD)))
+    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "shingles", *_ODD))))
     masks = _random_masks()
-    pairs = cut(_proposed(nodes.withColumn("root", F.col("id")), masks[:FIRST_WAYS], similar, every=False).distinct())
+    found = _neighbours(nodes, masks)
+    pairs = cut(found.where("b is not null").select("a", "b").distinct())
     near = cut(_alike(docs, nodes, pairs, similar, words))
-    rooted = lambda found: cut(nodes.join(found, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "id").alias("root")))
+    rooted = lambda links: written(nodes.join(links, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "id").alias("root")))
     member = rooted(components(near))
-    rest = cut(_proposed(member, masks, similar, every=True).join(pairs, ["a", "b"], "left_anti"))
+    rest = cut(_candidates(member, found.where("b is null").select(F.col("a").alias("id"), "way"), masks, similar).join(pairs, ["a", "b"], "left_anti"))
     member = rooted(components(near.unionByName(_alike(docs, nodes, rest, similar, words))))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut(member.join(least, "root").select(F.col("id").alias("_id"), "component_id"))
-    return each.join(classes, F.col("id") == F.col("_id")).select("doc_id", "component_id")
+    return each.join(classes, F.col("id") == F.col("_id")).select("doc_id", F.col("id").alias("text_id"), "component_id")
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The row of the smallest doc_id of every component (``doc_id, component_id``), once; rows without a doc_id stay."""
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """One row of ``docs`` of every component (``classes``: doc_id, text_id, component_id), that of its smallest doc_id; rows without a doc_id stay.
+
+    Of rows that repeat that doc_id, only the component's own text counts, and of equal ones the first by all columns' hash stays.
+    """
+    known = cut(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("own")))
+    id_, text_id, nth = free(docs, "id"), free(docs, "text_id"), free(docs, "nth")
+    gone = cut(known.where("n > 1 or own = 0").select(F.col("doc_id").alias(id_)))
+    alone = docs.join(small(gone), F.col("doc_id") == F.col(id_), "left_anti")
+    twice = cut(known.where("n > 1 and own = 1").select(F.col("doc_id").alias(id_)))
+    if twice.isEmpty():
+        return alone
+    repeated = docs.join(small(twice), F.col("doc_id") == F.col(id_), "left_semi")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [_text_ids(data, offsets) for _, _, data, offsets in steps(batch.column(batch.schema.get_field_index("text")))]
+            yield batch.append_column(text_id, pa.array(np.concatenate([np.zeros(0, np.uint64), *ids]).view(np.int64)))
+
+    own = cut(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(id_)).agg(F.min("text_id").alias("_text_id")))
+    rows = repeated.mapInArrow(named, StructType([*docs.schema.fields, StructField(text_id, LongType())]))
+    rows = rows.join(own.withColumnRenamed("_text_id", nth), (F.col("doc_id") == F.col(id_)) & (F.col(text_id) == F.col(nth)), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    return alone.unionByName(rows.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

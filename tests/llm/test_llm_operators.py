@@ -96,6 +96,11 @@ def brute_components(prints, near):
     return {k: sets.find(k) for k in keys}
 
 
+def shingle_set(text, words=5):
+    w = WORD.findall(lowered(text))
+    return {" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {" ".join(w)}
+
+
 def slow_fingerprint(text):
     w = WORD.findall(lowered(text))
     shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)
@@ -156,7 +161,7 @@ def test_pairs_inside_a_family_of_false_candidates(spark):
     texts = [" ".join(w) for w in [*family, *(vary(w, 4, f"g{k}_") for k, w in enumerate(family[:60]))]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
-    sets, prints = [simhash.shingle_set(t) for t in texts], [simhash.fingerprint(t) & ((1 << 64) - 1) for t in texts]
+    sets, prints = [shingle_set(t) for t in texts], [int(x) & ((1 << 64) - 1) for x in simhash.sketches(pa.array(texts))[1]]
     masks = simhash._random_masks()
     meets = lambda x, y: (d := prints[x] ^ prints[y]).bit_count() <= simhash.WIDE and any(d & m & ((1 << 64) - 1) == 0 for m in masks)
     alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
@@ -169,11 +174,53 @@ def test_parities_exclude_only_unlike_sets():
     rng = random.Random(6)
     for n in (1, 5, 40, 400):
         for _ in range(50):
-            x = {b"%d" % rng.randrange(2 * n) for _ in range(n)}
-            y = {k for k in x if rng.random() > 0.15} | {b"y%d" % k for k in range(rng.randrange(n // 8 + 1))} or x
-            a, b = simhash._odd(x), simhash._odd(y)
-            may = simhash._may_be(np.array([len(x) + len(y)]), a[:1] ^ b[:1], a[1:] ^ b[1:], 0.2 / 1.8)[0]
-            assert may or len(x & y) < 0.8 * len(x | y)
+            x = [f"w{rng.randrange(2 * n)}" for _ in range(n + 4)]
+            y = [w if rng.random() > 0.03 else f"y{k}" for k, w in enumerate(x)]
+            (ids, _, sizes, odd), sets = simhash.sketches(pa.array([" ".join(x), "  ".join(y).upper()])), [shingle_set(" ".join(t)) for t in (x, y)]
+            assert sizes.tolist() == [len(t) for t in sets] and (ids[0] == ids[1]) == (x == y)
+            may = simhash._may_be(sizes[:1] + sizes[1:], odd[:1] ^ odd[1:], 0.2 / 1.8)[0]
+            assert may or len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+
+
+def test_hot_shards_of_near_copies_are_dealt_in_chunks(spark, monkeypatch):
+    """The same components when nearly every shard is hot."""
+    rng = random.Random(49)
+    base = [f"t{i}" for i in range(120)]
+    vary = lambda n, tag: " ".join(f"{tag}{i}" if i in at else x for at in [set(rng.sample(range(120), n))] for i, x in enumerate(base))
+    df = spark.createDataFrame([(k, vary(1 + k % 4, f"v{k}_")) for k in range(60)], "doc_id bigint, text string").repartition(2)
+    want = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+    monkeypatch.setattr(simhash, "WIDE_CHUNK", 5)
+    monkeypatch.setattr(simhash, "SAMPLE", 1)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()} == want and len(set(want.values())) < 60
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Of rows with one doc_id, a copy of an earlier document goes, and the component's own text stays once."""
+    text = [" ".join(f"{k}{i}" for i in range(40)) for k in "ab"]
+    rows = [(1, text[0], "x"), (2, text[0], "y"), (2, text[1], "z"), (2, text[1], "z"), (None, text[0], "n"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _kept string").withColumnsRenamed({"_kept": "id"}).withColumn("text_id", F.lit(1)).withColumn("nth", F.lit(2))
+    kept = simhash.one_of_each(df, simhash.near_copies(df))
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["id"]) for r in kept.collect()) == [(0, "n"), (0, "n"), (1, "x"), (2, "z")]
+
+
+def test_sketch_fingerprints_are_near_for_near_texts():
+    rng = random.Random(7)
+    base = [f"t{rng.randrange(99)}" for _ in range(300)]
+    near = [*base[:150], "other", *base[151:]]
+    _, fps, _, _ = simhash.sketches(pa.array([" ".join(base), " ".join(near), " ".join(rng.sample(base, 300)), None, "", "one"]))
+    assert int(np.bitwise_count((fps[:1] ^ fps[1:2]).view(np.uint64))[0]) <= 6 < int(np.bitwise_count((fps[:1] ^ fps[2:3]).view(np.uint64))[0])
+    assert fps[3] == fps[4]
+
+
+def test_meetings_are_all_pairs_of_a_group():
+    rng = np.random.default_rng(1)
+    groups = np.sort(np.concatenate([rng.integers(0, 40, 150), np.full(90, 50)]))
+    got = [(int(i), int(j)) for x, y in simhash.meetings(groups) for i, j in zip(x, y, strict=True)]
+    assert sorted(got) == [(i, j) for i in range(len(groups)) for j in range(i) if groups[i] == groups[j]]
+    sides = rng.integers(-1, 2, len(groups))
+    got = [(int(i), int(j)) for x, y in simhash.meetings(groups, sides) for i, j in zip(x, y, strict=True)]
+    assert sorted(got) == [(i, j) for i in range(len(groups)) for j in range(i) if groups[i] == groups[j] and (sides[i] < 0 or sides[i] != sides[j])]
 
 
 def test_components_of_a_chain_and_a_hub(spark):
