@@ -1,11 +1,12 @@
 """Line dedup: exact and fuzzy copies of lines, by MinHash, with one line kept of each component.
 
-One pass over the texts gives each line a 64-bit hash (A to Z folded) and, from its shingles of eight
-characters, eight bands of four min-hashes: lines of Jaccard similarity 0.8 share a band with a chance of 0.985, of 0.9 with
-0.9999. Lines are dealt by band; within a task's batch equal lines are sent once, so a common line is no hot key. Keys
+One pass over the texts gives each line a 64-bit hash (A to Z folded) and a signature of its shingles of eight
+characters: seven bands of three min-hashes, so lines of Jaccard similarity 0.8 share a band with a chance of 0.993, of 0.9 with
+0.9999. A line of many words is signed by the shingles that begin a word, whose similarity is that of all shingles in the mean, one of few
+words by all its shingles, one between by both. Within a step of texts equal lines are signed once, so a common line is no hot key. Keys
 that a sample of the lines shows to be hot are dealt in chunks, of which every two meet in a task of
-their own. Buckets with the same lines are one bucket. The lines of a bucket are then compared exactly, by the
-Jaccard similarity of their shingles, and links that join two sets of a bucket are reported, at most one for each line. A
+their own. Buckets with the same lines are one bucket, and buckets with the same first line are compared in one go, by the
+exact Jaccard similarity of all shingles; pairs that links join already are left out. A
 distributed union-find makes the components; the first line, by (doc_id, line number), is kept.
 
 Marked for DataFrame functions only, this operator signs and compares lines in numpy instead; the README has the figures.
@@ -25,49 +26,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P_BYTE, P_WORD, SPACES, cut, mixed, powers, steps, table
+from .common import P_WORD, SPACES, Rolling, cut, free, mixed, small, steps, table, written
 from .components import components
 from .simhash import Sets
 
-SHINGLE, ROWS, BANDS, SIMILAR = 8, 4, 8, 0.8
+SHINGLE, ROWS, BANDS, SIMILAR = 8, 3, 7, 0.8
+#: Lines with fewer shingles at words than the first are signed by all, with as many as the second by those.
+FEW, ENOUGH = 24, 18
 #: Lines of a chunk of a hot bucket.
 CHUNK = 512
 #: One line in so many shows which keys are hot; this decides how they are dealt, not what is compared.
 SAMPLE = 64
+#: Shingles that a task keeps of the lines that it has compared last.
+KEPT_SHINGLES = 4 << 20
 _RNG = np.random.default_rng(5)
 _A = (_RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.int64).astype(np.uint32)
 
 
-def _shingle_hashes(chars: np.ndarray) -> np.ndarray:
-    """Of every SHINGLE characters in a row."""
-    n = len(chars) - SHINGLE + 1
-    h = np.zeros(max(n, 0), dtype=np.uint64)
-    for j in range(SHINGLE if n > 0 else 0):
-        h = h * np.uint64(P_WORD) + chars[j : j + n]
-    return mixed(h)
+def _folded(data: np.ndarray) -> np.ndarray:
+    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
+    return np.where((chars >= 65) & (chars <= 90), chars + 32, chars)
 
 
-def _line_hashes(chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    lens = ends - starts
-    n = int(lens.sum())
-    out = np.zeros(len(starts), dtype=np.uint64)
-    full = lens > 0
-    if n:
-        begin = (np.cumsum(lens) - lens)[full]
-        place = np.arange(n) - np.repeat(begin, lens[full])
-        terms = (chars[place + np.repeat(starts[full], lens[full])] + np.uint64(1)) * powers(P_BYTE, int(lens.max()))[place]
-        out[full] = np.add.reduceat(terms, begin)
-    return mixed(out + lens.astype(np.uint64))
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from each start on, so many of each, and where each run of them begins."""
+    at = np.cumsum(counts) - counts
+    return np.arange(int(counts.sum())) + np.repeat(starts - at, counts), at
 
 
-def _folded(data: np.ndarray) -> np.ndarray:
-    chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype="<u4")
-    return np.where((chars >= 65) & (chars <= 90), chars + 32, chars).astype(np.uint64)
+def _bands(h: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
+    h, out = (h >> np.uint64(32)).astype(np.uint32), np.empty((len(at), BANDS), dtype=np.uint64)
+    for b in range(BANDS if len(at) else 0):
+        key = np.full(len(at), salt + b, dtype=np.uint64)
+        for j in range(b * ROWS, (b + 1) * ROWS):
+            key = mixed(key * np.uint64(P_WORD) + np.minimum.reduceat(h * _A[j] + _B[j], at))
+        out[:, b] = key
+    return out
+
+
+def _signed(chars: np.ndarray, rolled: Rolling, starts: np.ndarray, ends: np.ndarray, lid: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places of lines, their bands) of the lines signed by all shingles, and of those signed by the shingles that begin a word."""
+    word = np.zeros(len(chars) + 1, dtype=bool)
+    word[1:] = chars == 32
+    word[starts] = True
+    before = np.append(0, np.cumsum(word))
+    last = np.maximum(ends - SHINGLE + 1, starts)  # after the last shingle
+    words = before[last] - before[starts]
+    whole, by_word = np.flatnonzero(words < FEW), np.flatnonzero(words >= ENOUGH)
+    places, at = _ranges(starts[whole], np.maximum(last[whole] - starts[whole], 1))
+    short = (ends - starts)[whole] < SHINGLE
+    h = rolled(places, np.minimum(places + SHINGLE, len(chars)))
+    h[at[short]] = lid[whole][short]
+    every = np.flatnonzero(word[:-1])
+    counts = words[by_word]
+    picked, from_ = _ranges(before[starts[by_word]], counts)
+    picked = every[picked]
+    return [(whole, _bands(h, at, 1)), (by_word, _bands(rolled(picked, picked + SHINGLE), from_, 101))]
 
 
 def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of (row, line number, hash, is it blank, bands) of all lines of all rows."""
+    """Runs of (row, line number, hash, is it blank, number of bands, bands of all lines) of all lines of all rows; a line that an
+    earlier one of the run equals, and a blank one, has no bands."""
     for first, end, data, offsets in steps(texts):
         begins = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]  # in code points
         chars = _folded(data)
@@ -80,56 +100,51 @@ def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         ends = np.concatenate([feeds, begins[1:]])
         ends = ends[np.lexsort((ends, np.concatenate([of, rows])))]
         number = np.arange(len(row)) - np.searchsorted(row, rows)[row]
-        lid = _line_hashes(chars, starts, ends)
+        rolled = Rolling(chars)
+        lid = rolled(starts, ends)
         dark = np.append(0, np.cumsum(~SPACES[np.minimum(chars, 255).astype(np.int64)]))
         blank = dark[starts] == dark[ends]
-        # Shingles lie within a line; a short line is one shingle, its own hash.
-        lens = ends - starts
-        count = np.maximum(lens - SHINGLE + 1, 1)
-        at = np.cumsum(count) - count
-        source = np.repeat(starts - at, count) + np.arange(int(count.sum()))
-        all_h = _shingle_hashes(chars)
-        short = np.repeat(lens < SHINGLE, count)
-        h = np.empty(len(source), dtype=np.uint32)
-        h[~short] = (all_h[source[~short]] >> np.uint64(32)).astype(np.uint32)
-        h[short] = (lid[lens < SHINGLE] >> np.uint64(32)).astype(np.uint32)
-        bands = np.empty((len(row), BANDS), dtype=np.uint64)
-        for b in range(BANDS):
-            key = np.full(len(row), b + 1, dtype=np.uint64)
-            for j in range(b * ROWS, (b + 1) * ROWS):
-                key = mixed(key * np.uint64(P_WORD) + np.minimum.reduceat(h * _A[j] + _B[j], at))
-            bands[:, b] = key
-        yield first + row, number, lid.view(np.int64), blank, bands.view(np.int64)
+        fresh = np.unique(lid, return_index=True)[1]
+        fresh = np.sort(fresh[~blank[fresh]])
+        (whole, w), (by_word, v) = _signed(chars, rolled, starts[fresh], ends[fresh], lid[fresh])
+        at, bands = np.concatenate([fresh[whole], fresh[by_word]]), np.concatenate([w, v])
+        bands = bands[np.argsort(at, kind="stable")]
+        yield first + row, number, lid.view(np.int64), blank, np.bincount(at, minlength=len(row)) * BANDS, bands.ravel().view(np.int64)
 
 
 def shingles(line: str) -> np.ndarray:
     chars = _folded(np.frombuffer(line.encode(), dtype=np.uint8))
-    if len(chars) < SHINGLE:
-        return _line_hashes(chars, np.array([0]), np.array([len(chars)]))
-    return np.unique(_shingle_hashes(chars))
+    n, rolled = max(len(chars) - SHINGLE + 1, 1), Rolling(chars)
+    at = np.arange(n)
+    return np.unique(rolled(at, np.minimum(at + SHINGLE, len(chars))))
 
 
-def similar_links(ids: list[int], sets_of: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
+def similar_links(ids: list[int], sets_of: list[np.ndarray], joined: Sets, least: float = SIMILAR) -> list[tuple[int, int]]:
     """Links between the members of a bucket that are similar, those that join two sets so far."""
-    joined, out = Sets(), []
+    roots = np.array([joined.find(i) for i in ids])
+    if (roots == roots[0]).all():
+        return []
     if len(ids) == 2:
         x, y = sets_of
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return [(ids[0], ids[1])] if both >= least * (len(x) + len(y) - both) else []
-    sizes = np.array([len(s) for s in sets_of])
+        return [(ids[0], ids[1])] if both >= least * (len(x) + len(y) - both) and joined.join(*ids) else []
+    out, sizes = [], np.array([len(s) for s in sets_of])
     values, back = np.unique(np.concatenate(sets_of), return_inverse=True)
     owner = np.repeat(np.arange(len(ids)), sizes)
     order = np.argsort(back, kind="stable")
     holders, heads = owner[order], np.searchsorted(back[order], np.arange(len(values) + 1))
     ends = np.cumsum(sizes)
-    for i in range(len(ids)):
+    for i in range(1, len(ids)):
+        if (roots[:i] == roots[i]).all():
+            continue
         mine = back[ends[i] - sizes[i] : ends[i]]
         n = heads[mine + 1] - heads[mine]
         pick = np.repeat(heads[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         both = np.bincount(holders[pick], minlength=len(ids))
         for j in np.flatnonzero(both[:i] >= least * (sizes[:i] + sizes[i] - both[:i])).tolist():
-            if joined.join(i, j):
+            if joined.join(ids[i], ids[j]):
                 out.append((ids[i], ids[j]))
+                roots = np.array([joined.find(k) for k in ids])
     return out
 
 
@@ -138,44 +153,26 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, number, lid, blank, bands in line_table(batch.column(1)):
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+            for row, number, lid, blank, n, bands in line_table(batch.column(1)):
+                flat = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(bands))
                 columns = [batch.column(0).take(pa.array(row)), pa.array(number, pa.int32()), pa.array(lid), pa.array(blank), flat]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "lid", "blank", "bands"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, lid bigint, blank boolean, bands array<bigint>"
-    return cut(docs.select("doc_id", "text").mapInArrow(read, schema))
+    return written(docs.select("doc_id", "text").mapInArrow(read, schema))
 
 
 def _buckets(lines: DataFrame) -> DataFrame:
-    """A written table: bucket, lid, for the buckets (or pairs of chunks) of two and more lines."""
-    spark = lines.sparkSession
-    some = lines.where(~F.col("blank") & (F.pmod(F.xxhash64("lid"), F.lit(SAMPLE)) == 0)).select("lid", "bands").dropDuplicates(["lid"])
-    hot = some.select(F.explode("bands").alias("key")).groupBy("key").count().where(f"count * {SAMPLE} > {CHUNK}").orderBy(F.desc("count"), "key").limit(10_000)
-    hot = {r["key"]: -(-r["count"] * SAMPLE // CHUNK) for r in hot.collect()}
-    shared = spark.sparkContext.broadcast(hot)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        hot_keys = np.array(sorted(known), dtype=np.int64)
-        for batch in batches:
-            lid, at = np.unique(batch.column(0).to_numpy(), return_index=True)  # equal lines once
-            if not len(lid):
-                continue
-            bands = batch.column(1).flatten().to_numpy().reshape(-1, BANDS)[at]
-            key, of = bands.ravel(), np.repeat(lid, BANDS)
-            part = np.zeros(len(key), dtype=np.int32)
-            warm = np.isin(key, hot_keys) if len(hot_keys) else np.zeros(len(key), bool)
-            more_k, more_p, more_l = [key[~warm]], [part[~warm]], [of[~warm]]
-            for k in np.unique(key[warm]):
-                n = known[int(k)]
-                members = of[key == k]
-                mine = (members.view(np.uint64) % np.uint64(n)).astype(np.int64)
-                for other in range(n):
-                    more_k.append(np.full(len(members), k))
-                    more_p.append((np.minimum(mine, other) * n + np.maximum(mine, other)).astype(np.int32))
-                    more_l.append(members)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (more_k, more_p, more_l)], ["key", "part", "lid"])
+    """A written table: home, bucket, lid, for the buckets (or pairs of chunks) of two and more lines; a bucket's home is its first line."""
+    keyed = lines.select("lid", F.explode("bands").alias("key"))
+    hot = keyed.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLE)) == 0).distinct().groupBy("key").count().where(f"count * {SAMPLE} > {CHUNK}")
+    hot = cut(hot.select(F.col("key").alias("_hot"), F.ceil(F.col("count") * SAMPLE / CHUNK).alias("chunks")))
+    dealt = keyed.withColumn("part", F.lit(0))
+    if not hot.isEmpty():
+        keyed = keyed.join(small(hot), F.col("key") == F.col("_hot"), "left").withColumn("mine", F.pmod("lid", F.col("chunks")))
+        other = F.when(F.col("chunks").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))
+        pair = F.least("mine", "other") * F.col("chunks") + F.greatest("mine", "other") + 1
+        dealt = keyed.withColumn("other", F.explode(other)).select("lid", "key", F.coalesce(F.when(F.col("chunks").isNotNull(), pair), F.lit(0)).cast("int").alias("part"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
@@ -183,75 +180,105 @@ def _buckets(lines: DataFrame) -> DataFrame:
         def closed(key, part, lid):
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
             fresh = new | np.append(True, lid[1:] != lid[:-1])
-            new, lid, group = new[fresh], lid[fresh], np.cumsum(new[fresh]) - 1
+            new, part, lid, group = new[fresh], part[fresh], lid[fresh], np.cumsum(new[fresh]) - 1
             n = np.bincount(group, minlength=1)
             # The bucket is named by its lines, so that equal buckets of several bands are one.
             name = np.zeros(len(n), dtype=np.uint64)
             np.add.at(name, group, mixed(lid.view(np.uint64)))
+            # Pairs of chunks have homes of their own, so that a hot bucket is not compared in one task.
+            home = mixed(lid[new].view(np.uint64) * np.uint64(P_WORD) + part[new].astype(np.uint64))
             keep = n[group] > 1
-            return pa.RecordBatch.from_arrays([pa.array(mixed(name)[group[keep]].view(np.int64)), pa.array(lid[keep])], ["bucket", "lid"])
+            return pa.RecordBatch.from_arrays([pa.array(home[group[keep]].view(np.int64)), pa.array(mixed(name)[group[keep]].view(np.int64)), pa.array(lid[keep])], ["home", "bucket", "lid"])
 
         for batch in batches:
             now = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
             if not len(now[0]):
                 continue
-            open_ = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1]) + 1 if (now[0] != now[0][-1]).any() or (now[1] != now[1][-1]).any() else 0
+            over = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))
+            open_ = int(over[-1]) + 1 if len(over) else 0
             if open_:
                 yield closed(*(x[:open_] for x in now))
             rest = [x[open_:] for x in now]
         if len(rest[0]):
             yield closed(*rest)
 
-    dealt = lines.where("not blank").select("lid", "bands").mapInArrow(deal, "key bigint, part int, lid bigint")
-    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "lid")
-    return cut(dealt.mapInArrow(gather, "bucket bigint, lid bigint").dropDuplicates(["bucket", "lid"]))
+    dealt = dealt.select("key", "part", "lid").repartition("key", "part").sortWithinPartitions("key", "part", "lid")
+    out = cut(dealt.mapInArrow(gather, "home bigint, bucket bigint, lid bigint").distinct())
+    # A line that is the first of many buckets is no home of them all.
+    large = cut(out.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.count("*") / (2 * CHUNK)).alias("homes")).where("homes > 1"))
+    split = F.xxhash64("home", F.pmod("bucket", F.col("homes")))
+    return out.join(small(large), F.col("home") == F.col("_home"), "left").select(F.coalesce(F.when(F.col("homes").isNotNull(), split), "home").alias("home"), "bucket", "lid")
 
 
 def _links(docs: DataFrame, firsts: DataFrame, buckets: DataFrame) -> DataFrame:
     """Pairs a, b of similar lines' hashes. firsts: lid, doc_id, line_no of one line of each hash."""
-    wanted = buckets.select(F.col("lid").alias("_lid")).distinct()
-    wanted = firsts.join(wanted, F.col("lid") == F.col("_lid")).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "lid")).alias("_wanted")).withColumnRenamed("doc_id", "_id")
-    pieces = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n"))
-    pieces = pieces.select(F.explode("_wanted").alias("w"), "_lines").select(F.col("w.lid").alias("_lid"), F.get("_lines", F.col("w.line_no")).alias("line"))
-    texts = cut(pieces.where("line is not null"))
-    members = buckets.join(texts, F.col("lid") == F.col("_lid")).select("bucket", "lid", "line").repartition("bucket").sortWithinPartitions("bucket", "lid")
+    wanted = cut(buckets.select(F.col("lid").alias("_lid")).distinct())
+    wanted = firsts.join(small(wanted), F.col("lid") == F.col("_lid")).select(F.col("doc_id").alias("_id"), "line_no", "lid")
+    wanted = small(cut(wanted))
+    pieces = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
+    pieces = pieces.select("lid", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.col("line_no")).alias("line")).where("line is not null")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # rows that repeat a doc_id may hold other lines
+            mine = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in _hashes(batch.column(1)))])
+            yield batch.filter(pa.array(mine == batch.column(0).to_numpy()))
+
+    texts = written(pieces.mapInArrow(own, "lid bigint, line string")).withColumnRenamed("lid", "_lid")
+    members = buckets.join(texts, F.col("lid") == F.col("_lid")).select("home", "bucket", "lid", "line").repartition("home").sortWithinPartitions("home", "bucket", "lid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets_of, out = None, [], [], []
+        now, ids, lines_of, joined, known, held, out = (None, None), [], [], Sets(), {}, 0, []
 
         def rows():
             for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            yield None, None, None
+                yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            yield None, None, None, None
 
         def made(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for bucket, lid, line in rows():
-            if bucket != now or bucket is None:
-                if len(ids) > 1:
-                    out += similar_links(ids, sets_of)
-                now, ids, sets_of = bucket, [], []
+        for home, bucket, lid, line in rows():
+            if (home, bucket) != now or bucket is None:
+                if len(ids) > 1 and len({joined.find(i) for i in ids}) > 1:
+                    for i, text in zip(ids, lines_of, strict=True):
+                        if i not in known:
+                            known[i] = shingles(text)
+                            held += len(known[i])
+                    out += similar_links(ids, [known[i] for i in ids], joined)
+                if home != now[0] or held > KEPT_SHINGLES:
+                    known, held = {}, 0
+                if home != now[0]:
+                    joined = Sets()
+                now, ids, lines_of = (home, bucket), [], []
                 if len(out) > 8192:
                     yield made(out)
                     out = []
             if bucket is not None and lid not in ids[-1:]:
                 ids.append(lid)
-                sets_of.append(shingles(line))
+                lines_of.append(line)
         yield made(out)
 
     return members.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, end, hashes) of runs of texts, each taken as one line."""
+    for first, end, data, offsets in steps(texts):
+        begins = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
+        yield first, end, Rolling(_folded(data))(begins[:-1], begins[1:]).view(np.int64)
+
+
 def line_classes(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, kept, keeper_doc, keeper_line of every line; the keepers of blank lines are null."""
     lines = _lines(docs)
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
     firsts = cut(lines.where("not blank").groupBy("lid").agg(F.min(place).alias("first")).select("lid", "first.doc_id", "first.line_no"))
     found = cut(components(_links(docs, firsts, _buckets(lines))))
-    classed = cut(firsts.join(found, F.col("lid") == F.col("node"), "left").select("lid", "doc_id", "line_no", F.coalesce("root", "lid").alias("root")))
-    keeper = cut(classed.groupBy("root").agg(F.min(place).alias("keeper")))
-    keeper = cut(classed.join(keeper, "root").select(F.col("lid").alias("_lid"), "keeper"))
+    # Only lines that are similar to others have another keeper than their own first.
+    classed = cut(firsts.join(small(found), F.col("lid") == F.col("node")).select("lid", "root", place.alias("place")))
+    keeper = classed.groupBy(F.col("root").alias("_root")).agg(F.min("place").alias("other"))
+    keeper = cut(classed.join(keeper, F.col("root") == F.col("_root")).select(F.col("lid").alias("_node"), "other"))
+    keeper = firsts.join(small(keeper), F.col("lid") == F.col("_node"), "left").select(F.col("lid").alias("_lid"), F.coalesce("other", place).alias("keeper"))
     every = lines.select("doc_id", "line_no", F.when(~F.col("blank"), F.col("lid")).alias("lid"))
     out = every.where("lid is not null").join(keeper, F.col("lid") == F.col("_lid")).select("doc_id", "line_no", "keeper")
     out = out.unionByName(every.where("lid is null").select("doc_id", "line_no", F.lit(None).cast(keeper.schema["keeper"].dataType).alias("keeper")))
@@ -261,10 +288,11 @@ def line_classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the text of every row without the lines that are copies of earlier ones."""
-    gone = line_classes(docs).where("kept = 0").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
-    left = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    return out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
+    id_, gone = free(docs, "id"), free(docs, "gone")
+    copies = line_classes(docs).where("kept = 0").groupBy(F.col("doc_id").alias(id_)).agg(F.collect_set("line_no").alias(gone))
+    left = F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    return out.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left)).select(*docs.columns)
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
