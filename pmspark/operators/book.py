@@ -29,21 +29,26 @@ def drop_late_updates(updates: DataFrame, batch: str) -> DataFrame:
     return u.join(seen, [KEY, batch]).where("_seen is null or _key >= _seen").drop("_key", "_seen")
 
 
-def gate_on_snapshot(updates: DataFrame, gap: Column) -> DataFrame:
-    """Without the price changes before the first non-empty snapshot since the last gap (rows where ``gap`` holds)."""
+def gate_on_snapshot(updates: DataFrame, gap: Column, opened: Column | None = None) -> DataFrame:
+    """Without the price changes before the first non-empty snapshot since the last gap (rows where ``gap`` holds).
+
+    Where ``opened`` holds for an instrument, its book is known up to its first gap.
+    """
     w = Window.partitionBy(KEY).orderBy("ts_ns", "priority", "seq")
     u = updates.withColumn("priority", priority()).withColumn("_part", F.sum(gap.cast("int")).over(w))
     is_book = (F.col("priority") == 0) & (F.col("size") > 0)
     open_ = F.max(is_book.cast("int")).over(Window.partitionBy(KEY, "_part").orderBy("ts_ns", "priority", "seq").rowsBetween(Window.unboundedPreceding, 0))
-    return u.withColumn("_open", open_).where((F.col("priority") == 0) | (F.col("_open") == 1)).drop("_part", "_open", "priority")
+    known = F.lit(False) if opened is None else (F.col("_part") == 0) & F.coalesce(opened, F.lit(False))
+    return u.withColumn("_open", open_).where((F.col("priority") == 0) | (F.col("_open") == 1) | known).drop("_part", "_open", "priority")
 
 
-def updates_to_deltas(updates: DataFrame) -> DataFrame:
-    """event_index, action, side, price_cents, size, flags, sequence, ts_ns of every level change.
+def updates_to_deltas(updates: DataFrame, start_ns: int | None = None, end_ns: int | None = None, gated: bool = False) -> DataFrame:
+    """event_index, action, side, price_cents, size, flags, sequence, ts_ns of every level change from start_ns to end_ns, both included.
 
     The snapshot rows of one time are one event: CLEAR, then ADD for each bid and each ask by price, the last row of
     a price winning and empty levels left out. A price change is UPDATE, or DELETE for size 0. The last row
-    of an event carries the flag 128. Changes before the instrument's first snapshot are dropped.
+    of an event carries the flag 128. Changes before the instrument's first snapshot are dropped; a snapshot before start_ns
+    lets the changes in the window through, but is not put out itself. ``gated`` updates have been through ``gate_on_snapshot``.
     """
     u = updates.withColumn("priority", priority())
     side = F.when(F.upper("side") == "BUY", SIDE["BUY"]).otherwise(SIDE["SELL"])
@@ -59,12 +64,20 @@ def updates_to_deltas(updates: DataFrame) -> DataFrame:
     event = Window.partitionBy(KEY).orderBy("ts_ns", "priority", "seq")
     order = Window.partitionBy(KEY).orderBy("ts_ns", "priority", "seq", "side", "price_cents")
     seen = F.max((F.col("action") == ACTION["CLEAR"]).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_seen", seen).where("_seen = 1")
+    rows = (rows if gated else rows.withColumn("_seen", seen).where("_seen = 1")).where(within(start_ns, end_ns))
     rows = rows.withColumn("event_index", F.dense_rank().over(event) - 1).withColumn("sequence", F.row_number().over(order))
     last = F.coalesce(F.lead("event_index").over(order) != F.col("event_index"), F.lit(True))
     return rows.withColumn("flags", F.when(last, LAST_FLAG).otherwise(0)).select(KEY, "event_index", "action", "side", "price_cents", "size", "flags", "sequence", "ts_ns")
 
 
+def within(start_ns: int | None, end_ns: int | None) -> Column:
+    """Is ts_ns in the closed window? A missing bound leaves its side open."""
+    inside = F.lit(True)
+    for bound, holds in ((start_ns, lambda b: F.col("ts_ns") >= b), (end_ns, lambda b: F.col("ts_ns") <= b)):
+        inside = inside if bound is None else inside & holds(bound)
+    return inside
+
+
 def with_epoch(deltas: DataFrame) -> DataFrame:
     """Adds ``epoch``: the number of CLEARs so far. Each epoch's book can be rebuilt alone."""
     w = Window.partitionBy(KEY).orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
@@ -95,14 +108,42 @@ def stab(points: DataFrame, intervals: DataFrame, block: int) -> DataFrame:
     return at.join(spread, [KEY, "_block"]).where("from_seq <= sequence and sequence < to_seq").drop("_block", "from_seq", "to_seq", "epoch")
 
 
-def best_quote(deltas: DataFrame, block: int = 64) -> DataFrame:
-    """Best bid and ask with sizes after each event; null where the side is empty."""
-    events = deltas.groupBy(KEY, "event_index").agg(F.max("sequence").alias("sequence"), F.max("ts_ns").alias("ts_ns"))
-    alive = stab(events.select(KEY, "sequence"), level_intervals(deltas), block)
-    level = F.struct("price_cents", "size")
-    best = alive.groupBy(KEY, "sequence").agg(F.max(F.when(F.col("side") == SIDE["BUY"], level)).alias("b"), F.min(F.when(F.col("side") == SIDE["SELL"], level)).alias("a"))
-    return events.join(best, [KEY, "sequence"], "left").select(
-        KEY, "event_index", "ts_ns", F.col("b.price_cents").alias("bid"), F.col("b.size").alias("bid_size"), F.col("a.price_cents").alias("ask"), F.col("a.size").alias("ask_size")
+#: Levels that one number of the running books holds, a bit for each.
+WORD = 62
+
+
+def best_quote(deltas: DataFrame, prices: int = 124) -> DataFrame:
+    """Best bid and ask with sizes after each event; null where the side is empty. Prices are cents from 0 on, below ``prices``.
+
+    A delta turns its level's bit on or off, so the running sum of the bits that turn is the book of a side, and its highest
+    or lowest bit the best level, whatever the number of levels and however long they live. The sizes are the last of
+    those levels. All windows are of an instrument, so the rows are shuffled once.
+    """
+    level = Window.partitionBy(KEY, "epoch", "side", "price_cents").orderBy("sequence")
+    book = Window.partitionBy(KEY, "epoch").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    d = with_epoch(deltas)
+    is_level, on = F.col("action") != ACTION["CLEAR"], (F.col("size") > 0).cast("bigint")
+    d = d.withColumn("_turn", F.when(is_level, on - F.coalesce(F.lag(on).over(level), F.lit(0))).otherwise(0))
+    price = F.col("price_cents")
+    turned = F.col("_turn") * F.expr(f"shiftleft(1L, cast(price_cents % {WORD} as int))")
+    words = range(-(-prices // WORD))
+    for name in ("BUY", "SELL"):
+        for w in words:
+            mine = is_level & (F.col("side") == SIDE[name]) & (F.floor(price / WORD) == w)
+            d = d.withColumn(f"_{name}{w}", F.sum(F.when(mine, turned).otherwise(0)).over(book))
+    top = lambda w: F.when(F.col(f"_BUY{w}") > 0, w * WORD + F.length(F.bin(f"_BUY{w}")) - 1)
+    low = lambda w: F.when(F.col(f"_SELL{w}") > 0, w * WORD + F.length(F.bin(F.col(f"_SELL{w}").bitwiseAND(-F.col(f"_SELL{w}")))) - 1)
+    best = {"BUY": F.coalesce(*map(top, reversed(words))), "SELL": F.coalesce(*map(low, words))}
+    after = F.array(*(F.struct(F.lit(SIDE[k]).alias("side"), v.cast("bigint").alias("price_cents")) for k, v in best.items()))
+    zero = F.lit(None).cast("bigint")
+    asked = d.where(F.col("flags") == LAST_FLAG).select(KEY, "epoch", "sequence", "event_index", "ts_ns", F.inline(after))
+    asked = asked.select(KEY, "epoch", "side", "price_cents", "sequence", F.lit(1).alias("_kind"), zero.alias("size"), "event_index", "ts_ns")
+    sizes = d.where(is_level).select(KEY, "epoch", "side", "price_cents", "sequence", F.lit(0).alias("_kind"), "size", F.col("event_index"), "ts_ns")
+    last = Window.partitionBy(KEY, "epoch", "side", "price_cents").orderBy("sequence", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    out = sizes.unionByName(asked).withColumn("size", F.last("size", ignorenulls=True).over(last)).where("_kind = 1")
+    of = lambda name, c: F.max(F.when((F.col("side") == SIDE[name]) & F.col("price_cents").isNotNull(), F.col(c)))
+    return out.groupBy(KEY, "event_index").agg(
+        F.max("ts_ns").alias("ts_ns"), of("BUY", "price_cents").alias("bid"), of("BUY", "size").alias("bid_size"), of("SELL", "price_cents").alias("ask"), of("SELL", "size").alias("ask_size")
     )
 
 
@@ -125,26 +166,26 @@ def merge_streams(deltas: DataFrame, trades: DataFrame) -> DataFrame:
 # Snapshots: bids and asks are array<struct<price: string, size: string>>.
 
 
-def _level(x: Column) -> Column:
-    return F.struct(x["price"].try_cast("double").alias("p"), x["price"].alias("price"), x["size"].alias("size"))
-
-
 def snapshot_levels(levels: Column) -> Column:
     """Sorted by price, then price text; without null or empty levels; of one price text the last wins."""
     good = F.filter(levels, lambda x: (x["price"].try_cast("double").isNotNull()) & (x["size"].try_cast("double") > 0))
-    distinct = F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.greatest(F.size(good), F.lit(1))), lambda y: y["price"] == x["price"]))
-    return F.array_sort(F.transform(distinct, _level))
+    # Sorted by price and place, the last of a price stands before another price.
+    placed = F.array_sort(F.transform(good, lambda x, i: F.struct(x["price"].try_cast("double").alias("p"), x["price"].alias("price"), i.alias("i"), x["size"].alias("size"))))
+    last = F.filter(placed, lambda x, i: ~F.get(placed, i + 1)["price"].eqNullSafe(x["price"]))
+    return F.transform(last, lambda x: F.struct(x["p"].alias("p"), x["price"].alias("price"), x["size"].alias("size")))
 
 
-def snapshot_diff(snapshots: DataFrame) -> DataFrame:
-    """Level changes between consecutive snapshots: side, price, size ('0' if removed), action, flags, sequence.
+def snapshot_diff(snapshots: DataFrame, start_ns: int | None = None, end_ns: int | None = None) -> DataFrame:
+    """Level changes between consecutive snapshots from start_ns to end_ns, both included: side, price, size ('0' if removed), action, flags, sequence.
 
-    The first non-empty snapshot is CLEAR and ADDs. Bids go by rising, asks by falling price. Sizes differ as texts.
+    The first snapshot in the window that is not empty is CLEAR and ADDs; earlier ones put out nothing, and a later empty one deletes all
+    levels. Bids go by rising, asks by falling price. Sizes differ as texts.
     """
     s = snapshots.select(KEY, "ts_ns", snapshot_levels(F.col("bids")).alias("bids"), snapshot_levels(F.col("asks")).alias("asks"))
-    s = s.where((F.size("bids") > 0) | (F.size("asks") > 0))
+    s = s.where(within(start_ns, end_ns))
     w = Window.partitionBy(KEY).orderBy("ts_ns")
-    s = s.withColumn("_first", F.lag("ts_ns").over(w).isNull())
+    full = ((F.size("bids") > 0) | (F.size("asks") > 0)).cast("int")
+    s = s.withColumn("_full", F.sum(full).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_first", (F.col("_full") == 1) & (full == 1))
     names = {"bids": SIDE["BUY"], "asks": SIDE["SELL"]}
     for c in names:
         s = s.withColumn(f"_{c}", F.coalesce(F.lag(c).over(w), F.slice(F.col(c), 1, 0)))

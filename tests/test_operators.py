@@ -44,7 +44,7 @@ def test_best_quote_equals_a_sequential_book(spark):
             rows.append(("m", t, seq, kind, side, rng.randint(30, 40) if side == "BUY" else rng.randint(41, 50), rng.choice([0, 3, 7])))
     updates = frame(spark, rows, "instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents bigint, size bigint")
     deltas = B.updates_to_deltas(updates)
-    got = {r["event_index"]: (r["bid"], r["bid_size"], r["ask"], r["ask_size"]) for r in B.best_quote(deltas, block=16).collect()}
+    got = {r["event_index"]: (r["bid"], r["bid_size"], r["ask"], r["ask_size"]) for r in B.best_quote(deltas, prices=70).collect()}
     book, want = {}, {}
     for r in deltas.orderBy("sequence").collect():
         if r["action"] == 4:
