@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import blocked, running
+
 KEY = "instrument_id"
 DAY_NS = 86_400_000_000_000
 YEAR_S = 365.25 * 86_400
@@ -31,7 +33,10 @@ def drawdown_series(equity: DataFrame) -> DataFrame:
 
 
 def drawdown_of_returns(returns: DataFrame) -> DataFrame:
-    """From returns: the running product with a baseline of 1, its peak, and the loss from it in percent (0 or less)."""
+    """From returns: the running product with a baseline of 1, its peak, and the loss from it in percent (0 or less).
+
+    Returns of -1 and less, after which no product is left, have no row and do not enter it.
+    """
     value = F.exp(F.sum(F.log1p("ret")).over(_running()))
     out = returns.where("ret > -1").withColumn("value", value)
     out = out.withColumn("peak", F.greatest(F.max("value").over(_running()), F.lit(1.0)))
@@ -78,14 +83,19 @@ def rolling_sharpe(equity: DataFrame, window: int | None = None, periods: float
     n = F.count("*").over(Window.partitionBy(KEY))
     size = F.lit(window) if window else F.greatest(F.lit(20), F.least(F.lit(500), F.floor(n / 20)))
     r = r.withColumn("_size", size.cast("int")) if window else r.withColumn("_n", n).where("_n >= 60").drop("_n").withColumn("_size", size.cast("int"))
-    # Sums over the last _size rows as differences of running sums, whatever the size of each instrument.
+    if window:
+        w = _order().rowsBetween(1 - window, 0)
+        out = r.withColumn("_i", F.row_number().over(_order())).withColumn("_mean", F.avg("ret").over(w)).withColumn("_std", F.stddev_samp("ret").over(w)).where(F.col("_i") >= window)
+        return out.select(KEY, "ts_ns", "seq", (F.try_divide("_mean", "_std") * F.sqrt(F.lit(periods))).alias("sharpe"))
+    # Sums over the last _size rows as differences of running sums, of returns less their mean, so that little cancels.
     i = F.row_number().over(_order())
-    r = r.withColumn("_i", i).withColumn("_s", F.sum("ret").over(_running())).withColumn("_q", F.sum(F.col("ret") * F.col("ret")).over(_running()))
+    r = r.withColumn("_off", F.avg("ret").over(Window.partitionBy(KEY))).withColumn("_c", F.col("ret") - F.col("_off"))
+    r = r.withColumn("_i", i).withColumn("_s", F.sum("_c").over(_running())).withColumn("_q", F.sum(F.col("_c") * F.col("_c")).over(_running()))
     past = r.select(F.col(KEY).alias("_key"), (F.col("_i") + F.col("_size")).alias("_j"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
     out = r.where("_i >= _size").join(past, (F.col(KEY) == F.col("_key")) & (F.col("_i") == F.col("_j")), "left")
     s, q = F.col("_s") - F.coalesce("_s0", F.lit(0.0)), F.col("_q") - F.coalesce("_q0", F.lit(0.0))
     mean, var = s / F.col("_size"), (q - s * s / F.col("_size")) / (F.col("_size") - 1)
-    return out.select(KEY, "ts_ns", "seq", (F.try_divide(mean, F.sqrt(F.when(var > 0, var))) * F.sqrt(F.lit(periods))).alias("sharpe"))
+    return out.select(KEY, "ts_ns", "seq", (F.try_divide(mean + F.col("_off"), F.sqrt(F.when(var > 0, var))) * F.sqrt(F.lit(periods))).alias("sharpe"))
 
 
 def periods_per_year(df: DataFrame) -> DataFrame:
@@ -128,17 +138,12 @@ def joint_drawdown(equities: DataFrame, timeline: DataFrame | None = None) -> Da
 
     The sum changes where a series does, so it is a running sum of changes: no series is laid out on the whole timeline.
     """
-    from .portfolio import prefix_sum
-
     last = equities.groupBy(KEY, "ts_ns").agg(F.max_by("equity", "seq").alias("equity"))
     change = F.col("equity") - F.coalesce(F.lag("equity").over(Window.partitionBy(KEY).orderBy("ts_ns")), F.lit(0.0))
-    total = prefix_sum(last.withColumn("change", change).groupBy("ts_ns").agg(F.sum("change").alias("change")), "change")
-    # Peaks likewise in two levels: of the blocks before, and within the block.
-    b = total.withColumn("_block", F.floor(F.col("ts_ns") / (30 * DAY_NS)))
-    tops = b.groupBy("_block").agg(F.max("total").alias("_top"))
-    before = tops.select("_block", F.max("_top").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    within = F.max("total").over(Window.partitionBy("_block").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0))
-    return b.join(before, "_block").withColumn("peak", F.greatest(within, "_before")).select("ts_ns", "total", "peak", (F.col("peak") - F.col("total")).alias("drawdown"))
+    b = blocked(last.withColumn("change", change).groupBy("ts_ns").agg(F.sum("change").alias("change")))
+    total = running(b, F.sum, "change", lambda x, y: F.coalesce(x, F.lit(0.0)) + y, "total")
+    peak = running(total, F.max, "total", lambda x, y: F.greatest(x, y), "peak")
+    return peak.select("ts_ns", "total", "peak", (F.col("peak") - F.col("total")).alias("drawdown"))
 
 
 def largest_gap(records: DataFrame, limit_ns: int) -> DataFrame:
@@ -160,14 +165,21 @@ def coverage(records: DataFrame, requests: DataFrame) -> DataFrame:
     return out.withColumn("coverage", ratio).withColumn("stop", reason)
 
 
-def downsample(df: DataFrame, value: str, budget: int) -> DataFrame:
-    """First, last, least and greatest (first occurrence) rows of an instrument, and every n / budget-th row."""
+def downsample(df: DataFrame, value: str, most: int, keep: Column | None = None) -> DataFrame:
+    """At most about ``most`` rows of an instrument: first, last, least and greatest (first occurrence), those where ``keep`` holds
+    (fills, further points), and of the others every so many, fewer if the former take up the room. Up to ``most`` rows stay as they are."""
     by = Window.partitionBy(KEY)
     d = df.withColumn("_k", F.row_number().over(_order()) - 1).withColumn("_n", F.count("*").over(by))
     d = d.withColumn("_lo", F.min(F.struct(F.col(value), F.col("_k"))).over(by)["_k"]).withColumn("_hi", F.min(F.struct(-F.col(value), F.col("_k"))).over(by)["_k"])
-    stride = F.greatest(F.ceil(F.col("_n") / budget), F.lit(1))
-    keep = (F.col("_k") % stride == 0) | (F.col("_k") == F.col("_n") - 1) | (F.col("_k") == F.col("_lo")) | (F.col("_k") == F.col("_hi"))
-    return d.where(keep).drop("_k", "_n", "_lo", "_hi")
+    must = (F.col("_k") == 0) | (F.col("_k") == F.col("_n") - 1) | (F.col("_k") == F.col("_lo")) | (F.col("_k") == F.col("_hi"))
+    d = d.withColumn("_must", must if keep is None else must | F.coalesce(keep, F.lit(False))).withColumn("_m", F.count_if("_must").over(by))
+    d = d.withColumn("_stride", F.greatest(F.floor(F.col("_n") / F.greatest(most - F.col("_m"), F.lit(100))), F.lit(1)))
+    strided = F.col("_k") % F.col("_stride") == 0
+    d = d.withColumn("_strided", strided).withColumn("_chosen", F.count_if(F.col("_must") | F.col("_strided")).over(by)).withColumn("_s", F.count_if("_strided").over(by))
+    room = most - F.col("_m")
+    thinner = F.when(F.col("_chosen") <= most, 1).when(room > 0, F.greatest(F.floor(F.col("_s") / room), F.lit(1))).otherwise(F.col("_n"))
+    thinned = F.col("_strided") & ((F.col("_k") / F.col("_stride")).cast("bigint") % thinner == 0)
+    return d.where((F.col("_n") <= most) | F.col("_must") | thinned).select(*df.columns)
 
 
 def thin_evenly(df: DataFrame, n: int) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import asof, running
+from .asof import running
+from .scan import affine, prefix_sum
 
 KEY, ORDER = "instrument_id", ("ts_ns", "seq")
 
@@ -75,27 +76,24 @@ def mark() -> Column:
     return F.greatest(F.when(q >= 0, q * p).otherwise(-q * (1 - p)), F.lit(0.0))
 
 
-def positions_at(timeline: DataFrame, fills: DataFrame, prices: DataFrame) -> DataFrame:
-    """Position and price as of each point of the timeline; 0 from the instrument's last price on (see resolution_cutoff)."""
-    held = running_position(fills).select(KEY, "ts_ns", "seq", "position")
-    out = asof(timeline, held, KEY, ["position"])
-    return asof(out, prices.select(KEY, "ts_ns", "seq", "price"), KEY, ["price"]).withColumn("position", F.coalesce("position", F.lit(0)))
-
-
-def resolution_cutoff(positions: DataFrame, prices: DataFrame, fills: DataFrame) -> DataFrame:
-    """The position is 0 after the instrument's last price, or without prices after its last fill."""
-    ends = prices.groupBy(KEY).agg(F.max("ts_ns").alias("last_price")).join(fills.groupBy(KEY).agg(F.max("ts_ns").alias("last_fill")), KEY, "full_outer")
-    out = positions.join(ends, KEY, "left")
-    over = F.col("ts_ns") > F.coalesce("last_price", "last_fill")
-    return out.withColumn("cut_off", F.coalesce(over, F.lit(False))).withColumn("position", F.when(F.col("cut_off"), 0).otherwise(F.col("position"))).drop("last_price", "last_fill")
-
-
 def dense_equity(fills: DataFrame, prices: DataFrame, initial: float) -> DataFrame:
-    """Per instrument, at each time of a fill or price: cash, position, price, its mark and the equity."""
-    timeline = fills.select(KEY, "ts_ns").unionByName(prices.select(KEY, "ts_ns")).distinct()
-    cash = running_cash(fills, initial).select(KEY, "ts_ns", "seq", "cash")
-    out = positions_at(asof(timeline, cash, KEY, ["cash"]), fills, prices)
-    out = resolution_cutoff(out, prices, fills).withColumn("cash", F.coalesce(F.col("cash").cast("double"), F.lit(float(initial))))
+    """Per instrument, at each time of a fill or price: cash, position, price, its mark and the equity.
+
+    Fills and prices are one table of times, so all running values come from one shuffle and one sort. The position is 0
+    after the instrument's last price, or without prices after its last fill.
+    """
+    none = F.lit(None)
+    moves = fills.select(KEY, "ts_ns", "seq", cash_delta().cast("decimal(28,8)").alias("_cash"), signed_quantity().cast("decimal(28,8)").alias("_held"), none.cast(prices.schema["price"].dataType).alias("price"))
+    marks = prices.select(KEY, "ts_ns", "seq", none.cast("decimal(28,8)").alias("_cash"), none.cast("decimal(28,8)").alias("_held"), "price")
+    both = moves.unionByName(marks)
+    times = both.groupBy(KEY, "ts_ns").agg(F.sum("_cash").alias("_cash"), F.sum("_held").alias("_held"), F.max_by("price", F.when(F.col("price").isNotNull(), F.col("seq"))).alias("price"))
+    run, all_ = running(KEY, ["ts_ns"]), Window.partitionBy(KEY)
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.col("ts_ns"))).over(all_)
+    over = F.coalesce(F.col("ts_ns") > F.coalesce(last("price"), last("_held")), F.lit(False))
+    out = times.select(
+        KEY, "ts_ns", (F.lit(float(initial)) + F.coalesce(F.sum("_cash").over(run), F.lit(0)).cast("double")).alias("cash"),
+        F.when(over, 0).otherwise(F.coalesce(F.sum("_held").over(run), F.lit(0))).alias("position"), F.last("price", ignorenulls=True).over(run).alias("price"), over.alias("cut_off"),
+    )
     return out.withColumn("mark", mark()).withColumn("equity", F.col("cash") + F.col("mark"))
 
 
@@ -111,15 +109,6 @@ def open_position_count(fills: DataFrame) -> DataFrame:
     return prefix_sum(last.withColumn("change", change).groupBy("ts_ns").agg(F.sum("change").alias("change")), "change").select("ts_ns", F.col("total").alias("open"))
 
 
-def prefix_sum(changes: DataFrame, value: str, block_ns: int = 86_400_000_000_000 * 30) -> DataFrame:
-    """Adds ``total``, the sum of ``value`` up to each ts_ns, in two levels: blocks of time, then rows of a block."""
-    blocked = changes.withColumn("_block", F.floor(F.col("ts_ns") / block_ns))
-    sums = blocked.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = sums.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    within = F.sum(value).over(Window.partitionBy("_block").orderBy("ts_ns").rowsBetween(Window.unboundedPreceding, 0))
-    return blocked.join(before, "_block").withColumn("total", F.col("_before") + within).drop("_block", "_before")
-
-
 def active_count(ranges: DataFrame) -> DataFrame:
     """Instruments active at each bound: ``start_ns`` and ``end_ns`` inclusive."""
     ends = ranges.select(F.col("start_ns").alias("ts_ns"), F.lit(1).alias("change")).unionByName(ranges.select((F.col("end_ns") + 1).alias("ts_ns"), F.lit(-1).alias("change")))
@@ -143,34 +132,26 @@ def ledger_pnl(ledger: DataFrame, outcomes: DataFrame) -> DataFrame:
 def average_cost(fills: DataFrame) -> DataFrame:
     """Average entry cost of the open buys after every fill: sells reduce it in proportion, going flat resets it.
 
-    Path dependent within an episode from flat to flat, so each group of an instrument is folded in order; the
-    fold is an Arrow-batched function over the sorted rows, an instrument at a time.
+    The open quantity is a running sum that does not fall below 0; with it known, a buy adds to the cost and a sell
+    multiplies it, so the cost is a chain of affine maps.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_ns", "seq"])
-        quantity = cost = 0.0
-        out = []
-        for action, q, p in zip(rows["action"], rows["quantity"], rows["price"], strict=True):
-            if action == "buy":
-                quantity, cost = quantity + q, cost + q * p
-            elif action == "sell" and quantity > 0:
-                left = max(quantity - q, 0.0)
-                quantity, cost = left, cost * left / quantity
-            out.append((quantity, cost / quantity if quantity > 1e-9 else None))
-        rows["open_quantity"], rows["avg_cost"] = zip(*out, strict=True) if out else ((), ())
-        return rows[["instrument_id", "ts_ns", "seq", "open_quantity", "avg_cost"]]
-
-    chosen = fills.select(KEY, "ts_ns", "seq", "action", F.col("quantity").cast("double").alias("quantity"), F.col("price").cast("double").alias("price"))
-    return chosen.groupBy(KEY).applyInPandas(fold, "instrument_id string, ts_ns bigint, seq bigint, open_quantity double, avg_cost double")
-
-
-def allocation_value(marks: DataFrame, top: int) -> DataFrame:
-    """ts_ns, name, value: instruments' marks, all but the ``top`` by peak value as OTHER."""
+    by = running(KEY, ORDER)
+    change = F.when(F.col("action") == "buy", F.col("quantity")).when(F.col("action") == "sell", -F.col("quantity")).otherwise(0)
+    q = fills.withColumn("_sum", F.sum(change).over(by)).withColumn("_low", F.min(F.least("_sum", F.lit(0))).over(by)).withColumn("_open", F.col("_sum") - F.col("_low"))
+    q = q.withColumn("_was", F.coalesce(F.lag("_open").over(Window.partitionBy(KEY).orderBy(*ORDER)), F.lit(0)))
+    kept = F.when((F.col("action") == "sell") & (F.col("_was") > 0), F.col("_open").cast("double") / F.col("_was").cast("double")).otherwise(1.0)
+    added = F.when(F.col("action") == "buy", F.col("quantity").cast("double") * F.col("price").cast("double")).otherwise(0.0)
+    slim = q.select(KEY, *ORDER, F.col("_open").cast("double").alias("open_quantity"), kept.alias("_kept"), added.alias("_added"))
+    out = affine(slim, KEY, ORDER, F.col("_kept"), F.col("_added"), "_cost")
+    return out.select(KEY, *ORDER, "open_quantity", F.when(F.col("open_quantity") > 1e-9, F.col("_cost") / F.col("open_quantity")).alias("avg_cost"))
+
+
+def allocation_value(marks: DataFrame, top: int, cash: DataFrame | None = None) -> DataFrame:
+    """ts_ns, name, value: instruments' marks, all but the ``top`` by peak value as OTHER, and CASH (ts_ns, cash), 0 at least."""
     peak = marks.groupBy(KEY).agg(F.max("mark").alias("peak")).orderBy(F.desc("peak"), KEY).limit(top).select(F.col(KEY).alias("_top"))
     named = marks.join(F.broadcast(peak), F.col(KEY) == F.col("_top"), "left").withColumn("name", F.coalesce("_top", F.lit("OTHER")))
-    return named.groupBy("ts_ns", "name").agg(F.sum("mark").alias("value"))
+    out = named.groupBy("ts_ns", "name").agg(F.sum("mark").alias("value"))
+    return out if cash is None else out.unionByName(cash.select("ts_ns", F.lit("CASH").alias("name"), F.greatest(F.col("cash").cast("double"), F.lit(0.0)).alias("value")))
 
 
 def allocation_qty(fills: DataFrame, top: int) -> DataFrame:
@@ -201,3 +182,11 @@ def settlement_overlay(series: DataFrame, settlements: DataFrame) -> DataFrame:
     both = series.select(KEY, "ts_ns", "value").unionByName(added).groupBy(KEY, "ts_ns").agg(F.max("value").alias("value"))
     out = both.join(settlements.where("settle").select(KEY, "settlement_ns", "settled_value"), KEY, "left")
     return out.select(KEY, "ts_ns", F.when(F.col("ts_ns") >= F.col("settlement_ns"), F.col("settled_value")).otherwise(F.col("value")).alias("value"))
+
+
+def joint_settlement(joint: DataFrame, settlements: DataFrame) -> DataFrame:
+    """A joint series (ts_ns, value) with the ``delta`` of every settlement (settled less marked value) from its settlement_ns on."""
+    moves = settlements.where("settle").select(F.col("settlement_ns").alias("ts_ns"), "delta", F.lit(None).cast("double").alias("value"))
+    both = joint.select("ts_ns", F.lit(0.0).alias("delta"), F.col("value").cast("double").alias("value")).unionByName(moves)
+    out = prefix_sum(both.groupBy("ts_ns").agg(F.sum("delta").alias("delta"), F.max("value").alias("value")), "delta")
+    return out.where("value is not null").select("ts_ns", (F.col("value") + F.col("total")).alias("value"))

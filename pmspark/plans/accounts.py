@@ -104,18 +104,19 @@ def active_count(spark, d):
 
 
 _DENSE = (
-    _POSITION + ", t AS (SELECT DISTINCT instrument_id, ts_ns FROM fx_fills), "
+    _POSITION + ", t AS (SELECT DISTINCT instrument_id, ts_ns FROM fx_fills UNION SELECT instrument_id, ts_ns - 43200000000000 FROM fx_fills), "
     "c AS (SELECT instrument_id, ts_ns, CAST(arg_max(cash, seq) AS DOUBLE) AS cash FROM fx_cash GROUP BY 1, 2), p AS (SELECT instrument_id, ts_ns, arg_max(position, seq) AS position FROM pos GROUP BY 1, 2), "
-    "m AS (SELECT instrument_id, ts_ns, arg_max(price, seq) AS price FROM fx_fills WHERE seq % 3 = 0 GROUP BY 1, 2), e AS (SELECT instrument_id, max(ts_ns) AS last FROM m GROUP BY 1), f AS (SELECT instrument_id, max(ts_ns) AS last_fill FROM fx_fills GROUP BY 1), "
-    "j AS (SELECT t.instrument_id, t.ts_ns, c.cash, p.position AS held, m.price FROM t ASOF LEFT JOIN c ON t.instrument_id = c.instrument_id AND t.ts_ns >= c.ts_ns ASOF LEFT JOIN p ON t.instrument_id = p.instrument_id AND t.ts_ns >= p.ts_ns ASOF LEFT JOIN m ON t.instrument_id = m.instrument_id AND t.ts_ns >= m.ts_ns), "
+    "m AS (SELECT instrument_id, ts_ns - 43200000000000 AS ts_ns, arg_max(price, seq) AS price FROM fx_fills GROUP BY 1, 2), e AS (SELECT instrument_id, max(ts_ns) AS last FROM m GROUP BY 1), f AS (SELECT instrument_id, max(ts_ns) AS last_fill FROM fx_fills GROUP BY 1), "
+    "j AS (SELECT t.instrument_id, t.ts_ns, coalesce(c.cash, 1000000) AS cash, coalesce(p.position, 0) AS held, m.price FROM t ASOF LEFT JOIN c ON t.instrument_id = c.instrument_id AND t.ts_ns >= c.ts_ns ASOF LEFT JOIN p ON t.instrument_id = p.instrument_id AND t.ts_ns >= p.ts_ns ASOF LEFT JOIN m ON t.instrument_id = m.instrument_id AND t.ts_ns >= m.ts_ns), "
     "k AS (SELECT j.*, CASE WHEN ts_ns > coalesce(last, last_fill) THEN 0 ELSE held END AS position FROM j LEFT JOIN e USING (instrument_id) LEFT JOIN f USING (instrument_id)), "
     f"dense AS (SELECT instrument_id, ts_ns, cash, CAST(position AS DOUBLE) AS position, {_MARK} AS mark FROM k) "
 )
 
 
 def _dense(spark, d):
+    """Every fill's price is the market's of half a day before, so the last fill lies after the last price."""
     f = fx.fills(spark, d)
-    return P.dense_equity(f, f.where("seq % 3 = 0").select("instrument_id", "ts_ns", "seq", "price"), 1_000_000)
+    return P.dense_equity(f, f.select("instrument_id", (F.col("ts_ns") - 43_200_000_000_000).alias("ts_ns"), "seq", "price"), 1_000_000)
 
 
 @query("dense_equity", sql(_DENSE + "SELECT instrument_id, ts_ns, cash, position, round(mark, 4) AS mark, round(cash + mark, 4) AS equity FROM dense", "fx_fills", "fx_cash"))
@@ -150,22 +151,31 @@ def cash_open_ledger(spark, d):
     return doubles(out, "bought", "sold", "cash_pnl", "settlement_pnl")
 
 
-@query("average_cost")
+_COST = (
+    "nr AS (SELECT instrument_id, seq, action, CAST(price AS DOUBLE) AS p, CAST(quantity AS DOUBLE) AS z, row_number() OVER (PARTITION BY instrument_id ORDER BY ts_ns, seq) AS n FROM fx_fills), "
+    "ac AS (SELECT instrument_id, n, seq, CASE action WHEN 'buy' THEN z ELSE 0.0 END AS q, CASE action WHEN 'buy' THEN z * p ELSE 0.0 END AS c FROM nr WHERE n = 1 "
+    "UNION ALL SELECT s.instrument_id, s.n, s.seq, CASE s.action WHEN 'buy' THEN q + z WHEN 'sell' THEN greatest(q - z, 0) ELSE q END, CASE WHEN s.action = 'buy' THEN c + z * p WHEN s.action = 'sell' AND q > 0 THEN c * greatest(q - z, 0) / q ELSE c END FROM ac JOIN nr s ON s.instrument_id = ac.instrument_id AND s.n = ac.n + 1)"
+)
+
+
+@query("average_cost", sql(_COST + " SELECT instrument_id, seq, round(q, 6) AS open_quantity, round(CASE WHEN q > 1e-9 THEN c / q END, 9) AS avg_cost FROM ac", "fx_fills").replace("WITH ", "WITH RECURSIVE ", 1))
 def average_cost(spark, d):
-    return doubles(P.average_cost(fx.fills(spark, d)), "open_quantity", "avg_cost")
+    out = P.average_cost(fx.fills(spark, d))
+    return out.select("instrument_id", "seq", F.round("open_quantity", 6).alias("open_quantity"), F.round("avg_cost", 9).alias("avg_cost"))
 
 
 @query(
     "allocation_value",
     sql(
         _DENSE + ", k2 AS (SELECT instrument_id, max(mark) AS peak FROM dense GROUP BY 1 ORDER BY peak DESC, instrument_id LIMIT 5) "
-        "SELECT ts_ns, coalesce(k2.instrument_id, 'OTHER') AS name, round(sum(mark), 2) AS value FROM dense LEFT JOIN k2 USING (instrument_id) GROUP BY 1, 2",
+        "SELECT ts_ns, coalesce(k2.instrument_id, 'OTHER') AS name, round(sum(mark), 2) AS value FROM dense LEFT JOIN k2 USING (instrument_id) GROUP BY 1, 2 UNION ALL SELECT ts_ns, 'CASH', round(greatest(sum(cash), 0), 2) FROM dense GROUP BY 1",
         "fx_fills",
         "fx_cash",
     ).replace("FROM k) , k2", "FROM k), k2"),
 )
 def allocation_value(spark, d):
-    return P.allocation_value(_dense(spark, d), 5).withColumn("value", F.round("value", 2))
+    dense = _dense(spark, d)
+    return P.allocation_value(dense, 5, dense.groupBy("ts_ns").agg(F.sum("cash").alias("cash"))).withColumn("value", F.round("value", 2))
 
 
 @query(
@@ -184,8 +194,12 @@ _RESULTS = "res AS (SELECT instrument_id, min(ts_ns) AS series_start_ns, max(ts_
 
 
 def _results(spark, d):
+    return _gate_inputs(fx.prices(spark, d))
+
+
+def _gate_inputs(series):
     n = F.count("*")
-    return fx.prices(spark, d).groupBy("instrument_id").agg(
+    return series.groupBy("instrument_id").agg(
         F.min("ts_ns").alias("series_start_ns"), F.max("ts_ns").alias("series_end_ns"),
         F.when(n % 3 != 0, F.min("ts_ns") - 1).alias("close_ns"), F.when(n % 4 != 0, F.max("ts_ns") - (n % 5) * 1000).alias("observable_ns"), F.when(n % 2 != 0, F.max("ts_ns") - (n % 3) * 1000).alias("replay_end_ns"),
     )
@@ -221,3 +235,23 @@ def settlement_overlay(spark, d):
     s = P.settlement_gate(_results(spark, d)).withColumn("settlement_ns", half).withColumn("settled_value", F.lit(1.0))
     series = fx.prices(spark, d).select("instrument_id", "ts_ns", F.col("price").cast("double").alias("value"))
     return P.settlement_overlay(series, s)
+
+
+@query(
+    "settlement_joint",
+    sql(
+        _DENSE + ", " + _RESULTS.replace("res AS", "res AS", 1).replace("fx_prices", "fx_fills") + _GATED + ", jt AS (SELECT ts_ns, sum(mark) AS v FROM dense GROUP BY 1), "
+        "st AS (SELECT series_start_ns + (series_end_ns - series_start_ns) // 2 AS s_ns, CAST(series_end_ns // 1000000000 % 7 AS DOUBLE) AS delta FROM gated WHERE settle), "
+        "mv AS (SELECT ts_ns, v, 0.0 AS delta FROM jt UNION ALL SELECT s_ns, NULL, delta FROM st), sm AS (SELECT ts_ns, max(v) AS v, sum(delta) AS delta FROM mv GROUP BY 1) "
+        "SELECT ts_ns, round(value, 2) AS value FROM (SELECT ts_ns, v, v + sum(delta) OVER (ORDER BY ts_ns) AS value FROM sm) WHERE v IS NOT NULL",
+        "fx_fills",
+        "fx_cash",
+    ).replace("FROM k) , res", "FROM k), res"),
+)
+def settlement_joint(spark, d):
+    """The marks of all instruments in one series, with what each settlement adds from its time on."""
+    f = fx.fills(spark, d)
+    half = F.expr("series_start_ns + (series_end_ns - series_start_ns) div 2")
+    s = P.settlement_gate(_gate_inputs(f)).withColumn("settlement_ns", half).withColumn("delta", F.expr("cast(series_end_ns div 1000000000 % 7 as double)"))
+    joint = _dense(spark, d).groupBy("ts_ns").agg(F.sum("mark").alias("value"))
+    return P.joint_settlement(joint, s).withColumn("value", F.round("value", 2))

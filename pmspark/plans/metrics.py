@@ -145,13 +145,17 @@ def data_window(spark, d):
 @query(
     "downsample",
     sql(
-        f"k AS (SELECT *, row_number() OVER ({_O}) - 1 AS k, count(*) OVER (PARTITION BY instrument_id) AS n FROM fx_equity), e AS (SELECT instrument_id, min(k) FILTER (equity = lo) AS lo, min(k) FILTER (equity = hi) AS hi FROM k JOIN (SELECT instrument_id, min(equity) AS lo, max(equity) AS hi FROM fx_equity GROUP BY 1) USING (instrument_id) GROUP BY 1) "
-        "SELECT instrument_id, seq, equity FROM k JOIN e USING (instrument_id) WHERE k % greatest(CAST(ceil(n / 50.0) AS BIGINT), 1) = 0 OR k = n - 1 OR k = lo OR k = hi",
+        f"k AS (SELECT *, row_number() OVER ({_O}) - 1 AS k, count(*) OVER (PARTITION BY instrument_id) AS n FROM fx_equity), "
+        "ms AS (SELECT *, k = 0 OR k = n - 1 OR row_number() OVER (PARTITION BY instrument_id ORDER BY equity, k) = 1 OR row_number() OVER (PARTITION BY instrument_id ORDER BY equity DESC, k) = 1 OR seq % 50 = 0 AS must FROM k), "
+        "mc AS (SELECT *, count(*) FILTER (must) OVER (PARTITION BY instrument_id) AS mm FROM ms), st AS (SELECT *, greatest(n // greatest(150 - mm, 100), 1) AS stride FROM mc), "
+        "ch AS (SELECT *, count(*) FILTER (must OR k % stride = 0) OVER (PARTITION BY instrument_id) AS chosen, count(*) FILTER (k % stride = 0) OVER (PARTITION BY instrument_id) AS strided FROM st) "
+        "SELECT instrument_id, seq, equity FROM ch WHERE n <= 150 OR must OR (k % stride = 0 AND (k // stride) % (CASE WHEN chosen <= 150 THEN 1 WHEN mm < 150 THEN greatest(strided // (150 - mm), 1) ELSE n END) = 0)",
         "fx_equity",
     ),
 )
 def downsample(spark, d):
-    return M.downsample(fx.equity(spark, d), "equity", 50).select("instrument_id", "seq", "equity")
+    """With every fiftieth row as a point to keep."""
+    return M.downsample(fx.equity(spark, d), "equity", 150, F.col("seq") % 50 == 0).select("instrument_id", "seq", "equity")
 
 
 @query(
