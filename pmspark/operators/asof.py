@@ -64,10 +64,12 @@ def value_at(series: DataFrame, at_ns: int, key: str = "instrument_id") -> DataF
     return series.groupBy(key).agg(F.coalesce(by_then, F.min_by("value", order)).alias("value"))
 
 
-def pair_quotes(quotes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Both books of a pair after each event of either: pair_id, ts_ns, yes_bid, yes_ask, no_bid, no_ask (null until seen)."""
-    legs = quotes.join(F.broadcast(pairs), "instrument_id").withColumn("quote", F.struct("bid", "ask"))
+def pair_quotes(quotes: DataFrame, pairs: DataFrame, carry: tuple[str, ...] = ("bid", "ask")) -> DataFrame:
+    """Both books of a pair after each event of either: pair_id, ts_ns, and the ``carry`` columns of either leg as yes_bid, no_bid, ... (null until seen)."""
+    from pmspark.sources.readers import join_requests
+
+    legs = join_requests(quotes, pairs, ["instrument_id"]).withColumn("quote", F.struct(*carry))
     w = Window.partitionBy("pair_id").orderBy("ts_ns", "seq", "leg").rowsBetween(Window.unboundedPreceding, 0)
     leg = lambda name: F.last(F.when(F.col("leg") == name, F.col("quote")), ignorenulls=True).over(w)
     out = legs.withColumn("yes", leg("yes")).withColumn("no", leg("no"))
-    return out.select("pair_id", "ts_ns", "seq", "leg", F.col("yes.bid").alias("yes_bid"), F.col("yes.ask").alias("yes_ask"), F.col("no.bid").alias("no_bid"), F.col("no.ask").alias("no_ask"))
+    return out.select("pair_id", "ts_ns", "seq", "leg", *(F.col(f"{leg}.{c}").alias(f"{leg}_{c}") for leg in ("yes", "no") for c in carry))

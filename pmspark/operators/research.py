@@ -31,8 +31,18 @@ def grid(spark: SparkSession, parameters: dict[str, list]) -> DataFrame:
 
 # Discovery.
 
-#: Words that mark a market as one on a game.
-GAME_WORDS = r"\b(vs|versus|game|match|winner|beat|defeat)\b"
+#: Starts of the slugs of games, and the texts of games, of what is no game, and of sports, at the first venue.
+GAME_SLUG_PREFIXES = ("cbb-", "cwbb-", "nba-", "wnba-", "nfl-", "cfb-", "mlb-", "nhl-", "soccer-", "tennis-", "golf-", "mma-", "ufc-", "boxing-")
+GAME_TEXT = r"(?i)\bvs\.?\b|\bat\b|@"
+NON_GAME_SLUG = r"(?i)-(?:will|to|by|spread|total|ou|over|under|mvp|rookie|qualify|conference|championship|playoffs|final-season|score|goals|points|rebounds|assists)-"
+SPORT_TEXT = (
+    r"(?i)\bnba\b|\bwnba\b|\bnfl\b|\bmlb\b|\bnhl\b|\bncaa\b|\bcbb\b|\bsoccer\b|\bfootball\b|\btennis\b|\bgolf\b|\bmma\b|\bufc\b|\bboxing\b|\bfifa\b|"
+    r"\bstanley cup\b|\bnba finals\b|\bworld cup\b|\bfa cup\b|\bchampions league\b|\bmatch\b|\bgame\b|\bfight\b|\bvs\.?(?=\s)"
+)
+#: Titles of games, and tickers of what is derived from them, at the second venue; states of a settled market.
+GAME_TITLE = r"(?i)\bvs\.?(?=\s)|\bat\b"
+DERIVED_TICKER = r"(?i)SPREAD|TOTAL"
+SETTLED = ("settled", "finalized")
 
 
 def filter_markets(markets: DataFrame, min_volume: float, yes_min: float | None, yes_max: float | None, min_close, predicate: Column | Callable[[DataFrame], Column] | None = None) -> DataFrame:
@@ -56,20 +66,49 @@ def discover_markets(markets: DataFrame, n: int, **rules) -> DataFrame:
     return top_markets(filter_markets(markets, **rules), n)
 
 
-def is_game_market(slug: Column, text: Column, prefixes: list[str], excluded: str = r"\b(season|champion)\b") -> Column:
-    """By slug prefix, not excluded, and by the words of a game or a date in the slug."""
-    starts = reduce(lambda a, b: a | b, [slug.startswith(p) for p in prefixes])
-    return starts & ~F.lower(text).rlike(excluded) & (F.lower(text).rlike(GAME_WORDS) | slug.rlike(r"\d{4}-\d{2}-\d{2}"))
+def is_game_market(slug: Column, text: Column) -> Column:
+    """First venue: a slug of a game, not of something about it, whose text (question, titles) names two sides, or with a date in the slug."""
+    slug = F.lower(F.coalesce(slug, F.lit("")))
+    starts = reduce(lambda a, b: a | b, [slug.startswith(p) for p in GAME_SLUG_PREFIXES])
+    return starts & ~slug.rlike(NON_GAME_SLUG) & (F.coalesce(text, F.lit("")).rlike(GAME_TEXT) | slug.rlike(r"\d{4}-\d{2}-\d{2}"))
 
 
-def is_sports_market(close: Column, now: Column, max_hours: float, category: Column, categories: list[str]) -> Column:
-    hours = (F.unix_micros(close) - F.unix_micros(now)) / 3_600_000_000
-    return F.coalesce((hours > 0) & (hours <= max_hours) & category.isin(*categories), F.lit(False))
+def is_game_ticker(ticker: Column, title: Column) -> Column:
+    """Second venue: by the ticker, else by the title; derived markets are none."""
+    ticker = F.upper(F.coalesce(ticker, F.lit("")))
+    return ~ticker.rlike(DERIVED_TICKER) & (ticker.contains("GAME") | ticker.contains("MATCH") | F.coalesce(title, F.lit("")).rlike(GAME_TITLE))
 
 
-def is_resolved_sports_market(close: Column, now: Column, max_hours: float, category: Column, categories: list[str]) -> Column:
-    hours = (F.unix_micros(now) - F.unix_micros(close)) / 3_600_000_000
-    return F.coalesce((hours >= 0) & (hours <= max_hours) & category.isin(*categories), F.lit(False))
+def _hours(later: Column, earlier: Column) -> Column:
+    return (F.unix_micros(later) - F.unix_micros(earlier)) / 3_600_000_000
+
+
+def _is_sport(slug: Column, question: Column) -> Column:
+    slug = F.lower(F.coalesce(slug, F.lit("")))
+    starts = reduce(lambda a, b: a | b, [slug.startswith(p) for p in GAME_SLUG_PREFIXES])
+    return starts | F.concat_ws(" ", slug, F.coalesce(question, F.lit(""))).rlike(SPORT_TEXT)
+
+
+def is_sports_market(close: Column, now: Column, max_hours: float, slug: Column, question: Column) -> Column:
+    """First venue: closes within so many hours from now, and slug or question are of sports."""
+    return F.coalesce(_hours(close, now).between(0, max_hours) & _is_sport(slug, question), F.lit(False))
+
+
+def is_resolved_sports_market(close: Column, now: Column, max_days: float, slug: Column, question: Column) -> Column:
+    """First venue: closed so many days ago at most."""
+    return F.coalesce((_hours(now, close) / 24).between(0, max_days) & _is_sport(slug, question), F.lit(False))
+
+
+def is_sports_category(category: Column, close: Column, now: Column, max_hours: float, opened: Column | None = None, max_days: float | None = None) -> Column:
+    """Second venue: the category is sports, it closes within so many hours and, if asked, was open for so many days at most."""
+    good = (F.lower(category) == "sports") & _hours(close, now).between(0, max_hours)
+    return F.coalesce(good if max_days is None else good & (_hours(close, opened) / 24 <= max_days), F.lit(False))
+
+
+def is_resolved_sports_category(category: Column, status: Column, close: Column, now: Column, max_closed_days: float, opened: Column | None = None, max_days: float | None = None) -> Column:
+    """Second venue: settled, and closed so many days ago at most."""
+    good = (F.lower(category) == "sports") & F.lower(status).isin(*SETTLED) & (_hours(now, close) / 24).between(0, max_closed_days)
+    return F.coalesce(good if max_days is None else good & (_hours(close, opened) / 24 <= max_days), F.lit(False))
 
 
 def first_valid_time(*texts: Column) -> Column:
@@ -89,22 +128,30 @@ def normalize_market(catalog: DataFrame) -> DataFrame:
     return catalog.withColumn("tokens", F.transform(zipped, token)).withColumn("tick", F.coalesce("tick", F.lit(0.001))).withColumn("min_size", F.coalesce("min_size", F.lit(5.0)))
 
 
-#: Columns that reveal a market's resolution.
-RESOLUTION_COLUMNS = ("winner", "resolution", "resolved", "result", "settlement", "settled_at", "payout", "final_price", "outcome_prices", "closed_time")
+#: Columns, and fields of tokens, that reveal a market's resolution.
+RESOLUTION_COLUMNS = ("result", "settlement_value", "expiration_value", "closed", "closedTime", "uma_resolution_status", "umaResolutionStatus", "is_50_50_outcome", "resolved_by", "resolution_source")
+RESOLUTION_FIELDS = ("winner",)
+
+
+def _token_fields(markets: DataFrame) -> list[str]:
+    return [f for f in RESOLUTION_FIELDS if "tokens" in markets.columns and f in markets.schema["tokens"].dataType.elementType.names]
 
 
 def strip_resolution(markets: DataFrame) -> DataFrame:
     """Without what reveals the resolution, also in the tokens."""
     out = markets.drop(*(c for c in RESOLUTION_COLUMNS if c in markets.columns))
-    if "tokens" in out.columns and "winner" in out.schema["tokens"].dataType.elementType.names:
-        out = out.withColumn("tokens", F.transform("tokens", lambda t: t.dropFields("winner")))
+    if fields := _token_fields(markets):
+        out = out.withColumn("tokens", F.transform("tokens", lambda t: t.dropFields(*fields)))
     return out
 
 
 def extract_resolution(markets: DataFrame, key: str = "market_id") -> DataFrame:
-    """The complement: the key, what reveals the resolution, and the tokens with a flag."""
+    """The complement: the key, what reveals the resolution, and outcome and flags of the tokens with a flag."""
     kept = [c for c in RESOLUTION_COLUMNS if c in markets.columns]
-    tokens = [F.filter("tokens", lambda t: t["winner"].isNotNull()).alias("tokens")] if "tokens" in markets.columns else []
+    tokens, fields = [], _token_fields(markets)
+    if fields:
+        flagged = F.filter("tokens", lambda t: reduce(lambda a, b: a | b, [t[f].isNotNull() for f in fields]))
+        tokens = [F.transform(flagged, lambda t: F.struct(t["outcome"].alias("outcome"), *(t[f].alias(f) for f in fields))).alias("tokens")]
     return markets.select(key, *kept, *tokens)
 
 
@@ -255,31 +302,41 @@ def prune_jobs(jobs: DataFrame, completed: DataFrame, empty: DataFrame, today: s
 
 # Parameter grids.
 
+#: Trials up to so many rows may be broadcast.
+SMALL_GRID = 100_000
+
 
 def sample_grid(points: DataFrame, n: int, seed: int) -> DataFrame:
-    """At most n points, by a seeded hash of their parameters."""
-    return points.orderBy(F.xxhash64(F.lit(seed), *points.columns), *points.columns).limit(n)
+    """At most n points, by a seeded digest of their parameters as text."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in points.columns)))
+    return points.orderBy(digest, *points.columns).limit(n)
 
 
-def grid_trades(quotes: DataFrame, grid: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per trial, window and instrument: P&L, drawdown, fills and coverage of the mean-reversion signal.
+def grid_trades(quotes: DataFrame, grid: DataFrame, windows: DataFrame, signal: str = "mean_reversion") -> DataFrame:
+    """Per trial, window and instrument: P&L, drawdown, fills and coverage of a signal of ``signals.SIGNALS``.
 
-    Trials that share a window length share its mean: the mean is computed once for each length, as a column, and the
-    thresholds of trials are joined to it. ``grid`` has trial, win, entry, exit; ``windows`` name, start_ns, end_ns, holdout.
+    ``grid`` has trial, win and the signal's parameters; ``windows`` name, start_ns, end_ns, holdout. Both are as small as the
+    caller's lists: the windows become literals of one pass over the quotes, and what depends on the window length alone is
+    computed once for each length, as a column, before the trials of that length are joined to it.
     """
-    lengths = sorted(r["win"] for r in grid.select("win").distinct().collect())  # as few as the grid has values
+    from .signals import SIGNALS
+
+    s = SIGNALS[signal]
+    lengths = sorted(r["win"] for r in grid.select("win").distinct().collect())
+    named = [F.struct(F.lit(w["name"]).alias("name"), F.lit(w["start_ns"]).alias("start_ns"), F.lit(w["end_ns"]).alias("end_ns"), F.lit(w["holdout"]).alias("holdout")) for w in windows.collect()]
+    inside = F.filter(F.array(*named), lambda w: F.col("ts_ns").between(w["start_ns"], w["end_ns"]))
+    q = quotes.select("instrument_id", "ts_ns", "seq", "price", F.inline(inside))
     order = Window.partitionBy("name", "instrument_id").orderBy("ts_ns", "seq")
-    q = quotes.join(F.broadcast(windows), F.col("ts_ns").between(F.col("start_ns"), F.col("end_ns")))
-    means = []
-    for n in lengths:
-        w = order.rowsBetween(-n, -1)
-        means.append(F.struct(F.lit(n).alias("win"), F.when(F.count("*").over(w) == n, F.avg("price").over(w)).alias("mean")))
-    q = q.withColumn("_all", F.array(*means)).withColumn("_m", F.explode("_all")).drop("_all").select("*", "_m.win", "_m.mean").drop("_m").join(F.broadcast(grid), "win")
+    q = q.withColumn("was", F.lag("price").over(order))
+    per_length = [F.struct(F.lit(n).alias("win"), *(c.alias(k) for k, c in s.features(order.rowsBetween(-n, -1), n).items())) for n in lengths]
+    trials = grid.select("trial", "win", *s.parameters)
+    few = trials.limit(SMALL_GRID + 1).count() <= SMALL_GRID
+    q = q.withColumn("_all", F.array(*per_length)).select("*", F.inline("_all")).drop("_all").join(F.broadcast(trials) if few else trials, "win")
     per = Window.partitionBy("trial", "name", "instrument_id").orderBy("ts_ns", "seq")
-    mark = F.when(F.col("price") >= F.col("mean") - F.col("exit"), 0).when(F.col("price") <= F.col("mean") - F.col("entry"), 1)
+    mark = F.when(F.expr(s.exit), 0).when(F.expr(s.entry), 1)
     q = q.withColumn("position", F.coalesce(F.last(mark, ignorenulls=True).over(per.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    held, was = F.lag("position", 1, 0).over(per), F.lag("price").over(per)
-    q = q.withColumn("gain", F.coalesce(held * (F.col("price") - was), F.lit(0.0))).withColumn("fill", (F.col("position") != held).cast("int"))
+    held = F.lag("position", 1, 0).over(per)
+    q = q.withColumn("gain", F.coalesce(held * (F.col("price") - F.col("was")), F.lit(0.0))).withColumn("fill", (F.col("position") != held).cast("int"))
     q = q.withColumn("equity", F.sum("gain").over(per.rowsBetween(Window.unboundedPreceding, 0)))
     q = q.withColumn("peak", F.greatest(F.max("equity").over(per.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     return q.groupBy("trial", "name", "holdout", "instrument_id").agg(

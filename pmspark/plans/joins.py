@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from pmspark.operators import asof as A
 from pmspark.operators import portfolio as P
+from pmspark.operators import signals as G
 from pmspark.operators import trades as T
 from pmspark.registry import query
+from pmspark.sources.readers import join_requests
 
 from . import fixtures as fx
 from .fixtures import sql
@@ -23,10 +25,13 @@ def _points(spark, d):
 _POINTS = "pts AS (SELECT DISTINCT instrument_id, ts_ns // 3600000000000 * 3600000000000 + 1800000000000 AS ts_ns FROM fx_prices)"
 
 
-@query("join_request_keys", sql("SELECT instrument_id, count(*) AS n FROM fx_prices WHERE instrument_id IN (SELECT 'U' || c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1", "fx_prices"))
+@query("join_request_keys", sql("SELECT instrument_id, count(*) AS n FROM fx_prices JOIN customer ON instrument_id = 'U' || c_custkey WHERE ts_ns >= 1704067200000000000 + c_custkey % 40 * 3600000000000 GROUP BY 1", "fx_prices"))
 def join_request_keys(spark, d):
-    requests = fx.table(spark, d, "customer").where("c_nationkey < 5").select(F.concat(F.lit("U"), "c_custkey").alias("instrument_id"))
-    return fx.prices(spark, d).join(requests, "instrument_id").groupBy("instrument_id").agg(F.count("*").alias("n"))
+    """Every customer's request, with a start of its own."""
+    k = F.col("c_custkey")
+    requests = fx.table(spark, d, "customer").select(F.concat(F.lit("U"), k).alias("instrument_id"), (F.lit(1_704_067_200_000_000_000) + k % 40 * 3_600_000_000_000).alias("start_ns"))
+    rows = join_requests(fx.prices(spark, d), requests, ["instrument_id"]).where("ts_ns >= start_ns")
+    return rows.groupBy("instrument_id").agg(F.count("*").alias("n"))
 
 
 @query("join_price_asof", sql(_POINTS + ", e AS (SELECT instrument_id, max(ts_ns) AS last FROM fx_prices GROUP BY 1), j AS (SELECT pts.instrument_id, pts.ts_ns, p.price FROM pts ASOF LEFT JOIN fx_prices p ON pts.instrument_id = p.instrument_id AND pts.ts_ns >= p.ts_ns) SELECT j.instrument_id, ts_ns, CAST(CASE WHEN ts_ns <= last THEN price END AS DOUBLE) AS price FROM j JOIN e USING (instrument_id)", "fx_prices"))
@@ -68,13 +73,19 @@ def join_value_at_or_before(spark, d):
 
 @query(
     "join_brier_inputs",
-    sql("u AS (SELECT instrument_id, ts_ns, price AS user_prob FROM fx_prices WHERE seq % 2 = 0), m AS (SELECT instrument_id, ts_ns, 1 - price AS market_prob FROM fx_prices WHERE seq % 3 = 0) SELECT instrument_id, ts_ns, CAST(user_prob AS DOUBLE) AS user_prob, CAST(market_prob AS DOUBLE) AS market_prob FROM u JOIN m USING (instrument_id, ts_ns)", "fx_prices"),
+    sql(
+        "u AS (SELECT instrument_id, ts_ns, avg(price) AS user_prob FROM fx_prices GROUP BY 1, 2), m AS (SELECT instrument_id, ts_ns + 60000000000 AS ts_ns, arg_max(price, seq) AS market_prob FROM fx_prices GROUP BY 1, 2), y AS (SELECT DISTINCT 'U' || c_custkey AS instrument_id, c_custkey % 2 AS outcome FROM customer) "
+        "SELECT u.instrument_id, u.ts_ns, round(CAST(user_prob AS DOUBLE), 6) AS user_prob, CAST(market_prob AS DOUBLE) AS market_prob, outcome FROM u ASOF JOIN m ON u.instrument_id = m.instrument_id AND u.ts_ns >= m.ts_ns JOIN y ON y.instrument_id = u.instrument_id",
+        "fx_prices",
+    ),
 )
 def join_brier_inputs(spark, d):
-    p = fx.prices(spark, d)
-    user = p.where("seq % 2 = 0").select("instrument_id", "ts_ns", F.col("price").cast("double").alias("user_prob"))
-    market = p.where("seq % 3 = 0").select("instrument_id", "ts_ns", (1 - F.col("price")).cast("double").alias("market_prob"))
-    return user.join(market, ["instrument_id", "ts_ns"])
+    """Estimates at their own times, the market's price of a minute before or earlier, and the outcome."""
+    p, k = fx.prices(spark, d).withColumn("price", F.col("price").cast("double")), F.col("c_custkey")
+    user = p.groupBy("instrument_id", "ts_ns").agg(F.avg("price").alias("user_prob"))
+    market = p.select("instrument_id", (F.col("ts_ns") + 60_000_000_000).alias("ts_ns"), "seq", F.col("price").alias("market_prob"))
+    outcomes = fx.table(spark, d, "customer").select(F.concat(F.lit("U"), k).alias("instrument_id"), (k % 2).alias("outcome")).distinct()
+    return G.join_brier_inputs(user, market, outcomes).select("instrument_id", "ts_ns", F.round("user_prob", 6).alias("user_prob"), "market_prob", "outcome")
 
 
 @query("join_main_market", sql("SELECT event, slug, market_id FROM (SELECT *, row_number() OVER (PARTITION BY event, slug ORDER BY volume DESC, market_id) AS k FROM fx_markets) WHERE k = 1", "fx_markets"))
@@ -120,11 +131,12 @@ def join_pair_books(spark, d):
     return A.pair_quotes(q, pairs(q)).drop("seq")
 
 
-@query("cross_grid", "SELECT w AS win, e AS entry, n_nationkey AS window_id FROM (VALUES (10), (20), (40)) a(w), (VALUES (0.01), (0.02)) b(e), nation")
+@query("cross_grid", "SELECT w AS win, e AS entry, 'C' || c_custkey AS window_id FROM (VALUES (10), (20), (40)) a(w), (VALUES (0.01), (0.02)) b(e), customer")
 def cross_grid(spark, d):
+    """Every point of a grid, which is as small as its lists, for the window of every customer."""
     from pmspark.operators.research import grid
 
-    windows = fx.table(spark, d, "nation").select(F.col("n_nationkey").alias("window_id"))
+    windows = fx.table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("window_id"))
     return windows.crossJoin(F.broadcast(grid(spark, {"win": [10, 20, 40, 10], "entry": [0.01, 0.02]}))).select("win", "entry", "window_id")
 
 
@@ -135,19 +147,23 @@ def union_timeline(spark, d):
 
 @query(
     "union_price_sources",
-    sql("u AS (SELECT instrument_id, ts_ns, price, 0 AS source, seq FROM fx_prices UNION ALL SELECT instrument_id, ts_ns // 86400000000000 * 86400000000000, price, 1, seq FROM fx_prices WHERE seq % 2 = 0) SELECT instrument_id, ts_ns, CAST(arg_max(price, source * 1000000000 + seq) AS DOUBLE) AS price FROM u GROUP BY 1, 2", "fx_prices"),
+    sql("u AS (SELECT instrument_id, ts_ns, price, 0 AS source, seq FROM fx_prices UNION ALL SELECT instrument_id, ts_ns // 86400000000000 * 86400000000000, 1 - price, 1, seq FROM fx_prices) SELECT instrument_id, ts_ns, CAST(arg_max(price, source * 1000000000 + seq) AS DOUBLE) AS price FROM u GROUP BY 1, 2", "fx_prices"),
 )
 def union_price_sources(spark, d):
     p = fx.prices(spark, d)
-    day = p.where("seq % 2 = 0").withColumn("ts_ns", F.floor(F.col("ts_ns") / _DAY) * _DAY)
+    day = p.withColumn("ts_ns", F.floor(F.col("ts_ns") / _DAY) * _DAY).withColumn("price", (1 - F.col("price")).cast("decimal(4,3)"))
     both = p.withColumn("source", F.lit(0)).unionByName(day.withColumn("source", F.lit(1)))
     return T.dedup_last(both, ["instrument_id", "ts_ns"], ["source", "seq"]).select("instrument_id", "ts_ns", F.col("price").cast("double"))
 
 
-@query("intersect_times", sql("SELECT ts_ns FROM fx_prices WHERE seq % 2 = 0 INTERSECT SELECT ts_ns FROM fx_prices WHERE seq % 3 = 0 INTERSECT SELECT ts_ns FROM fx_prices WHERE seq % 5 = 0", "fx_prices"))
+_MINUTES = "SELECT epoch_us(ts) // 60000000 AS minute FROM events WHERE event_type "
+
+
+@query("intersect_times", f"{_MINUTES} = 'click' INTERSECT {_MINUTES} = 'view' INTERSECT {_MINUTES} NOT IN ('click', 'view')")
 def intersect_times(spark, d):
-    p = fx.prices(spark, d)
-    a, b, c = (p.where(f"seq % {k} = 0").select("ts_ns") for k in (2, 3, 5))
+    """Minutes in which clicks, views and other events all occur."""
+    e = fx.table(spark, d, "events").select(F.expr("unix_micros(ts) div 60000000").alias("minute"), "event_type")
+    a, b, c = (e.where(f"event_type {which}").select("minute") for which in ("= 'click'", "= 'view'", "not in ('click', 'view')"))
     return a.intersect(b).intersect(c)
 
 
@@ -166,4 +182,4 @@ def forward_fill(spark, d):
 @query("join_request_keys_whole", sql("SELECT instrument_id, count(*) AS n FROM fx_prices WHERE instrument_id IN (SELECT 'U' || c_custkey FROM customer) GROUP BY 1", "fx_prices"))
 def join_request_keys_whole(spark, d):
     requests = fx.table(spark, d, "customer").select(F.concat(F.lit("U"), "c_custkey").alias("instrument_id"))
-    return fx.prices(spark, d).join(requests, "instrument_id").groupBy("instrument_id").agg(F.count("*").alias("n"))
+    return join_requests(fx.prices(spark, d), requests, ["instrument_id"]).groupBy("instrument_id").agg(F.count("*").alias("n"))

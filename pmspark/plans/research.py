@@ -40,25 +40,57 @@ def discover_markets(spark, d):
     return R.discover_markets(fx.markets(spark, d), 10, **_RULES, min_close=t("1995-01-11"), predicate=lambda m: m["category"] != "PROMO").select("market_id", "slug", "volume")
 
 
-@query("is_game_market", "SELECT p_partkey, (starts_with(p_name, 's') OR starts_with(p_name, 'b')) AND NOT contains(lower(p_name), 'champion') AND (p_partkey % 3 = 0 OR p_partkey % 5 = 0) AS game FROM part")
-def is_game_market(spark, d):
+_GAME = (
+    "gm AS (SELECT p_partkey AS k, CASE p_partkey % 7 WHEN 0 THEN 'nba-' || p_partkey WHEN 1 THEN 'MLB-' || p_partkey || '-2024-05-01' WHEN 2 THEN 'nfl-' || p_partkey || '-total-9' WHEN 3 THEN 'fed-' || p_partkey || '-cup' WHEN 4 THEN 'ufc-' || p_partkey WHEN 5 THEN 'tennis-' || p_partkey || '-2024-05-01' END AS slug, "
+    "CASE p_partkey % 5 WHEN 0 THEN p_name || ' vs. other' WHEN 1 THEN 'A @ B' WHEN 2 THEN 'Stanley Cup ' || p_name WHEN 3 THEN 'A At B' ELSE 'latest ' || p_partkey END AS title, "
+    "CASE p_partkey % 3 WHEN 0 THEN 'kxgame-' || p_partkey WHEN 1 THEN 'KXNBATOTAL-' || p_partkey ELSE 'KX-' || p_partkey END AS ticker, CASE p_partkey % 2 WHEN 0 THEN 'Sports' ELSE 'Politics' END AS category, CASE p_partkey % 4 WHEN 0 THEN 'Settled' WHEN 1 THEN 'finalized' ELSE 'open' END AS status, "
+    "TIMESTAMP '1995-01-01' + to_days(p_size) AS closes, TIMESTAMP '1995-01-01' + to_days(p_size) - to_hours(CAST(p_partkey % 100 AS INT)) AS opened FROM part)"
+)
+
+
+def _games(spark, d):
     p, k = fx.table(spark, d, "part"), F.col("p_partkey")
-    slug = F.when(k % 5 == 0, F.concat("p_name", F.lit("-2024-05-01"))).otherwise(F.col("p_name"))
-    text = F.when(k % 3 == 0, F.concat("p_name", F.lit(" vs other"))).otherwise(F.col("p_name"))
-    return p.select("p_partkey", R.is_game_market(slug, text, ["s", "b"]).alias("game"))
+    pick = lambda n, *texts: F.element_at(F.array(*texts), (k % n + 1).cast("int"))
+    named = lambda before, after="": F.concat(F.lit(before), k.cast("string"), F.lit(after))
+    closes = F.expr("timestamp'1995-01-01' + make_interval(0,0,0,p_size)")
+    return p.select(
+        k.alias("k"),
+        pick(7, named("nba-"), named("MLB-", "-2024-05-01"), named("nfl-", "-total-9"), named("fed-", "-cup"), named("ufc-"), named("tennis-", "-2024-05-01"), F.lit(None).cast("string")).alias("slug"),
+        pick(5, F.concat("p_name", F.lit(" vs. other")), F.lit("A @ B"), F.concat(F.lit("Stanley Cup "), "p_name"), F.lit("A At B"), named("latest ")).alias("title"),
+        pick(3, named("kxgame-"), named("KXNBATOTAL-"), named("KX-")).alias("ticker"), pick(2, F.lit("Sports"), F.lit("Politics")).alias("category"), pick(4, F.lit("Settled"), F.lit("finalized"), F.lit("open"), F.lit("open")).alias("status"),
+        closes.alias("closes"), (closes - F.make_dt_interval(F.lit(0), (k % 100).cast("int"))).alias("opened"),
+    )
+
+
+_GAME_SLUG = "regexp_matches(lower(coalesce(slug, '')), '^(cbb|cwbb|nba|wnba|nfl|cfb|mlb|nhl|soccer|tennis|golf|mma|ufc|boxing)-')"
+
+
+@query("is_game_market", sql(_GAME + f" SELECT k, {_GAME_SLUG} AND NOT contains(slug, '-total-') AND (contains(title, ' vs.') OR contains(title, '@') OR contains(title, ' At ') OR contains(slug, '2024-05-01')) AS game FROM gm"))
+def is_game_market(spark, d):
+    return _games(spark, d).select("k", R.is_game_market(F.col("slug"), F.col("title")).alias("game"))
+
+
+@query("is_game_ticker", sql(_GAME + " SELECT k, NOT contains(ticker, 'TOTAL') AND (contains(ticker, 'game') OR contains(title, ' vs. ') OR contains(title, ' At ')) AS game FROM gm"))
+def is_game_ticker(spark, d):
+    return _games(spark, d).select("k", R.is_game_ticker(F.col("ticker"), F.col("title")).alias("game"))
 
 
-_SPORT = "SELECT market_id, date_diff('hour', TIMESTAMP '1995-01-20', close_time) AS h, category IN ('PROMO', 'ECONOMY') AS sport FROM fx_markets"
+_SPORT = f"({_GAME_SLUG} OR contains(title, ' vs. ') OR contains(title, 'Stanley Cup'))"
+_NOW_HOURS = "date_diff('hour', TIMESTAMP '1995-01-20', closes)"
 
 
-@query("is_sports_market", sql(f"SELECT market_id, h > 0 AND h <= 240 AND sport AS sports FROM ({_SPORT})", "fx_markets"))
+@query("is_sports_market", sql(_GAME + f" SELECT k, {_NOW_HOURS} BETWEEN 0 AND 240 AND {_SPORT} AS first_venue, {_NOW_HOURS} BETWEEN 0 AND 240 AND category = 'Sports' AND k % 100 <= 48 AS second_venue FROM gm"))
 def is_sports_market(spark, d):
-    return fx.markets(spark, d).select("market_id", R.is_sports_market(F.col("close_time"), t("1995-01-20"), 240, F.col("category"), ["PROMO", "ECONOMY"]).alias("sports"))
+    first = R.is_sports_market(F.col("closes"), t("1995-01-20"), 240, F.col("slug"), F.col("title"))
+    second = R.is_sports_category(F.col("category"), F.col("closes"), t("1995-01-20"), 240, F.col("opened"), 2)
+    return _games(spark, d).select("k", first.alias("first_venue"), second.alias("second_venue"))
 
 
-@query("is_resolved_sports_market", sql(f"SELECT market_id, -h >= 0 AND -h <= 240 AND sport AS sports FROM ({_SPORT})", "fx_markets"))
+@query("is_resolved_sports_market", sql(_GAME + f" SELECT k, -{_NOW_HOURS} BETWEEN 0 AND 240 AND {_SPORT} AS first_venue, -{_NOW_HOURS} BETWEEN 0 AND 240 AND category = 'Sports' AND k % 4 < 2 AND k % 100 <= 48 AS second_venue FROM gm"))
 def is_resolved_sports_market(spark, d):
-    return fx.markets(spark, d).select("market_id", R.is_resolved_sports_market(F.col("close_time"), t("1995-01-20"), 240, F.col("category"), ["PROMO", "ECONOMY"]).alias("sports"))
+    first = R.is_resolved_sports_market(F.col("closes"), t("1995-01-20"), 10, F.col("slug"), F.col("title"))
+    second = R.is_resolved_sports_category(F.col("category"), F.col("status"), F.col("closes"), t("1995-01-20"), 10, F.col("opened"), 2)
+    return _games(spark, d).select("k", first.alias("first_venue"), second.alias("second_venue"))
 
 
 @query("first_valid_time", sql("SELECT market_id, epoch_us(CASE WHEN market_id % 3 = 0 THEN close_time ELSE TIMESTAMP '2001-02-03 04:05:06' END) AS us FROM fx_markets", "fx_markets"))
@@ -89,26 +121,40 @@ def normalize_market(spark, d):
 
 
 def _flagged(spark, d):
+    """Markets with everything that reveals a resolution."""
     k = F.col("market_id")
     token = lambda name, won: F.struct(F.lit(name).alias("outcome"), won.alias("winner"))
     yes = F.when(k % 3 == 0, F.lit(True)).when(k % 3 == 1, F.lit(False))
-    return fx.markets(spark, d).select("market_id", "slug", F.when(k % 5 == 0, "Yes").when(k % 5 == 1, "no").alias("result"), F.when(k % 7 == 0, 100).when(k % 7 == 1, 50).alias("settlement"), F.array(token("Yes", yes), token("No", ~yes)).alias("tokens"))
+    return fx.markets(spark, d).select(
+        "market_id", "slug", F.when(k % 5 == 0, "Yes").when(k % 5 == 1, "no").alias("result"), F.when(k % 7 == 0, 100).when(k % 7 == 1, 50).alias("settlement_value"), (k % 11).alias("expiration_value"), (k % 2 == 0).alias("closed"),
+        F.col("close_time").cast("string").alias("closedTime"), F.lit("proposed").alias("uma_resolution_status"), F.lit("resolved").alias("umaResolutionStatus"), (k % 13 == 0).alias("is_50_50_outcome"), F.lit("0x1").alias("resolved_by"),
+        F.concat(F.lit("https://"), "slug").alias("resolution_source"), F.array(token("Yes", yes), token("No", ~yes)).alias("tokens"),
+    )
 
 
-@query("strip_resolution", sql("SELECT market_id, slug, 2 AS tokens, 'market_id,slug,tokens' AS kept FROM fx_markets", "fx_markets"))
+@query("strip_resolution", sql("SELECT market_id, slug, 'Yes,No' AS tokens, 'outcome' AS fields, 'market_id,slug,tokens' AS kept FROM fx_markets", "fx_markets"))
 def strip_resolution(spark, d):
     s = R.strip_resolution(_flagged(spark, d))
-    return s.select("market_id", "slug", F.size("tokens").alias("tokens"), F.lit(",".join(s.columns)).alias("kept"))
+    fields = ",".join(s.schema["tokens"].dataType.elementType.names)
+    return s.select("market_id", "slug", F.array_join(F.col("tokens.outcome"), ",").alias("tokens"), F.lit(fields).alias("fields"), F.lit(",".join(s.columns)).alias("kept"))
 
 
-@query("extract_resolution", sql("SELECT market_id, CASE market_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' END AS result, CASE WHEN market_id % 3 = 2 THEN 0 ELSE 2 END AS tokens FROM fx_markets", "fx_markets"))
+@query(
+    "extract_resolution",
+    sql(
+        "SELECT market_id, CASE market_id % 5 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' END AS result, CASE market_id % 7 WHEN 0 THEN 100 WHEN 1 THEN 50 END AS settlement_value, market_id % 11 AS expiration_value, market_id % 2 = 0 AS closed, strftime(close_time, '%Y-%m-%d %H:%M:%S') AS closedTime, "
+        "'proposed' AS uma_resolution_status, 'resolved' AS umaResolutionStatus, market_id % 13 = 0 AS is_50_50_outcome, '0x1' AS resolved_by, 'https://' || slug AS resolution_source, CASE market_id % 3 WHEN 0 THEN 'Yes:true,No:false' WHEN 1 THEN 'Yes:false,No:true' ELSE '' END AS tokens FROM fx_markets",
+        "fx_markets",
+    ),
+)
 def extract_resolution(spark, d):
-    return R.extract_resolution(_flagged(spark, d)).select("market_id", "result", F.size("tokens").alias("tokens"))
+    flag = F.array_join(F.transform("tokens", lambda t: F.concat(t["outcome"], F.lit(":"), t["winner"].cast("string"))), ",")
+    return R.extract_resolution(_flagged(spark, d)).withColumn("tokens", flag)
 
 
 @query("realized_outcome", sql("SELECT market_id, CASE WHEN market_id % 5 = 0 THEN 1.0 WHEN market_id % 5 = 1 THEN 0.0 WHEN market_id % 7 = 0 THEN 1.0 WHEN market_id % 3 = 0 THEN 1.0 WHEN market_id % 3 = 1 THEN 0.0 ELSE -1.0 END::DOUBLE AS outcome FROM fx_markets", "fx_markets"))
 def realized_outcome(spark, d):
-    return _flagged(spark, d).select("market_id", F.coalesce(R.realized_outcome(F.col("result"), F.col("settlement"), F.col("tokens")), F.lit(-1.0)).alias("outcome"))
+    return _flagged(spark, d).select("market_id", F.coalesce(R.realized_outcome(F.col("result"), F.col("settlement_value"), F.col("tokens")), F.lit(-1.0)).alias("outcome"))
 
 
 @query("extend_event_markets", sql("SELECT event, slug, market_id FROM fx_markets WHERE NOT starts_with(slug, 'red')", "fx_markets"))
@@ -286,12 +332,12 @@ def _splits(spark):
     return spark.createDataFrame(rows, "name string, start_ns bigint, end_ns bigint, holdout boolean")
 
 
-def _scored(spark, d):
+def scored(spark, d):
     return R.score_windows(R.grid_trades(px(spark, d), _grid(spark), _splits(spark)), _grid(spark), _splits(spark), 100.0, 5)
 
 
 def _board(spark, d):
-    b = R.leaderboard(_scored(spark, d))
+    b = R.leaderboard(scored(spark, d))
     return R.rank_trials(b.withColumn("train_score", F.round("train_score", 6)), 3)
 
 
@@ -303,7 +349,7 @@ def grid_search(spark, d):
 
 @query("score_window", sql(_EVALS + " SELECT trial, name, round(score, 5) + 0.0 AS score FROM sc", "fx_prices"))
 def score_window(spark, d):
-    return _scored(spark, d).select("trial", "name", (F.round("score", 5) + F.lit(0.0)).alias("score"))
+    return scored(spark, d).select("trial", "name", (F.round("score", 5) + F.lit(0.0)).alias("score"))
 
 
 _FAR = f", ('z', {_T0 + 900 * _DAY}, {_T0 + 901 * _DAY}, true))"
@@ -319,7 +365,7 @@ def invalid_trials(spark, d):
 
 @query("leaderboard_medians", sql(_EVALS + " SELECT trial, round(train_score, 5) + 0.0 AS train_score, round(train_pnl, 5) + 0.0 AS train_pnl, round(holdout_score, 5) + 0.0 AS holdout_score, round(holdout_pnl, 5) + 0.0 AS holdout_pnl FROM lb", "fx_prices"))
 def leaderboard_medians(spark, d):
-    b = R.leaderboard(_scored(spark, d))
+    b = R.leaderboard(scored(spark, d))
     return b.select("trial", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("train_score", "train_pnl", "holdout_score", "holdout_pnl")))
 
 
@@ -338,7 +384,52 @@ def final_rank(spark, d):
     return _board(spark, d).select("trial", F.col("final_rank").cast("bigint"))
 
 
-@query("sample_grid")
+@query("sample_grid", "SELECT window_id, win, entry FROM (SELECT 'C' || c_custkey AS window_id, w AS win, e AS entry FROM (VALUES (10), (20), (40)) a(w), (VALUES ('0.01'), ('0.02')) b(e), customer) ORDER BY md5('7|' || window_id || '|' || win || '|' || entry), window_id, win, entry LIMIT 200")
 def sample_grid(spark, d):
-    points = fx.table(spark, d, "nation").select("n_nationkey").crossJoin(F.broadcast(R.grid(spark, {"win": [10, 20, 40], "entry": [0.01, 0.02]})))
-    return R.sample_grid(points, 20, 7)
+    """A sample of the grid points of every customer's window; the limit is the feature."""
+    windows = fx.table(spark, d, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("window_id"))
+    return R.sample_grid(windows.crossJoin(F.broadcast(R.grid(spark, {"win": [10, 20, 40], "entry": ["0.01", "0.02"]}))), 200, 7)
+
+
+_SEARCHED = {
+    "breakout": ("(0, 8, 1.5, 0.01003, 0.9), (1, 8, 2.0, 0.02003, 0.9), (2, 15, 1.0, 0.01003, 0.8)", "win, k, buffer, cap", "price >= mean + k * std + buffer AND was < mean + k * std + buffer AND price <= cap", "price <= mean - buffer"),
+    "panic_fade": ("(0, 6, 0.10003, 0.3, 0.6003), (1, 6, 0.20003, 0.2, 0.5003), (2, 12, 0.30003, 0.4, 0.7003)", 'win, "drop", panic, rebound', 'high - price >= "drop" AND price <= panic', "price >= rebound"),
+    "threshold": ("(0, 1, 0.5003, 0.9203, 0.2003), (1, 1, 0.6003, 0.8003, 0.3003)", 'win, "level", take, stop', 'was < "level" AND price >= "level"', "price >= take OR price <= stop"),
+}
+
+
+def _search_sql(name):
+    points, columns, enter, leave = _SEARCHED[name]
+    past = "OVER (PARTITION BY name, instrument_id ORDER BY ts_ns, seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    lengths = sorted({int(p.split(",")[1]) for p in points.split("), ")})
+    mm = " UNION ALL ".join(f"SELECT *, {n} AS win, CASE WHEN count(*) {past.format(n=n)} = {n} THEN avg(price) {past.format(n=n)} END AS mean, CASE WHEN count(*) {past.format(n=n)} = {n} THEN stddev_samp(price) {past.format(n=n)} END AS std, CASE WHEN count(*) {past.format(n=n)} = {n} THEN max(price) {past.format(n=n)} END AS high FROM qw" for n in lengths)
+    return (
+        f"{_WINDOWS}, gr(trial, {columns}) AS (VALUES {points}), qw AS (SELECT p.instrument_id, p.ts_ns, p.seq, CAST(p.price AS DOUBLE) AS price, lag(CAST(p.price AS DOUBLE)) OVER (PARTITION BY name, p.instrument_id ORDER BY ts_ns, seq) AS was, ws.* FROM fx_prices p JOIN ws ON p.ts_ns BETWEEN ws.start_ns AND ws.end_ns), mm AS ({mm}), "
+        f"sg AS (SELECT *, coalesce(last_value(CASE WHEN {leave} THEN 0 WHEN {enter} THEN 1 END IGNORE NULLS) OVER ({_GROUP} ROWS UNBOUNDED PRECEDING), 0) AS position FROM mm JOIN gr USING (win)), "
+        f"gn AS (SELECT *, coalesce(lag(position, 1, 0) OVER w * (price - was), 0) AS gain, CAST(position <> lag(position, 1, 0) OVER w AS INT) AS fill FROM sg WINDOW w AS ({_GROUP})) "
+        "SELECT trial, name, instrument_id, round(sum(gain), 6) + 0.0 AS pnl, CAST(sum(fill) AS BIGINT) AS fills FROM gn GROUP BY 1, 2, 3"
+    )
+
+
+def _search(spark, d, name):
+    points, columns, *_ = _SEARCHED[name]
+    rows = [tuple(map(float, p.strip("()").split(","))) for p in points.split("), ")]
+    names = [c.strip().strip('"') for c in columns.split(",")]
+    grid = spark.createDataFrame([(int(r[0]), int(r[1]), *r[2:]) for r in rows], "trial int, win int, " + ", ".join(f"{c} double" for c in names[1:]))
+    out = R.grid_trades(px(spark, d), grid, _splits(spark), name)
+    return out.select("trial", "name", "instrument_id", (F.round("pnl", 6) + F.lit(0.0)).alias("pnl"), "fills")
+
+
+@query("grid_search_breakout", sql(_search_sql("breakout"), "fx_prices"))
+def grid_search_breakout(spark, d):
+    return _search(spark, d, "breakout")
+
+
+@query("grid_search_panic_fade", sql(_search_sql("panic_fade"), "fx_prices"))
+def grid_search_panic_fade(spark, d):
+    return _search(spark, d, "panic_fade")
+
+
+@query("grid_search_threshold", sql(_search_sql("threshold"), "fx_prices"))
+def grid_search_threshold(spark, d):
+    return _search(spark, d, "threshold")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pmspark.operators import asof as A
@@ -99,29 +100,37 @@ def sig_late_favorite_taker(spark, d):
 @query(
     "sig_microprice",
     sql(
-        "r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, ts_ns, side ORDER BY CASE side WHEN 'BUY' THEN -price_cents ELSE price_cents END) AS k FROM fx_levels), "
-        "f AS (SELECT instrument_id, ts_ns, CAST(sum(size) FILTER (side = 'BUY' AND k <= 3) AS DOUBLE) AS bd, CAST(sum(size) FILTER (side = 'SELL' AND k <= 3) AS DOUBLE) AS ad, CAST(max(price_cents) FILTER (side = 'BUY') AS DOUBLE) / 100 AS bid, CAST(min(price_cents) FILTER (side = 'SELL') AS DOUBLE) / 100 AS ask, CAST(max(size) FILTER (side = 'BUY' AND k = 1) AS DOUBLE) AS bs, CAST(max(size) FILTER (side = 'SELL' AND k = 1) AS DOUBLE) AS az FROM r GROUP BY 1, 2), "
-        "g AS (SELECT *, (ask * bs + bid * az) / (bs + az) - (ask + bid) / 2 AS edge FROM f WHERE bid IS NOT NULL AND ask IS NOT NULL) "
-        "SELECT instrument_id, ts_ns, ask - bid <= 0.1005 AND bd / (bd + ad) >= 0.5503 AND edge >= 0.00203 AND (ask + bid) / 2 <= 0.4703 AS entry, edge < -0.00001 OR bd / (bd + ad) < 0.49999 AS exit FROM g",
+        "r AS (SELECT *, row_number() OVER (PARTITION BY instrument_id, ts_ns, side ORDER BY CASE side WHEN 'BUY' THEN -price_cents ELSE price_cents END) AS k, sum(size) OVER (PARTITION BY instrument_id, ts_ns, side ORDER BY CASE side WHEN 'BUY' THEN -price_cents ELSE price_cents END) AS upto FROM fx_levels), "
+        "f AS (SELECT instrument_id, ts_ns, CAST(sum(size) FILTER (side = 'BUY' AND k <= 3) AS DOUBLE) AS bd, CAST(sum(size) FILTER (side = 'SELL' AND k <= 3) AS DOUBLE) AS ad, CAST(max(price_cents) FILTER (side = 'BUY') AS DOUBLE) / 100 AS bid, CAST(min(price_cents) FILTER (side = 'SELL') AS DOUBLE) / 100 AS ask, CAST(max(size) FILTER (side = 'BUY' AND k = 1) AS DOUBLE) AS bs, CAST(max(size) FILTER (side = 'SELL' AND k = 1) AS DOUBLE) AS az, "
+        "CASE WHEN sum(size) FILTER (side = 'SELL') >= 60 THEN CAST(sum(greatest(least(size, 60 - (upto - size)), 0) * price_cents) FILTER (side = 'SELL') AS DOUBLE) / 6000 END AS expected FROM r GROUP BY 1, 2), "
+        "g AS (SELECT *, (ask * bs + bid * az) / (bs + az) - (ask + bid) / 2 AS edge, coalesce(expected, ask) AS px FROM f WHERE bid IS NOT NULL AND ask IS NOT NULL) "
+        "SELECT instrument_id, ts_ns, ask - bid > 0 AND ask - bid <= 0.1005 AND bd / (bd + ad) >= 0.5503 AND edge >= 0.00203 AND px <= 0.4703 AND px - ask <= 0.01503 AS entry, bd / (bd + ad) <= 0.45003 OR edge <= -0.00203 AS exit FROM g",
         "fx_levels",
     ),
 )
 def sig_microprice(spark, d):
-    f = G.microprice_signal(B.with_features(fx.snapshots(spark, d), 3), 0.1005, 0.5503, 0.00203, 0.4703)
-    return f.select("instrument_id", "ts_ns", "entry", ((F.col("edge") < -0.00001) | (F.col("imbalance") < 0.49999)).alias("exit"))
+    f = B.with_features(fx.snapshots(spark, d), 3)
+    f = f.withColumn("ask", F.element_at("asks", 1)["price"].cast("double")).withColumn("expected", B.vwap_for_size(F.col("asks"), F.lit(60)))
+    return G.microprice_signal(f, 0.1005, 0.5503, 0.00203, 0.4703, 0.45003, 0.01503).select("instrument_id", "ts_ns", "entry", "exit")
+
+
+_LEG = ", ".join(f"last_value(CASE WHEN leg = '{leg}' THEN {c} END IGNORE NULLS) OVER w AS {leg[0]}{c}" for leg in ("yes", "no") for c in ("bid", "ask", "ask_size"))
 
 
 @query(
     "sig_pair_arbitrage",
     sql(
-        _PAIRS + ", w AS (SELECT pair_id, ts_ns, leg, last_value(CASE WHEN leg = 'yes' THEN bid END IGNORE NULLS) OVER w AS yb, CAST(last_value(CASE WHEN leg = 'yes' THEN ask END IGNORE NULLS) OVER w AS DOUBLE) AS ya, last_value(CASE WHEN leg = 'no' THEN bid END IGNORE NULLS) OVER w AS nb, CAST(last_value(CASE WHEN leg = 'no' THEN ask END IGNORE NULLS) OVER w AS DOUBLE) AS na FROM pr WINDOW w AS (PARTITION BY pair_id ORDER BY ts_ns, seq, leg ROWS UNBOUNDED PRECEDING)) "
-        "SELECT pair_id, ts_ns, leg, round(1 - (ya + na + 0.02 * ya * (1 - ya) + 0.02 * na * (1 - na)), 6) AS edge, 1 - (ya + na + 0.02 * ya * (1 - ya) + 0.02 * na * (1 - na)) >= 0.05003 AND ya - yb <= 0.0805 AND na - nb <= 0.0805 AS entry FROM w WHERE ya IS NOT NULL AND na IS NOT NULL",
+        _PAIRS.replace("bid, ask FROM", "CAST(bid AS DOUBLE) AS bid, CAST(ask AS DOUBLE) AS ask, ask_size FROM") + f", w AS (SELECT pair_id, ts_ns, leg, {_LEG} FROM pr WINDOW w AS (PARTITION BY pair_id ORDER BY ts_ns, seq, leg ROWS UNBOUNDED PRECEDING)), "
+        "c AS (SELECT *, yask + nask + 0.02 * yask * (1 - yask) + 0.02 * nask * (1 - nask) AS cost, least(yask_size, nask_size) AS visible FROM w WHERE yask IS NOT NULL AND nask IS NOT NULL), "
+        "e AS (SELECT *, 1 - cost >= 0.05003 AND visible >= 3 AND greatest(yask, nask) <= 0.4703 AND greatest(yask - ybid, nask - nbid) <= 0.0805 AS entry FROM c) "
+        "SELECT pair_id, ts_ns, leg, round(1 - cost, 6) AS edge, entry, round(CASE WHEN entry THEN greatest(least(30.0, visible, 20 * 0.97 / cost), 0) END, 6) AS size FROM e",
         "fx_quotes",
     ),
 )
 def sig_pair_arbitrage(spark, d):
     q = fx.quotes(spark, d)
-    return G.pair_arbitrage(A.pair_quotes(q, pairs(q)), 0.02, 0.05003, 0.0805).select("pair_id", "ts_ns", "leg", F.round("edge", 6).alias("edge"), "entry")
+    out = G.pair_arbitrage(A.pair_quotes(q, pairs(q), ("bid", "ask", "ask_size")), 0.02, 0.05003, 0.0805, 0.4703, 3, 30.0, 20.0)
+    return out.select("pair_id", "ts_ns", "leg", F.round("edge", 6).alias("edge"), "entry", F.round("size", 6).alias("size"))
 
 
 @query(
@@ -210,7 +219,65 @@ def brier_advantage(spark, d):
 
 @query("brier_total", sql(_BRIER + ", t AS (SELECT ts_ns, sum(advantage) AS a FROM adv GROUP BY 1) SELECT ts_ns, round(sum(a) OVER (ORDER BY ts_ns), 10) + 0.0 AS total FROM t", "fx_prices"))
 def brier_total(spark, d):
-    from pmspark.operators.portfolio import prefix_sum
+    from pmspark.operators.scan import prefix_sum
 
     per = G.brier_advantage(brier(spark, d)).groupBy("ts_ns").agg(F.sum("advantage").alias("a"))
     return prefix_sum(per, "a").select("ts_ns", (F.round("total", 10) + F.lit(0.0)).alias("total"))
+
+
+# Trades: entries with their exits.
+
+
+def _one_trade_sql(enter, leave, more=""):
+    return (
+        _P + f", l AS (SELECT px.*, lag(price) OVER (PARTITION BY px.instrument_id ORDER BY ts_ns, seq) AS was{', close_ns' if more else ''} FROM px{more}), e AS (SELECT instrument_id, min(seq) AS entry_seq FROM l WHERE {enter} GROUP BY 1), "
+        f"x AS (SELECT e.instrument_id, entry_seq, min(l.seq) FILTER ({leave}) AS exit_seq FROM e LEFT JOIN l ON l.instrument_id = e.instrument_id AND l.seq > entry_seq GROUP BY 1, 2) "
+        "SELECT x.instrument_id, entry_seq, exit_seq, round(o.price - i.price, 6) + 0.0 AS pnl FROM x JOIN px i ON i.instrument_id = x.instrument_id AND i.seq = entry_seq LEFT JOIN px o ON o.instrument_id = x.instrument_id AND o.seq = exit_seq"
+    )
+
+
+def _was(q):
+    return q.withColumn("was", F.lag("price").over(Window.partitionBy("instrument_id").orderBy("ts_ns", "seq")))
+
+
+def _closed(out):
+    return out.select("instrument_id", "entry_seq", "exit_seq", (F.round("pnl", 6) + F.lit(0.0)).alias("pnl"))
+
+
+@query("trade_threshold", sql(_one_trade_sql("was < 0.5003 AND price >= 0.5003", "price >= 0.9203 OR price <= 0.1003"), "fx_prices"))
+def trade_threshold(spark, d):
+    """One entry at the first crossing, out at target or stop."""
+    up = (F.col("was") < 0.5003) & (F.col("price") >= 0.5003)
+    return _closed(G.one_trade(_was(px(spark, d)), up, (F.col("price") >= 0.9203) | (F.col("price") <= 0.1003)))
+
+
+_CLOSE = " JOIN (SELECT instrument_id, max(ts_ns) - 36000000000000 AS close_ns FROM px GROUP BY 1) USING (instrument_id)"
+_LATE = "CAST(5000 AS BIGINT) * 60000000000"
+
+
+@query("trade_final_period", sql(_one_trade_sql(f"was < 0.5003 AND price >= 0.5003 AND ts_ns BETWEEN close_ns - {_LATE} AND close_ns", "l.ts_ns >= l.close_ns OR price >= 0.9203 OR price <= 0.1003", _CLOSE), "fx_prices"))
+def trade_final_period(spark, d):
+    """One entry in the last minutes before the close, out at target, stop or the close."""
+    p = px(spark, d)
+    q = _was(p.join(p.groupBy("instrument_id").agg((F.max("ts_ns") - 36_000_000_000_000).alias("close_ns")), "instrument_id"))
+    late = F.col("ts_ns").between(F.col("close_ns") - 5000 * 60_000_000_000, F.col("close_ns"))
+    out = (F.col("ts_ns") >= F.col("close_ns")) | (F.col("price") >= 0.9203) | (F.col("price") <= 0.1003)
+    return _closed(G.one_trade(q, (F.col("was") < 0.5003) & (F.col("price") >= 0.5003) & late, out))
+
+
+@query(
+    "trade_panic_fade",
+    sql(
+        _P + f", s AS (SELECT *, {_prev('max(price)', 6)} AS high, row_number() OVER ({_O}) AS n FROM px), c AS (SELECT * FROM s WHERE high - price >= 0.10003 AND price <= 0.3), "
+        "b AS (SELECT c.instrument_id, c.n AS entry, min(s.n) AS out FROM c LEFT JOIN s ON s.instrument_id = c.instrument_id AND s.n > c.n AND s.n <= c.n + 20 AND (s.n = c.n + 20 OR s.price >= 0.6003 OR s.price - 0.02 * s.price * (1 - s.price) >= c.price + 0.02 * c.price * (1 - c.price) + 0.15003 OR s.price - 0.02 * s.price * (1 - s.price) <= c.price + 0.02 * c.price * (1 - c.price) - 0.12003) GROUP BY 1, 2), "
+        "t AS (SELECT instrument_id, min(entry) AS entry FROM b GROUP BY 1 UNION ALL SELECT t.instrument_id, (SELECT min(n.entry) FROM b n WHERE n.instrument_id = t.instrument_id AND n.entry > (SELECT m.out FROM b m WHERE m.instrument_id = t.instrument_id AND m.entry = t.entry)) FROM t WHERE t.entry IS NOT NULL) "
+        "SELECT instrument_id, entry, coalesce(out, -1) AS out FROM b WHERE (instrument_id, entry) IN (SELECT instrument_id, entry FROM t WHERE entry IS NOT NULL)",
+        "fx_prices",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def trade_panic_fade(spark, d):
+    """One position at a time, out at target or stop after fees, at the rebound, or after twenty rows."""
+    q = G.panic_fade(px(spark, d), 6, 0.10003, 0.3)
+    q = q.withColumn("seq", F.row_number().over(Window.partitionBy("instrument_id").orderBy("ts_ns", "seq")).cast("bigint")).withColumn("ts_ns", F.col("seq"))
+    every = G.first_touch_exit(q.where("entry"), q, 0.15003, 0.12003, 19, fee=0.02, rebound=0.6003)
+    return G.in_turn(every).select("instrument_id", F.col("entry_seq").alias("entry"), F.coalesce("exit_seq", F.lit(-1)).alias("out"))
