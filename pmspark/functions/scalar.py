@@ -97,6 +97,11 @@ def clip01(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0)))
 
 
+def in_window(ts: Column, start: Column, end: Column, closed: bool = True) -> Column:
+    """From start on, up to end, which counts if ``closed``."""
+    return (ts >= start) & ((ts <= end) if closed else (ts < end))
+
+
 def clip_day_window(day_ns: Column, start_ns: Column, end_ns: Column) -> Column:
     """struct<start, end> (end inclusive) of a window within the UTC day that begins at day_ns; null if disjoint."""
     start, end = F.greatest(day_ns, start_ns), F.least(day_ns + DAY_NS - 1, end_ns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pmspark.operators import portfolio as P
 from pmspark.operators import research as R
 from pmspark.registry import query
 from pmspark.sources import readers as I
@@ -11,27 +12,54 @@ from pmspark.sources import sinks as O
 from pmspark.streaming import streams as V
 
 from . import fixtures as fx
-from .book import _DELTAS, _deltas
+from .accounts import _MONEY, _SETTLED, doubles
+from .book import _BEST, _DELTAS, _DIFF, _deltas
 from .fixtures import sql
+from .research import _EVALS, scored
 
 
 def _payload(spark, d):
-    u = fx.updates(spark, d).where("update_type = 'price_change'")
+    """Snapshots and price changes as JSON text, with a remainder of half a nanosecond; one in thirteen is broken."""
+    u = fx.updates(spark, d)
     seconds = F.concat(F.expr("ts_ns div 1000000000").cast("string"), F.lit(".0000000005"))
-    text = F.concat(F.lit('{"update_type":"price_change","token_id":"'), "instrument_id", F.lit('","timestamp":'), seconds, F.lit(',"change_price":"'), F.col("price_cents").cast("string"), F.lit('","change_size":"'), F.col("size").cast("string"), F.lit('","change_side":"'), "side", F.lit('"}'))
-    return u.select(F.lit("m").alias("market_id"), "update_type", F.when(F.col("seq") % 13 == 0, "{bad").otherwise(text).alias("data"), "seq")
+    quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    field = lambda name, c: F.concat(F.lit(f',"{name}":'), c)
+    head = F.concat(F.lit('{"update_type":"'), F.col("update_type"), F.lit('","token_id":'), quoted(F.col("instrument_id")), field("timestamp", seconds))
+    change = F.concat(field("change_price", quoted(F.col("price_cents"))), field("change_size", quoted(F.col("size"))), field("change_side", quoted(F.col("side"))))
+    changes = u.where("update_type = 'price_change'").select("instrument_id", "update_type", "seq", F.concat(head, change, F.lit("}")).alias("text"))
+    side = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("price_cents", "size", "seq"))))
+    books = u.where("update_type = 'book_snapshot'").groupBy("instrument_id", "ts_ns", "update_type").agg(F.min("seq").alias("seq"), side("BUY").alias("bids"), side("SELL").alias("asks"))
+    pairs = lambda c: F.to_json(F.transform(c, lambda x: F.array(x["price_cents"].cast("string"), x["size"].cast("string"))))
+    books = books.select("instrument_id", "update_type", "seq", F.concat(head, field("bids", pairs("bids")), field("asks", pairs("asks")), F.lit("}")).alias("text"))
+    both = changes.unionByName(books)
+    return both.select(F.lit("m").alias("market_id"), "update_type", F.when(F.col("seq") % 13 == 0, "{bad").otherwise(F.col("text")).alias("data"))
+
+
+_BOOK_TEXT = ", ".join(f"string_agg(price_cents || ':' || size, ',' ORDER BY price_cents, size, seq) FILTER (side = '{s}') AS {c}" for s, c in (("BUY", "bids"), ("SELL", "asks")))
+_PAYLOAD = (
+    f"bk AS (SELECT instrument_id, ts_ns, min(seq) AS first, {_BOOK_TEXT} FROM fx_updates WHERE update_type = 'book_snapshot' GROUP BY 1, 2), "
+    "pl AS (SELECT instrument_id AS token_id, ts_ns, update_type, CAST(price_cents AS VARCHAR) AS change_price, CAST(size AS VARCHAR) AS change_size, side AS change_side, NULL AS bids, NULL AS asks FROM fx_updates WHERE update_type = 'price_change' AND seq % 13 <> 0 "
+    "UNION ALL SELECT instrument_id, ts_ns, 'book_snapshot', NULL, NULL, NULL, coalesce(bids, ''), coalesce(asks, '') FROM bk WHERE first % 13 <> 0)"
+)
+
 
+def _book_text(df):
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["price"], F.lit(":"), x["size"])), ",")
+    return df.withColumn("bids", text("bids")).withColumn("asks", text("asks"))
 
-@query("payload_parse", sql("SELECT instrument_id AS token_id, ts_ns, CAST(price_cents AS VARCHAR) AS change_price, CAST(size AS VARCHAR) AS change_size, side AS change_side FROM fx_updates WHERE update_type = 'price_change' AND seq % 13 <> 0", "fx_updates"))
+
+@query("payload_parse", sql(_PAYLOAD + " SELECT * FROM pl", "fx_updates"))
 def payload_parse(spark, d):
-    return I.parse_payload(_payload(spark, d))[0].select("token_id", "ts_ns", "change_price", "change_size", "change_side")
+    return _book_text(I.parse_payload(_payload(spark, d))[0]).select("token_id", "ts_ns", "update_type", "change_price", "change_size", "change_side", "bids", "asks")
 
 
-@query("scan_payload_archive", sql("SELECT instrument_id AS token_id, count(*) AS n FROM fx_updates WHERE update_type = 'price_change' AND seq % 13 <> 0 AND instrument_id IN ('M1', 'M3', 'M5') GROUP BY 1", "fx_updates"))
+@query("scan_payload_archive", sql(_PAYLOAD + " SELECT token_id, update_type, count(*) AS n, count(bids) AS books, min(bids) AS least_bids, max(asks) AS greatest_asks FROM pl GROUP BY 1, 2", "fx_updates"))
 def scan_payload_archive(spark, d):
-    _payload(spark, d).drop("seq").write.parquet(path := O.scratch(spark))
-    requests = fx.outcomes(spark, d).where("instrument_id in ('M1', 'M3', 'M5')").select(F.lit("m").alias("market_id"), F.col("instrument_id").alias("token_id"))
-    return I.scan_payload_archive(spark, path, requests).groupBy("token_id").agg(F.count("*").alias("n"))
+    """The archive written, and read for every instrument's request."""
+    _payload(spark, d).write.parquet(path := O.scratch(spark))
+    requests = fx.outcomes(spark, d).select(F.lit("m").alias("market_id"), F.col("instrument_id").alias("token_id"))
+    rows = _book_text(I.scan_payload_archive(spark, path, requests))
+    return rows.groupBy("token_id", "update_type").agg(F.count("*").alias("n"), F.count("bids").alias("books"), F.min("bids").alias("least_bids"), F.max("asks").alias("greatest_asks"))
 
 
 def _fixed(spark, d):
@@ -47,10 +75,14 @@ def scan_fixed_archive(spark, d):
     return I.scan_fixed_archive(spark, path, requests).select("market_id", "token_id", "ts_ns", F.size("bids").alias("bids"), F.size("asks").alias("asks"))
 
 
-@query("split_shared_scan", sql("SELECT instrument_id, count(*) AS n FROM fx_updates WHERE instrument_id IN (SELECT 'M' || s_suppkey FROM supplier WHERE s_nationkey < 12) GROUP BY 1", "fx_updates"))
+@query("split_shared_scan", sql("SELECT instrument_id, count(*) AS n FROM fx_updates u JOIN supplier s ON u.instrument_id = 'M' || s_suppkey WHERE ts_ns BETWEEN (694224000 + s_suppkey % 50 * 864000) * 1000000000 AND (883612800 + s_suppkey % 50 * 864000) * 1000000000 GROUP BY 1", "fx_updates"))
 def split_shared_scan(spark, d):
-    requests = fx.table(spark, d, "supplier").where("s_nationkey < 12").select(F.concat(F.lit("M"), "s_suppkey").alias("instrument_id"))
-    return I.join_requests(fx.updates(spark, d), requests, ["instrument_id"]).groupBy("instrument_id").agg(F.count("*").alias("n"))
+    """One scan for the requests of all suppliers, each with a window of its own."""
+    k = F.col("s_suppkey")
+    bound = lambda first: (F.lit(first) + k % 50 * 864_000) * F.lit(1_000_000_000)
+    requests = fx.table(spark, d, "supplier").select(F.concat(F.lit("M"), k).alias("instrument_id"), bound(694_224_000).alias("start_ns"), bound(883_612_800).alias("end_ns"))
+    rows = I.join_requests(fx.updates(spark, d), requests, ["instrument_id"]).where("ts_ns between start_ns and end_ns")
+    return rows.groupBy("instrument_id").agg(F.count("*").alias("n"))
 
 
 _SIDES = sql("SELECT instrument_id, ts_ns, CAST(count(*) FILTER (side = 'BUY') AS INT) AS bids, CAST(coalesce(sum(size) FILTER (side = 'SELL'), 0) AS DOUBLE) AS ask_size FROM fx_levels GROUP BY 1, 2", "fx_levels")
@@ -84,21 +116,44 @@ def flatten_book_sides(spark, d):
     return I.flatten_book_sides(fx.snapshots(spark, d)).where(F.size("bid_prices") > 0).select("instrument_id", "ts_ns", F.array_join("bid_prices", ",").alias("bid_prices"))
 
 
-@query("scan_fills_dialects", "SELECT epoch_us(ts) AS ts, CAST(value AS VARCHAR) IS NOT NULL AS price, event_type AS side FROM events")
-def scan_fills_dialects(spark, d):
-    e = fx.table(spark, d, "events").select(F.unix_micros("ts").alias("timestamp_us"), F.col("value").alias("fill_price"), F.col("event_type").alias("taker_side"))
-    return I.resolve_aliases(e, I.FILL_ALIASES).select("ts", F.col("price").isNotNull().alias("price"), "side")
+_DIALECT = "SELECT {0} AS dialect, {1} AS ts_ns, value AS price, CAST(event_id % 50 AS DOUBLE) AS size, {2} AS side, {3} AS id FROM events"
 
 
-@query("scan_hive_blob", "SELECT l_linestatus AS outcome_segment, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND year(l_shipdate) = 1997 AND month(l_shipdate) IN (3, 4) AND l_suppkey < 5 GROUP BY 1")
+@query(
+    "scan_fills_dialects",
+    " UNION ALL ".join(
+        _DIALECT.format(*x)
+        for x in (
+            ("'a'", "epoch_us(ts) * 1000", "event_type", "'x' || event_id"), ("'b'", "epoch_us(ts) // 1000 * 1000000", "CAST(NULL AS VARCHAR)", "'x' || event_id"),
+            ("'c'", "epoch_us(ts) // 1000000 * 1000000000", "event_type", "CAST(NULL AS VARCHAR)"), ("'d'", "epoch_us(ts) // 1000000 * 1000000000", "event_type", "'x' || event_id"),
+        )
+    ),
+)
+def scan_fills_dialects(spark, d):
+    """All events under the names and units of four dialects."""
+    e, us = fx.table(spark, d, "events"), F.unix_micros("ts")
+    size, name = (F.col("event_id") % 50).cast("string"), F.concat(F.lit("x"), "event_id")
+    raw = {
+        "a": e.select(us.alias("timestamp_us"), F.lit(0).alias("time"), F.col("value").alias("fill_price"), size.alias("amount"), F.col("event_type").alias("taker_side"), name.alias("tx"), F.lit("no").alias("hash")),
+        "b": e.select(F.expr("unix_micros(ts) div 1000").alias("timestamp_ms"), F.col("value").cast("string").alias("px"), size.alias("shares"), name.alias("transactionHash")),
+        "c": e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_timestamp"), F.col("value").alias("price_usdc"), size.alias("matched_size"), F.col("event_type").alias("aggressor_side")),
+        "d": e.select(F.expr("unix_micros(ts) div 1000000").alias("timestamp"), F.col("value").alias("matched_price"), size.alias("fill_size"), F.col("event_type").alias("trader_side"), name.alias("trade_id")),
+    }
+    read, out = I.resolve_dialect("fills"), None
+    for k, df in raw.items():
+        part = read(df).withColumn("dialect", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("scan_hive_blob", "SELECT 'M' || l_suppkey AS slug, l_linestatus AS segment, CAST(month(l_shipdate) AS INT) AS month, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND year(l_shipdate) = 1997 AND month(l_shipdate) IN (3, 4) AND NOT (l_suppkey % 3 = 0 AND l_linestatus = 'O') GROUP BY 1, 2, 3")
 def scan_hive_blob(spark, d):
+    """Two months of a channel, which prune the files, for requests of all suppliers; one in three asks for one segment only."""
     days = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"))
     O.write_blob(days, path := O.scratch(spark))
-    requests = fx.table(spark, d, "supplier").where("s_suppkey < 5").select(F.concat(F.lit("M"), "s_suppkey").alias("market_slug")).crossJoin(spark.createDataFrame([("O",), ("F",)], "outcome_segment string"))
-    blob = spark.read.parquet(path)
-    month = F.col("month").isin(3, 4) & (F.col("year") == 1997)
-    rows = blob.where((F.col("channel") == "A") & month).withColumnRenamed("slug", "market_slug").withColumnRenamed("segment", "outcome_segment")
-    return I.join_requests(rows, requests, ["market_slug", "outcome_segment"]).groupBy("outcome_segment").agg(F.count("*").alias("n"))
+    segments = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("F"))).otherwise(F.array(F.lit("O"), F.lit("F")))
+    requests = fx.table(spark, d, "supplier").select(F.concat(F.lit("M"), "s_suppkey").alias("slug"), F.explode(segments).alias("segment"))
+    return I.scan_blob(spark, path, "A", [(1997, 3), (1997, 4)], requests).groupBy("slug", "segment", "month").agg(F.count("*").alias("n"))
 
 
 @query("scan_public_trades", sql("SELECT asset, ts_s, count(*) AS n FROM fx_trades WHERE ts_s BETWEEN 1704153600 AND 1704672000 GROUP BY 1, 2", "fx_trades"))
@@ -170,16 +225,23 @@ def sink_blob_parts(spark, d):
     return spark.read.parquet(path).groupBy("channel", "year").agg(F.count("*").alias("n"))
 
 
-@query("sink_summary", sql("SELECT instrument_id, count(*) AS n FROM fx_fills GROUP BY 1", "fx_fills"))
+@query("sink_summary", sql(_SETTLED + f"SELECT coalesce(instrument_id, 'TOTAL') AS instrument_id, CAST(sum(fills) AS BIGINT) AS fills, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in _MONEY)} FROM settled GROUP BY ROLLUP (instrument_id)", "fx_fills", "fx_outcomes"))
 def sink_summary(spark, d):
-    O.write_report(fx.fills(spark, d).groupBy("instrument_id").agg(F.count("*").alias("n")), path := O.scratch(spark), "json")
-    return spark.read.schema("instrument_id string, n bigint").json(path)
+    """The settled instruments and their total as a JSON report, read back."""
+    out = doubles(P.summary_total(P.settlement_pnl(fx.fills(spark, d), fx.outcomes(spark, d))), *_MONEY).select("instrument_id", "fills", *_MONEY)
+    O.write_report(out, path := O.scratch(spark), "json")
+    return spark.read.schema(out.schema).json(path)
+
 
+_BOARD = ("trial", "train_score", "train_pnl", "holdout_score", "holdout_pnl")
 
-@query("sink_leaderboard", sql("SELECT action, count(*) AS n FROM fx_fills GROUP BY 1", "fx_fills"))
+
+@query("sink_leaderboard", sql(_EVALS + " SELECT trial, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in _BOARD[1:]) + " FROM lb", "fx_prices"))
 def sink_leaderboard(spark, d):
-    O.write_report(fx.fills(spark, d).groupBy("action").agg(F.count("*").alias("n")), path := O.scratch(spark))
-    return spark.read.schema("action string, n bigint").csv(path, header=True)
+    """The leaderboard of a search as a CSV report, read back."""
+    out = R.leaderboard(scored(spark, d)).select("trial", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in _BOARD[1:]))
+    O.write_report(out, path := O.scratch(spark))
+    return spark.read.schema(out.schema).csv(path, header=True)
 
 
 @query("promote_schema", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS event_type FROM events")
@@ -243,9 +305,9 @@ def manifest_day_counts(spark, d):
     return _day(out.withColumn("rows", F.coalesce("rows", F.lit(-1))))
 
 
-@query("manifest_empty_days", sql(f"{_JOBS}, {_EMPTY} SELECT channel, count(*) AS n FROM em WHERE slug < 'M3' GROUP BY 1", "fx_completed"))
+@query("manifest_empty_days", sql(f"{_JOBS}, {_EMPTY} SELECT channel, slug, segment, {_TEXT_DAY} FROM em", "fx_completed"))
 def manifest_empty_days(spark, d):
-    return O.manifest_empty_days(_empty(spark, d), _jobs(spark, d).where("slug < 'M3'")).groupBy("channel").agg(F.count("*").alias("n"))
+    return _day(O.manifest_empty_days(_empty(spark, d), _jobs(spark, d)))
 
 
 @query("manifest_upsert", sql(f"{_JOBS}, {_EMPTY} SELECT 'completed' AS kind, count(*) AS n FROM (SELECT channel, slug, segment, day FROM fx_completed UNION SELECT channel, slug, segment, day FROM em WHERE day(day) % 2 = 0) UNION ALL SELECT 'empty', count(*) FROM em WHERE day(day) % 2 <> 0", "fx_completed"))
@@ -257,10 +319,12 @@ def manifest_upsert(spark, d):
     return count(done, "completed").unionByName(count(none, "empty"))
 
 
-@query("manifest_parts", "SELECT DISTINCT l_returnflag AS channel, 'M' || l_suppkey AS slug, l_linestatus AS segment, 'part-' || year(l_shipdate) AS part FROM lineitem WHERE l_suppkey < 4 AND l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-06-30'")
+@query("manifest_parts", "SELECT DISTINCT l_returnflag AS channel, 'M' || l_suppkey AS slug, l_linestatus AS segment, 'part-' || year(l_shipdate) AS part FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1996-01-01' + CAST(l_suppkey % 300 AS INT) AND DATE '1998-06-30'")
 def manifest_parts(spark, d):
+    """The parts of all keys, for days from a first one of each market's own."""
     done = fx.completed_days(spark, d).withColumn("part", F.concat(F.lit("part-"), F.year("day")))
-    requests = done.where("slug in ('M0', 'M1', 'M2', 'M3')").select("channel", "slug", "segment").distinct().withColumn("first_day", F.lit("1997-01-01").cast("date")).withColumn("last_day", F.lit("1998-06-30").cast("date"))
+    first = F.date_add(F.lit("1996-01-01").cast("date"), (F.substr("slug", F.lit(2)).cast("int") % 300).cast("int"))
+    requests = done.select("channel", "slug", "segment").distinct().withColumn("first_day", first).withColumn("last_day", F.lit("1998-06-30").cast("date"))
     return O.manifest_parts(done, requests)
 
 
@@ -298,9 +362,14 @@ def resolve_source_priority(spark, d):
     return _day(I.resolve_source_priority([a, b], ["slug", "day"], empty_is_final=False)).select("slug", "day", "source")
 
 
-@query("validate_hours")
+@query("validate_hours", "SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, l_returnflag AS channel, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3")
 def validate_hours(spark, d):
-    return I.validate_hours(spark.read.parquet(f"{d}/events.parquet"))
+    """The files of a layout by month, each of which has rows; of a month's files the rows are added up."""
+    days = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"))
+    O.write_blob(days, path := O.scratch(spark))
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    files = I.validate_hours(spark.read.parquet(path)).groupBy(part("year").cast("int").alias("year"), part("month").cast("int").alias("month"), part("channel").alias("channel"))
+    return files.agg(F.sum("rows").alias("rows"))
 
 
 # Streams, run over what is there until it is read.
@@ -344,30 +413,74 @@ def stream_static(spark, d):
     return V.finished(V.stream_events(spark, d).join(labels, "user_id").select("event_id", "label"), O.scratch(spark))
 
 
-@query("stream_deltas", "SELECT 'U' || user_id AS instrument_id, count(*) AS n FROM (SELECT *, max(CAST(event_type = 'purchase' AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS open FROM events) WHERE open = 1 GROUP BY 1")
+@query("stream_closed_bars", "WITH m AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM events) SELECT 'U' || user_id AS instrument_id, epoch_us(ts) // 3600000000 * 3600000000 AS start_us, count(*) AS n, round(max(value), 6) AS high FROM events, m WHERE (epoch_us(ts) // 3600000000 + 1) * 3600000 <= mark GROUP BY 1, 2")
+def stream_closed_bars(spark, d):
+    """Bars put out once the watermark has passed them."""
+    return V.finished(V.stream_closed_bars(V.stream_events(spark, d), "1 hour"), O.scratch(spark))
+
+
+@query("stream_by_day", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY 1")
+def stream_by_day(spark, d):
+    """Events appended by day."""
+    days = V.stream_events(spark, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    out = V.finished(days, O.scratch(spark), "day")
+    return out.groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("events"))
+
+
+_PARTS = 3
+#: A third of the span of ship dates, in nanoseconds; one row in 101 comes a part later than its time.
+_SPAN = 80_000_000_000_000_000
+_STREAM_START = 694_224_000_000_000_000
+
+
+def _part(late=True):
+    k = F.floor((F.col("ts_ns") - _STREAM_START) / _SPAN)
+    k = k + F.when(F.col("seq") % 101 == 0, 1).otherwise(0) if late else k
+    return F.greatest(F.least(k, F.lit(_PARTS - 1)), F.lit(0)).cast("int")
+
+
+def _stream_deltas(spark, d):
+    updates = fx.updates(spark, d).withColumn("gap", F.col("seq") % 97 == 0)
+    return V.incremental(V.in_parts(updates, O.scratch(spark), _part(), _PARTS), O.scratch(spark), V.deltas_step)
+
+
+_STREAMED = (
+    f"pu AS (SELECT *, CASE update_type WHEN 'book_snapshot' THEN 0 ELSE 1 END AS prio, greatest(least(CAST(floor((ts_ns - {_STREAM_START}) / {_SPAN}.0) AS INT) + CASE WHEN seq % 101 = 0 THEN 1 ELSE 0 END, {_PARTS - 1}), 0) AS part FROM fx_updates), "
+    "mk AS (SELECT instrument_id, part, max(ts_ns // 1000000000 * 10 + prio) AS most FROM pu GROUP BY 1, 2), mb AS (SELECT pu.*, (SELECT max(most) FROM mk WHERE mk.instrument_id = pu.instrument_id AND mk.part < pu.part) AS seen FROM pu), "
+    "ft AS (SELECT * FROM mb WHERE seen IS NULL OR ts_ns // 1000000000 * 10 + prio >= seen), "
+    "gp AS (SELECT *, sum(CAST(seq % 97 = 0 AS INT)) OVER (PARTITION BY instrument_id ORDER BY ts_ns, prio, seq) AS run FROM ft), "
+    "go AS (SELECT *, max(CAST(prio = 0 AND size > 0 AS INT)) OVER (PARTITION BY instrument_id, run ORDER BY ts_ns, prio, seq ROWS UNBOUNDED PRECEDING) AS open FROM gp), "
+    "su AS (SELECT * FROM go WHERE prio = 0 OR open = 1), "
+    + _DELTAS.replace("fx_updates", "su").replace("FROM sn WHERE seen = 1", "FROM sn")
+)
+
+
+@query("stream_deltas", sql(_STREAMED + " SELECT instrument_id, event_index, action, side, price_cents, size, flags, sequence, ts_ns FROM deltas", "fx_updates"))
 def stream_deltas(spark, d):
-    out = V.finished(V.stream_deltas(V.stream_updates(spark, d)), O.scratch(spark))
-    return out.groupBy("instrument_id").agg(F.countDistinct("event_id").alias("n"))
+    """Updates in three batches with late rows and gaps: the same deltas as of one batch without the late rows."""
+    return _stream_deltas(spark, d)
 
 
-@query("stream_best_quote", "WITH e AS (SELECT user_id, event_id, ts, event_id % 2 AS s, CAST(event_id // 2 % 10 AS BIGINT) AS p, event_id % 5 AS z FROM events), l AS (SELECT user_id, s, p, arg_max(z, ts) AS z FROM e GROUP BY 1, 2, 3) SELECT 'U' || user_id AS instrument_id, coalesce(max(p) FILTER (s = 0 AND z > 0), -1) AS bid, coalesce(min(p) FILTER (s = 1 AND z > 0), -1) AS ask FROM l GROUP BY 1")
+@query("stream_best_quote", sql(_BEST.replace("fx_updates", "su").replace("FROM sn WHERE seen = 1", "FROM sn").replace("lv AS (", _STREAMED[: _STREAMED.index("lv AS (")] + "lv AS (", 1) + " SELECT * FROM best", "fx_updates"))
 def stream_best_quote(spark, d):
-    out = V.finished(V.stream_best_quote(V.stream_levels(spark, d)), O.scratch(spark))
-    return out.groupBy("instrument_id").agg(F.max_by("bid", "ts_us").alias("bid"), F.max_by("ask", "ts_us").alias("ask"))
+    """The deltas above as a stream of their own, in three batches by time."""
+    stream = V.in_parts(_stream_deltas(spark, d), O.scratch(spark), _part(late=False), _PARTS)
+    return V.incremental(stream, O.scratch(spark), V.quotes_step).fillna(-1)
 
 
-@query("stream_snapshot_diff", "WITH e AS (SELECT user_id, ts, CAST(event_id // 2 % 10 AS BIGINT) AS p, event_id % 5 AS z FROM events), l AS (SELECT *, lag(z) OVER (PARTITION BY user_id, p ORDER BY ts) AS was FROM e) SELECT 'U' || user_id AS instrument_id, count(*) AS changes FROM l WHERE z IS DISTINCT FROM was GROUP BY 1")
+@query("stream_snapshot_diff", sql(_DIFF + "SELECT instrument_id, ts_ns, sequence, side, price_cents, size, action, CASE WHEN sequence = n THEN 128 ELSE 0 END AS flags FROM nb", "fx_levels"))
 def stream_snapshot_diff(spark, d):
-    out = V.finished(V.stream_snapshot_diff(V.stream_levels(spark, d)), O.scratch(spark))
-    return out.groupBy("instrument_id").agg(F.count("*").alias("changes"))
+    stream = V.in_parts(fx.snapshots(spark, d), O.scratch(spark), _part(late=False), _PARTS)
+    out = V.incremental(stream, O.scratch(spark), V.snapshots_step)
+    return out.withColumn("price_cents", F.round(F.col("price").cast("double") * 100).cast("bigint")).drop("price")
 
 
 # The request queries above, over all instruments and keys.
 
 
-@query("scan_payload_archive_whole", sql("SELECT instrument_id AS token_id, count(*) AS n FROM fx_updates WHERE update_type = 'price_change' AND seq % 13 <> 0 AND instrument_id IN (SELECT 'M' || s_suppkey FROM supplier) GROUP BY 1", "fx_updates"))
+@query("scan_payload_archive_whole", sql(_PAYLOAD + " SELECT token_id, count(*) AS n FROM pl GROUP BY 1", "fx_updates"))
 def scan_payload_archive_whole(spark, d):
-    _payload(spark, d).drop("seq").write.parquet(path := O.scratch(spark))
+    _payload(spark, d).write.parquet(path := O.scratch(spark))
     requests = fx.outcomes(spark, d).select(F.lit("m").alias("market_id"), F.col("instrument_id").alias("token_id"))
     return I.scan_payload_archive(spark, path, requests).groupBy("token_id").agg(F.count("*").alias("n"))
 

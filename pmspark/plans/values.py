@@ -14,7 +14,7 @@ from .fixtures import sql
 H = 3600 * S.NS
 
 
-@query("to_ns", sql("SELECT event_id, epoch_us(ts) * 1000 AS us_ns, (epoch_us(ts) // 1000) * 1000000 AS ms_ns, (epoch_us(ts) // 1000000) * 1000000000 AS s_ns, (epoch_us(ts) // 1000000) * 1000000000 AS text_ns FROM events"))
+@query("to_ns", sql("SELECT event_id, epoch_us(ts) * 1000 AS us_ns, (epoch_us(ts) // 1000) * 1000000 AS ms_ns, (epoch_us(ts) // 1000000) * 1000000000 AS s_ns, epoch_us(ts) * 1000 AS text_ns FROM events"))
 def to_ns(spark, d):
     us = F.unix_micros("ts")
     return fx.table(spark, d, "events").select(
@@ -22,7 +22,7 @@ def to_ns(spark, d):
         S.to_ns(us, "us").alias("us_ns"),
         S.to_ns(F.expr("unix_micros(ts) div 1000"), "ms").alias("ms_ns"),
         S.to_ns(F.expr("unix_micros(ts) div 1000000"), "s").alias("s_ns"),
-        S.to_ns(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "text").alias("text_ns"),
+        S.to_ns(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "text").alias("text_ns"),
     )
 
 
@@ -46,12 +46,12 @@ _START, _END = 1_704_067_200 * S.NS + 36 * H, 1_704_067_200 * S.NS + 100 * H
 
 @query("window_filter_closed", sql(f"SELECT instrument_id, seq FROM fx_prices WHERE ts_ns BETWEEN {_START} AND {_END}", "fx_prices"))
 def window_filter_closed(spark, d):
-    return fx.prices(spark, d).where(F.col("ts_ns").between(_START, _END)).select("instrument_id", "seq")
+    return fx.prices(spark, d).where(S.in_window(F.col("ts_ns"), F.lit(_START), F.lit(_END))).select("instrument_id", "seq")
 
 
 @query("window_filter_half_open", sql(f"SELECT instrument_id, seq FROM fx_prices WHERE ts_ns >= {_START} AND ts_ns < {_END}", "fx_prices"))
 def window_filter_half_open(spark, d):
-    return fx.prices(spark, d).where((F.col("ts_ns") >= _START) & (F.col("ts_ns") < _END)).select("instrument_id", "seq")
+    return fx.prices(spark, d).where(S.in_window(F.col("ts_ns"), F.lit(_START), F.lit(_END), closed=False)).select("instrument_id", "seq")
 
 
 @query(
@@ -202,10 +202,12 @@ def venue2_trade_rows(spark, d):
 
 @query(
     "candles_to_bars",
-    "SELECT instrument_id, s * 1000000000 AS ts_ns, CAST(open AS DOUBLE) AS open, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(close AS DOUBLE) AS close, volume FROM (SELECT 'U' || user_id AS instrument_id, epoch_us(ts) // 1000000 AS s, CAST(event_id % 100 AS DOUBLE) / 100 AS open, CAST(event_id % 100 AS DOUBLE) / 100 AS high, 0.01 AS low, CAST(event_id % 90 AS DOUBLE) / 100 AS close, event_id % 50 + 1 AS volume FROM events WHERE event_id % 6 <> 0 AND event_id % 100 > 1 AND event_id % 90 > 1)",
+    "SELECT 'U' || user_id AS instrument_id, count(*) AS bars, sum(event_id % 50 + 1)::BIGINT AS volume, round(max(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS high, round(min(CAST(event_id % 90 AS DOUBLE) / 100), 6) AS close FROM events WHERE event_id % 6 <> 0 GROUP BY 1",
 )
 def candles_to_bars(spark, d):
-    return _candle_bars(fx.table(spark, d, "events").where("event_id % 100 > 1 and event_id % 90 > 1"))
+    """By instrument; the rows themselves are those of ``candles_to_bars_whole``."""
+    bars = _candle_bars(fx.table(spark, d, "events")).groupBy("instrument_id")
+    return bars.agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"), F.round(F.max("high"), 6).alias("high"), F.round(F.min("close"), 6).alias("close"))
 
 
 def _candle_bars(events):

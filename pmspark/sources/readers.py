@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampType
 
 from pmspark.functions import scalar as S
 
@@ -16,20 +19,55 @@ TICK_COLUMNS = ("asset", "ts_ns", "trade_id", "price", "size", "aggressor")
 #: Requests up to so many rows may be broadcast.
 SMALL_ROWS = 100_000
 
-#: Alias specs of a dialect: the first name that a table has is taken.
+#: The names that chain fills come under, in the order in which they are looked for. The first three are required.
 FILL_ALIASES = {
-    "ts": ("block_timestamp_us", "timestamp_us", "timestamp_ms", "timestamp", "time"),
-    "price": ("price", "fill_price"),
-    "size": ("size", "amount", "quantity"),
-    "side": ("side", "taker_side", "direction"),
-    "id": ("id", "trade_id", "tx_hash", "transactionHash"),
+    "ts_ns": ("timestamp_us", "block_timestamp_us", "timestamp_ms", "timestamp", "block_timestamp", "time", "local_timestamp_us"),
+    "price": ("price", "fill_price", "matched_price", "px", "price_usdc"),
+    "size": ("size", "quantity", "amount", "shares", "fill_size", "matched_size"),
+    "side": ("side", "taker_side", "aggressor_side", "trader_side"),
+    "id": ("transaction_hash", "transactionHash", "tx_hash", "tx", "hash", "trade_id", "id"),
 }
+FILL_REQUIRED = ("ts_ns", "price", "size")
+
+#: Dialects of archives by name: how a raw table becomes canonical. Registered by ``register_dialect``.
+DIALECTS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+
+
+def register_dialect(name: str, read: Callable[[DataFrame], DataFrame]) -> None:
+    DIALECTS[name] = read
+
+
+def resolve_dialect(name: str) -> Callable[[DataFrame], DataFrame]:
+    if name not in DIALECTS:
+        raise NotImplementedError(f"no dialect {name!r}; known: {', '.join(sorted(DIALECTS))}")
+    return DIALECTS[name]
 
 
-def resolve_aliases(df: DataFrame, spec: dict[str, tuple[str, ...]]) -> DataFrame:
-    """One column for each name of the spec, from the first alias that the table has; null if it has none."""
-    have = set(df.columns)
-    return df.select(*(F.col(next(a for a in names if a in have)).alias(c) if have & set(names) else F.lit(None).cast("string").alias(c) for c, names in spec.items()))
+def resolve_aliases(df: DataFrame, spec: dict[str, tuple[str, ...]], required: tuple[str, ...] = ()) -> dict[str, str | None]:
+    """The first alias of each name of the spec that the table has; fails where a required one has none."""
+    found = {c: next((a for a in names if a in df.columns), None) for c, names in spec.items()}
+    if missing := [c for c in required if found[c] is None]:
+        raise ValueError("missing columns: " + "; ".join(f"{c} (any of {', '.join(spec[c])})" for c in missing))
+    return found
+
+
+def aliased_ns(df: DataFrame, name: str) -> Column:
+    """Nanoseconds of a time column by its name and type: micro- or milliseconds by name, numbers are seconds, the rest is parsed."""
+    kind = df.schema[name].dataType
+    if name.endswith("_us"):
+        return F.col(name).cast("bigint") * 1000
+    if name.endswith("_ms"):
+        return (F.col(name).cast("string").try_cast("decimal(20,6)") * 1_000_000).cast("bigint")  # exact, as doubles are not
+    if isinstance(kind, NumericType):
+        return (F.col(name).cast("decimal(20,9)") * S.NS).cast("bigint")
+    return S.micros_ns(F.col(name) if isinstance(kind, TimestampType) else F.try_to_timestamp(F.col(name).cast("string")))
+
+
+def fills_of_dialect(df: DataFrame) -> DataFrame:
+    """ts_ns, price, size, side, id (null if the table has none) of chain fills under any of their names."""
+    found = resolve_aliases(df, FILL_ALIASES, FILL_REQUIRED)
+    text = {c: F.col(found[c]).cast("string") if found[c] else F.lit(None).cast("string") for c in ("side", "id")}
+    return df.select(aliased_ns(df, found["ts_ns"]).alias("ts_ns"), *(F.col(found[c]).cast("double").alias(c) for c in ("price", "size")), *(v.alias(c) for c, v in text.items()))
 
 
 def join_requests(df: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +128,7 @@ def scan_blob(spark: SparkSession, root: str, channel: str, months: list[tuple[i
     month = F.lit(False)
     for y, m in months:
         month |= (F.col("year") == y) & (F.col("month") == m)
-    return join_requests(spark.read.parquet(root).where((F.col("channel") == channel) & month), requests, ["market_slug", "outcome_segment"])
+    return join_requests(spark.read.parquet(root).where((F.col("channel") == channel) & month), requests, ["slug", "segment"])
 
 
 def scan_public_trades(spark: SparkSession, path: str, start_s: int, end_s: int) -> DataFrame:
@@ -147,4 +185,11 @@ def resolve_source_priority(sources: list[DataFrame], keys: list[str], empty_is_
 
 def validate_hours(files: DataFrame) -> DataFrame:
     """Rows of each file of a read table that has any; ``files`` is read with its hidden metadata."""
-    return files.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows")).where("rows > 0")
+    return files.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows")).where("rows > 0")
+
+
+register_dialect("fills", fills_of_dialect)
+register_dialect("fixed", fixed_rows)
+register_dialect("payload", lambda df: parse_payload(df)[0])
+register_dialect("snapshots_nested", nested_sides)
+register_dialect("snapshots_flat", lambda df: nested_sides(df, "flat"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -13,8 +14,11 @@ KEYS = ["channel", "slug", "segment", "day"]
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that executors share (``spark.checkpoint.dir``), a temporary one only where that is unset."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder in the one that executors share (``spark.checkpoint.dir``); in one process a temporary one where that is unset."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{uuid4().hex}"
 
 

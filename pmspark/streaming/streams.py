@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from pmspark.functions.scalar import ACTION, SIDE
+from pmspark.operators import book as B
 
 WATERMARK = "10 minutes"
 
@@ -22,10 +22,10 @@ def stream_events(spark: SparkSession, d: str, files_per_batch: int = 100) -> Da
     return s.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("instrument_id", F.concat(F.lit("U"), "user_id"))
 
 
-def finished(stream: DataFrame, folder: str) -> DataFrame:
-    """Appends all that is available to parquet, exactly once by the checkpoint, and reads it."""
+def finished(stream: DataFrame, folder: str, *partitions: str) -> DataFrame:
+    """Appends all that is available to parquet, exactly once by the checkpoint, in folders by the ``partitions`` (a day), and reads it."""
     out = f"{folder}/rows"
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.partitionBy(*partitions).format("parquet").option("path", out).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -56,64 +56,91 @@ def stream_distinct(events: DataFrame, key: str = "event_id") -> DataFrame:
     return events.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark([key])
 
 
-def stream_updates(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "purchase", "book_snapshot").otherwise("price_change")
-    return stream_events(spark, d).select("instrument_id", F.unix_micros("ts").alias("ts_us"), "event_id", kind.alias("update_type"))
-
-
-def stream_levels(spark: SparkSession, d: str) -> DataFrame:
-    e = F.col("event_id")
-    return stream_events(spark, d).select("instrument_id", F.unix_micros("ts").alias("ts_us"), (e % 2).cast("int").alias("side"), (F.floor(e / 2) % 10).cast("bigint").alias("price"), (e % 5).cast("bigint").alias("size"))
-
-
-def _stateful(stream: DataFrame, step, schema: str) -> DataFrame:
-    """Folds each instrument's rows in time order through ``step(state: dict, row) -> rows``; the state is kept as JSON."""
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values("ts_us", kind="stable")
-        out = [o for r in rows.itertuples(index=False) for o in step(held, r)]
-        state.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    return stream.groupBy("instrument_id").applyInPandasWithState(fold, schema, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_deltas(updates: DataFrame) -> DataFrame:
-    """Rows from an instrument's first snapshot on; rows below the last key are late and dropped."""
-
-    def step(held: dict, r) -> list[tuple]:
-        key = [r.ts_us, 0 if r.update_type == "book_snapshot" else 1]
-        if key < held.get("last", [-1, 0]):
-            return []
-        held["last"] = key
-        held["open"] = held.get("open", False) or r.update_type == "book_snapshot"
-        return [(r.instrument_id, r.ts_us, r.event_id, 4 if key[1] == 0 else 2)] if held["open"] else []
-
-    return _stateful(updates, step, "instrument_id string, ts_us bigint, event_id bigint, action int")
-
-
-def stream_snapshot_diff(levels: DataFrame) -> DataFrame:
-    """Changes of a level's size against the one before."""
-
-    def step(held: dict, r) -> list[tuple]:
-        was, held[str(r.price)] = held.get(str(r.price)), int(r.size)
-        return [] if was == r.size else [(r.instrument_id, r.ts_us, r.price, r.size)]
-
-    return _stateful(levels, step, "instrument_id string, ts_us bigint, price bigint, size bigint")
-
-
-def stream_best_quote(levels: DataFrame) -> DataFrame:
-    """Best bid and ask after each change; -1 where a side is empty."""
-
-    def step(held: dict, r) -> list[tuple]:
-        book = held.setdefault(str(r.side), {})
-        if r.size > 0:
-            book[str(r.price)] = int(r.size)
-        else:
-            book.pop(str(r.price), None)
-        bids, asks = (list(map(int, held.get(s, {}))) for s in ("0", "1"))
-        return [(r.instrument_id, r.ts_us, max(bids, default=-1), min(asks, default=-1))]
-
-    return _stateful(levels, step, "instrument_id string, ts_us bigint, bid bigint, ask bigint")
+def stream_closed_bars(events: DataFrame, size: str) -> DataFrame:
+    """Bars of windows that the watermark has passed, each put out once; later rows of theirs are dropped."""
+    return stream_bars(events, size)
+
+
+# Operators with a state: each batch goes through the batch operators, with a table of what earlier batches left.
+
+
+def in_parts(df: DataFrame, folder: str, part: Column, parts: int) -> DataFrame:
+    """A stream of df in ``parts`` batches, by the number ``part``."""
+    numbered = df.withColumn("_part", part)
+    for i in range(parts):  # one after another: the source reads files by age
+        numbered.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def incremental(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """All rows that ``step(batch, state) -> (rows, new state)`` puts out over what is available; the first state is None.
+
+    A batch writes its rows and the state after it under its number, so that a repeated batch replaces its own, and its state is read
+    by the next one only. States are tables: they grow with the instruments, are shuffled by Spark, and no Python sees a row.
+    """
+    spark = stream.sparkSession
+
+    def run(batch: DataFrame, number: int) -> None:
+        state = spark.read.parquet(f"{folder}/state/{number - 1}") if number else None
+        rows, after = step(batch, state)
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        after.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").drop("batch")
+
+
+def deltas_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Deltas of a batch of updates (with ``gap``): rows below an instrument's last key are late and dropped, and after a gap its book is
+    closed until the next snapshot. The state has the last key, whether the book is open, and the last numbers."""
+    kinds = "last_ts bigint, last_priority int, open boolean, last_event bigint, last_sequence bigint"
+    if state is None:
+        state = batch.select(B.KEY).distinct().select(B.KEY, *(F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in kinds.split(", "))))
+    known = batch.join(state, B.KEY, "left").withColumn("priority", B.priority())
+    key, last = F.struct(F.col("ts_ns"), F.col("priority")), F.struct(F.col("last_ts").alias("ts_ns"), F.col("last_priority").alias("priority"))
+    fresh = known.where(F.col("last_ts").isNull() | (key >= last))
+    gated = B.gate_on_snapshot(fresh, F.col("gap"), F.col("open"))
+    made = B.updates_to_deltas(gated.select(*batch.columns), gated=True).join(state.select(B.KEY, "last_event", "last_sequence"), B.KEY, "left")
+    made = made.withColumn("event_index", F.col("event_index") + F.coalesce(F.col("last_event") + 1, F.lit(0))).withColumn("sequence", F.col("sequence") + F.coalesce("last_sequence", F.lit(0)))
+    out = made.drop("last_event", "last_sequence")
+    place, book = F.struct("ts_ns", "priority", "seq"), (F.col("priority") == 0) & (F.col("size") > 0)
+    seen = fresh.groupBy(B.KEY).agg(F.max(key).alias("_key"), F.max(F.when(F.col("gap"), place)).alias("_gap"), F.max(F.when(book, place)).alias("_book"))
+    ends = out.groupBy(B.KEY).agg(F.max("event_index").alias("_event"), F.max("sequence").alias("_sequence"))
+    after = state.join(seen, B.KEY, "full_outer").join(ends, B.KEY, "left")
+    open_ = F.when(F.col("_book") >= F.coalesce("_gap", "_book"), True).when(F.col("_gap").isNotNull(), False).otherwise(F.coalesce("open", F.lit(False)))
+    return out, after.select(
+        B.KEY, F.coalesce("_key.ts_ns", "last_ts").alias("last_ts"), F.coalesce("_key.priority", "last_priority").alias("last_priority"), open_.alias("open"),
+        F.coalesce("_event", "last_event").cast("bigint").alias("last_event"), F.coalesce("_sequence", "last_sequence").cast("bigint").alias("last_sequence"),
+    )
+
+
+def quotes_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Best quotes of a batch of deltas. The state is each instrument's book, which a batch takes in as an event before its own."""
+    columns = [B.KEY, "event_index", "action", "side", "price_cents", "size", "flags", "sequence", "ts_ns"]
+    deltas, first = batch.select(*columns), batch.groupBy(B.KEY).agg(F.min("sequence").alias("_first"))
+    if state is not None:
+        held = state.join(first, B.KEY, "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+        none = [F.lit(0).cast("bigint").alias(c) for c in ("price_cents", "size")]
+        n = F.row_number().over(Window.partitionBy(B.KEY).orderBy(F.desc("side"), F.desc("price_cents")))
+        levels = held.withColumn("_n", n).select(B.KEY, F.lit(-1).alias("event_index"), F.lit(ACTION["ADD"]).alias("action"), "side", "price_cents", "size", F.lit(0).alias("flags"), (F.col("_first") - F.col("_n")).alias("sequence"), F.lit(None).cast("bigint").alias("ts_ns"))
+        clears = held.groupBy(B.KEY).agg((F.min("_first") - F.count("*") - 1).alias("sequence")).select(B.KEY, F.lit(-1).alias("event_index"), F.lit(ACTION["CLEAR"]).alias("action"), F.lit(SIDE["NONE"]).alias("side"), *none, F.lit(0).alias("flags"), "sequence", F.lit(None).cast("bigint").alias("ts_ns"))
+        deltas = clears.unionByName(levels).unionByName(deltas)
+    out = B.best_quote(deltas).where("event_index >= 0")
+    live = B.with_epoch(deltas)
+    newest = live.groupBy(B.KEY).agg(F.max("epoch").alias("_epoch"))
+    live = live.join(newest, B.KEY).where((F.col("epoch") == F.col("_epoch")) & (F.col("action") != ACTION["CLEAR"]))
+    return out, live.groupBy(B.KEY, "side", "price_cents").agg(F.max_by("size", "sequence").alias("size")).where("size > 0")
+
+
+def snapshots_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Level changes of a batch of snapshots against the one before, which is the state; older ones are late and dropped."""
+    columns = [B.KEY, "ts_ns", "bids", "asks"]
+    both, last = batch.select(*columns), None
+    if state is not None:
+        last = state.select(B.KEY, F.col("ts_ns").alias("_last"))
+        both = both.join(last, B.KEY, "left").where("_last is null or ts_ns > _last").select(*columns).unionByName(state)
+    out = B.snapshot_diff(both)
+    if last is not None:
+        out = out.join(last, B.KEY, "left").where("_last is null or ts_ns > _last").drop("_last")
+    after = both.groupBy(B.KEY).agg(F.max_by(F.struct("ts_ns", "bids", "asks"), "ts_ns").alias("s"))
+    return out, after.select(B.KEY, "s.ts_ns", "s.bids", "s.asks")
