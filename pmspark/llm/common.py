@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 from collections.abc import Iterator
 from functools import cache
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at once; a longer text makes a step of its own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: Odd multipliers of the polynomial hashes.
 P_BYTE, P_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -40,10 +41,13 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``, one of our own only where that is unset."""
+    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; in one process one of our own where that is unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
