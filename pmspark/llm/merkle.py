@@ -1,14 +1,14 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and pieces.
 
 A text is cut by its content: a piece ends with its paragraph or after a word whose hash says so (one in
-four), a section ends at a blank line or after a paragraph whose last piece says so (one in eight). Pieces cover
+four; every one of the first FINE), a section ends at a blank line or after a paragraph whose last piece says so (one in eight). Pieces cover
 every byte, so equal roots mean equal texts (up to collisions of 64-bit hashes), and since the cuts follow the content, an insertion
 leaves the branches beside it as they are. The printed fingerprint is the root, then each section's digest
 with the pieces of its paragraphs; two fingerprints are compared from the root down: equal sections count whole, and
 only the pieces of differing branches are matched.
 
 Defined results: a null text is an empty one and has a root but no pieces (likeness 1 to another empty
-text, else 0); rows go by (doc_id, text), nulls first, so repeated rows follow each other; the last row's
+text, else 0); rows go by (doc_id, hash of the text, text), nulls first, so repeated rows follow each other; ids may be of any type that sorts; the last row's
 next is the first; a single row's next is itself; an empty table gives no rows; other columns are ignored.
 """
 
@@ -23,12 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import NOT_SPACE, range_hashes, spans, table
 
 #: Buckets of neighbouring documents for each shuffle partition.
 BUCKETS = 4
-_LOW = -(1 << 63)
+#: So many first words of a text are pieces of their own, so that short texts have some to share.
+FINE = 32
 
 
 def _digest(data: bytes, size: int = 8) -> bytes:
@@ -65,7 +67,8 @@ def tree(text: bytes) -> Tree:
     lines = np.cumsum(data == 10)[starts]
     gap = np.diff(lines)  # line feeds between a word and the next
     h = range_hashes(data, starts, ends)
-    last = np.flatnonzero((gap > 0) | ((h[:-1] & np.uint64(3)) == 0))  # words that end a piece
+    often = ((h[:-1] & np.uint64(3)) == 0) | (np.arange(len(gap)) < FINE)
+    last = np.flatnonzero((gap > 0) | often)  # words that end a piece
     begin = np.append(0, starts[last + 1])
     stop = np.append(begin[1:], len(data))
     digests = range_hashes(data, begin, stop, fold=False)
@@ -135,34 +138,23 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, ahead of rows dealt so that each bucket, sorted, holds neighbouring documents and,
     marked ``ahead``, the first of those after it.
 
-    Buckets are cut at quantiles of the ids. Only these and each bucket's first id, a fixed number, come
-    to the driver. Each text is sent once, but for the first of each bucket.
+    Buckets are ranges of (doc_id, hash of the text), so that no id of many rows makes one large. Spark's range partitioning of these
+    keys finds their bounds, one for each bucket, which come back as one literal. Each text is sent once, but for the first of each bucket.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("key"))
-    n = parts * BUCKETS
-    cuts = keyed.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bits = max(len(cuts), 1).bit_length()
-    bounds = F.array(*(F.lit(c).cast("long") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    # The number of cuts at or below the key, by a binary search over its bits.
-    bucket = F.aggregate(
-        F.array(*(F.lit(1 << i) for i in reversed(range(bits)))),
-        F.lit(0),
-        lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= F.col("key"), F.lit(False)), at + step).otherwise(at),
-    )
-    dealt = keyed.withColumn("bucket", bucket)
-    first = {r["bucket"]: r["first"] for r in dealt.groupBy("bucket").agg(F.min("key").alias("first")).collect()}
-    order = sorted(first)
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first bucket follows the last
-    ids = F.array(*(F.lit(first.get(b)).cast("long") for b in range(len(cuts) + 1)))
-    back = F.array(*(F.lit(before.get(b)).cast("int") for b in range(len(cuts) + 1)))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ahead"))
-    ahead = F.struct(F.get(back, F.col("bucket")).alias("bucket"), F.lit(True).alias("ahead"))
-    places = F.when(F.get(ids, F.col("bucket")) == F.col("key"), F.array(own, ahead)).otherwise(F.array(own))
-    out = dealt.withColumn("place", F.explode(places)).select("doc_id", "key", "text", "place.bucket", "place.ahead")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    ranges = keyed.select("key").repartitionByRange(parts * BUCKETS, "key").groupBy(F.spark_partition_id().alias("at")).agg(F.min("key").alias("first"))
+    found = ranges.agg(F.to_json(F.array_sort(F.collect_set("first"))).alias("bounds"), F.count("*").alias("n")).first()
+    bounds, n = F.from_json(F.lit(found["bounds"]), ArrayType(keyed.schema["key"].dataType)), F.lit(found["n"])
+    # The number of bounds at or below the key, less one, by a binary search over the bits of their number.
+    bits = F.array(*(F.lit(1 << i) for i in reversed(range(found["n"].bit_length()))), F.lit(0))
+    below = F.aggregate(bits, F.lit(0), lambda at, bit: F.when((at + bit <= n) & (F.get(bounds, at + bit - 1) <= F.col("key")), at + bit).otherwise(at))
+    dealt = keyed.withColumn("at", below - 1)
+    own = F.struct(F.col("at").alias("bucket"), F.lit(False).alias("ahead"))
+    ahead = F.struct(F.pmod(F.col("at") - 1, F.greatest(n, F.lit(1))).cast("int").alias("bucket"), F.lit(True).alias("ahead"))  # the first bucket follows the last
+    places = F.when(F.get(bounds, F.col("at")) == F.col("key"), F.array(own, ahead)).otherwise(F.array(own))
+    out = dealt.select("doc_id", "text", "key", F.explode(places).alias("place")).select("doc_id", "text", "key", "place.bucket", "place.ahead")
     return out.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "key", "text").drop("key")
 
 
