@@ -33,6 +33,8 @@ LEAST = 5
 COVERAGE = 0.5
 #: Benchmark text that is broadcast at once.
 BLOCK_BYTES = 8 << 20
+#: Hits of seeds that are laid out at once.
+HITS = 1 << 20
 _SLOTS = 1 << 22
 
 
@@ -82,29 +84,63 @@ def block_of(ids: list, texts: list[str | None]) -> Block:
 
 def tiles(matches: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (length, place in the text, place in the item) of maximal matches given likewise."""
+    if not matches:
+        return []
+    low = min(i for _, i, _ in matches)
+    text = np.zeros(max(n + i for n, i, _ in matches) - low, dtype=bool)
+    item = np.zeros(max(n + j for n, _, j in matches), dtype=bool)
     heap = [(-n, i, j) for n, i, j in matches]
     heapq.heapify(heap)
-    text, item, out = set(), set(), []
-    while heap:
+    out = []
+    while heap and not item.all():
         n, i, j = heapq.heappop(heap)
         n = -n
-        free = [i + x not in text and j + x not in item for x in range(n)]
-        if all(free):
+        taken = text[i - low : i - low + n] | item[j : j + n]
+        if not taken.any():
             out.append((n, i, j))
-            text.update(range(i, i + n))
-            item.update(range(j, j + n))
+            text[i - low : i - low + n] = item[j : j + n] = True
             continue
-        start = None
-        for x, ok in enumerate([*free, False]):
-            if ok and start is None:
-                start = x
-            elif not ok and start is not None:
-                if x - start >= least:
-                    heapq.heappush(heap, (start - x, i + start, j + start))
-                start = None
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if y - x >= least:
+                heapq.heappush(heap, (x - y, i + x, j + x))
     return out
 
 
+def matches_of(seeds: Seeds, at: np.ndarray, low: np.ndarray, n: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Rows (row, item, diagonal, first and last place in the text) of runs of hits on a diagonal, sorted by these.
+
+    at, row: places of seeds and their texts; low, n: where their hits begin among the seeds, and how many there are. Hits are
+    laid out HITS at a time and kept as runs, so that a seed of many items, or repeated in one, takes no more room.
+    """
+    found, total, start = [], np.cumsum(n), 0
+    while start < len(at):
+        end = max(start + 1, int(np.searchsorted(total, total[start] - n[start] + HITS, "right")))
+        k = n[start:end]
+        pick = np.repeat(low[start:end] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        place = np.repeat(at[start:end], k)
+        hits = np.stack([np.repeat(row[start:end], k), seeds.items[pick], place - seeds.places[pick], place])
+        hits = hits[:, np.lexsort(hits[::-1])]
+        new = np.append(True, (hits[:3, 1:] != hits[:3, :-1]).any(axis=0) | (hits[3, 1:] != hits[3, :-1] + 1))
+        first = np.flatnonzero(new)
+        found.append(np.vstack([hits[:, first], hits[3, np.append(first[1:], hits.shape[1]) - 1]]))
+        start = end
+    runs = np.concatenate(found, axis=1)
+    if len(found) > 1:
+        runs = runs[:, np.lexsort(runs[3::-1])]
+        new = np.append(True, (runs[:3, 1:] != runs[:3, :-1]).any(axis=0) | (runs[3, 1:] != runs[4, :-1] + 1))
+        first = np.flatnonzero(new)
+        runs = np.vstack([runs[:4, first], runs[4, np.append(first[1:], runs.shape[1]) - 1]])
+    return runs.T
+
+
+def reach(begins: np.ndarray, ends: np.ndarray) -> int:
+    """Places that the ranges cover."""
+    order = np.argsort(begins)
+    begins, upto = begins[order], np.maximum.accumulate(ends[order])
+    return int((upto - np.maximum(begins, np.append(begins[0], upto[:-1]))).clip(0).sum())
+
+
 def shared(texts: pa.Array, block: Block, coverage: float) -> Iterator[tuple[int, int, int, int]]:
     """(row, item, tiles, words that they cover) of at least ``coverage`` of the item."""
     for first, _, data, offsets in steps(texts):
@@ -118,22 +154,16 @@ def shared(texts: pa.Array, block: Block, coverage: float) -> Iterator[tuple[int
             at, low, high, row = at[good], low[good], high[good], row[good]
             if not len(at):
                 continue
-            n = high - low
-            pick = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            hits = np.stack([np.repeat(row, n), seeds.items[pick], np.repeat(at, n) - seeds.places[pick], np.repeat(at, n), seeds.places[pick]], axis=1)
-            hits = hits[np.lexsort((hits[:, 3], hits[:, 2], hits[:, 1], hits[:, 0]))]
-            edges = np.flatnonzero((hits[1:, :2] != hits[:-1, :2]).any(axis=1)) + 1
-            for part in np.split(hits, edges):
+            runs = matches_of(seeds, at, low, high - low, row)
+            edges = np.flatnonzero((runs[1:, :2] != runs[:-1, :2]).any(axis=1)) + 1
+            for part in np.split(runs, edges):
                 item, size = int(part[0, 1]), int(block.sizes[part[0, 1]])
-                least = coverage * size
-                reach = np.unique((part[:, 4, None] + np.arange(seeds.k)).ravel())
-                if len(reach) < least:  # tiles lie within the seeds
+                lengths, places = part[:, 4] - part[:, 3] + seeds.k, part[:, 3] - part[:, 2]
+                if reach(places, places + lengths) < coverage * size:  # tiles lie within the matches
                     continue
-                cuts = np.flatnonzero((part[1:, 2] != part[:-1, 2]) | (part[1:, 3] != part[:-1, 3] + 1)) + 1
-                runs = [(len(r) + seeds.k - 1, int(r[0, 3]), int(r[0, 4])) for r in np.split(part, cuts)]
-                found = tiles(runs, seeds.k)
+                found = tiles(list(zip(lengths.tolist(), part[:, 3].tolist(), places.tolist(), strict=True)), seeds.k)
                 covered = sum(t[0] for t in found)
-                if covered >= least:
+                if covered >= coverage * size:
                     yield first + int(part[0, 0]), item, len(found), covered
 
 
