@@ -9,8 +9,6 @@ columns of the input are ignored. If all labelled URLs share one label, that lab
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -21,10 +19,13 @@ from .common import ascii_lower, cut, table
 
 #: (verdict, host, path) of a rule: it fits the host and its subdomains, below the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Terms in a host that label a URL as bad where no rule does.
-BAD_TERMS = ("casino", "pills", "spam")
+#: Words in a host that label a URL as bad where no rule does: the subjects of public block lists. They stand in for labels,
+#: which the given tables do not have; a caller with labelled URLs passes those.
+BAD_TERMS = ("adult", "ads", "bets", "casino", "pills", "spam")
 #: At most so many labelled URLs of each label are fitted, those of the smallest hash.
 FIT_ROWS = 5000
+#: Suffix statistics of a URL leave out the labels of the hosts of its fold, so never hold its own.
+FOLDS = 5
 FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "params", "labels", "hyphens", "longest_label", "suffix_rate")
 
 
@@ -70,38 +71,50 @@ def lexical(pages: DataFrame) -> DataFrame:
     )
 
 
+def fold() -> Column:
+    """All URLs of a host are in one fold."""
+    return F.pmod(F.xxhash64("_host"), F.lit(FOLDS)).cast("int")
+
+
+def stand_in_labels(urls: DataFrame) -> DataFrame:
+    """Labels of URLs with a host (_url, _host, _path, _rule): the rule's verdict, else whether the host has one of BAD_TERMS as a word."""
+    bad = F.arrays_overlap(F.split("_host", r"[.-]"), F.array(*map(F.lit, BAD_TERMS)))
+    label = F.when(F.col("_rule").isNotNull(), F.col("_rule.verdict") == "block").otherwise(bad)
+    return urls.where(F.col("_host") != "").select("_url", "_host", "_path", label.cast("double").alias("_label"))
+
+
 def judge_urls(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, *, fit_rows: int = FIT_ROWS, trees: int = 12, depth: int = 3) -> DataFrame:
     """page_id, host, path, rule, verdict and the trees' score (chance of ``block``) for every page.
 
-    labels: ``url, label`` (1 is bad) to train on. By default the pages label themselves: by their rule
-    if one fits, else as bad if the host holds one of BAD_TERMS. At most ``fit_rows`` of each label are
-    fitted, which bounds the work of training; the suffix statistics count all labelled URLs.
+    labels: ``url, label`` (1 is bad) to train on; by default the pages' ``stand_in_labels``. At most ``fit_rows`` of each label are
+    fitted, which bounds the work of training; the suffix statistics count all labelled URLs but those of the hosts of a URL's own fold.
     """
     host, path = parts(F.col("url"))
     base = pages.select("page_id", F.col("url").alias("_url"), host.alias("_host"), path.alias("_path"))
     base = base.withColumn("_rule", first_rule(F.col("_host"), F.col("_path"), rules))
     if labels is None:
-        bad = reduce(lambda a, b: a | b, [F.contains("_host", F.lit(t)) for t in BAD_TERMS])
-        label = F.when(F.col("_rule").isNotNull(), F.col("_rule.verdict") == "block").otherwise(bad)
-        known = base.where(F.col("_host") != "").select("_url", "_host", "_path", label.cast("double").alias("_label"))
+        known = stand_in_labels(base)
     else:
         host, path = parts(F.col("url"))
         known = labels.select(F.col("url").alias("_url"), host.alias("_host"), path.alias("_path"), F.col("label").cast("double").alias("_label")).where("_label is not null")
     every = lexical(base)
-    known = known.withColumn("_suffix", F.element_at(F.split("_host", r"\."), -1))
-    # Counts by suffix, smoothed towards an even chance.
-    rates = cut(known.groupBy("_suffix").agg(((F.sum("_label") + 1) / (F.count("*") + 2)).alias("suffix_rate"), F.sum("_label").alias("_bad"), F.count("*").alias("_n")))
-    total = rates.agg(F.sum("_bad").alias("bad"), F.sum("_n").alias("n")).first()
+    # Counts by suffix and fold; a fold's rate is that of the others, smoothed towards an even chance.
+    counts = known.groupBy(F.element_at(F.split("_host", r"\."), -1).alias("_suffix"), fold().alias("_fold")).agg(F.sum("_label").alias("_bad"), F.count("*").alias("_n"))
+    counts = cut(counts)
+    total = counts.agg(F.sum("_bad").alias("bad"), F.sum("_n").alias("n")).first()
     bad, n = total["bad"] or 0, total["n"] or 0
+    whole = counts.groupBy("_suffix").agg(F.sum("_bad").alias("_bads"), F.sum("_n").alias("_ns")).withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))))
+    other = [F.col(f"_{c}s") - F.coalesce(f"_{c}", F.lit(0)) for c in ("bad", "n")]
+    rates = cut(whole.join(counts, ["_suffix", "_fold"], "left").select("_suffix", "_fold", ((other[0] + 1) / (other[1] + 2)).alias("suffix_rate")))
 
     def rated(df: DataFrame) -> DataFrame:
-        return df.join(rates.select("_suffix", "suffix_rate"), "_suffix", "left").fillna(0.5, ["suffix_rate"])
+        return df.withColumn("_fold", fold()).join(rates, ["_suffix", "_fold"], "left").fillna(0.5, ["suffix_rate"])
 
     if 0 < bad < n:
         fitted = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_url"), "_url").limit(fit_rows) for y in (0.0, 1.0)]
         made = VectorAssembler(inputCols=list(FEATURES), outputCol="_vector")
         model = GBTClassifier(featuresCol="_vector", labelCol="_label", maxIter=trees, maxDepth=depth, seed=7)
-        fit_on = rated(lexical(fitted[0].unionByName(fitted[1]).drop("_suffix"))).coalesce(1)
+        fit_on = rated(lexical(fitted[0].unionByName(fitted[1]))).coalesce(1)
         scored = model.fit(made.transform(fit_on)).transform(made.transform(rated(every)))
         score = vector_to_array("probability")[1]
     else:
