@@ -66,7 +66,7 @@ def mixed(docs: DataFrame, carry: tuple[str, ...] = (), seed: int = SEED) -> Dat
         F.col("source").cast("string").alias("_source"),
         F.regexp_count(text, F.lit(_WORD)).cast("long").alias("_size"),
         quality_level(text).alias("_level"),
-        uniform(F.col("doc_id"), seed).alias("_u"),
+        uniform(F.col("doc_id"), F.md5(text), seed).alias("_u"),
     )
     slim = cut(base.select("doc_id", "_source", "_size", "_level", "_u"))
     sources, n_sources = _targets(slim)
@@ -108,7 +108,7 @@ ORACLES = {
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 e AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
   1 - CAST(length(regexp_replace(t, '[\p{{L}} \n]+', '', 'g')) AS DOUBLE) / greatest(length(t), 1) AS plain,
-  (CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM d),
+  (CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(t)), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u FROM d),
 k AS (SELECT *, -ln(u) / (CASE WHEN plain < 0.6 THEN 0.25 WHEN plain < 0.8 THEN 0.5 WHEN plain < 0.9 THEN 0.75 ELSE 1.0 END) AS key FROM e),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM k GROUP BY source),
 w AS (SELECT *, CAST((sid - 1) % 3 + 1 AS BIGINT) AS w, 3 * source_size AS cap FROM s),

@@ -13,9 +13,9 @@ SMALL_ROWS = 100_000
 UNIT = float(1 << 52)
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in (0, 1) that the id and the seed decide."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def uniform(doc_id: Column, tie: Column, seed: int) -> Column:
+    """A number in (0, 1) that the id, a digest of the row's text as tie and the seed decide, so that rows of one id are spread too."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), tie.cast("string")))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / UNIT
 
 
