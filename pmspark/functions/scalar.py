@@ -74,6 +74,16 @@ def normalize_label(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.lower(text), "_-", "  "), r"\s+", " "))
 
 
+def form_encoded(text: Column) -> Column:
+    """As a form field: a blank is a plus sign; letters, digits and ``-_.~`` stay."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def percent_encoded(text: Column) -> Column:
+    """As part of a path: a blank is ``%20``."""
+    return F.replace(form_encoded(text), F.lit("+"), F.lit("%20"))
+
+
 def truthy(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
 

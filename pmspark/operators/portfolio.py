@@ -176,6 +176,15 @@ def settlement_gate(results: DataFrame) -> DataFrame:
     return results.withColumn("settle", apply).withColumn("warning", warn)
 
 
+def apply_settlement(results: DataFrame) -> DataFrame:
+    """Results (pnl, settlement_pnl, observable_ns, replay_end_ns) with their settled P&L where ``settlement_gate`` lets it: market_exit_pnl keeps the
+    former one, ``applied`` says which it is, and ``warning`` why not."""
+    gated = settlement_gate(results)
+    applied = F.col("settle") & F.col("settlement_pnl").isNotNull()
+    out = gated.withColumn("applied", F.coalesce(applied, F.lit(False))).withColumn("market_exit_pnl", F.when(F.col("applied"), F.col("pnl")))
+    return out.withColumn("pnl", F.when(F.col("applied"), F.col("settlement_pnl")).otherwise(F.col("pnl"))).drop("settle")
+
+
 def settlement_overlay(series: DataFrame, settlements: DataFrame) -> DataFrame:
     """The series with the settled value from the settlement time on, and a row at that time if there was none."""
     added = settlements.where("settle").select(KEY, F.col("settlement_ns").alias("ts_ns"), F.lit(None).cast("double").alias("value"))

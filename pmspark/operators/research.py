@@ -122,7 +122,13 @@ def first_number(*texts: Column, low: float = 0.0) -> Column:
 
 
 def normalize_market(catalog: DataFrame) -> DataFrame:
-    """Catalog rows (ids, outcomes, prices as lists) as markets with ``tokens``; prices default to 0.5, ticks to 0.001, sizes to 5."""
+    """Catalog rows (ids, outcomes, prices as lists) as markets with ``tokens``; prices default to 0.5, ticks to 0.001, sizes to 5.
+
+    A catalog with ``reward_rates`` (a list), ``reward_min_size`` and ``reward_max_spread`` gives ``rewards`` of the first rate, null without any.
+    """
+    if "reward_rates" in catalog.columns:
+        rewards = F.struct(F.get("reward_rates", F.lit(0)).alias("rate"), F.col("reward_min_size").alias("min_size"), F.col("reward_max_spread").alias("max_spread"))
+        catalog = catalog.withColumn("rewards", F.when(F.size("reward_rates") > 0, rewards)).drop("reward_rates", "reward_min_size", "reward_max_spread")
     token = lambda t: F.struct(t["ids"].alias("token_id"), t["outcomes"].alias("outcome"), F.coalesce(t["prices"].try_cast("double"), F.lit(0.5)).alias("price"))
     zipped = F.arrays_zip("ids", "outcomes", "prices")
     return catalog.withColumn("tokens", F.transform(zipped, token)).withColumn("tick", F.coalesce("tick", F.lit(0.001))).withColumn("min_size", F.coalesce("min_size", F.lit(5.0)))
@@ -155,6 +161,25 @@ def extract_resolution(markets: DataFrame, key: str = "market_id") -> DataFrame:
     return markets.select(key, *kept, *tokens)
 
 
+#: States of a resolved market at the first venue; without a state a closed market counts as resolved.
+RESOLVED = ("resolved", "settled", "finalized")
+
+
+def is_fifty_fifty(tokens: Column) -> Column:
+    return F.forall(tokens, lambda t: F.abs(F.coalesce(t["price"], F.lit(0.0)) - 0.5) <= 1e-6)
+
+
+def winners_by_price(tokens: Column, closed: Column, status: Column, least: float = 0.99) -> Column:
+    """Of a closed and resolved market a map from outcome (trimmed, lower case) to whether it won: the first of the greatest price, from
+    ``least`` on. Null for others and for fifty-fifty."""
+    prices = F.transform(tokens, lambda t: F.coalesce(t["price"], F.lit(0.0)))
+    first = F.array_position(prices, F.array_max(prices)) - 1
+    names = F.transform(tokens, lambda t: F.lower(F.trim(t["outcome"])))
+    state = F.lower(F.trim(F.coalesce(status, F.lit(""))))
+    good = closed & ((state == "") | state.isin(*RESOLVED)) & (F.array_max(prices) >= least) & ~is_fifty_fifty(tokens)
+    return F.when(good, F.map_from_arrays(names, F.transform(tokens, lambda t, i: i == first)))
+
+
 def realized_outcome(result: Column, value: Column, tokens: Column) -> Column:
     """yes or no, then a number 0, 1 or 100, then the place of the winning token; 50-50 and the rest are null."""
     text = F.lower(F.trim(result))

@@ -44,6 +44,11 @@ def vwap_reversion(q: DataFrame, window: int, entry: float, exit_: float, min_si
     return out.withColumn("entry", F.col("price") <= F.col("vwap") - entry).withColumn("exit", F.col("price") >= F.col("vwap") - exit_)
 
 
+def book_points(quotes: DataFrame) -> DataFrame:
+    """Quotes with both sides as points of the middle price and the mean of both best sizes, for signals over prices and sizes."""
+    return quotes.where("bid is not null and ask is not null").withColumn("price", (F.col("bid") + F.col("ask")) / 2).withColumn("size", (F.coalesce("bid_size", F.lit(0.0)) + F.coalesce("ask_size", F.lit(0.0))) / 2)
+
+
 def panic_fade(q: DataFrame, window: int, drop: float, panic: float) -> DataFrame:
     out = q.withColumn("high", _previous(F.max("price"), window))
     return out.withColumn("entry", (F.col("high") - F.col("price") >= drop) & (F.col("price") <= panic))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pmspark.functions import scalar as S
@@ -47,10 +47,24 @@ def onchain_fill_rows(trades: DataFrame, start_s: int, end_s: int) -> DataFrame:
     return t.select("asset", (F.col("ts_s") * S.NS + nth).alias("ts_ns"), trade_id(tx, F.col("asset"), number).alias("trade_id"), "price", "size", S.normalize_aggressor(F.col("side")).alias("aggressor"))
 
 
-def venue2_trade_rows(trades: DataFrame) -> DataFrame:
-    """Trades with prices in cents or dollars and a taker side; an absent id is a digest of the row."""
+def _venue2_fault() -> Column:
+    """Why a trade of the second venue cannot be used, else null."""
+    number = F.col("price_text").try_cast("decimal(18,9)")
     price = S.normalize_cent_price(F.col("price_text"))
-    t = trades.withColumn("price", price).where("price is not null and price > 0 and price < 1")
+    return (
+        F.when(F.col("price_text").isNull(), "no price").when(number.isNull(), "price is no number").when(price.isNull(), "price outside 0 and 1")
+        .when((price <= 0) | (price >= 1), "price at a bound").when(F.col("ts_s").isNull(), "no time").when(F.coalesce(F.col("size") <= 0, F.lit(True)), "no size")
+    )
+
+
+def venue2_rejects(trades: DataFrame) -> DataFrame:
+    """The trades that ``venue2_trade_rows`` leaves out, with the reason."""
+    return trades.withColumn("reason", _venue2_fault()).where("reason is not null")
+
+
+def venue2_trade_rows(trades: DataFrame) -> DataFrame:
+    """Trades with prices in cents or dollars and a taker side; an absent id is a digest of the row. The others are ``venue2_rejects``."""
+    t = trades.where(_venue2_fault().isNull()).withColumn("price", S.normalize_cent_price(F.col("price_text")))
     nth = F.row_number().over(Window.partitionBy("asset", "ts_s").orderBy("input_seq")) - 1
     made = F.substring(F.sha2(F.concat_ws(",", "asset", "ts_s", "price_text", "size", "taker_side"), 256), 1, 32)
     side = F.when(F.col("taker_side") == "yes", 1).when(F.col("taker_side") == "no", 2).otherwise(0)

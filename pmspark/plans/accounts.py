@@ -255,3 +255,19 @@ def settlement_joint(spark, d):
     s = P.settlement_gate(_gate_inputs(f)).withColumn("settlement_ns", half).withColumn("delta", F.expr("cast(series_end_ns div 1000000000 % 7 as double)"))
     joint = _dense(spark, d).groupBy("ts_ns").agg(F.sum("mark").alias("value"))
     return P.joint_settlement(joint, s).withColumn("value", F.round("value", 2))
+
+
+@query(
+    "result_policy",
+    sql(
+        _SETTLED.rstrip() + ", " + _RESULTS.replace("fx_prices", "fx_fills") + _GATED + ", m AS (SELECT instrument_id, cash_flow - commissions AS exit_pnl, pnl AS settled FROM settled) "
+        "SELECT instrument_id, settle AND settled IS NOT NULL AS applied, CASE WHEN settle AND settled IS NOT NULL THEN CAST(exit_pnl AS DOUBLE) END AS market_exit_pnl, CAST(CASE WHEN settle AND settled IS NOT NULL THEN settled ELSE exit_pnl END AS DOUBLE) AS pnl, warning FROM m JOIN gated USING (instrument_id)",
+        "fx_fills",
+        "fx_outcomes",
+    ),
+)
+def result_policy(spark, d):
+    """Each result's P&L, settled where that could be observed by the replay's end."""
+    settled = P.settlement_pnl(fx.fills(spark, d), fx.outcomes(spark, d)).select("instrument_id", (F.col("cash_flow") - F.col("commissions")).alias("pnl"), F.col("pnl").alias("settlement_pnl"))
+    out = P.apply_settlement(settled.join(_gate_inputs(fx.fills(spark, d)), "instrument_id"))
+    return doubles(out, "pnl", "market_exit_pnl").select("instrument_id", "applied", "market_exit_pnl", "pnl", "warning")

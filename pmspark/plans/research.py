@@ -111,13 +111,35 @@ def _catalog(spark, d):
     m, k = fx.markets(spark, d), F.col("market_id")
     ids = F.array(F.concat(k.cast("string"), F.lit("-Y")), F.concat(k.cast("string"), F.lit("-N")))
     prices = F.array(F.when(k % 4 != 0, F.col("yes_price").cast("string")), F.lit("0.25"))
-    return m.select("market_id", ids.alias("ids"), F.array(F.lit("Yes"), F.lit("No")).alias("outcomes"), prices.alias("prices"), F.when(k % 2 == 0, 0.01).alias("tick"), F.when(k % 3 == 0, 10.0).alias("min_size"))
+    rates = F.when(k % 5 == 0, F.array(k % 9, F.lit(1))).when(k % 5 == 1, F.array().cast("array<bigint>"))
+    return m.select(
+        "market_id", ids.alias("ids"), F.array(F.lit("Yes"), F.lit("No")).alias("outcomes"), prices.alias("prices"), F.when(k % 2 == 0, 0.01).alias("tick"), F.when(k % 3 == 0, 10.0).alias("min_size"),
+        rates.alias("reward_rates"), (k % 7).alias("reward_min_size"), (k % 4).alias("reward_max_spread"),
+    )
+
 
+_NORMAL = "CAST(coalesce(CASE WHEN market_id % 2 = 0 THEN 0.01 END, 0.001) AS DOUBLE) AS tick, CAST(coalesce(CASE WHEN market_id % 3 = 0 THEN 10.0 END, 5.0) AS DOUBLE) AS min_size, market_id || '-Y' AS token_id, CASE WHEN market_id % 4 <> 0 THEN CAST(yes_price AS DOUBLE) ELSE 0.5 END AS price"
 
-@query("normalize_market", sql("SELECT market_id, CAST(coalesce(CASE WHEN market_id % 2 = 0 THEN 0.01 END, 0.001) AS DOUBLE) AS tick, CAST(coalesce(CASE WHEN market_id % 3 = 0 THEN 10.0 END, 5.0) AS DOUBLE) AS min_size, market_id || '-Y' AS token_id, CASE WHEN market_id % 4 <> 0 THEN CAST(yes_price AS DOUBLE) ELSE 0.5 END AS price FROM fx_markets", "fx_markets"))
+
+@query("normalize_market", sql(f"SELECT market_id, {_NORMAL}, CASE WHEN market_id % 5 = 0 THEN market_id % 9 || ',' || market_id % 7 || ',' || market_id % 4 END AS rewards FROM fx_markets", "fx_markets"))
 def normalize_market(spark, d):
     n = R.normalize_market(_catalog(spark, d))
-    return n.select("market_id", "tick", "min_size", F.col("tokens")[0]["token_id"].alias("token_id"), F.col("tokens")[0]["price"].alias("price"))
+    rewards = F.when(F.col("rewards").isNotNull(), F.concat_ws(",", "rewards.rate", "rewards.min_size", "rewards.max_spread"))
+    return n.select("market_id", "tick", "min_size", F.col("tokens")[0]["token_id"].alias("token_id"), F.col("tokens")[0]["price"].alias("price"), rewards.alias("rewards"))
+
+
+_WON = "market_id % 2 = 0 AND market_id % 5 <> 0 AND greatest(yes_price, 1 - yes_price) >= 0.9"
+
+
+@query("winners_by_price", sql(f"SELECT market_id, CASE WHEN {_WON} THEN yes_price >= 0.5 END AS yes_won, CASE WHEN {_WON} THEN yes_price < 0.5 END AS no_won, yes_price = 0.5 AS even FROM fx_markets", "fx_markets"))
+def winners_by_price(spark, d):
+    """The winner of a token, looked up in the map of its market."""
+    p, k = F.col("yes_price").cast("double"), F.col("market_id")
+    token = lambda name, price: F.struct(F.lit(name).alias("outcome"), F.round(price, 4).alias("price"))
+    tokens = F.array(token(" Yes", p), token("No", 1 - p))
+    status = F.when(k % 5 == 0, "proposed").when(k % 5 > 1, " Resolved")
+    won = R.winners_by_price(tokens, k % 2 == 0, status, 0.9)
+    return fx.markets(spark, d).select("market_id", won["yes"].alias("yes_won"), won["no"].alias("no_won"), R.is_fifty_fifty(tokens).alias("even"))
 
 
 def _flagged(spark, d):

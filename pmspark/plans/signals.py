@@ -52,6 +52,12 @@ def sig_vwap(spark, d):
     return _flags(G.vwap_reversion(px(spark, d), 8, 0.05003, 0.01003, 10), "vwap", digits=12)
 
 
+@query("sig_vwap_book", sql(f"q AS (SELECT instrument_id, ts_ns, seq, mid AS price, (bid_size + ask_size) / 2 AS size FROM fx_quotes), b AS (SELECT * FROM q WHERE size >= 10), s AS (SELECT *, {_prev('sum(price * size)', 8)} / {_prev('sum(size)', 8)} AS vwap FROM b) SELECT instrument_id, seq, coalesce(price <= vwap - 0.00503, false) AS entry, coalesce(price >= vwap - 0.00103, false) AS exit, round(vwap, 9) + 0.0 AS vwap FROM s", "fx_quotes"))
+def sig_vwap_book(spark, d):
+    """Over the book: the middle price, and the mean of both best sizes."""
+    return _flags(G.vwap_reversion(G.book_points(fx.quotes(spark, d)), 8, 0.00503, 0.00103, 10), "vwap", digits=9)
+
+
 @query("sig_panic_fade", sql(_P + f", s AS (SELECT *, {_prev('max(price)', 6)} AS high FROM px) SELECT instrument_id, seq, coalesce(high - price >= 0.10003 AND price <= 0.3, false) AS entry FROM s", "fx_prices"))
 def sig_panic_fade(spark, d):
     return _flags(G.panic_fade(px(spark, d), 6, 0.10003, 0.3))

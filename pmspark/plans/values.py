@@ -114,6 +114,12 @@ def string_functions(spark, d):
     return p.select("p_partkey", S.normalize_label(F.concat_ws("_", "p_name", "p_type")).alias("label"), S.suffix(F.col("p_name"), 4).alias("suffix"), S.tag_value(tags, "brand").alias("tag"))
 
 
+@query("url_encoding", "SELECT p_partkey, url_encode(t) AS percent, replace(url_encode(t), '%20', '+') AS form FROM (SELECT p_partkey, p_name || '/é~*&=' || p_type AS t FROM part)")
+def url_encoding(spark, d):
+    text = F.concat("p_name", F.lit("/é~*&="), "p_type")
+    return fx.table(spark, d, "part").select("p_partkey", S.percent_encoded(text).alias("percent"), S.form_encoded(text).alias("form"))
+
+
 @query("ns_text", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '.' || lpad(CAST(epoch_us(ts) % 1000000 * 1000 + event_id % 1000 AS VARCHAR), 9, '0') || 'Z' AS t FROM events")
 def ns_text(spark, d):
     ns = S.micros_ns(F.col("ts")) + F.col("event_id") % 1000
@@ -200,6 +206,17 @@ def venue2_trade_rows(spark, d):
     return T.venue2_trade_rows(t).withColumn("price", F.col("price").cast("double"))
 
 
+@query(
+    "venue2_rejects",
+    sql("t AS (SELECT input_seq, CASE input_seq % 11 WHEN 0 THEN 'no price' WHEN 1 THEN 'price is no number' WHEN 2 THEN 'price outside 0 and 1' WHEN 3 THEN 'price outside 0 and 1' WHEN 4 THEN 'price at a bound' WHEN 5 THEN 'price at a bound' ELSE CASE WHEN input_seq % 13 = 0 THEN 'no time' WHEN input_seq % 17 = 0 THEN 'no size' END END AS reason FROM fx_trades) SELECT * FROM t WHERE reason IS NOT NULL", "fx_trades"),
+)
+def venue2_rejects(spark, d):
+    k = F.col("input_seq")
+    text = F.when(k % 11 == 1, "x").when(k % 11 == 2, "-5").when(k % 11 == 3, "250").when(k % 11 == 4, "0").when(k % 11 == 5, "1.0").when(k % 11 > 5, "55")
+    t = fx.trades(spark, d).withColumn("price_text", text).withColumn("ts_s", F.when(k % 13 != 0, F.col("ts_s"))).withColumn("size", F.when(k % 17 != 0, F.col("size")))
+    return T.venue2_rejects(t).select("input_seq", "reason")
+
+
 @query(
     "candles_to_bars",
     "SELECT 'U' || user_id AS instrument_id, count(*) AS bars, sum(event_id % 50 + 1)::BIGINT AS volume, round(max(CAST(event_id % 100 AS DOUBLE) / 100), 6) AS high, round(min(CAST(event_id % 90 AS DOUBLE) / 100), 6) AS close FROM events WHERE event_id % 6 <> 0 GROUP BY 1",
