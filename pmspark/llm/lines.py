@@ -5,8 +5,8 @@ characters: seven bands of three min-hashes, so lines of Jaccard similarity 0.8
 0.9999. A line of many words is signed by the shingles that begin a word, whose similarity is that of all shingles in the mean, one of few
 words by all its shingles, one between by both. Within a step of texts equal lines are signed once, so a common line is no hot key. Keys
 that a sample of the lines shows to be hot are dealt in chunks, of which every two meet in a task of
-their own. Buckets with the same lines are one bucket, and buckets with the same first line are compared in one go, by the
-exact Jaccard similarity of all shingles; pairs that links join already are left out. A
+their own. Lines of all bands that have the same first line are compared in one go, by the exact Jaccard similarity of all
+shingles, and give a link where that joins two sets of them. A
 distributed union-find makes the components; the first line, by (doc_id, line number), is kept.
 
 Marked for DataFrame functions only, this operator signs and compares lines in numpy instead; the README has the figures.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P_WORD, SPACES, Rolling, cut, free, mixed, small, steps, table, written
+from .common import P_WORD, SMALL_IDS, SPACES, Rolling, cut, free, mixed, small, steps, table, written
 from .components import components
 from .simhash import Sets
 
@@ -37,8 +37,6 @@ FEW, ENOUGH = 24, 18
 CHUNK = 512
 #: One line in so many shows which keys are hot; this decides how they are dealt, not what is compared.
 SAMPLE = 64
-#: Shingles that a task keeps of the lines that it has compared last.
-KEPT_SHINGLES = 4 << 20
 _RNG = np.random.default_rng(5)
 _A = (_RNG.integers(0, 1 << 31, ROWS * BANDS, dtype=np.int64) * 2 + 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.int64).astype(np.uint32)
@@ -112,39 +110,40 @@ def line_table(texts: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
         yield first + row, number, lid.view(np.int64), blank, np.bincount(at, minlength=len(row)) * BANDS, bands.ravel().view(np.int64)
 
 
-def shingles(line: str) -> np.ndarray:
-    chars = _folded(np.frombuffer(line.encode(), dtype=np.uint8))
-    n, rolled = max(len(chars) - SHINGLE + 1, 1), Rolling(chars)
-    at = np.arange(n)
-    return np.unique(rolled(at, np.minimum(at + SHINGLE, len(chars))))
+def shingles(lines: pa.Array) -> Iterator[np.ndarray]:
+    """The distinct hashes of each line's shingles, sorted."""
+    for _, _, data, offsets in steps(lines):
+        begins = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
+        chars = _folded(data)
+        counts = np.maximum(np.diff(begins) - SHINGLE + 1, 1)
+        places, at = _ranges(begins[:-1], counts)
+        h = Rolling(chars)(places, np.minimum(places + SHINGLE, np.repeat(begins[1:], counts)))
+        for i, n in zip(at.tolist(), counts.tolist(), strict=True):
+            yield np.unique(h[i : i + n])
 
 
-def similar_links(ids: list[int], sets_of: list[np.ndarray], joined: Sets, least: float = SIMILAR) -> list[tuple[int, int]]:
-    """Links between the members of a bucket that are similar, those that join two sets so far."""
-    roots = np.array([joined.find(i) for i in ids])
-    if (roots == roots[0]).all():
-        return []
+def similar_links(ids: list[int], sets_of: list[np.ndarray], least: float = SIMILAR) -> list[tuple[int, int]]:
+    """Links between lines that are similar, those that join two sets so far."""
     if len(ids) == 2:
         x, y = sets_of
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return [(ids[0], ids[1])] if both >= least * (len(x) + len(y) - both) and joined.join(*ids) else []
-    out, sizes = [], np.array([len(s) for s in sets_of])
-    values, back = np.unique(np.concatenate(sets_of), return_inverse=True)
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    order = np.argsort(back, kind="stable")
-    holders, heads = owner[order], np.searchsorted(back[order], np.arange(len(values) + 1))
+        return [(ids[0], ids[1])] if both >= least * (len(x) + len(y) - both) else []
+    joined, out, sizes = Sets(), [], np.array([len(s) for s in sets_of])
+    order = np.argsort(np.concatenate(sets_of), kind="stable")
+    values, owner = np.concatenate(sets_of)[order], np.repeat(np.arange(len(ids)), sizes)[order]
+    new = np.append(True, values[1:] != values[:-1])
+    heads = np.append(np.flatnonzero(new), len(values))
+    place = np.empty(len(values), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
     ends = np.cumsum(sizes)
     for i in range(1, len(ids)):
-        if (roots[:i] == roots[i]).all():
-            continue
-        mine = back[ends[i] - sizes[i] : ends[i]]
+        mine = place[ends[i] - sizes[i] : ends[i]]
         n = heads[mine + 1] - heads[mine]
         pick = np.repeat(heads[mine] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(holders[pick], minlength=len(ids))
-        for j in np.flatnonzero(both[:i] >= least * (sizes[:i] + sizes[i] - both[:i])).tolist():
-            if joined.join(ids[i], ids[j]):
+        both = np.bincount(owner[pick], minlength=len(ids))[:i]
+        for j in np.flatnonzero(both >= least * (sizes[:i] + sizes[i] - both)).tolist():
+            if joined.join(i, j):
                 out.append((ids[i], ids[j]))
-                roots = np.array([joined.find(k) for k in ids])
     return out
 
 
@@ -162,8 +161,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(read, schema))
 
 
-def _buckets(lines: DataFrame) -> DataFrame:
-    """A written table: home, bucket, lid, for the buckets (or pairs of chunks) of two and more lines; a bucket's home is its first line."""
+def _homes(lines: DataFrame) -> DataFrame:
+    """A written table: home, lid. Lines that share a band, or two chunks of a hot one, share a home, which is named by their first line."""
     keyed = lines.select("lid", F.explode("bands").alias("key"))
     hot = keyed.where(F.pmod(F.xxhash64("lid"), F.lit(SAMPLE)) == 0).distinct().groupBy("key").count().where(f"count * {SAMPLE} > {CHUNK}")
     hot = cut(hot.select(F.col("key").alias("_hot"), F.ceil(F.col("count") * SAMPLE / CHUNK).alias("chunks")))
@@ -180,15 +179,12 @@ def _buckets(lines: DataFrame) -> DataFrame:
         def closed(key, part, lid):
             new = np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))
             fresh = new | np.append(True, lid[1:] != lid[:-1])
-            new, part, lid, group = new[fresh], part[fresh], lid[fresh], np.cumsum(new[fresh]) - 1
-            n = np.bincount(group, minlength=1)
-            # The bucket is named by its lines, so that equal buckets of several bands are one.
-            name = np.zeros(len(n), dtype=np.uint64)
-            np.add.at(name, group, mixed(lid.view(np.uint64)))
-            # Pairs of chunks have homes of their own, so that a hot bucket is not compared in one task.
-            home = mixed(lid[new].view(np.uint64) * np.uint64(P_WORD) + part[new].astype(np.uint64))
-            keep = n[group] > 1
-            return pa.RecordBatch.from_arrays([pa.array(home[group[keep]].view(np.int64)), pa.array(mixed(name)[group[keep]].view(np.int64)), pa.array(lid[keep])], ["home", "bucket", "lid"])
+            new, key, part, lid = new[fresh], key[fresh], part[fresh], lid[fresh]
+            group = np.cumsum(new) - 1
+            keep = np.bincount(group, minlength=1)[group] > 1
+            # Pairs of chunks have homes of their own, so that a hot band is not compared in one task.
+            home = mixed(lid[new].view(np.uint64) * np.uint64(P_WORD) + part[new].astype(np.uint64)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(home[group[keep]]), pa.array(key[keep]), pa.array(lid[keep])], ["home", "key", "lid"])
 
         for batch in batches:
             now = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rest)]
@@ -203,69 +199,60 @@ def _buckets(lines: DataFrame) -> DataFrame:
             yield closed(*rest)
 
     dealt = dealt.select("key", "part", "lid").repartition("key", "part").sortWithinPartitions("key", "part", "lid")
-    out = cut(dealt.mapInArrow(gather, "home bigint, bucket bigint, lid bigint").distinct())
-    # A line that is the first of many buckets is no home of them all.
-    large = cut(out.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.count("*") / (2 * CHUNK)).alias("homes")).where("homes > 1"))
-    split = F.xxhash64("home", F.pmod("bucket", F.col("homes")))
-    return out.join(small(large), F.col("home") == F.col("_home"), "left").select(F.coalesce(F.when(F.col("homes").isNotNull(), split), "home").alias("home"), "bucket", "lid")
+    out = cut(dealt.mapInArrow(gather, "home bigint, key bigint, lid bigint"))
+    # A line that is the first of many bands is no home of them all.
+    large = out.groupBy(F.col("home").alias("_home")).agg(F.ceil(F.approx_count_distinct("lid") / (2 * CHUNK)).alias("homes")).where("homes > 1")
+    split = F.xxhash64("home", F.pmod("key", F.col("homes")))
+    out = out.join(small(cut(large)), F.col("home") == F.col("_home"), "left")
+    return cut(out.select(F.coalesce(F.when(F.col("homes").isNotNull(), split), "home").alias("home"), "lid").distinct())
 
 
-def _links(docs: DataFrame, firsts: DataFrame, buckets: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, firsts: DataFrame, homes: DataFrame) -> DataFrame:
     """Pairs a, b of similar lines' hashes. firsts: lid, doc_id, line_no of one line of each hash."""
-    wanted = cut(buckets.select(F.col("lid").alias("_lid")).distinct())
-    wanted = firsts.join(small(wanted), F.col("lid") == F.col("_lid")).select(F.col("doc_id").alias("_id"), "line_no", "lid")
-    wanted = small(cut(wanted))
-    pieces = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")))
-    pieces = pieces.select("lid", F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.col("line_no")).alias("line")).where("line is not null")
+    wanted = cut(homes.select(F.col("lid").alias("_lid")).distinct())
+    wanted = firsts.join(small(wanted), F.col("lid") == F.col("_lid")).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_wanted"))
+    pieces = docs.select("doc_id", "text").join(small(cut(wanted), SMALL_IDS // 4), F.col("doc_id").eqNullSafe(F.col("_id"))).select(F.coalesce("text", F.lit("")).alias("text"), "_wanted")
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows that repeat a doc_id may hold other lines
-            mine = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in _hashes(batch.column(1)))])
-            yield batch.filter(pa.array(mine == batch.column(0).to_numpy()))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
+                lines = text.as_py().split("\n")  # of rows that repeat a doc_id, one may have fewer
+                found += [lines[i] for i in wanted.values.to_pylist() if i < len(lines)]
+            found = pa.array(found, pa.string())
+            lids = np.concatenate([np.zeros(0, np.int64), *_hashes(found)])
+            yield pa.RecordBatch.from_arrays([pa.array(lids), found], ["_lid", "line"])
 
-    texts = written(pieces.mapInArrow(own, "lid bigint, line string")).withColumnRenamed("lid", "_lid")
-    members = buckets.join(texts, F.col("lid") == F.col("_lid")).select("home", "bucket", "lid", "line").repartition("home").sortWithinPartitions("home", "bucket", "lid")
+    texts = written(pieces.mapInArrow(pick, "_lid bigint, line string"))
+    members = homes.join(texts, F.col("lid") == F.col("_lid")).select("home", "lid", "line").repartition("home").sortWithinPartitions("home", "lid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, lines_of, joined, known, held, out = (None, None), [], [], Sets(), {}, 0, []
-
-        def rows():
-            for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            yield None, None, None, None
+        now, ids, sets_of, out = None, [], [], []
 
         def made(pairs):
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-        for home, bucket, lid, line in rows():
-            if (home, bucket) != now or bucket is None:
-                if len(ids) > 1 and len({joined.find(i) for i in ids}) > 1:
-                    for i, text in zip(ids, lines_of, strict=True):
-                        if i not in known:
-                            known[i] = shingles(text)
-                            held += len(known[i])
-                    out += similar_links(ids, [known[i] for i in ids], joined)
-                if home != now[0] or held > KEPT_SHINGLES:
-                    known, held = {}, 0
-                if home != now[0]:
-                    joined = Sets()
-                now, ids, lines_of = (home, bucket), [], []
-                if len(out) > 8192:
-                    yield made(out)
-                    out = []
-            if bucket is not None and lid not in ids[-1:]:
-                ids.append(lid)
-                lines_of.append(line)
-        yield made(out)
+        for batch in batches:
+            for home, lid, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shingles(batch.column(2)), strict=True):
+                if home != now:
+                    out += similar_links(ids, sets_of) if len(ids) > 1 else []
+                    now, ids, sets_of = home, [], []
+                if lid not in ids[-1:]:
+                    ids.append(lid)
+                    sets_of.append(found)
+            if out:
+                yield made(out)
+                out = []
+        yield made(similar_links(ids, sets_of) if len(ids) > 1 else [])
 
     return members.mapInArrow(compare, "a bigint, b bigint")
 
 
-def _hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first, end, hashes) of runs of texts, each taken as one line."""
-    for first, end, data, offsets in steps(texts):
+def _hashes(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of runs of texts, each taken as one line."""
+    for _, _, data, offsets in steps(texts):
         begins = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
-        yield first, end, Rolling(_folded(data))(begins[:-1], begins[1:]).view(np.int64)
+        yield Rolling(_folded(data))(begins[:-1], begins[1:]).view(np.int64)
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -273,7 +260,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     lines = _lines(docs)
     place = F.struct(F.col("doc_id").alias("doc_id"), F.col("line_no").alias("line_no"))
     firsts = cut(lines.where("not blank").groupBy("lid").agg(F.min(place).alias("first")).select("lid", "first.doc_id", "first.line_no"))
-    found = cut(components(_links(docs, firsts, _buckets(lines))))
+    found = cut(components(_links(docs, firsts, _homes(lines))))
     # Only lines that are similar to others have another keeper than their own first.
     classed = cut(firsts.join(small(found), F.col("lid") == F.col("node")).select("lid", "root", place.alias("place")))
     keeper = classed.groupBy(F.col("root").alias("_root")).agg(F.min("place").alias("other"))
