@@ -6,7 +6,6 @@ import pickle
 import re
 import tempfile
 from collections.abc import Iterator
-from functools import cache
 from uuid import uuid4
 
 import numpy as np
@@ -132,17 +131,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@cache
-def _ladder(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of P_BYTE and of its inverse modulo 2^64, up to 2^bits of them."""
-    return powers(P_BYTE, 1 << bits), powers(pow(P_BYTE, -1, 1 << 64), 1 << bits)
+class _Ladders(dict):
+    """Powers of P_BYTE and of its inverse modulo 2^64, by the number of bits of their count; sent to tasks without them."""
+
+    def __missing__(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        self[bits] = powers(P_BYTE, 1 << bits), powers(pow(P_BYTE, -1, 1 << 64), 1 << bits)
+        return self[bits]
+
+    def __reduce__(self):
+        return _Ladders, ()
+
+
+_LADDERS = _Ladders()
 
 
 class Rolling:
     """Polynomial hashes of any ranges of a sequence of numbers, from its prefix sums."""
 
     def __init__(self, values: np.ndarray):
-        up, self.down = _ladder(max(len(values), 1).bit_length())
+        up, self.down = _LADDERS[max(len(values), 1).bit_length()]
         self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
         np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=self.sums[1:])
 
