@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, small, spans, steps, table, written
+from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, mixed, small, spans, steps, table, written
 from .components import components
 
 #: Nodes of a chunk: what a task holds as a tree at once.
@@ -195,7 +195,9 @@ def hex16(fp: Column) -> Column:
 # Near copies by similarity: fingerprints propose, shingles decide.
 
 SIMILAR, SIMILAR_WORDS, WIDE = 0.8, 5, 13
-#: Random choices of so many bits; two fingerprints that differ in 9 of 64 bits share one with a chance of 0.998, in 11 with 0.98.
+#: Texts have two fingerprints, of other hashes of their shingles, so that what one misses the other finds by its own chance.
+PRINTS = 2
+#: Random choices of so many bits of one of them, in turn; two fingerprints that differ in 7 of 64 bits share one with a chance of 0.998, in 9 with 0.96.
 WAYS, WAY_BITS = 64, 15
 #: Of these, those whose nearest neighbours are compared first, which only saves comparisons.
 FIRST_WAYS = 8
@@ -233,8 +235,8 @@ def _grams(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def sketches(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, ...]:
-    """Of each text: hash of its words, fingerprint of three words, number of its distinct shingles, and their parities (ODD_BITS as longs)."""
-    ids, fps, sizes, odds = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, ODD_BITS // 64), np.int64)]
+    """Of each text: hash of its words, fingerprints of three words, number of its distinct shingles, and their parities (ODD_BITS as longs)."""
+    ids, fps, sizes, odds = [np.zeros(0, np.uint64)], [np.zeros((0, PRINTS), np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, ODD_BITS // 64), np.int64)]
     for first, end, data, offsets in steps(texts):
         n = end - first
         starts, ends, begins = spans(data, offsets, NOT_SPACE)
@@ -242,12 +244,13 @@ def sketches(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, .
         ids.append(Rolling(w)(begins[:-1], begins[1:]))
         h, at = _grams(w, begins, 3)
         of = np.repeat(np.arange(n), np.diff(at))
-        ones = np.zeros((n, 64), dtype=np.int64)
-        for a in range(0, len(h), 1 << 17):  # a long text's bits, piece by piece
-            z = min(a + (1 << 17), len(h))
-            bits = np.unpackbits(h[a:z].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        h = np.stack([mixed(h + np.uint64(i)) for i in range(PRINTS)], axis=1)
+        ones = np.zeros((n, 64 * PRINTS), dtype=np.int64)
+        for a in range(0, len(h), 1 << 16):  # a long text's bits, piece by piece
+            z = min(a + (1 << 16), len(h))
+            bits = np.unpackbits(h[a:z].view(np.uint8), axis=1, bitorder="little")
             ones[of[a] : of[z - 1] + 1] += np.add.reduceat(bits, np.maximum(at[of[a] : of[z - 1] + 1], a) - a, axis=0, dtype=np.int64)
-        fps.append(np.packbits(ones * 2 > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64).ravel())
+        fps.append(np.packbits(ones * 2 > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64))
         h, at = _grams(w, begins, words)
         of = np.repeat(np.arange(n), np.diff(at))
         _, new = np.unique(h + of.astype(np.uint64) * np.uint64(P_WORD), return_index=True)
@@ -309,14 +312,20 @@ def _shard(way: Column, bits: Column) -> Column:
 
 
 _ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
+_FPS = [f"fp_{i}" for i in range(PRINTS)]
+
+
+def _print_of(way: Column) -> Column:
+    """The fingerprint that a way looks at."""
+    return F.element_at(F.array(*_FPS), (way % PRINTS + 1).cast("int"))
 
 
 def _neighbours(nodes: DataFrame, masks: list[int]) -> DataFrame:
     """A written table of two kinds of rows: a, way (b is null) if node a has another within WIDE in its shard of that way; and a, b for
     each node's nearest of these in the first ways (way is null). A hot shard is dealt in chunks here, and all its nodes have their row."""
     def sharded(df: DataFrame) -> DataFrame:
-        shards = F.array(*(_shard(F.lit(i), F.col("fp").bitwiseAND(m)) for i, m in enumerate(masks)))
-        return df.select("id", "fp", F.explode(shards).alias("shard"))
+        shards = F.array(*(_shard(F.lit(i), F.col(_FPS[i % PRINTS]).bitwiseAND(m)) for i, m in enumerate(masks)))
+        return df.select("id", *_FPS, F.explode(shards).alias("shard")).select("id", _print_of(F.col("shard").bitwiseAND(63)).alias("fp"), "shard")
 
     hot = sharded(nodes.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)).groupBy("shard").count().where(F.col("count") * SAMPLE > WIDE_CHUNK)
     hot = cut(hot.select(F.col("shard").alias("_hot"), F.ceil(F.col("count") * SAMPLE / WIDE_CHUNK).alias("chunks")))
@@ -355,12 +364,12 @@ def _neighbours(nodes: DataFrame, masks: list[int]) -> DataFrame:
 def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], similar: float) -> DataFrame:
     """Pairs a < b of nodes of different ``root`` that lie within WIDE and share a shard, and whose sets ``_may_be`` similar; each once.
 
-    nodes: id, fp, shingles, the parities and root; met: id, way of nodes that have others within WIDE in their shard.
+    nodes: id, fingerprints, shingles, the parities and root; met: id, way of nodes that have others within WIDE in their shard.
     """
     most = (1 - similar) / (1 + similar)
     mask = F.element_at(F.array(*map(F.lit, masks)), F.col("way") + 1)
     shard = _shard(F.col("way"), F.col("fp").bitwiseAND(mask))
-    member = met.join(nodes.select(F.col("id").alias("_id"), "fp", "root", "shingles", *_ODD), F.col("id") == F.col("_id"))
+    member = met.join(nodes.select(F.col("id").alias("_id"), *_FPS, "root", "shingles", *_ODD), F.col("id") == F.col("_id")).withColumn("fp", _print_of(F.col("way")))
     member = member.select(shard.alias("group"), "id", F.lit(-1).alias("side"), "way", "fp", "root", "shingles", *_ODD)
     hot = member.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_CHUNK)
     hot = cut(hot.select(F.col("group").alias("_group"), F.ceil(F.col("n") / WIDE_CHUNK).cast("int").alias("chunks")))
@@ -386,8 +395,8 @@ def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], similar: flo
                 i, j, x = i[good], j[good], x[good]
                 good = _may_be(n[i] + n[j], odd[i] ^ odd[j], most)
                 i, j, x = i[good], j[good], x[good]
-                for w in range(int(way[i].max()) if len(i) else 0):  # they have met in an earlier way
-                    good = (way[i] <= w) | (x & bits[w] != 0)
+                for w in range(int(way[i].max()) if len(i) else 0):  # they have met in an earlier way of this fingerprint
+                    good = (way[i] <= w) | ((way[i] - w) % PRINTS != 0) | (x & bits[w] != 0)
                     i, j, x = i[good], j[good], x[good]
                 a.append(np.minimum(ids[i], ids[j]))
                 b.append(np.maximum(ids[i], ids[j]))
@@ -398,7 +407,7 @@ def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], similar: flo
             if held:
                 yield _arrow(a=np.concatenate(a), b=np.concatenate(b))
 
-    return member.repartition("group").sortWithinPartitions("group", "id").mapInArrow(search, "a bigint, b bigint")
+    return member.repartition("group").sortWithinPartitions("group", "id").mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 #: Pairs of one node that a task compares.
@@ -457,7 +466,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_
     """doc_id, text_id (a hash of the text's words) and component_id of every row: texts are linked from a Jaccard similarity of
     ``similar`` of their word shingles on. Equal texts, but for case and spacing, are one node.
 
-    Candidates are fingerprints (of three words) within WIDE bits of each other that meet in one of WAYS shards, each a
+    Candidates have a fingerprint (of three words, one of two) within WIDE bits of each other's and meet in one of WAYS shards, each a
     random choice of bits. A first round compares each text with its nearest neighbours in the first shards and unites what is
     similar. The second compares every candidate pair that these links do not join yet and that the sizes and
     parities of the shingle sets do not exclude, so that nothing unverified stands for a pair, and a large group of near copies costs few.
@@ -467,10 +476,10 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fps, sizes, odd = sketches(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, fps, sizes, *odd.T))], ["doc_id", "id", "fp", "shingles", *_ODD])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, *fps.T, sizes, *odd.T))], ["doc_id", "id", *_FPS, "shingles", *_ODD])
 
-    each = written(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, id bigint, fp bigint, shingles bigint, " + ", ".join(f"{o} bigint" for o in _ODD)))
-    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("fp", "shingles", *_ODD))))
+    each = written(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "shingles", *_ODD))))
+    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in (*_FPS, "shingles", *_ODD))))
     masks = _random_masks()
     found = _neighbours(nodes, masks)
     pairs = cut(found.where("b is not null").select("a", "b").distinct())
