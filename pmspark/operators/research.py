@@ -238,6 +238,11 @@ def pick_per_event(diagnostics: DataFrame, event: str) -> DataFrame:
     return d.where("_n >= 2 and _rank = 1").drop("_n", "_rank")
 
 
+def event_rollup(diagnostics: DataFrame, event: str) -> DataFrame:
+    """Markets, volume and trades of each event."""
+    return diagnostics.groupBy(event).agg(F.count("*").alias("markets"), F.sum("volume").alias("event_volume"), F.sum("trades").alias("trades"))
+
+
 def display_markets(quotes: DataFrame, fills: DataFrame, n: int) -> DataFrame:
     """Traded instruments first, then by the range of price."""
     span = quotes.groupBy("instrument_id").agg((F.max("price") - F.min("price")).alias("range"))

@@ -64,9 +64,11 @@ def updates_to_deltas(spark, d):
     return _deltas(spark, d)
 
 
-@query("event_index", sql(_DELTAS + " SELECT instrument_id, max(event_index) AS last_event, count(*) AS rows FROM deltas GROUP BY 1", "fx_updates"))
+@query("event_index", sql(_DELTAS + " SELECT instrument_id, event_index, count(*) AS rows, min(sequence) AS first, count(*) FILTER (flags = 128) AS flagged, max(ts_ns) AS ts_ns FROM deltas GROUP BY 1, 2", "fx_updates"))
 def event_index(spark, d):
-    return _deltas(spark, d).groupBy("instrument_id").agg(F.max("event_index").alias("last_event"), F.count("*").alias("rows"))
+    """Every event with its rows, of which the last carries the flag."""
+    flagged = F.count_if(F.col("flags") == 128).alias("flagged")
+    return _deltas(spark, d).groupBy("instrument_id", "event_index").agg(F.count("*").alias("rows"), F.min("sequence").alias("first"), flagged, F.max("ts_ns").alias("ts_ns"))
 
 
 @query("book_event_count", sql(_DELTAS + " SELECT instrument_id, count(DISTINCT event_index) AS events FROM deltas GROUP BY 1", "fx_updates"))
@@ -100,10 +102,10 @@ def best_quote(spark, d):
     return _best(spark, d)
 
 
-@query("midpoint", sql(_BEST + " SELECT instrument_id, event_index, (bid + ask) / 2.0 AS mid, ask - bid AS spread FROM best WHERE bid >= 0 AND ask >= 0", "fx_updates"))
+@query("midpoint", sql(_BEST + " SELECT instrument_id, event_index, CASE WHEN bid >= 0 AND ask >= 0 THEN (bid + ask) / 2.0 END AS mid, bid < 0 OR ask < 0 AS one_sided FROM best", "fx_updates"))
 def midpoint(spark, d):
-    q = _best(spark, d).where("bid >= 0 and ask >= 0")
-    return q.select("instrument_id", "event_index", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread"))
+    q = _best(spark, d).withColumn("one_sided", (F.col("bid") < 0) | (F.col("ask") < 0))
+    return q.select("instrument_id", "event_index", F.when(~F.col("one_sided"), (F.col("bid") + F.col("ask")) / 2).alias("mid"), "one_sided")
 
 
 _MID = "978307200000000000"
@@ -203,6 +205,8 @@ def spread(spark, d):
     return q.groupBy("instrument_id").agg(F.min("spread").alias("narrowest"), F.max("spread").alias("widest"))
 
 
-@query("union_deltas_trades", sql(_DELTAS + ", u AS (SELECT instrument_id, 0 AS kind FROM deltas UNION ALL SELECT instrument_id, 1 FROM fx_fills) SELECT instrument_id, kind, count(*) AS n FROM u GROUP BY 1, 2", "fx_updates", "fx_fills"))
+@query("union_deltas_trades", sql(_DELTAS + ", u AS (SELECT instrument_id, ts_ns, 0 AS kind FROM deltas UNION ALL SELECT instrument_id, ts_ns, 1 FROM fx_fills) SELECT instrument_id, ts_ns, count(*) FILTER (kind = 0) AS deltas, count(*) FILTER (kind = 1) AS trades FROM u GROUP BY 1, 2", "fx_updates", "fx_fills"))
 def union_deltas_trades(spark, d):
-    return B.merge_streams(_deltas(spark, d), fx.fills(spark, d)).groupBy("instrument_id", "kind").agg(F.count("*").alias("n"))
+    """What the joint stream holds at each time."""
+    both = B.merge_streams(_deltas(spark, d), fx.fills(spark, d)).groupBy("instrument_id", "ts_ns")
+    return both.agg(F.count_if(F.col("kind") == 0).alias("deltas"), F.count_if(F.col("kind") == 1).alias("trades"))

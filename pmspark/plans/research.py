@@ -233,22 +233,24 @@ def pick_best_token(spark, d):
     return R.pick_best_token(_diagnostics(spark, d).withColumn("market", _group(2)), "market").select("instrument_id", "market")
 
 
-@query("analyze_trade_window", sql(_DIAG + f" SELECT instrument_id, market, trades, volume FROM (SELECT *, {_MARKET} AS market, row_number() OVER (PARTITION BY {_MARKET} ORDER BY cross_ns NULLS LAST, CASE WHEN cross_ns IS NULL THEN max_price END DESC NULLS LAST, trades DESC, volume DESC, instrument_id) AS k FROM dg WHERE trades >= 3) WHERE k = 1", "fx_prices"))
+@query("analyze_trade_window", sql(_DIAG + f" SELECT instrument_id, market, trades, volume, first_price, last_price, active_trades FROM (SELECT *, {_MARKET} AS market, row_number() OVER (PARTITION BY {_MARKET} ORDER BY cross_ns NULLS LAST, CASE WHEN cross_ns IS NULL THEN max_price END DESC NULLS LAST, trades DESC, volume DESC, instrument_id) AS k FROM dg WHERE trades >= 3) WHERE k = 1", "fx_prices"))
 def analyze_trade_window(spark, d):
-    return R.pick_best_token(_diagnostics(spark, d).where("trades >= 3").withColumn("market", _group(2)), "market").select("instrument_id", "market", "trades", "volume")
+    return R.pick_best_token(_diagnostics(spark, d).where("trades >= 3").withColumn("market", _group(2)), "market").select("instrument_id", "market", "trades", "volume", "first_price", "last_price", "active_trades")
 
 
 _PICK = _DIAG + f", pk AS (SELECT *, {_EVENT} AS event, count(*) OVER (PARTITION BY {_EVENT}) AS n, sum(volume) OVER (PARTITION BY {_EVENT}) AS event_volume, row_number() OVER (PARTITION BY {_EVENT} ORDER BY cross_ns NULLS LAST, first_price, volume DESC, instrument_id) AS k FROM dg)"
 
 
-@query("pick_per_event", sql(_PICK + " SELECT event, instrument_id FROM pk WHERE n >= 2 AND k = 1", "fx_prices"))
+@query("pick_per_event", sql(_PICK + " SELECT event, instrument_id, first_price, CAST(cross_ns AS VARCHAR) AS cross_ns, volume FROM pk WHERE n >= 2 AND k = 1", "fx_prices"))
 def pick_per_event(spark, d):
-    return R.pick_per_event(_diagnostics(spark, d).withColumn("event", _group(4)), "event").select("event", "instrument_id")
+    out = R.pick_per_event(_diagnostics(spark, d).withColumn("event", _group(4)), "event")
+    return out.select("event", "instrument_id", "first_price", F.col("cross_ns").cast("string").alias("cross_ns"), "volume")
 
 
-@query("event_rollup_volume", sql(_PICK + " SELECT event, CAST(event_volume AS BIGINT) AS event_volume FROM pk WHERE n >= 2 AND k = 1", "fx_prices"))
+@query("event_rollup_volume", sql(_PICK + " SELECT event, count(*) AS markets, CAST(sum(volume) AS BIGINT) AS event_volume, CAST(sum(trades) AS BIGINT) AS trades FROM pk GROUP BY 1", "fx_prices"))
 def event_rollup_volume(spark, d):
-    return R.pick_per_event(_diagnostics(spark, d).withColumn("event", _group(4)), "event").select("event", "event_volume")
+    """Of all events, those of one market too."""
+    return R.event_rollup(_diagnostics(spark, d).withColumn("event", _group(4)), "event").select("event", "markets", "event_volume", "trades")
 
 
 @query("display_markets", sql("s AS (SELECT instrument_id, CAST(max(price) - min(price) AS DOUBLE) AS range, CAST(substr(instrument_id, 2) AS BIGINT) % 3 = 0 AS traded FROM fx_prices GROUP BY 1) SELECT * FROM s ORDER BY traded DESC, range DESC, instrument_id LIMIT 20", "fx_prices"))
