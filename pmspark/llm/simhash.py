@@ -31,7 +31,7 @@ from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, mixed, small,
 from .components import components
 
 #: Nodes of a chunk: what a task holds as a tree at once.
-CHUNK = 1024
+CHUNK = 8192
 #: Expected nodes of a shard above which more blocks are used.
 SHARD = 1024
 
