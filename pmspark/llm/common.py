@@ -39,6 +39,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Rows that Python gets at once. Spark's own 10,000 whole texts are tens of MB, several times in a worker and in its executor.
+BATCH_ROWS = 4000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, of which Python gets BATCH_ROWS at once from here on in its session, unless that has a number of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``; in one process one of our own where that is unset."""
     context = spark.sparkContext

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import P_WORD, SMALL_IDS, SPACES, Rolling, cut, free, mixed, small, steps, table, written
+from .common import P_WORD, SMALL_IDS, SPACES, Rolling, cut, free, in_batches, mixed, small, steps, table, written
 from .components import components
 from .simhash import Sets
 
@@ -158,7 +158,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "lid", "blank", "bands"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, line_no int, lid bigint, blank boolean, bands array<bigint>"
-    return written(docs.select("doc_id", "text").mapInArrow(read, schema))
+    return written(in_batches(docs).select("doc_id", "text").mapInArrow(read, schema))
 
 
 def _homes(lines: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .common import NOT_SPACE, range_hashes, spans, table
+from .common import NOT_SPACE, in_batches, range_hashes, spans, table
 
 #: Buckets of neighbouring documents for each shuffle partition.
 BUCKETS = 4
@@ -201,7 +201,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     dealt = with_neighbours(docs)
     schema = f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.mapInArrow(read, schema)
+    return in_batches(dealt).mapInArrow(read, schema)
 
 
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

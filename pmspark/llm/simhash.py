@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, mixed, small, spans, steps, table, written
+from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, in_batches, mixed, small, spans, steps, table, written
 from .components import components
 
 #: Nodes of a chunk: what a task holds as a tree at once.
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 class BKTree:
@@ -478,7 +478,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_
             ids, fps, sizes, odd = sketches(batch.column(1), words)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, *fps.T, sizes, *odd.T))], ["doc_id", "id", *_FPS, "shingles", *_ODD])
 
-    each = written(docs.select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "shingles", *_ODD))))
+    each = written(in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "shingles", *_ODD))))
     nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in (*_FPS, "shingles", *_ODD))))
     masks = _random_masks()
     found = _neighbours(nodes, masks)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Shared, cut, gram_hashes, range_hashes, spans, steps, table
+from .common import LETTERS, Shared, cut, gram_hashes, in_batches, range_hashes, spans, steps, table
 
 #: Words of a seed, and so of the shortest tile.
 LEAST = 5
@@ -200,7 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "tiles", "covered", "item_words", "coverage"])
 
         item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
-        part = docs.select("doc_id", "text").mapInArrow(search, schema)
+        part = in_batches(docs).select("doc_id", "text").mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -218,7 +218,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVE
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = in_batches(docs).mapInArrow(keep, docs.schema)
     return docs
 
 
