@@ -10,7 +10,7 @@ from pyspark import cloudpickle
 # What runs in tasks is sent along with them: executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("secrets", "chat", "simhash", "merkle", "toxicity", "tiling", "urls", "mixing", "sharding", "lines")
+MODULES = ("secrets", "chat", "simhash", "merkle", "toxicity", "tiling", "urls", "mixing", "sharding", "lines", "whitening", "parity", "negatives")
 
 
 def queries() -> dict:

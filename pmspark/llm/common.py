@@ -130,6 +130,18 @@ def spans(data: np.ndarray, offsets: np.ndarray, within: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
+    """Lists of numbers as rows of doubles, or of longs if they are; filled with zeros up to ``width``, which equal lengths need not give."""
+    values, lens = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = values.astype(np.int64 if values.dtype.kind == "i" else np.float64, copy=False)
+    width = int(lens[0]) if width is None and len(lens) else width or 0
+    if (lens == width).all():
+        return values.reshape(len(lens), width)
+    out = np.zeros((len(lens), width), dtype=values.dtype)
+    out[np.repeat(np.arange(len(lens)), lens), np.arange(len(values)) - np.repeat(np.cumsum(lens) - lens, lens)] = values
+    return out
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
