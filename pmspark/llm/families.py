@@ -16,11 +16,11 @@ half of the group, so groups of groups end.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, in_batches, small, written
@@ -109,19 +109,28 @@ def linked(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[t
     return out
 
 
-def _of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
-    """(group, ids, sets) from batches of group, id, values that are sorted by group and id; a repeated id counts once."""
+#: Turns a column into the sets of its rows, each an array of distinct longs.
+Reader = Callable[[pa.Array], Iterator[np.ndarray]]
+
+
+def arrays(lists: pa.Array) -> Iterator[np.ndarray]:
+    """The reader of columns that hold the sets themselves."""
+    values, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+    return (values[a:z] for a, z in zip(ends, ends[1:], strict=False))
+
+
+def _of_groups(batches: Iterator[pa.RecordBatch], read: Reader) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
+    """(group, ids, sets) from batches of group, id, holder that are sorted by group and id; a repeated id counts once."""
     now, ids, sets = None, [], []
     for batch in batches:
-        values, ends = batch.column(2).flatten().to_numpy(), np.append(0, np.cumsum(batch.column(2).value_lengths().to_numpy()))
-        for i, (group, id_) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+        for group, id_, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), read(batch.column(2)), strict=True):
             if group != now:
                 if ids:
                     yield now, ids, sets
                 now, ids, sets = group, [], []
             if id_ not in ids[-1:]:
                 ids.append(id_)
-                sets.append(values[ends[i] : ends[i + 1]])
+                sets.append(values)
     if ids:
         yield now, ids, sets
 
@@ -130,19 +139,19 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def _compared(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links a, b of groups that fit a task. members: group, id, values."""
+def _compared(members: DataFrame, read: Reader, num: int, den: int) -> DataFrame:
+    """Links a, b of groups that fit a task. members: group, id, holder."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for _, ids, sets in _of_groups(batches):
+        for _, ids, sets in _of_groups(batches, read):
             out += linked(ids, sets, num, den)
             if len(out) > 8192:
                 yield _pairs(out)
                 out = []
         yield _pairs(out)
 
-    dealt = members.select("group", "id", "values").repartition("group").sortWithinPartitions("group", "id")
+    dealt = members.select("group", "id", "holder").repartition("group").sortWithinPartitions("group", "id")
     return in_batches(dealt).mapInArrow(compare, "a bigint, b bigint")
 
 
@@ -150,7 +159,7 @@ def _references(sample: DataFrame) -> DataFrame:
     """group, usual (values of more than half of the sampled sets), often and counts (of the other values that several of them have)."""
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, _, sets in _of_groups(batches):
+        for group, _, sets in _of_groups(batches, arrays):
             values, place = np.unique(np.concatenate(sets), return_inverse=True)
             counts, usual = reference(place, len(values), len(sets))
             # A usual value counts for the sets that lack it.
@@ -190,20 +199,35 @@ def _differences(members: DataFrame, references: DataFrame, sizes: DataFrame, nu
     return written(dealt.mapInArrow(differ, "group bigint, id bigint, g bigint, d array<bigint>"))
 
 
-def links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _sets(holders: DataFrame, read: Reader) -> DataFrame:
+    """A written table of id, values of the holders."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(read(batch.column(1))), pa.list_(pa.int64()))], ["id", "values"])
+
+    return written(in_batches(holders.select("id", "holder")).mapInArrow(own, "id bigint, values array<bigint>"))
+
+
+def links(groups: DataFrame, nodes: DataFrame, holders: DataFrame, num: int, den: int, read: Reader = arrays) -> DataFrame:
     """Pairs a, b of ids, enough to join within each group all whose sets have a Jaccard similarity of num/den or more.
 
-    groups: group, id (longs, distinct); sets: id, n, values (distinct longs, sorted). Both are written tables.
+    groups: group, id (longs, distinct); nodes: id, n (the set's size), both written tables. holders: id, and what ``read`` makes the set of,
+    which goes to a task for each group of its id; an id may have several rows that hold the same.
     """
     found: list[DataFrame] = []
     for _ in range(LEVELS):
-        sizes = groups.join(sets.select("id", "n"), "id").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.min("id").alias("first"))
+        sizes = groups.join(nodes.select("id", "n"), "id").groupBy("group").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.min("id").alias("first"))
         large = cut(sizes.where((F.col("members") > MEMBERS) | (F.col("tokens") > TOKENS)))
         if large.isEmpty():
-            return _together([*found, _compared(groups.join(sets, "id"), num, den)])
+            return _together([*found, _compared(holders.join(small(groups), "id"), read, num, den)])
         named = small(large.select(F.col("group").alias("_group")))
-        found.append(cut(_compared(groups.join(named, F.col("group") == F.col("_group"), "left_anti").join(sets, "id"), num, den)))
-        members = groups.join(named, F.col("group") == F.col("_group"), "left_semi").join(sets, "id")
+        at = F.col("group") == F.col("_group")
+        found.append(cut(_compared(holders.join(small(cut(groups.join(named, at, "left_anti"))), "id"), read, num, den)))
+        groups = cut(groups.join(named, at, "left_semi"))
+        sets = _sets(holders.join(small(cut(groups.select("id").distinct())), "id"), read)
+        holders, read = sets.withColumnRenamed("values", "holder"), arrays
+        members = sets.join(small(groups), "id")
         some = (F.pmod(F.xxhash64("group", "id"), F.ceil(F.col("tokens") / SAMPLED)) == 0) | (F.col("id") == F.col("first"))
         each = _differences(members, _references(members.join(small(large), "group").where(some)), large, num, den)
         # The star: the least g of a group, and what it links.
@@ -215,12 +239,97 @@ def links(groups: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         # A set of the star has links left only to sets outside it, one outside to all.
         shared = F.greatest(F.lit(1), F.ceil((F.col("g") + F.when(F.expr("g + least <= 0"), F.col("other")).otherwise(F.col("least"))) / (2 * (num + den))))
         prefix = F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") - shared + 1).cast("int"))
-        keyed = cut(starred.select("group", "id", F.expr("g + least > 0").alias("outside"), F.explode(prefix).alias("token")).select(F.xxhash64("group", "token").alias("group"), "id", "outside"))
+        keyed = cut(starred.select("group", "id", F.expr("g + least > 0").alias("outside"), F.explode(prefix).alias("token")).select(F.xxhash64("group", "token").alias("group"), "id", "outside").distinct())
         kept = cut(keyed.groupBy("group").agg(F.count("*").alias("_n"), F.bool_or("outside").alias("_any")).where("_n > 1 and _any").select(F.col("group").alias("_group")))
-        groups = cut(keyed.join(kept, F.col("group") == F.col("_group"), "left_semi").select("group", "id").distinct())
+        groups = without_subsets(cut(keyed.join(kept, F.col("group") == F.col("_group"), "left_semi").select("group", "id")))
     raise RuntimeError(f"groups of sets do not fall apart in {LEVELS} levels")
 
 
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's bits
+
+
+def parities(h: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Of each row of hashes that begin at ``at``: the parities of how many fall on each of so many bits, as longs."""
+    n = len(at) - 1
+    of = np.repeat(np.arange(n), np.diff(at))
+    odd = np.bincount(of * bits + (h >> np.uint64(20)).astype(np.int64) % bits, minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.int64).reshape(n, bits // 64)
+
+
+def possible(ids: np.ndarray, sizes: np.ndarray, odd: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of each row the least place that rows which may be similar join it with: sketches differ in no more bits than sets in elements."""
+    up = np.arange(len(ids))
+    for i in range(1, len(ids)):
+        good = (num + den) * _ones(odd[:i] ^ odd[i]).sum(1) <= (den - num) * (sizes[:i] + sizes[i])
+        met = np.unique(up[:i][good])
+        if len(met):
+            up[i] = met[0]
+            if len(met) > 1:
+                up[: i + 1][np.isin(up[: i + 1], met)] = met[0]
+    return up
+
+
+def sharpened(groups: DataFrame, nodes: DataFrame, sketch: list[str], num: int, den: int) -> DataFrame:
+    """A written table: the groups, parted where sketches (columns of ``nodes``) show that no link can lead across; larger ones than MEMBERS as they are.
+
+    Of equal groups, and of groups within others, one is left (see ``without_subsets``).
+    """
+    rows = groups.join(nodes.select("id", "n", *sketch), "id").select("group", "id", "n", *sketch)
+    most = MEMBERS
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def closed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            group, id_, n, *odd = held
+            odd = np.stack(odd, axis=1)
+            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+            root = np.arange(len(group))
+            for a, z in zip(edges, edges[1:], strict=False):
+                root[a:z] = a if z - a > most else a + possible(id_[a:z], n[a:z], odd[a:z], num, den)
+            several = np.bincount(root, minlength=len(root))[root] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(group[several]), pa.array(id_[root][several]), pa.array(id_[several])], ["group", "head", "id"])
+
+        held, long = None, None
+        for batch in batches:
+            now = [c.to_numpy() for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(held[0]):
+                continue
+            # A group that is larger than MEMBERS goes through as it comes.
+            last = int(np.append(0, np.flatnonzero(held[0] != held[0][-1]) + 1)[-1])
+            begin = int((held[0] == long).sum()) if long is not None else 0
+            if begin:
+                yield pa.RecordBatch.from_arrays([pa.array(held[0][:begin]), pa.array(np.full(begin, head)), pa.array(held[1][:begin])], ["group", "head", "id"])
+                held, last = [c[begin:] for c in held], max(last - begin, 0)
+                if not len(held[0]):
+                    continue
+            if last:
+                yield from closed([c[:last] for c in held])
+                held = [c[last:] for c in held]
+            if len(held[0]) > most:
+                long, head = held[0][0], held[1][0]
+                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(np.full(len(held[0]), head)), pa.array(held[1])], ["group", "head", "id"])
+                held = [c[:0] for c in held]
+        if held is not None and len(held[0]):
+            yield from closed(held)
+
+    dealt = rows.repartition("group").sortWithinPartitions("group", "id")
+    found = cut(in_batches(dealt).mapInArrow(part, "group bigint, head bigint, id bigint").select(F.xxhash64("group", "head").alias("group"), "id"))
+    return without_subsets(found)
+
+
+def without_subsets(groups: DataFrame) -> DataFrame:
+    """A written table: groups (a written table of group, id, distinct) without those that lie within another one, which their first id is in too."""
+    sizes = cut(groups.groupBy("group").agg(F.count("*").alias("members"), F.min("id").alias("first")))
+    others = groups.join(sizes.select("group", F.col("members").alias("_members")), "group").select(F.col("group").alias("_in"), F.col("id").alias("_id"), "_members")
+    larger = F.expr("_in <> group and (_members > members or _members = members and _in < group)")
+    asked = cut(sizes.join(others, F.col("first") == F.col("_id")).where(larger).select(F.col("group").alias("_group"), "members", "_in"))
+    rows = groups.join(asked, F.col("group") == F.col("_group")).select("_group", "members", "_in", "id")
+    held = rows.join(groups.select(F.col("group").alias("_g"), F.col("id").alias("_i")), (F.col("_in") == F.col("_g")) & (F.col("id") == F.col("_i")))
+    gone = cut(held.groupBy("_group", "_in").agg(F.count("*").alias("n"), F.first("members").alias("members")).where("n = members").select("_group").distinct())
+    return cut(groups.join(small(gone), F.col("group") == F.col("_group"), "left_anti"))
+
+
 def _together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -228,16 +337,19 @@ def _together(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def homes(keyed: DataFrame) -> DataFrame:
+def homes(keyed: DataFrame, sample: DataFrame) -> DataFrame:
     """A written table of group, id: ids that share a key share a group, which is the least id of the key and is in it.
 
-    keyed: id, key. Only the rows of one key follow each other in a task, and none are held. Keys that a sample of the ids shows to be
+    keyed: id, key. The rows of a key follow each other in a task, and none are held. Keys that a sample of one id in SAMPLE shows to be
     hot have their least id found by a partial aggregate instead, and their rows stay where they are.
     """
-    hot = keyed.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT)
-    hot = small(cut(hot.select(F.col("key").alias("_hot"))))
-    least = cut(keyed.join(hot, F.col("key") == F.col("_hot")).groupBy("key").agg(F.min("id").alias("group")).select(F.col("key").alias("_key"), "group"))
-    warm = keyed.join(small(least), F.col("key") == F.col("_key")).where("group <> id").select("group", "id")
+    hot = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT)
+    hot = cut(hot.select(F.col("key").alias("_hot")))
+    warm = None
+    if not hot.isEmpty():
+        least = cut(keyed.join(small(hot), F.col("key") == F.col("_hot")).groupBy("key").agg(F.min("id").alias("group")).select(F.col("key").alias("_key"), "group"))
+        warm = keyed.join(small(least), F.col("key") == F.col("_key")).where("group <> id").select("group", "id")
+        keyed = keyed.join(small(hot), F.col("key") == F.col("_hot"), "left_anti")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_now = home_now = None
@@ -253,6 +365,6 @@ def homes(keyed: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([home[kept], id_[kept]]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["group", "id"])
 
-    cold = keyed.join(hot, F.col("key") == F.col("_hot"), "left_anti").select("key", "id").repartition("key").sortWithinPartitions("key", "id")
-    pairs = cut(cold.mapInArrow(gather, "group bigint, id bigint").unionByName(warm).distinct())
+    found = keyed.select("key", "id").repartition("key").sortWithinPartitions("key", "id").mapInArrow(gather, "group bigint, id bigint")
+    pairs = cut((found if warm is None else found.unionByName(warm)).distinct())
     return cut(pairs.unionByName(pairs.select("group", F.col("group").alias("id")).distinct()))

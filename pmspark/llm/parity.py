@@ -8,8 +8,9 @@ shuffle by (band, block, bits) brings them together. A document has keys in its
 little and would bring strangers together, so there are some spare blocks: similar sets then agree on more blocks than there are
 spare ones, and a document sends its poor blocks only if it has more of them. Nothing is lost by that.
 
-Equal sets are one node. Nodes that share a key come under the key's first node, and ``families.links`` finds the exact links of such
-a group from its whole sets without comparing every two. A distributed union-find makes the components.
+Equal sets are one node. Nodes that share a key come under the key's first node. Such a group is parted where sketches of fixed length differ in more bits
+than similar sets can, and then ``families.links`` finds its exact links from whole texts, without comparing
+every two. A distributed union-find makes the components.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; one of fewer words than a shingle is its whole sequence;
 repeated rows each give a row, and rows that repeat a doc_id with another text count by their own text; a null
@@ -27,13 +28,16 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, in_batches, mixed, small, spans, steps, table, written
 from .components import components
-from .families import homes, links
+from .families import SAMPLE, Reader, homes, links, parities, sharpened
 
 WORDS, NUM, DEN = 4, 85, 100
 #: The sizes of a band grow by this; bits of a block, as a power of 2; one block in so many is a spare one.
 BAND, BITS, SPARE = 1.4, 12, 12
 #: Largest size of a set.
 LARGEST = 1 << 40
+#: Bits of the sketch that parts groups before texts are sent.
+SKETCH = 1024
+_ODD = [f"odd_{i}" for i in range(SKETCH // 64)]
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -117,47 +121,68 @@ class Bands:
         return key[sent], here[row[sent]]
 
 
-def _read(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """A written table of doc_id, id (name of the set), n (its size) and keys of every row."""
+def reader(words: int = WORDS) -> Reader:
+    """Makes sets of texts."""
+    return lambda texts: (h[a:z].view(np.int64) for _, h, at in shingle_sets(texts, words) for a, z in zip(at, at[1:], strict=False))
+
+
+def _read(docs: DataFrame, words: int) -> DataFrame:
+    """A written table of doc_id, id (name of the set), n (its size) and a sketch of SKETCH bits of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(num, den)
         for batch in batches:
             for first, h, at in shingle_sets(batch.column(1), words):
-                n, (keys, edges) = np.diff(at), bands.keys(h, at)
-                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(n)), pa.array(set_ids(h, at)), pa.array(n), lists], ["doc_id", "id", "n", "keys"])
+                columns = [batch.column(0).slice(first, len(at) - 1), pa.array(set_ids(h, at)), pa.array(np.diff(at)), *map(pa.array, parities(h, at, SKETCH).T)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", *_ODD])
 
-    return written(in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, id bigint, n bigint, keys array<bigint>"))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in ("id", "n", *_ODD))
+    return written(in_batches(docs).select("doc_id", "text").mapInArrow(read, schema))
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
-    """A written table of id, n, values of the sets wanted (doc_id, id: a row that has the set)."""
-    chosen = docs.select("doc_id", "text").join(small(wanted.select(F.col("doc_id").alias("_doc"), "id")), F.col("doc_id") == F.col("_doc")).select("text", "id")
+def keyed(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """id, key of the sets of texts; of equal sets each task sends the keys of one."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, seen = Bands(num, den), np.zeros(0, np.int64)
         for batch in batches:
-            id_ = batch.column(1).to_numpy()
-            for first, h, at in shingle_sets(batch.column(0), words):
-                mine = np.flatnonzero(set_ids(h, at) == id_[first : first + len(at) - 1])  # rows that repeat a doc_id may have other texts
-                values = pa.array([h[at[i] : at[i + 1]].view(np.int64) for i in mine], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(id_[first + mine]), pa.array(np.diff(at)[mine]), values], ["id", "n", "values"])
+            for _, h, at in shingle_sets(batch.column(0), words):
+                ids, (keys, edges) = set_ids(h, at), bands.keys(h, at)
+                fresh = np.zeros(len(ids), dtype=bool)
+                fresh[np.unique(ids, return_index=True)[1]] = True
+                fresh &= ~np.isin(ids, seen)
+                seen = np.union1d(seen, ids)
+                n = np.diff(edges)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)[np.repeat(fresh, n)]), pa.array(keys[np.repeat(fresh, n)])], ["id", "key"])
+
+    return in_batches(docs.where("doc_id is not null")).select("text").mapInArrow(read, "id bigint, key bigint")
+
+
+def holders(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame:
+    """id, holder (its text) of the sets wanted (doc_id, id: a row that has the set)."""
+    chosen = docs.select("doc_id", "text").join(small(wanted.select(F.col("doc_id").alias("_doc"), "id")), F.col("doc_id") == F.col("_doc")).select("id", F.col("text").alias("holder"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in batches:  # rows that repeat a doc_id may have other texts, or the same
+            id_ = batch.column(0).to_numpy()
+            own = np.concatenate([np.zeros(0, np.int64), *(set_ids(h, at) for _, h, at in shingle_sets(batch.column(1), words))]) == id_
+            own[np.setdiff1d(np.arange(len(own)), np.unique(id_, return_index=True)[1])] &= False
+            own &= ~np.isin(id_, seen)
+            seen = np.union1d(seen, id_[own])
+            yield batch.filter(pa.array(own))
 
-    return written(in_batches(chosen).mapInArrow(read, "id bigint, n bigint, values array<bigint>").dropDuplicates(["id"]))
+    return in_batches(chosen).mapInArrow(read, "id bigint, holder string")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links of num/den or more reach) of every row."""
-    each = _read(docs, words, num, den)
-    nodes = cut(each.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")))
-    # One row of each set sends its keys.
-    firsts = small(nodes.select(F.col("id").alias("_id"), F.col("first").alias("_first")))
-    keyed = each.join(firsts, (F.col("id") == F.col("_id")) & (F.col("doc_id") == F.col("_first"))).select("id", F.explode("keys").alias("key"))
-    groups = homes(keyed)
-    wanted = cut(nodes.join(groups.select("id").distinct(), "id").select(F.col("first").alias("doc_id"), "id"))
-    found = cut(components(links(groups, sets_of(docs, wanted, words), num, den)))
-    member = nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    member = cut(member)
+    each = _read(docs, words)
+    nodes = written(each.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("n", *_ODD))))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    groups = sharpened(homes(keyed(docs, words, num, den), keyed(sample, words, num, den)), nodes, _ODD, num, den)
+    wanted = cut(nodes.join(small(cut(groups.select("id").distinct())), "id").select(F.col("first").alias("doc_id"), "id"))
+    found = cut(components(links(groups, nodes, holders(docs, wanted, words), num, den, reader(words))))
+    member = cut(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = cut(member.join(least, "root").select(F.col("id").alias("_id"), "component_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

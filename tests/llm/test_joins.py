@@ -68,28 +68,29 @@ def test_links_of_a_group_join_what_brute_force_joins(case):
 def as_frames(spark, groups, sets):
     rows = [(g, i) for g, ids in groups.items() for i in ids]
     values = [(i, len(s), sorted(s)) for i, s in enumerate(sets)]
-    return spark.createDataFrame(rows, "group bigint, id bigint").repartition(3), spark.createDataFrame(values, "id bigint, n bigint, values array<bigint>").repartition(3)
+    sets = spark.createDataFrame(values, "id bigint, n bigint, holder array<bigint>").repartition(3)
+    return spark.createDataFrame(rows, "group bigint, id bigint").repartition(3), sets.select("id", "n"), sets.select("id", "holder")
 
 
 @pytest.mark.parametrize("case", CASES[1:4])
 def test_large_groups_fall_apart_without_losing_a_link(spark, monkeypatch, case):
     rng = random.Random(str(case))
     sets = family(rng, *case) + [set(rng.sample(range(10**9), 25)) for _ in range(20)] + family(rng, 30, 50, 4)
-    groups, frame = as_frames(spark, {0: range(len(sets)), 7: range(10)}, sets)
+    groups, *frames = as_frames(spark, {0: range(len(sets)), 7: range(10)}, sets)
     monkeypatch.setattr(families, "MEMBERS", 12)
     monkeypatch.setattr(families, "SAMPLED", 400)
     monkeypatch.setattr(families, "TOKENS", 600)
-    found = [(r["a"], r["b"]) for r in families.links(groups, frame, 85, 100).collect()]
+    found = [(r["a"], r["b"]) for r in families.links(groups, *frames, 85, 100).collect()]
     want = alike(sets, 85, 100)
     assert set(map(frozenset, found)) <= set(map(frozenset, want)) and roots(len(sets), found) == roots(len(sets), want)
 
 
 def test_two_sets_too_large_for_a_task_still_meet(spark, monkeypatch):
     sets = [set(range(5000)), set(range(100, 5100)), set(range(2000, 7000))]
-    groups, frame = as_frames(spark, {0: [0, 1, 2]}, sets)
+    groups, *frames = as_frames(spark, {0: [0, 1, 2]}, sets)
     monkeypatch.setattr(families, "TOKENS", 1000)
     monkeypatch.setattr(families, "SAMPLED", 1000)
-    assert {frozenset((r["a"], r["b"])) for r in families.links(groups, frame, 85, 100).collect()} == {frozenset((0, 1))}
+    assert {frozenset((r["a"], r["b"])) for r in families.links(groups, *frames, 85, 100).collect()} == {frozenset((0, 1))}
 
 
 def test_homes_bring_every_two_of_a_key_together(spark, monkeypatch):
@@ -100,13 +101,31 @@ def test_homes_bring_every_two_of_a_key_together(spark, monkeypatch):
         monkeypatch.setattr(families, "HOT", hot)
         monkeypatch.setattr(families, "SAMPLE", 1)
         members = {}
-        for r in families.homes(df).collect():
+        for r in families.homes(df, df).collect():
             members.setdefault(r["group"], set()).add(r["id"])
         for key in range(90):
             ids = {i for i, k in rows if k == key}
             assert len(ids) < 2 or ids <= members[min(ids)]
 
 
+def test_groups_are_parted_by_sketches_and_subsets_go(spark, monkeypatch):
+    rng = random.Random(2)
+    sets = family(rng, 20, 60, 3) + family(rng, 20, 60, 3) + [set(rng.sample(range(10**9), 25)) for _ in range(9)]
+    h = [np.array(sorted(x * 0x9E3779B97F4A7C15 % (1 << 64) for x in s), dtype=np.uint64) for s in sets]
+    odd = families.parities(np.concatenate(h), np.cumsum([0, *map(len, h)]), 512)
+    names = [f"o{i}" for i in range(8)]
+    nodes = spark.createDataFrame([(i, len(s), *map(int, odd[i])) for i, s in enumerate(sets)], "id bigint, n bigint, " + ", ".join(f"{c} bigint" for c in names))
+    every = range(len(sets))
+    groups = spark.createDataFrame([(g, i) for g, ids in ((0, every), (1, every[:30]), (2, [0, 45]), (3, [3, 4])) for i in ids], "group bigint, id bigint").repartition(3)
+    for members in (2048, 25):
+        monkeypatch.setattr(families, "MEMBERS", members)
+        got = {}
+        for r in families.sharpened(groups, nodes, names, 85, 100).collect():
+            got.setdefault(r["group"], set()).add(r["id"])
+        want = {frozenset(every[:20]), frozenset(every[20:40])} if members > 25 else {frozenset(every)}
+        assert set(map(frozenset, got.values())) == want and len(got) == len(want)
+
+
 # The shingle join.
 
 
