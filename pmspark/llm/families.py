@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, in_batches, small, written
+from .components import components
 
 #: What a task compares as one group: sets, and elements of them all.
-MEMBERS, TOKENS = 2048, 1 << 20
+MEMBERS, TOKENS = 2048, 1 << 22
 #: Elements of the sample that a large group's reference is made of. It decides how fast the group falls apart, not what is linked.
 SAMPLED = 1 << 17
 #: Groups of groups: each has about half as many sets as the last at most.
@@ -249,19 +250,27 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's bits
 
 
-def parities(h: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
-    """Of each row of hashes that begin at ``at``: the parities of how many fall on each of so many bits, as longs."""
-    n = len(at) - 1
-    of = np.repeat(np.arange(n), np.diff(at))
-    odd = np.bincount(of * bits + (h >> np.uint64(20)).astype(np.int64) % bits, minlength=n * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1, bitorder="little").view(np.int64).reshape(n, bits // 64)
+def parities(h: np.ndarray, at: np.ndarray, least: int = 512) -> list[np.ndarray]:
+    """Of each row of hashes that begin at ``at`` a sketch, as longs: the parities of how many fall on each of its bits, of which there are
+    ``least`` or, if that is more, the next power of two after their number. Halves laid over each other are the sketch of half as many bits."""
+    sizes = np.diff(at)
+    bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+    ends = np.cumsum(bits)
+    cell = np.repeat(ends - bits, sizes) + ((h >> np.uint64(20)).astype(np.int64) & (np.repeat(bits, sizes) - 1))
+    odd = (np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.split(np.packbits(odd, bitorder="little").view(np.int64), ends[:-1] // 64) if len(sizes) else []
 
 
-def possible(ids: np.ndarray, sizes: np.ndarray, odd: np.ndarray, num: int, den: int) -> np.ndarray:
+def possible(sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
     """Of each row the least place that rows which may be similar join it with: sketches differ in no more bits than sets in elements."""
-    up = np.arange(len(ids))
-    for i in range(1, len(ids)):
-        good = (num + den) * _ones(odd[:i] ^ odd[i]).sum(1) <= (den - num) * (sizes[:i] + sizes[i])
+    up, lens = np.arange(len(sizes)), np.array([len(s) for s in sketches])
+    folded = {int(k): np.stack([np.bitwise_xor.reduce(s.reshape(-1, k)) if len(s) >= k else np.zeros(k, np.int64) for s in sketches]) for k in np.unique(lens)}
+    for i in range(1, len(sizes)):
+        good = np.zeros(i, dtype=bool)
+        for k, rows in folded.items():
+            at = np.flatnonzero(np.minimum(lens[:i], lens[i]) == k)
+            apart = np.maximum(_ones(rows[at] ^ rows[i]).sum(1), np.abs(sizes[at] - sizes[i]))
+            good[at] = (num + den) * apart <= (den - num) * (sizes[at] + sizes[i])
         met = np.unique(up[:i][good])
         if len(met):
             up[i] = met[0]
@@ -270,52 +279,46 @@ def possible(ids: np.ndarray, sizes: np.ndarray, odd: np.ndarray, num: int, den:
     return up
 
 
-def sharpened(groups: DataFrame, nodes: DataFrame, sketch: list[str], num: int, den: int) -> DataFrame:
-    """A written table: the groups, parted where sketches (columns of ``nodes``) show that no link can lead across; larger ones than MEMBERS as they are.
+def sharpened(groups: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """A written table of groups, parted where sketches (``odd`` of ``nodes``) show that no link can lead across, and then united where they overlap.
 
-    Of equal groups, and of groups within others, one is left (see ``without_subsets``).
+    What is left of a group holds together by pairs that look similar, so the united groups are little more than components, and an id is in one
+    of them. Groups of more than MEMBERS stay as they are, beside these.
     """
-    rows = groups.join(nodes.select("id", "n", *sketch), "id").select("group", "id", "n", *sketch)
+    rows = groups.join(nodes.select("id", "n", "odd"), "id").select("group", "id", "n", "odd")
     most = MEMBERS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            group, id_, n, *odd = held
-            odd = np.stack(odd, axis=1)
-            edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-            root = np.arange(len(group))
-            for a, z in zip(edges, edges[1:], strict=False):
-                root[a:z] = a if z - a > most else a + possible(id_[a:z], n[a:z], odd[a:z], num, den)
-            several = np.bincount(root, minlength=len(root))[root] > 1
-            yield pa.RecordBatch.from_arrays([pa.array(group[several]), pa.array(id_[root][several]), pa.array(id_[several])], ["group", "head", "id"])
-
-        held, long = None, None
+        def put(group, head, id_):
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (group, head, id_)], ["group", "head", "id"])
+
+        def closed(group: int, ids: list[int], sizes: list[int], odd: list[np.ndarray]) -> pa.RecordBatch:
+            root = possible(np.array(sizes), odd, num, den)
+            several = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1).tolist()
+            return put([group] * len(several), [ids[root[i]] for i in several], [ids[i] for i in several])
+
+        now, ids, sizes, odd = None, [], [], []
         for batch in batches:
-            now = [c.to_numpy() for c in batch.columns]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
-            if not len(held[0]):
-                continue
-            # A group that is larger than MEMBERS goes through as it comes.
-            last = int(np.append(0, np.flatnonzero(held[0] != held[0][-1]) + 1)[-1])
-            begin = int((held[0] == long).sum()) if long is not None else 0
-            if begin:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][:begin]), pa.array(np.full(begin, head)), pa.array(held[1][:begin])], ["group", "head", "id"])
-                held, last = [c[begin:] for c in held], max(last - begin, 0)
-                if not len(held[0]):
-                    continue
-            if last:
-                yield from closed([c[:last] for c in held])
-                held = [c[last:] for c in held]
-            if len(held[0]) > most:
-                long, head = held[0][0], held[1][0]
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(np.full(len(held[0]), head)), pa.array(held[1])], ["group", "head", "id"])
-                held = [c[:0] for c in held]
-        if held is not None and len(held[0]):
-            yield from closed(held)
+            for group, id_, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), arrays(batch.column(3)), strict=True):
+                if group != now:
+                    if 1 < len(ids) <= most:
+                        yield closed(now, ids, sizes, odd)
+                    now, ids, sizes, odd = group, [], [], []
+                ids.append(id_)
+                sizes.append(n)
+                odd.append(sketch)
+                if len(ids) > most:  # goes through as it comes, the first of it at once
+                    fresh = ids if len(ids) == most + 1 else ids[-1:]
+                    yield put([group] * len(fresh), [None] * len(fresh), fresh)
+                    ids, sizes, odd = [*ids[:most], id_], [], []
+        if 1 < len(ids) <= most:
+            yield closed(now, ids, sizes, odd)
 
     dealt = rows.repartition("group").sortWithinPartitions("group", "id")
-    found = cut(in_batches(dealt).mapInArrow(part, "group bigint, head bigint, id bigint").select(F.xxhash64("group", "head").alias("group"), "id"))
-    return without_subsets(found)
+    found = cut(in_batches(dealt).mapInArrow(part, "group bigint, head bigint, id bigint"))
+    united = components(found.where("head is not null").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    whole = without_subsets(cut(found.where("head is null").select("group", "id")))
+    return cut(united.select(F.xxhash64("root", F.lit("united")).alias("group"), F.col("node").alias("id")).unionByName(whole))
 
 
 def without_subsets(groups: DataFrame) -> DataFrame:

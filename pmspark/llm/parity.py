@@ -8,9 +8,8 @@ shuffle by (band, block, bits) brings them together. A document has keys in its
 little and would bring strangers together, so there are some spare blocks: similar sets then agree on more blocks than there are
 spare ones, and a document sends its poor blocks only if it has more of them. Nothing is lost by that.
 
-Equal sets are one node. Nodes that share a key come under the key's first node. Such a group is parted where sketches of fixed length differ in more bits
-than similar sets can, and then ``families.links`` finds its exact links from whole texts, without comparing
-every two. A distributed union-find makes the components.
+Equal sets are one node. Nodes that share a key come under the key's first node. Such a group is parted where other sketches, of a bit for each shingle, differ in more
+bits than similar sets can, and then ``families.links`` finds its exact links from whole texts, without comparing every two. A distributed union-find makes the components.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; one of fewer words than a shingle is its whole sequence;
 repeated rows each give a row, and rows that repeat a doc_id with another text count by their own text; a null
@@ -35,9 +34,6 @@ WORDS, NUM, DEN = 4, 85, 100
 BAND, BITS, SPARE = 1.4, 12, 12
 #: Largest size of a set.
 LARGEST = 1 << 40
-#: Bits of the sketch that parts groups before texts are sent.
-SKETCH = 1024
-_ODD = [f"odd_{i}" for i in range(SKETCH // 64)]
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -127,15 +123,15 @@ def reader(words: int = WORDS) -> Reader:
 
 
 def _read(docs: DataFrame, words: int) -> DataFrame:
-    """A written table of doc_id, id (name of the set), n (its size) and a sketch of SKETCH bits of every row."""
+    """A written table of doc_id, id (name of the set), n (its size) and odd (a sketch) of every row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, h, at in shingle_sets(batch.column(1), words):
-                columns = [batch.column(0).slice(first, len(at) - 1), pa.array(set_ids(h, at)), pa.array(np.diff(at)), *map(pa.array, parities(h, at, SKETCH).T)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", *_ODD])
+                columns = [batch.column(0).slice(first, len(at) - 1), pa.array(set_ids(h, at)), pa.array(np.diff(at)), pa.array(parities(h, at), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "id", "n", "odd"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} bigint" for c in ("id", "n", *_ODD))
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, id bigint, n bigint, odd array<bigint>"
     return written(in_batches(docs).select("doc_id", "text").mapInArrow(read, schema))
 
 
@@ -177,9 +173,9 @@ def holders(docs: DataFrame, wanted: DataFrame, words: int = WORDS) -> DataFrame
 def similar_documents(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links of num/den or more reach) of every row."""
     each = _read(docs, words)
-    nodes = written(each.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in ("n", *_ODD))))
+    nodes = written(each.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd")))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    groups = sharpened(homes(keyed(docs, words, num, den), keyed(sample, words, num, den)), nodes, _ODD, num, den)
+    groups = sharpened(homes(keyed(docs, words, num, den), keyed(sample, words, num, den)), nodes, num, den)
     wanted = cut(nodes.join(small(cut(groups.select("id").distinct())), "id").select(F.col("first").alias("doc_id"), "id"))
     found = cut(components(links(groups, nodes, holders(docs, wanted, words), num, den, reader(words))))
     member = cut(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))

@@ -108,24 +108,36 @@ def test_homes_bring_every_two_of_a_key_together(spark, monkeypatch):
             assert len(ids) < 2 or ids <= members[min(ids)]
 
 
-def test_groups_are_parted_by_sketches_and_subsets_go(spark, monkeypatch):
+def sketches(sets, least=512):
+    h = [np.array(sorted(x * 0x9E3779B97F4A7C15 % (1 << 64) for x in s), dtype=np.uint64) for s in sets]
+    return families.parities(np.concatenate(h), np.cumsum([0, *map(len, h)]), least)
+
+
+def test_groups_are_parted_by_sketches_and_united_where_they_overlap(spark, monkeypatch):
     rng = random.Random(2)
     sets = family(rng, 20, 60, 3) + family(rng, 20, 60, 3) + [set(rng.sample(range(10**9), 25)) for _ in range(9)]
-    h = [np.array(sorted(x * 0x9E3779B97F4A7C15 % (1 << 64) for x in s), dtype=np.uint64) for s in sets]
-    odd = families.parities(np.concatenate(h), np.cumsum([0, *map(len, h)]), 512)
-    names = [f"o{i}" for i in range(8)]
-    nodes = spark.createDataFrame([(i, len(s), *map(int, odd[i])) for i, s in enumerate(sets)], "id bigint, n bigint, " + ", ".join(f"{c} bigint" for c in names))
+    nodes = spark.createDataFrame([(i, len(s), o.tolist()) for i, (s, o) in enumerate(zip(sets, sketches(sets), strict=True))], "id bigint, n bigint, odd array<bigint>")
     every = range(len(sets))
     groups = spark.createDataFrame([(g, i) for g, ids in ((0, every), (1, every[:30]), (2, [0, 45]), (3, [3, 4])) for i in ids], "group bigint, id bigint").repartition(3)
     for members in (2048, 25):
         monkeypatch.setattr(families, "MEMBERS", members)
         got = {}
-        for r in families.sharpened(groups, nodes, names, 85, 100).collect():
+        for r in families.sharpened(groups, nodes, 85, 100).collect():
             got.setdefault(r["group"], set()).add(r["id"])
-        want = {frozenset(every[:20]), frozenset(every[20:40])} if members > 25 else {frozenset(every)}
+        want = {frozenset(every[:20]), frozenset(every[20:40])} if members > 25 else {frozenset(every), frozenset((3, 4))}
         assert set(map(frozenset, got.values())) == want and len(got) == len(want)
 
 
+def test_sketches_of_any_lengths_never_part_what_is_similar():
+    rng = random.Random(12)
+    sets = [s for size in (40, 500, 520, 1100, 2100) for s in family(rng, 8, size, size // 14)]
+    odd = sketches(sets, 64)
+    assert {len(o) for o in odd} >= {1, 8, 16, 32}
+    up = families.possible(np.array([len(s) for s in sets]), odd, 85, 100)
+    assert all(up[i] == up[j] for i, j in alike(sets, 85, 100))
+    assert len(set(up.tolist())) > 3
+
+
 # The shingle join.
 
 
