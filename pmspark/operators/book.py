@@ -108,41 +108,50 @@ def stab(points: DataFrame, intervals: DataFrame, block: int) -> DataFrame:
     return at.join(spread, [KEY, "_block"]).where("from_seq <= sequence and sequence < to_seq").drop("_block", "from_seq", "to_seq", "epoch")
 
 
-#: Levels that one number of the running books holds, a bit for each.
+#: Bits of a number that holds levels, or words of levels.
 WORD = 62
 
 
-def best_quote(deltas: DataFrame, prices: int = 124) -> DataFrame:
-    """Best bid and ask with sizes after each event; null where the side is empty. Prices are cents from 0 on, below ``prices``.
+def best_quote(deltas: DataFrame) -> DataFrame:
+    """Best bid and ask with sizes after each event; null where the side is empty. Prices may be of any grid, whole cents or not.
 
-    A delta turns its level's bit on or off, so the running sum of the bits that turn is the book of a side, and its highest
-    or lowest bit the best level, whatever the number of levels and however long they live. The sizes are the last of
-    those levels. All windows are of an instrument, so the rows are shuffled once.
+    Prices are ranked within the instrument's epoch and side, and a rank is a bit of a word. A delta turns its level's bit on or off, so the running
+    sum of the bits that turn is the word; words that become occupied or empty turn bits of a word of words in the same
+    way. The best level is the highest or lowest bit of the highest or lowest occupied word, whatever the number of levels and however long they live;
+    its price and size are the last of its rank. All windows are of an instrument, so the rows are shuffled once. More than
+    WORD * WORD prices of one side in one epoch are an error.
     """
-    level = Window.partitionBy(KEY, "epoch", "side", "price_cents").orderBy("sequence")
-    book = Window.partitionBy(KEY, "epoch").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
-    d = with_epoch(deltas)
+    by_price = Window.partitionBy(KEY, "epoch", "side").orderBy("price_cents", "sequence")
     is_level, on = F.col("action") != ACTION["CLEAR"], (F.col("size") > 0).cast("bigint")
-    d = d.withColumn("_turn", F.when(is_level, on - F.coalesce(F.lag(on).over(level), F.lit(0))).otherwise(0))
-    price = F.col("price_cents")
-    turned = F.col("_turn") * F.expr(f"shiftleft(1L, cast(price_cents % {WORD} as int))")
-    words = range(-(-prices // WORD))
-    for name in ("BUY", "SELL"):
-        for w in words:
-            mine = is_level & (F.col("side") == SIDE[name]) & (F.floor(price / WORD) == w)
-            d = d.withColumn(f"_{name}{w}", F.sum(F.when(mine, turned).otherwise(0)).over(book))
-    top = lambda w: F.when(F.col(f"_BUY{w}") > 0, w * WORD + F.length(F.bin(f"_BUY{w}")) - 1)
-    low = lambda w: F.when(F.col(f"_SELL{w}") > 0, w * WORD + F.length(F.bin(F.col(f"_SELL{w}").bitwiseAND(-F.col(f"_SELL{w}")))) - 1)
-    best = {"BUY": F.coalesce(*map(top, reversed(words))), "SELL": F.coalesce(*map(low, words))}
-    after = F.array(*(F.struct(F.lit(SIDE[k]).alias("side"), v.cast("bigint").alias("price_cents")) for k, v in best.items()))
-    zero = F.lit(None).cast("bigint")
-    asked = d.where(F.col("flags") == LAST_FLAG).select(KEY, "epoch", "sequence", "event_index", "ts_ns", F.inline(after))
-    asked = asked.select(KEY, "epoch", "side", "price_cents", "sequence", F.lit(1).alias("_kind"), zero.alias("size"), "event_index", "ts_ns")
-    sizes = d.where(is_level).select(KEY, "epoch", "side", "price_cents", "sequence", F.lit(0).alias("_kind"), "size", F.col("event_index"), "ts_ns")
-    last = Window.partitionBy(KEY, "epoch", "side", "price_cents").orderBy("sequence", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    out = sizes.unionByName(asked).withColumn("size", F.last("size", ignorenulls=True).over(last)).where("_kind = 1")
-    of = lambda name, c: F.max(F.when((F.col("side") == SIDE[name]) & F.col("price_cents").isNotNull(), F.col(c)))
-    return out.groupBy(KEY, "event_index").agg(
+    d = with_epoch(deltas).withColumn("_same", F.lag("price_cents").over(by_price).eqNullSafe(F.col("price_cents")))
+    d = d.withColumn("_turn", F.when(is_level, on - F.when(F.col("_same"), F.lag(on).over(by_price)).otherwise(0)).otherwise(0))
+    d = d.withColumn("_rank", F.sum((~F.col("_same")).cast("bigint")).over(by_price.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    many = F.raise_error(F.lit(f"a side of a book has more than {WORD * WORD} prices between two snapshots")).cast("bigint")
+    d = d.withColumn("_rank", F.when(F.col("_rank") < WORD * WORD, F.col("_rank")).otherwise(many)).withColumn("_word", F.expr(f"_rank div {WORD}"))
+    word = Window.partitionBy(KEY, "epoch", "side", "_word").orderBy("sequence")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast({c} as int))")
+    d = d.withColumn("_bits", F.sum(F.col("_turn") * bit(f"_rank % {WORD}")).over(word.rowsBetween(Window.unboundedPreceding, 0)))
+    occupied = (F.col("_bits") > 0).cast("bigint")
+    d = d.withColumn("_turned", (occupied - F.coalesce(F.lag(occupied).over(word), F.lit(0))) * bit("_word"))
+    book = Window.partitionBy(KEY, "epoch").orderBy("sequence").rowsBetween(Window.unboundedPreceding, 0)
+    tops = {name: F.sum(F.when(is_level & (F.col("side") == SIDE[name]), F.col("_turned")).otherwise(0)).over(book) for name in ("BUY", "SELL")}
+    high = lambda c: F.when(c > 0, F.length(F.bin(c)) - 1).cast("bigint")
+    low = lambda c: F.when(c > 0, F.length(F.bin(c.bitwiseAND(-c))) - 1).cast("bigint")
+    d = d.withColumn("_BUY", tops["BUY"]).withColumn("_SELL", tops["SELL"])
+    # Each event asks for the bits of the best word of either side, and then for the price and size of the best rank.
+    row = lambda kind, side, word, rank, bits: F.struct(F.lit(kind).alias("_kind"), side.cast("int").alias("side"), word.alias("_word"), rank.alias("_rank"), bits.alias("_bits"))
+    none = F.lit(None).cast("bigint")
+    own = row(0, F.col("side"), F.col("_word"), F.col("_rank"), F.col("_bits"))
+    asks = [row(1, F.lit(SIDE[name]), end(F.col(f"_{name}")), none, none) for name, end in (("BUY", high), ("SELL", low))]
+    rows = F.when(F.col("flags") == LAST_FLAG, F.array(own, *asks)).otherwise(F.array(own))
+    d = d.select(KEY, "epoch", "sequence", "event_index", "ts_ns", F.struct("price_cents", "size").alias("_level"), F.inline(rows))
+    at = lambda *keys: Window.partitionBy(KEY, "epoch", "side", *keys).orderBy("sequence", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("_bits", F.last("_bits", ignorenulls=True).over(at("_word")))
+    best = F.when(F.col("side") == SIDE["BUY"], high(F.col("_bits"))).otherwise(low(F.col("_bits")))
+    d = d.withColumn("_rank", F.when(F.col("_kind") == 0, F.col("_rank")).otherwise(F.col("_word") * WORD + best))
+    d = d.withColumn("_level", F.last(F.when(F.col("_kind") == 0, F.col("_level")), ignorenulls=True).over(at("_rank"))).where("_kind = 1")
+    of = lambda name, c: F.max(F.when(F.col("side") == SIDE[name], F.col(f"_level.{c}")))
+    return d.groupBy(KEY, "event_index").agg(
         F.max("ts_ns").alias("ts_ns"), of("BUY", "price_cents").alias("bid"), of("BUY", "size").alias("bid_size"), of("SELL", "price_cents").alias("ask"), of("SELL", "size").alias("ask_size")
     )
 

@@ -6,6 +6,7 @@ import re
 import tempfile
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NullType, StructField, StructType
@@ -22,11 +23,43 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared or tempfile.mkdtemp(prefix='spark-')}/{uuid4().hex}"
 
 
-def write_by_day(df: DataFrame, path: str, ts: str = "ts_ns") -> None:
-    """Partitions by UTC day; days that occur are overwritten, others stay, days without rows are not written."""
-    day = F.date_format(F.timestamp_micros(F.expr(f"{ts} div 1000")), "yyyy-MM-dd")
-    out = df.withColumn("day", day)
-    out.repartition("day", "instrument_id" if "instrument_id" in df.columns else "asset").sortWithinPartitions("day", ts).write.partitionBy("day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+#: Buckets of instruments that a day of a canonical table is parted into.
+BUCKETS = 16
+
+
+def _held(spark: SparkSession, path: str) -> DataFrame | None:
+    """What lies under path, if anything does."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def write_by_day(df: DataFrame, path: str, ts: str = "ts_ns", buckets: int = BUCKETS) -> None:
+    """Replaces each (instrument, UTC day) that has rows in df, and nothing else; ``instrument_id``, or else ``asset``, names instruments.
+
+    The table is parted by day and by bucket of instruments, so a write reads and rewrites only the partitions that hold keys of its own. Its rows
+    and what stays of those partitions are staged beside the table first; then one dynamic overwrite swaps just those
+    partitions, when all their files are there. ``buckets`` stays what the table was first written with. Null instruments and times are
+    keys like others. Within a partition rows are dealt by size, so a busy instrument's day is no single task.
+    """
+    spark, key, staged = df.sparkSession, "instrument_id" if "instrument_id" in df.columns else "asset", scratch(df.sparkSession)
+    day = F.to_date(F.timestamp_micros(F.expr(f"{ts} div 1000")))
+    keyed = df.withColumn("day", day).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    keyed.write.parquet(f"{staged}/new")
+    fresh = out = spark.read.schema(keyed.schema).parquet(f"{staged}/new")
+    old = _held(spark, path)
+    if old is not None:
+        old = old.withColumn("day", F.col("day").cast("date"))
+        same = lambda x, y, names: [x[c].eqNullSafe(y[c]) for c in names]
+        parts, keys = fresh.select("day", "bucket").distinct(), fresh.select("day", "bucket", key).distinct()
+        touched = old.join(parts, same(old, parts, ("day", "bucket")), "left_semi")
+        touched.join(keys, same(touched, keys, ("day", "bucket", key)), "left_anti").write.parquet(f"{staged}/kept")
+        out = fresh.unionByName(spark.read.schema(old.schema).parquet(f"{staged}/kept"), allowMissingColumns=True)
+    out = out.hint("rebalance", "day", "bucket").sortWithinPartitions("day", "bucket", key, ts)
+    out.write.partitionBy("day", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def write_blob(df: DataFrame, root: str, rows_per_file: int = 5_000_000) -> None:

@@ -33,18 +33,27 @@ def test_settlement(spark):
     assert out["n"] is None
 
 
-def test_best_quote_equals_a_sequential_book(spark):
+#: Whole cents, tenths of a cent, prices above 1 and below 0, and more prices than a word has bits.
+GRIDS = {"cents": ("bigint", 1, 30, 20), "tenths": ("decimal(9,1)", 0.1, 30, 20), "wide": ("bigint", 7, -200, 90), "many": ("decimal(9,2)", 0.25, 100, 2000)}
+
+
+@pytest.mark.parametrize("grid", list(GRIDS))
+def test_best_quote_equals_a_sequential_book(spark, grid):
+    from decimal import Decimal
+
+    kind_of, tick, first, ticks = GRIDS[grid]
+    price = lambda n: n * tick + first if kind_of == "bigint" else Decimal(str(round(n * tick + first, 2)))
     rng = random.Random(1)
     rows, seq = [], 0
     for t in range(400):
-        kind = "book_snapshot" if t % 50 == 0 else "price_change"
+        kind = "book_snapshot" if t % (50 if ticks < 100 else 300) == 0 else "price_change"
         for _ in range(5 if kind == "book_snapshot" else 1):
             seq += 1
             side = rng.choice(["BUY", "SELL"])
-            rows.append(("m", t, seq, kind, side, rng.randint(30, 40) if side == "BUY" else rng.randint(41, 50), rng.choice([0, 3, 7])))
-    updates = frame(spark, rows, "instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents bigint, size bigint")
+            rows.append(("m", t, seq, kind, side, price(rng.randrange(ticks) + (ticks if side == "SELL" else 0)), rng.choice([0, 3, 7])))
+    updates = frame(spark, rows, f"instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents {kind_of}, size bigint")
     deltas = B.updates_to_deltas(updates)
-    got = {r["event_index"]: (r["bid"], r["bid_size"], r["ask"], r["ask_size"]) for r in B.best_quote(deltas, prices=70).collect()}
+    got = {r["event_index"]: (r["bid"], r["bid_size"], r["ask"], r["ask_size"]) for r in B.best_quote(deltas).collect()}
     book, want = {}, {}
     for r in deltas.orderBy("sequence").collect():
         if r["action"] == 4:
@@ -60,6 +69,13 @@ def test_best_quote_equals_a_sequential_book(spark):
     assert deltas.where("flags = 128").count() == len(want)
 
 
+def test_a_book_of_more_prices_than_its_words_hold_is_an_error(spark):
+    rows = [("m", 0, 0, "book_snapshot", "BUY", 0, 1)] + [("m", 1, i, "price_change", "BUY", i, 1) for i in range(1, B.WORD * B.WORD + 1)]
+    updates = frame(spark, rows, "instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents bigint, size bigint")
+    with pytest.raises(Exception, match="more than 3844 prices"):
+        B.best_quote(B.updates_to_deltas(updates)).collect()
+
+
 def test_snapshot_diff_keeps_texts(spark):
     level = "array<struct<price:string,size:string>>"
     rows = [("m", 1, [("0.3", "5"), ("0.4", "1")], [("0.6", "2")]), ("m", 2, [("0.3", "5.0")], [("0.6", "2"), ("0.7", "1")])]
@@ -100,17 +116,34 @@ def test_gate_and_late_rows(spark):
     assert sorted(r["seq"] for r in B.drop_late_updates(u, "batch").collect()) == [1, 2, 3]
 
 
-def test_sinks_overwrite_their_days_only(spark):
+def test_sinks_replace_their_own_instruments_and_days_only(spark):
     path = O.scratch(spark)
     day = 24 * HOUR
-    rows = lambda *x: frame(spark, [("m", t, v) for t, v in x], "instrument_id string, ts_ns bigint, v int")
-    O.write_by_day(rows((0, 1), (day, 2)), path)
-    O.write_by_day(rows((day, 3)), path)
-    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 3]
+    rows = lambda *x: frame(spark, x, "instrument_id string, ts_ns bigint, v int")
+    held = lambda: sorted((r["instrument_id"] or "", str(r["day"]), r["v"]) for r in spark.read.parquet(path).collect())
+    for buckets in (1,):  # all instruments of a day in one partition
+        O.write_by_day(rows(("m", 0, 1), ("m", day, 2)), path, buckets=buckets)
+        O.write_by_day(rows(("n", 0, 3), ("n", 5, 4), (None, 0, 5)), path, buckets=buckets)
+        assert held() == [("", "1970-01-01", 5), ("m", "1970-01-01", 1), ("m", "1970-01-02", 2), ("n", "1970-01-01", 3), ("n", "1970-01-01", 4)]
+        O.write_by_day(rows(("n", 7, 6)), path, buckets=buckets)
+        O.write_by_day(rows((None, 1, 7), (None, None, 8)), path, buckets=buckets)
+        assert held() == [("", "1970-01-01", 7), ("", "None", 8), ("m", "1970-01-01", 1), ("m", "1970-01-02", 2), ("n", "1970-01-01", 6)]
+        O.write_by_day(rows(), path, buckets=buckets)
+        assert len(held()) == 5
     with pytest.raises(ValueError, match="lacks"):
         I.read_deltas(spark, path)
 
 
+def test_a_write_that_fails_leaves_the_table_as_it_was(spark):
+    path = O.scratch(spark)
+    rows = lambda v: frame(spark, [("m", 0, v), ("n", 0, v + 1)], "instrument_id string, ts_ns bigint, v int")
+    O.write_by_day(rows(1), path, buckets=1)
+    bad = rows(5).where("instrument_id = 'm'").withColumn("v", F.when(F.col("v") > 0, F.raise_error(F.lit("stop"))).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        O.write_by_day(bad, path, buckets=1)
+    assert sorted(r["v"] for r in spark.read.parquet(path).collect()) == [1, 2]
+
+
 def test_schema_promotion(spark):
     a, b, c = (frame(spark, [], s).schema for s in ("x int", "x int, y string", "x string"))
     assert O.promote_schema(a, b) == b
