@@ -261,21 +261,51 @@ def parities(h: np.ndarray, at: np.ndarray, least: int = 512) -> list[np.ndarray
     return np.split(np.packbits(odd, bitorder="little").view(np.int64), ends[:-1] // 64) if len(sizes) else []
 
 
+class Sketches:
+    """Sketches of any lengths that are powers of two, and in how many bits two of them differ."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.lens = np.array([len(r) for r in rows], dtype=np.int64)
+        groups = {int(k): (at := np.flatnonzero(self.lens == k), np.concatenate([rows[i] for i in at]).reshape(len(at), k)) for k in np.unique(self.lens)}
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for k in groups:
+            place, parts, n = np.zeros(len(rows), np.int64), [], 0
+            for long, (at, longs) in groups.items():
+                if long >= k:
+                    parts.append(np.bitwise_xor.reduce(longs.reshape(len(at), long // k, k), axis=1))
+                    place[at] = n + np.arange(len(at))
+                    n += len(at)
+            self.folded[k] = place, np.concatenate(parts)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out, least = np.zeros(len(i), dtype=np.int64), np.minimum(self.lens[i], self.lens[j])
+        for k in np.unique(least):
+            at, (place, rows) = np.flatnonzero(least == k), self.folded[int(k)]
+            out[at] = _ones(rows[place[i[at]]] ^ rows[place[j[at]]]).sum(1)
+        return out
+
+    def may_be(self, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, num: int, den: int) -> np.ndarray:
+        """False only where two sets cannot be similar: sketches differ in no more bits than sets in elements."""
+        apart = np.maximum(self.apart(i, j), np.abs(sizes[i] - sizes[j]))
+        return (num + den) * apart <= (den - num) * (sizes[i] + sizes[j])
+
+
+def met_by(up: np.ndarray, i: int, others: np.ndarray, first: int = 0) -> None:
+    """Joins place i with the others, all from ``first`` to i: ``up`` has the least place that each is joined with."""
+    met = np.unique(up[others])
+    if len(met):
+        up[i] = min(met[0], up[i])
+        if len(met) > 1:
+            here = up[first : i + 1]
+            here[np.isin(here, met)] = up[i]
+
+
 def possible(sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Of each row the least place that rows which may be similar join it with: sketches differ in no more bits than sets in elements."""
-    up, lens = np.arange(len(sizes)), np.array([len(s) for s in sketches])
-    folded = {int(k): np.stack([np.bitwise_xor.reduce(s.reshape(-1, k)) if len(s) >= k else np.zeros(k, np.int64) for s in sketches]) for k in np.unique(lens)}
+    """Of each row the least place that rows which may be similar join it with."""
+    up, held = np.arange(len(sizes)), Sketches(sketches)
     for i in range(1, len(sizes)):
-        good = np.zeros(i, dtype=bool)
-        for k, rows in folded.items():
-            at = np.flatnonzero(np.minimum(lens[:i], lens[i]) == k)
-            apart = np.maximum(_ones(rows[at] ^ rows[i]).sum(1), np.abs(sizes[at] - sizes[i]))
-            good[at] = (num + den) * apart <= (den - num) * (sizes[at] + sizes[i])
-        met = np.unique(up[:i][good])
-        if len(met):
-            up[i] = met[0]
-            if len(met) > 1:
-                up[: i + 1][np.isin(up[: i + 1], met)] = met[0]
+        before = np.arange(i)
+        met_by(up, i, before[held.may_be(np.full(i, i), before, sizes, num, den)])
     return up
 
 

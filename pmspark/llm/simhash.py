@@ -17,6 +17,7 @@ if its component has no other); an empty table gives no rows; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 from itertools import combinations, groupby
 
@@ -27,8 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, NOT_SPACE, P_WORD, Rolling, cut, free, in_batches, mixed, small, spans, steps, table, written
+from .common import LOWER, NOT_SPACE, Rolling, cut, free, in_batches, mixed, small, spans, steps, table, written
 from .components import components
+from .families import Reader, Sets, Sketches, met_by, parities
+from .families import links as family_links
 
 #: Nodes of a chunk: what a task holds as a tree at once.
 CHUNK = 8192
@@ -90,27 +93,6 @@ class BKTree:
                     todo.append(child)
 
 
-class Sets:
-    """Union-find within a task."""
-
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        up = self.up
-        while (y := up.get(x, x)) != x:
-            up[x] = x = up.get(y, y)
-        return x
-
-    def join(self, x, y) -> bool:
-        """True if the two were apart."""
-        x, y = self.find(x), self.find(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
 def _masks(blocks: int, agree: int) -> list[int]:
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     each = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
@@ -199,10 +181,6 @@ SIMILAR, SIMILAR_WORDS, WIDE = 0.8, 5, 13
 PRINTS = 2
 #: Random choices of so many bits of one of them, in turn; two fingerprints that differ in 7 of 64 bits share one with a chance of 0.998, in 9 with 0.96.
 WAYS, WAY_BITS = 64, 15
-#: Of these, those whose nearest neighbours are compared first, which only saves comparisons.
-FIRST_WAYS = 8
-#: Bits of the parities of a text's shingles.
-ODD_BITS = 512
 #: Nodes of a hot shard that a task compares with each other, or with as many others.
 WIDE_CHUNK = 8192
 #: One node in so many shows which shards are hot; this decides how they are dealt, not what is compared.
@@ -219,12 +197,6 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value's bits
 
 
-def _may_be(sizes: np.ndarray, odd: np.ndarray, most: float) -> np.ndarray:
-    """False only where two sets cannot have the similarity: each parity in which they differ (``odd``) takes a shingle that
-    only one of them has, and those are at most (1 - similarity) / (1 + similarity) of both sizes together."""
-    return _ones(odd).sum(axis=-1) <= most * sizes + 1e-6
-
-
 def _grams(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every k words of each text, and where each text's begin; of fewer than k words their whole sequence, of none one too."""
     counts = np.diff(begins)
@@ -234,9 +206,9 @@ def _grams(words: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, n
     return Rolling(words)(starts, starts + np.repeat(np.minimum(counts, k), n)), at
 
 
-def sketches(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, ...]:
-    """Of each text: hash of its words, fingerprints of three words, number of its distinct shingles, and their parities (ODD_BITS as longs)."""
-    ids, fps, sizes, odds = [np.zeros(0, np.uint64)], [np.zeros((0, PRINTS), np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, ODD_BITS // 64), np.int64)]
+def sketches(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple:
+    """Of each text: hash of its words, fingerprints of three words, number of its distinct shingles, and their parities (see ``families``)."""
+    ids, fps, sizes, odd = [np.zeros(0, np.uint64)], [np.zeros((0, PRINTS), np.uint64)], [np.zeros(0, np.int64)], []
     for first, end, data, offsets in steps(texts):
         n = end - first
         starts, ends, begins = spans(data, offsets, NOT_SPACE)
@@ -251,14 +223,31 @@ def sketches(texts: pa.Array, words: int = SIMILAR_WORDS) -> tuple[np.ndarray, .
             bits = np.unpackbits(h[a:z].view(np.uint8), axis=1, bitorder="little")
             ones[of[a] : of[z - 1] + 1] += np.add.reduceat(bits, np.maximum(at[of[a] : of[z - 1] + 1], a) - a, axis=0, dtype=np.int64)
         fps.append(np.packbits(ones * 2 > np.diff(at)[:, None], axis=1, bitorder="little").view(np.uint64))
-        h, at = _grams(w, begins, words)
-        of = np.repeat(np.arange(n), np.diff(at))
-        _, new = np.unique(h + of.astype(np.uint64) * np.uint64(P_WORD), return_index=True)
-        h, of = h[new], of[new]
+        h, of = _distinct(*_grams(w, begins, words))
         sizes.append(np.bincount(of, minlength=n))
-        odd = np.bincount(of * ODD_BITS + (h >> np.uint64(20)).astype(np.int64) % ODD_BITS, minlength=n * ODD_BITS) & 1
-        odds.append(np.packbits(odd.astype(np.uint8).reshape(-1, ODD_BITS), axis=1, bitorder="little").view(np.int64))
-    return np.concatenate(ids).view(np.int64), np.concatenate(fps).view(np.int64), np.concatenate(sizes), np.concatenate(odds)
+        odd += parities(h, np.append(0, np.cumsum(sizes[-1])))
+    return np.concatenate(ids).view(np.int64), np.concatenate(fps).view(np.int64), np.concatenate(sizes), odd
+
+
+def _distinct(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, sorted, and their texts."""
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((h.view(np.int64), of))
+    h, of = h[order], of[order]
+    new = np.append(len(h) > 0, (h[1:] != h[:-1]) | (of[1:] != of[:-1])) if len(h) else np.zeros(0, bool)
+    return h[new], of[new]
+
+
+def shingles_of(words: int = SIMILAR_WORDS) -> Reader:
+    """Makes sets of shingles of texts."""
+
+    def read(texts: pa.Array) -> Iterator[np.ndarray]:
+        for first, end, data, offsets in steps(texts):
+            starts, ends, begins = spans(data, offsets, NOT_SPACE)
+            h, of = _distinct(*_grams(Rolling(LOWER[data])(starts, ends), begins, words))
+            yield from np.split(h.view(np.int64), np.searchsorted(of, np.arange(1, end - first)))
+
+    return read
 
 
 def meetings(groups: np.ndarray, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -311,7 +300,6 @@ def _shard(way: Column, bits: Column) -> Column:
     return F.xxhash64(way, bits).bitwiseAND(-64).bitwiseOR(way.cast("bigint"))
 
 
-_ODD = [f"odd_{i}" for i in range(ODD_BITS // 64)]
 _FPS = [f"fp_{i}" for i in range(PRINTS)]
 
 
@@ -321,8 +309,8 @@ def _print_of(way: Column) -> Column:
 
 
 def _neighbours(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """A written table of two kinds of rows: a, way (b is null) if node a has another within WIDE in its shard of that way; and a, b for
-    each node's nearest of these in the first ways (way is null). A hot shard is dealt in chunks here, and all its nodes have their row."""
+    """A written table: id, way if the node has another within WIDE in its shard of that way. A hot shard is dealt in chunks here, and all
+    its nodes have their row."""
     def sharded(df: DataFrame) -> DataFrame:
         shards = F.array(*(_shard(F.lit(i), F.col(_FPS[i % PRINTS]).bitwiseAND(m)) for i, m in enumerate(masks)))
         return df.select("id", *_FPS, F.explode(shards).alias("shard")).select("id", _print_of(F.col("shard").bitwiseAND(63)).alias("fp"), "shard")
@@ -333,46 +321,35 @@ def _neighbours(nodes: DataFrame, masks: list[int]) -> DataFrame:
     if not hot.isEmpty():
         member = member.join(small(hot), F.col("shard") == F.col("_hot"), "left")
         way = F.col("shard").bitwiseAND(63)
-        more = member.where("chunks is not null").select(F.col("id").alias("a"), F.lit(None).cast("bigint").alias("b"), way.cast("int").alias("way"))
+        more = member.where("chunks is not null").select("id", way.cast("int").alias("way"))
         dealt = F.xxhash64("shard", F.pmod(F.xxhash64("id"), "chunks")).bitwiseAND(-64).bitwiseOR(way)
         member = member.select("id", "fp", F.coalesce(F.when(F.col("chunks").isNotNull(), dealt), "shard").alias("shard"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, ids, fps in _runs(batches):
-            near, best = np.full(len(ids), WIDE + 1), np.zeros(len(ids), np.int64)
             met = np.zeros(len(ids), dtype=bool)
             for i, j in meetings(shard):
-                d = _ones(fps[i] ^ fps[j])
-                good = d <= WIDE
-                i, j, d = i[good], j[good], d[good]
-                met[i] = met[j] = True
-                if len(i) > 1 and i[0] == i[-1]:
-                    i, j, d = (x[[d.argmin()]] for x in (i, j, d))
-                less = d < near[i]
-                near[i[less]], best[i[less]] = d[less], j[less]
-            way = (shard & 63).astype(np.int32)
-            met, first = np.flatnonzero(met), np.flatnonzero((near <= WIDE) & (way < FIRST_WAYS))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.nulls(len(met), pa.int64()), pa.array(way[met])], ["a", "b", "way"])
-            a, b = ids[first], ids[best[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(first), pa.int32())], ["a", "b", "way"])
+                good = _ones(fps[i] ^ fps[j]) <= WIDE
+                met[i[good]] = met[j[good]] = True
+            yield _arrow(id=ids[met], way=(shard[met] & 63).astype(np.int32))
 
     member = member.select("shard", "id", "fp").repartition("shard").sortWithinPartitions("shard", F.xxhash64("id", "shard"))
-    found = member.mapInArrow(search, "a bigint, b bigint, way int")
+    found = member.mapInArrow(search, "id bigint, way int")
     return written(found if more is None else found.unionByName(more))
 
 
-def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], similar: float) -> DataFrame:
-    """Pairs a < b of nodes of different ``root`` that lie within WIDE and share a shard, and whose sets ``_may_be`` similar; each once.
+def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], num: int, den: int) -> DataFrame:
+    """Pairs a < b of nodes, enough to join within each shard all that lie within WIDE and that sketches of their sets do not tell apart.
 
-    nodes: id, fingerprints, shingles, the parities and root; met: id, way of nodes that have others within WIDE in their shard.
+    So many pairs come out as join what a shard has, however many look similar: fewer than it has nodes.
+    nodes: id, fingerprints, n and odd (size and sketch of the set); met: id, way of nodes that have others within WIDE in their shard.
     """
-    most = (1 - similar) / (1 + similar)
     mask = F.element_at(F.array(*map(F.lit, masks)), F.col("way") + 1)
     shard = _shard(F.col("way"), F.col("fp").bitwiseAND(mask))
-    member = met.join(nodes.select(F.col("id").alias("_id"), *_FPS, "root", "shingles", *_ODD), F.col("id") == F.col("_id")).withColumn("fp", _print_of(F.col("way")))
-    member = member.select(shard.alias("group"), "id", F.lit(-1).alias("side"), "way", "fp", "root", "shingles", *_ODD)
-    hot = member.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > WIDE_CHUNK)
-    hot = cut(hot.select(F.col("group").alias("_group"), F.ceil(F.col("n") / WIDE_CHUNK).cast("int").alias("chunks")))
+    member = met.join(nodes.select(F.col("id").alias("_id"), *_FPS, "n", "odd"), F.col("id") == F.col("_id")).withColumn("fp", _print_of(F.col("way")))
+    member = member.select(shard.alias("group"), "id", F.lit(-1).alias("side"), "fp", "n", "odd")
+    hot = member.groupBy("group").agg(F.count("*").alias("_many")).where(F.col("_many") > WIDE_CHUNK)
+    hot = cut(hot.select(F.col("group").alias("_group"), F.ceil(F.col("_many") / WIDE_CHUNK).cast("int").alias("chunks")))
     if not hot.isEmpty():
         # Every two chunks of a hot shard meet in a group of their own, the rows of a chunk in that of the chunk alone.
         placed = member.join(small(hot), F.col("group") == F.col("_group"), "left").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
@@ -380,114 +357,81 @@ def _candidates(nodes: DataFrame, met: DataFrame, masks: list[int], similar: flo
         warm = warm.withColumn("side", F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int")))
         warm = warm.withColumn("group", F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")))
         member = placed.where("chunks is null").select(*member.columns).unionByName(warm.select(*member.columns))
-    bits = np.array(masks, dtype=np.int64)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, ids, side, way, fps, roots, n, *odd in _runs(batches):
-            heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            several = np.minimum.reduceat(roots, heads) != np.maximum.reduceat(roots, heads)
-            several = np.repeat(several, np.diff(np.append(heads, len(group))))  # rows of groups that hold several roots
-            group, ids, side, way, fps, roots, n = (c[several] for c in (group, ids, side, way, fps, roots, n))
-            odd, a, b, held = np.stack([c[several] for c in odd], axis=1), [], [], 0
+        for group, ids, side, fps, n, odd in _runs(batches):
+            held, up = Sketches(list(odd)), np.arange(len(ids))
+            heads = np.searchsorted(group, group)
+            few: list[tuple[np.ndarray, np.ndarray]] = []
             for i, j in meetings(group, side):
-                x = fps[i] ^ fps[j]
-                good = (roots[i] != roots[j]) & (_ones(x) <= WIDE)
-                i, j, x = i[good], j[good], x[good]
-                good = _may_be(n[i] + n[j], odd[i] ^ odd[j], most)
-                i, j, x = i[good], j[good], x[good]
-                for w in range(int(way[i].max()) if len(i) else 0):  # they have met in an earlier way of this fingerprint
-                    good = (way[i] <= w) | ((way[i] - w) % PRINTS != 0) | (x & bits[w] != 0)
-                    i, j, x = i[good], j[good], x[good]
-                a.append(np.minimum(ids[i], ids[j]))
-                b.append(np.maximum(ids[i], ids[j]))
-                held += len(i)
-                if held > 1 << 16:
-                    yield _arrow(a=np.concatenate(a), b=np.concatenate(b))
-                    a, b, held = [], [], 0
-            if held:
-                yield _arrow(a=np.concatenate(a), b=np.concatenate(b))
+                good = _ones(fps[i] ^ fps[j]) <= WIDE
+                i, j = i[good], j[good]
+                good = held.may_be(i, j, n, num, den)
+                i, j = i[good], j[good]
+                if len(i) > 1 and i[0] == i[-1]:  # a row of a large group
+                    met_by(up, int(i[0]), j, int(heads[i[0]]))
+                elif len(i):
+                    few.append((i, j))
+            i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in few)]) for k in (0, 1))
+            while len(i) and (up[i] != up[j]).any():  # the least place of what is joined, by jumps
+                least = np.minimum(up[i], up[j])
+                for k in (up[i], up[j]):
+                    np.minimum.at(up, k, least)
+                up = up[up]
+            other = np.flatnonzero(up != np.arange(len(ids)))
+            a, b = ids[up[other]], ids[other]
+            yield _arrow(a=np.minimum(a, b), b=np.maximum(a, b))
 
     return member.repartition("group").sortWithinPartitions("group", "id").mapInArrow(search, "a bigint, b bigint").distinct()
 
 
-#: Pairs of one node that a task compares.
-PAIRS = 256
+def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    starts, ends, begins = spans(data, offsets, NOT_SPACE)
+    return Rolling(Rolling(LOWER[data])(starts, ends))(begins[:-1], begins[1:])
 
 
-def _alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: float, words: int) -> DataFrame:
-    """Those of the pairs a, b (a written table) whose texts have the similarity, by the 64-bit hashes of their shingles."""
-    most = (1 - similar) / (1 + similar)
-    node = lambda c: nodes.select(F.col("id").alias(f"_{c}"), F.col("shingles").alias(f"_n{c}"), *(F.col(o).alias(f"_{o}{c}") for o in _ODD))
-    both = pairs.join(node("a"), F.col("a") == F.col("_a")).join(node("b"), F.col("b") == F.col("_b"))
-    differ = sum((F.bit_count(F.col(f"_{o}a").bitwiseXOR(F.col(f"_{o}b"))) for o in _ODD), F.lit(0))
-    pairs = cut(both.where(differ <= most * (F.col("_na") + F.col("_nb")) + 1e-6).select("a", "b"))
-    named = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    reps = cut(nodes.join(named, F.col("id") == F.col("_id")).select(F.col("first").alias("_first"), F.col("id").alias("_id")))
-    chosen = docs.select("doc_id", "text").join(small(reps), F.col("doc_id") == F.col("_first")).select(F.coalesce("text", F.lit("")).alias("text"), "_id")
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, holder (its text) of the nodes wanted (id, first: a doc_id that has the text)."""
+    chosen = docs.select("doc_id", "text").join(small(wanted.select(F.col("first").alias("_first"), "id")), F.col("doc_id") == F.col("_first")).select("id", F.coalesce("text", F.lit("")).alias("holder"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # rows that repeat a doc_id may hold other texts
-            texts = batch.column(0)
-            mine = np.concatenate([np.zeros(0, np.uint64), *(_text_ids(data, offsets) for _, _, data, offsets in steps(texts))]).view(np.int64)
-            yield batch.filter(pa.array(mine == batch.column(1).to_numpy()))
-
-    texts = written(chosen.mapInArrow(own, "text string, _id bigint").dropDuplicates(["_id"]))
-    degree = pairs.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count("*") / PAIRS).alias("_parts"))
-    dealt = cut(pairs.join(degree, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part")))
-    firsts = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("_id")).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
-    rows = dealt.join(texts, F.col("b") == F.col("_id")).select("a", "part", "b", "text").unionByName(firsts)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = None
-        for batch in batches:
-            a, b, own = batch.column(0).to_numpy(), batch.column(2).fill_null(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            good = np.zeros(batch.num_rows, dtype=bool)
-            for first, _, data, offsets in steps(batch.column(3)):
-                starts, ends, begins = spans(data, offsets, NOT_SPACE)
-                h, at = _grams(Rolling(LOWER[data])(starts, ends), begins, words)
-                for k, (x, y) in enumerate(zip(at, at[1:], strict=False), first):
-                    other = np.unique(h[x:y])
-                    if own[k]:  # the text of a itself comes first
-                        mine = other
-                    else:
-                        common = len(np.intersect1d(mine, other, assume_unique=True))
-                        good[k] = common >= similar * (len(mine) + len(other) - common)
-            yield _arrow(a=a[good], b=b[good])
-
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).mapInArrow(compare, "a bigint, b bigint")
-
+        seen = np.zeros(0, np.int64)
+        for batch in batches:  # rows that repeat a doc_id may hold other texts, or the same
+            id_ = batch.column(0).to_numpy()
+            mine = np.concatenate([np.zeros(0, np.uint64), *(_text_ids(data, offsets) for _, _, data, offsets in steps(batch.column(1)))]).view(np.int64) == id_
+            fresh = np.unique(np.where(mine, np.arange(len(id_)), -1)[mine])
+            fresh = fresh[np.unique(id_[fresh], return_index=True)[1]]
+            fresh = np.sort(fresh[~np.isin(id_[fresh], seen)])
+            seen = np.union1d(seen, id_[fresh])
+            yield batch.take(pa.array(fresh))
 
-def _text_ids(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    starts, ends, begins = spans(data, offsets, NOT_SPACE)
-    return Rolling(Rolling(LOWER[data])(starts, ends))(begins[:-1], begins[1:])
+    return in_batches(chosen).mapInArrow(own, "id bigint, holder string")
 
 
 def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
     """doc_id, text_id (a hash of the text's words) and component_id of every row: texts are linked from a Jaccard similarity of
     ``similar`` of their word shingles on. Equal texts, but for case and spacing, are one node.
 
-    Candidates have a fingerprint (of three words, one of two) within WIDE bits of each other's and meet in one of WAYS shards, each a
-    random choice of bits. A first round compares each text with its nearest neighbours in the first shards and unites what is
-    similar. The second compares every candidate pair that these links do not join yet and that the sizes and
-    parities of the shingle sets do not exclude, so that nothing unverified stands for a pair, and a large group of near copies costs few.
+    Candidates have a fingerprint (of three words, one of two) within WIDE bits of each other's, meet in one of WAYS shards, each a random choice of
+    bits, and have shingle sets that sketches of a bit for each shingle do not tell apart. A shard puts out fewer pairs than it has nodes: those that
+    join its candidates. What they join is a group, and ``families.links`` finds the exact links of a group from whole texts, in time that grows
+    with the group's size and not its square, whether its texts are just above the threshold or just below.
     """
+    num, den = Fraction(similar).limit_denominator(10_000).as_integer_ratio()
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fps, sizes, odd = sketches(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, *fps.T, sizes, *odd.T))], ["doc_id", "id", *_FPS, "shingles", *_ODD])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, *fps.T, sizes)), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "id", *_FPS, "n", "odd"])
 
-    each = written(in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "shingles", *_ODD))))
-    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.min(c).alias(c) for c in (*_FPS, "shingles", *_ODD))))
+    each = written(in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "n")) + ", odd array<bigint>"))
+    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*_FPS, "n", "odd"))))
     masks = _random_masks()
-    found = _neighbours(nodes, masks)
-    pairs = cut(found.where("b is not null").select("a", "b").distinct())
-    near = cut(_alike(docs, nodes, pairs, similar, words))
-    rooted = lambda links: written(nodes.join(links, F.col("id") == F.col("node"), "left").select(*nodes.columns, F.coalesce("root", "id").alias("root")))
-    member = rooted(components(near))
-    rest = cut(_candidates(member, found.where("b is null").select(F.col("a").alias("id"), "way"), masks, similar).join(pairs, ["a", "b"], "left_anti"))
-    member = rooted(components(near.unionByName(_alike(docs, nodes, rest, similar, words))))
+    groups = cut(components(_candidates(nodes, _neighbours(nodes, masks), masks, num, den)).select(F.col("root").alias("group"), F.col("node").alias("id")))
+    wanted = cut(nodes.join(small(cut(groups.select("id"))), "id").select("id", "first"))
+    found = components(family_links(groups, nodes, _texts(docs, wanted), num, den, shingles_of(words)))
+    member = written(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut(member.join(least, "root").select(F.col("id").alias("_id"), "component_id"))
     return each.join(classes, F.col("id") == F.col("_id")).select("doc_id", F.col("id").alias("text_id"), "component_id")

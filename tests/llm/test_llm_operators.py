@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pmspark.llm import chat, lines, merkle, mixing, secrets, sharding, simhash, tiling, toxicity, urls
+from pmspark.llm import chat, families, lines, merkle, mixing, secrets, sharding, simhash, tiling, toxicity, urls
 from pmspark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -166,23 +166,53 @@ def test_pairs_inside_a_family_of_false_candidates(spark):
     far = lambda x, y: [a ^ b for a, b in zip(prints[x], prints[y], strict=True)]
     meets = lambda x, y: any(d.bit_count() <= simhash.WIDE and any(d & m & ((1 << 64) - 1) == 0 for m in masks[i :: simhash.PRINTS]) for i, d in enumerate(far(x, y)))
     alike = lambda x, y: len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])
-    assert got == brute_components(dict(enumerate(range(len(texts)))), lambda x, y: meets(x, y) and alike(x, y))
+    every = dict(enumerate(range(len(texts))))
+    least, most = brute_components(every, lambda x, y: meets(x, y) and alike(x, y)), brute_components(every, alike)
+    # All pairs that meet are linked, and no texts that no links join.
+    assert all(got[i] == got[least[i]] for i in every) and all(most[i] == most[got[i]] for i in every)
     true = [(x, y) for x in range(len(texts)) for y in range(x) if alike(x, y)]
     assert sum(got[x] == got[y] for x, y in true) >= 0.95 * len(true) >= 30
 
 
 def test_parities_exclude_only_unlike_sets():
     rng = random.Random(6)
-    for n in (1, 5, 40, 400):
-        for _ in range(50):
+    for n in (1, 5, 40, 400, 1500):
+        for _ in range(30):
             x = [f"w{rng.randrange(2 * n)}" for _ in range(n + 4)]
             y = [w if rng.random() > 0.03 else f"y{k}" for k, w in enumerate(x)]
             (ids, _, sizes, odd), sets = simhash.sketches(pa.array([" ".join(x), "  ".join(y).upper()])), [shingle_set(" ".join(t)) for t in (x, y)]
             assert sizes.tolist() == [len(t) for t in sets] and (ids[0] == ids[1]) == (x == y)
-            may = simhash._may_be(sizes[:1] + sizes[1:], odd[:1] ^ odd[1:], 0.2 / 1.8)[0]
+            assert [len(v) for v in simhash.shingles_of()(pa.array([" ".join(x), "  ".join(y).upper()]))] == sizes.tolist()
+            may = families.Sketches(odd).may_be(np.array([0]), np.array([1]), sizes, 4, 5)[0]
             assert may or len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
 
 
+@pytest.mark.parametrize("changed", [3, 4, 6])
+def test_candidates_of_a_family_grow_with_its_size(spark, changed):
+    """Families of texts around a similarity of 0.8 to each other, of 300, 600 and 1200 texts."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for n in (300, 600, 1200):
+        texts = [" ".join(f"x{k}_{i}" if i in at else w for i, w in enumerate(base)) for k in range(n) for at in [set(rng.sample(range(300), changed))]]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+
+        def read(batches):
+            for b in batches:
+                ids, fps, sizes, odd = simhash.sketches(b.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, *fps.T, sizes)] + [pa.array(odd, pa.list_(pa.int64()))], ["id", *simhash._FPS, "n", "odd"])
+
+        nodes = simhash.written(df.mapInArrow(read, "id bigint, " + ", ".join(f"{c} bigint" for c in (*simhash._FPS, "n")) + ", odd array<bigint>"))
+        masks = simhash._random_masks()
+        rows.append(simhash._candidates(nodes, simhash._neighbours(nodes, masks), masks, 4, 5).count())
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(df).collect()}
+        if n == 300:
+            sets = dict(enumerate(map(shingle_set, texts)))
+            assert got == brute_components(sets, lambda x, y: len(x & y) >= 0.8 * len(x | y))
+    # Fewer than a row of each text for each way; a larger family has more shards that hold two.
+    assert rows[2] <= 7 * rows[0] and all(x < simhash.WAYS * n for x, n in zip(rows, (300, 600, 1200), strict=True))
+
+
 def test_hot_shards_of_near_copies_are_dealt_in_chunks(spark, monkeypatch):
     """The same components when nearly every shard is hot."""
     rng = random.Random(49)
