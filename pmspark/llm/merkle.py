@@ -134,6 +134,10 @@ def edits(old: Tree, new: Tree) -> list[tuple[int, int]]:
     return out
 
 
+#: Times as text without loss: Spark's own formats stop at milliseconds.
+_WHOLE = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def with_neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, text, bucket, ahead of rows dealt so that each bucket, sorted, holds neighbouring documents and,
     marked ``ahead``, the first of those after it.
@@ -145,8 +149,8 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("h")))
     ranges = keyed.select("key").repartitionByRange(parts * BUCKETS, "key").groupBy(F.spark_partition_id().alias("at")).agg(F.min("key").alias("first"))
-    found = ranges.agg(F.to_json(F.array_sort(F.collect_set("first"))).alias("bounds"), F.count("*").alias("n")).first()
-    bounds, n = F.from_json(F.lit(found["bounds"]), ArrayType(keyed.schema["key"].dataType)), F.lit(found["n"])
+    found = ranges.agg(F.to_json(F.array_sort(F.collect_set("first")), _WHOLE).alias("bounds"), F.count("*").alias("n")).first()
+    bounds, n = F.from_json(F.lit(found["bounds"]), ArrayType(keyed.schema["key"].dataType), _WHOLE), F.lit(found["n"])
     # The number of bounds at or below the key, less one, by a binary search over the bits of their number.
     bits = F.array(*(F.lit(1 << i) for i in reversed(range(found["n"].bit_length()))), F.lit(0))
     below = F.aggregate(bits, F.lit(0), lambda at, bit: F.when((at + bit <= n) & (F.get(bounds, at + bit - 1) <= F.col("key")), at + bit).otherwise(at))

@@ -56,12 +56,12 @@ class Seeds:
 
 @dataclass
 class Block:
-    ids: list
+    ids: pa.Array
     sizes: np.ndarray
     seeds: list[Seeds]
 
 
-def block_of(ids: list, texts: list[str | None]) -> Block:
+def block_of(ids: pa.Array, texts: list[str | None]) -> Block:
     found: dict[int, list] = {}
     sizes = np.zeros(len(ids), dtype=np.int64)
     for first, _, data, offsets in steps(pa.array(texts, pa.string())):
@@ -173,8 +173,8 @@ def blocks_of(benchmark: DataFrame) -> Iterator[Block]:
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total * 2 // BLOCK_BYTES)) if total > BLOCK_BYTES else 1
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
-        yield block_of([r["item_id"] for r in rows], [r["text"] for r in rows])
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").toArrow()
+        yield block_of(rows.column("item_id").combine_chunks(), rows.column("text").to_pylist())
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
@@ -192,14 +192,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
                 sizes = [int(b.sizes[x[1]]) for x in found]
                 columns = [
                     batch.column(0).take(pa.array([x[0] for x in found], pa.int64())),
-                    pa.array([b.ids[x[1]] for x in found], item_arrow),
+                    b.ids.take(pa.array([x[1] for x in found], pa.int64())),
                     *(pa.array([x[k] for x in found], pa.int32()) for k in (2, 3)),
                     pa.array(sizes, pa.int32()),
                     pa.array([x[3] / n for x, n in zip(found, sizes, strict=True)], pa.float64()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "tiles", "covered", "item_words", "coverage"])
 
-        item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
         part = in_batches(docs).select("doc_id", "text").mapInArrow(search, schema)
         out = part if out is None else out.unionByName(part)
     return out

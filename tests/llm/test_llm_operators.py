@@ -300,6 +300,17 @@ def test_merkle_neighbours_and_edits(docs, rows, none):
     assert merkle.fingerprint_edits(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "decimal(12,3)", "double", "binary", "smallint"])
+def test_merkle_keeps_every_row_whatever_the_type_of_ids(spark, kind):
+    day, text = F.expr("timestamp_micros(id * 1000003 + 7)"), F.concat(F.lit("text of "), F.col("id").cast("string"))
+    made = {"date": F.expr("date_add(date'2020-01-01', cast(id as int))"), "timestamp": day, "timestamp_ntz": day.cast("timestamp_ntz"), "binary": F.col("id").cast("string").cast("binary")}
+    df = spark.range(150).select(made.get(kind, (F.col("id") / 7).cast(kind) if kind != "smallint" else F.col("id").cast(kind)).alias("doc_id"), text.alias("text")).repartition(3)
+    got = merkle.fingerprint_edits(df)
+    assert got.count() == 150 and got.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    following = {r["doc_id"] for r in got.collect()}
+    assert len(following) == (df.select("doc_id").distinct().count())
+
+
 def test_merkle_likeness_and_diff(rows):
     text = rows[8][1]
     a, b = merkle.tree(text.encode()), merkle.tree(text.replace(text[5000:5010], "!!!!!!!!!!", 1).encode())
@@ -357,6 +368,16 @@ def test_tiling_catches_reordered_passages(spark, docs, none):
     assert tiling.decontaminated(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "double", "timestamp", "date", "string", "binary", "boolean"])
+def test_items_of_any_type_of_ids(spark, kind):
+    text = " ".join(f"q{i}" for i in range(30))
+    value = {"timestamp": "timestamp'2024-01-02 03:04:05.678901'", "date": "date'2024-01-02'", "string": "'k'", "binary": "X'01ff'", "boolean": "true"}.get(kind, f"cast(12.5 as {kind})")
+    bench = spark.range(1).select(F.expr(value).cast(kind).alias("item_id"), F.lit(text).alias("text"))
+    out = tiling.contaminated(spark.createDataFrame([(1, text), (2, "other")], "doc_id bigint, text string"), bench)
+    assert out.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert [tuple(r) for r in out.select("doc_id", "item_id").collect()] == [(1, bench.first()["item_id"])]
+
+
 def slow_tiles(text, item, least):
     """Greedy string tiling by looking for the longest match of unmarked words, again and again."""
     t, i, out = [False] * len(text), [False] * len(item), []
@@ -389,7 +410,7 @@ def test_tiling_equals_brute_force(monkeypatch, hits):
             a = rng.randrange(len(it))
             words += it[a : a + rng.randint(3, 12)] + ["x"] * rng.randrange(2)
         texts.append(words)
-    block = tiling.block_of(list(range(len(items))), [" ".join(x) for x in items])
+    block = tiling.block_of(pa.array(range(len(items))), [" ".join(x) for x in items])
     got = {(r, i): (n, c) for r, i, n, c in tiling.shared(pa.array([" ".join(t) for t in texts]), block, 0.5)}
     want = {}
     for r, t in enumerate(texts):
