@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import pieced, spread
+
 
 def running(key, order):
     keys = [key] if isinstance(key, str) else list(key)
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def asof(left: DataFrame, right: DataFrame, key, values: list[str], direction: str = "backward") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key, values: list[str], direction: str = "backward", hot: bool = False) -> DataFrame:
     """Adds to each left row the ``values`` of the last right row at or before its ts_ns (forward: the first at or after).
 
-    Right rows go by (ts_ns, seq). Left columns of the same name are replaced.
+    Right rows go by (ts_ns, seq). Left columns of the same name are replaced. With ``hot``, keys of many rows are cut into pieces of time, and
+    each piece takes over the last (forward: the first) value of those before it: more steps, but no task has all rows of a key.
     """
     keys = [key] if isinstance(key, str) else list(key)
     kept = [c for c in left.columns if c not in values]
@@ -23,6 +26,16 @@ def asof(left: DataFrame, right: DataFrame, key, values: list[str], direction: s
     a = a.select(*keys, "ts_ns", F.lit(1 if back else 0).alias("_kind"), F.lit(None).cast("bigint").alias("_seq"), "_left", F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("_value"))
     b = right.select(*keys, "ts_ns", F.lit(0 if back else 1).alias("_kind"), F.col("seq").cast("bigint").alias("_seq"), F.lit(None).cast(a.schema["_left"].dataType).alias("_left"), F.struct(*values).alias("_value"))
     both = a.unionByName(b)
+    if hot:
+        order = ("ts_ns", "_kind", "_seq") if back else (F.desc("ts_ns"), F.desc("_kind"), F.desc("_seq"))
+        both, _ = pieced(both, keys)
+        both = both if back else both.withColumn("_piece", -F.col("_piece"))
+        last = lambda w: F.last("_value", ignorenulls=True).over(w)
+        at = [F.when(F.col("_value").isNotNull(), F.col(c)).alias(c) for c in ("ts_ns", "_kind", "_seq")]
+        known = F.when(F.count("_value") > 0, (F.max_by if back else F.min_by)("_value", F.when(F.col("_value").isNotNull(), F.struct(*at))))
+        both = spread(both, keys, order, last, known, lambda c: F.last(c, ignorenulls=True), lambda before, own: F.coalesce(own, before), "_value")
+        out = both.where("_left is not null")
+        return out.select(*(F.col(f"_left.{c}").alias(c) for c in kept), *(F.col(f"_value.{v}").alias(v) for v in values))
     if back:
         w = Window.partitionBy(*keys).orderBy("ts_ns", "_kind", "_seq").rowsBetween(Window.unboundedPreceding, 0)
         value = F.last("_value", ignorenulls=True).over(w)

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .scan import affine, numbered, pieced
+
 KEY = "instrument_id"
 
 
@@ -126,26 +128,19 @@ def hysteresis(signals: DataFrame) -> DataFrame:
     return signals.withColumn("position", F.coalesce(F.last(mark, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
 
-def affine_scan(x: DataFrame, value: str, a: float, seed: int, name: str, chunk: int = 128) -> DataFrame:
+def affine_scan(x: DataFrame, value: str, a: float, seed: int, name: str) -> DataFrame:
     """y = (1 - a) y' + a x along each instrument, seeded by the mean of the first ``seed`` values; null before.
 
-    Chunks of rows are affine maps, composed along the instrument's few chunks; rows then need only their chunk. No Python
-    runs, and a chunk is short enough for its powers to stay in range.
+    The recurrence is a parallel prefix of affine maps (``scan.affine``) over rows numbered in pieces, so an instrument may have any share of the
+    rows. Each scan has a written copy of its own: in a join of two over one copy, Spark 4.1 mixes up the sides' columns.
     """
-    n = F.row_number().over(_order())
-    x = x.withColumn("_n", n)
-    rest = x.where(F.col("_n") > seed).withColumn("_chunk", F.floor((F.col("_n") - seed - 1) / chunk)).withColumn("_i", (F.col("_n") - seed - 1) % chunk + 1)
-    start = x.where(F.col("_n") <= seed).groupBy(KEY).agg(F.avg(value).alias("_seed"), F.count("*").alias("_k"), F.max_by("seq", "_n").alias("seq"), F.max("ts_ns").alias("ts_ns")).where(F.col("_k") == seed)
-    decay = F.pow(F.lit(1 - a), F.col("_i"))
-    maps = rest.groupBy(KEY, "_chunk").agg(F.max("_i").alias("_m"), F.sum(a * F.col(value) / decay).alias("_b"))
-    maps = maps.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_m", "_b"))).alias("_maps")).join(start.select(KEY, "_seed"), KEY)
-    step = lambda acc, m: F.array_append(acc, F.pow(F.lit(1 - a), m["_m"]) * (F.element_at(acc, -1) + m["_b"]))
-    into = maps.select(KEY, F.posexplode(F.slice(F.aggregate("_maps", F.array("_seed"), step), 1, F.size("_maps"))).alias("_chunk", "_in"))
-    within = F.sum(a * F.col(value) / decay).over(Window.partitionBy(KEY, "_chunk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
-    out = rest.join(into, [KEY, "_chunk"]).withColumn(name, decay * (F.col("_in") + within)).select(KEY, "ts_ns", "seq", value, name)
-    first = x.join(start.select(F.col(KEY).alias("_key"), F.col("seq").alias("_at"), "_seed"), (F.col(KEY) == F.col("_key")) & (F.col("seq") == F.col("_at")))
-    first = first.select(KEY, "ts_ns", "seq", value, F.col("_seed").alias(name))
-    return out.unionByName(first)
+    x, most = pieced(x.select(KEY, "ts_ns", "seq", value), [KEY])
+    x = numbered(x, [KEY], ("ts_ns", "seq"), "_n", most)
+    start = x.where(F.col("_n") <= seed).groupBy(KEY).agg(F.avg(value).alias("_add"), F.count("*").alias("_k"), *(F.max_by(c, "_n").alias(c) for c in ("ts_ns", "seq", "_piece", value))).where(F.col("_k") == seed)
+    own = (KEY, "ts_ns", "seq", "_piece", value)
+    rest = x.where(F.col("_n") > seed).select(*own, F.lit(1 - a).alias("_keep"), (a * F.col(value)).cast("double").alias("_add"))
+    rows = rest.unionByName(start.select(*own, F.lit(0.0).alias("_keep"), F.col("_add").cast("double").alias("_add")))
+    return affine(rows, KEY, ("ts_ns", "seq"), F.col("_keep"), F.col("_add"), name, most=most).drop("_keep", "_add")
 
 
 def ema_cross(q: DataFrame, fast: int, slow: int, buffer: float) -> DataFrame:
@@ -160,7 +155,7 @@ def rsi(q: DataFrame, period: int, low: float, high: float) -> DataFrame:
     """Wilder's RSI, seeded by means; 100 where the average loss is 0."""
     change = F.col("price") - F.lag("price").over(_order())
     moves = q.withColumn("change", change).where("change is not null")
-    moves = moves.withColumn("gain", F.greatest("change", F.lit(0.0))).withColumn("loss", F.greatest(-F.col("change"), F.lit(0.0)))
+    moves = moves.select(KEY, "ts_ns", "seq", F.greatest("change", F.lit(0.0)).alias("gain"), F.greatest(-F.col("change"), F.lit(0.0)).alias("loss"))
     gain = affine_scan(moves, "gain", 1 / period, period, "avg_gain").select(KEY, "ts_ns", "seq", "avg_gain")
     loss = affine_scan(moves, "loss", 1 / period, period, "avg_loss").select(KEY, "seq", "avg_loss")
     rs = F.when(F.col("avg_loss") <= 1e-15, 100.0).otherwise(100 - 100 / (1 + F.col("avg_gain") / F.col("avg_loss")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pmspark.operators import asof as A
 from pmspark.operators import book as B
 from pmspark.operators import portfolio as P
+from pmspark.operators import scan as S
 from pmspark.operators import signals as G
 from pmspark.sources import readers as I
 from pmspark.sources import sinks as O
@@ -26,6 +27,45 @@ def test_asof_takes_the_last_at_or_before_and_forward_the_next(spark):
     assert ahead == {("a", 5): 1.0, ("a", 10): None, ("b", 1): 9.0}
 
 
+def hot_rows(n=3000, seed=3):
+    """Rows of which one instrument has nearly all; some share a time."""
+    rng = random.Random(seed)
+    return [("hot" if i % 9 else f"m{i % 4}", rng.randrange(n // 2), i, rng.choice([None, round(rng.random(), 3)])) for i in range(n)]
+
+
+def by_place(df, *columns):
+    return {(r["instrument_id"], r["ts_ns"], r["seq"]): tuple(r[c] for c in columns) for r in df.collect()}
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+def test_asof_of_a_hot_instrument_in_pieces(spark, monkeypatch, direction):
+    right = frame(spark, hot_rows(), "instrument_id string, ts_ns bigint, seq bigint, v double").where("v is not null").repartition(4)
+    left = frame(spark, [(k, t, i, 1) for k, t, i, _ in hot_rows(900, 4)] + [(None, 5, -1, 1), ("none", 5, -2, 1)], "instrument_id string, ts_ns bigint, seq bigint, x int").repartition(4)
+    want = by_place(A.asof(left, right, "instrument_id", ["v"], direction), "v")
+    monkeypatch.setattr(S, "PIECE", 100)
+    assert by_place(A.asof(left, right, "instrument_id", ["v"], direction, hot=True), "v") == want
+    pieces = S.pieced(right, ["instrument_id"])[0].groupBy("instrument_id", "_piece").count().collect()
+    assert len({r["_piece"] for r in pieces if r["instrument_id"] == "hot"}) > 10 and max(r["count"] for r in pieces) < 300
+    assert len(want) == 902
+
+
+def test_recurrences_of_a_hot_instrument_in_pieces(spark, monkeypatch):
+    rows = [(k, t, i, v or 0.5, (i * 7 % 5) / 4) for k, t, i, v in hot_rows()]
+    df = frame(spark, rows, "instrument_id string, ts_ns bigint, seq bigint, v double, keep double").repartition(4)
+    want, y = {}, {}
+    for k, t, i, v, keep in sorted(rows):
+        y[k] = want[k, t, i] = keep * y.get(k, 2.0) + v
+    for piece, chunk in ((1 << 17, 128), (100, 8), (40, 3)):
+        monkeypatch.setattr(S, "PIECE", piece)
+        got = by_place(S.affine(df, "instrument_id", ("ts_ns", "seq"), F.col("keep"), F.col("v"), "y", 2.0, chunk), "y")
+        assert got.keys() == want.keys() and all(got[k][0] == pytest.approx(want[k], rel=1e-9) for k in want)
+        numbers = by_place(S.numbered(*(S.pieced(df, ["instrument_id"])[:1]), ["instrument_id"], ("ts_ns", "seq"), "n", len(rows)), "n")
+        places = {}
+        for k, t, i, *_ in sorted(rows):
+            places.setdefault(k, []).append((k, t, i))
+        assert all(numbers[p] == (n,) for ps in places.values() for n, p in enumerate(ps, 1))
+
+
 def test_settlement(spark):
     fills = frame(spark, [("m", 1, 1, "buy", "no", 0.4, 10.0, 0.1), ("m", 2, 2, "hold", "no", 0.5, 1.0, 0.2), ("n", 1, 1, "sell", "yes", 0.5, 4.0, 0.0)], "instrument_id string, ts_ns bigint, seq bigint, action string, side string, price double, quantity double, commission double")
     out = {r["instrument_id"]: r["pnl"] for r in P.settlement_pnl(fills, frame(spark, [("m", 0), ("n", None)], "instrument_id string, realized_outcome int")).collect()}
