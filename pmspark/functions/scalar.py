@@ -128,11 +128,6 @@ def taker_fee(quantity: Column, price: Column, bps: Column) -> Column:
     return F.round(quantity.cast("decimal(14,4)") * (bps.cast("decimal(9,4)") / 10_000).cast("decimal(12,8)") * spread, 5).cast("decimal(18,5)")
 
 
-def rebate_share(label: Column, bps: Column) -> Column:
-    """Maker rebate: 20 % of the fee for crypto markets, 25 % for others with a fee, else nothing."""
-    return F.when(bps <= 0, F.lit(0.0)).when(normalize_label(label).contains("crypto"), F.lit(0.20)).otherwise(F.lit(0.25))
-
-
 def cent_fee(quantity: Column, price: Column, rate: Column) -> Column:
     """ceil(rate * q * p * (1 - p)) to the cent."""
     p = price.cast("decimal(9,4)")

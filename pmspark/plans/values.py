@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pmspark.functions import scalar as S
+from pmspark.operators import fees as E
 from pmspark.operators import trades as T
 from pmspark.registry import query
 
@@ -126,22 +127,62 @@ def ns_text(spark, d):
     return fx.table(spark, d, "events").select("event_id", S.ns_text(ns).alias("t"))
 
 
+def _fee_markets(spark, d):
+    """Markets whose label is at another place of their payload each, with and without a fee that is known."""
+    k, at = F.col("s_suppkey"), F.col("s_suppkey") % 8
+    when = lambda n, c, kind: F.when(at == n, c).otherwise(F.lit(None).cast(kind)) if kind else F.when(at == n, c)
+    bps = F.element_at(F.array(*map(F.lit, (0, 37, 72, 300, 30))), (F.expr("s_suppkey div 8") % 5 + 1).cast("int"))
+    tag = F.array(F.struct(F.lit(None).cast("string").alias("label"), F.lit(" Sports ").alias("name")))
+    event = lambda category, tags: F.array(F.lit(None).cast("struct<category: string, tags: array<string>>"), F.struct(category.cast("string").alias("category"), tags.cast("array<string>").alias("tags")))
+    none = F.lit(None)
+    return fx.table(spark, d, "supplier").select(
+        F.concat(F.lit("M"), k).alias("instrument_id"), bps.alias("bps"), (bps / 10_000).cast("decimal(12,8)").alias("taker_fee"),
+        F.when(at == 0, "Crypto").when(at == 4, "not crypto at all").alias("category"), when(7, F.lit("weather"), "string").alias("tag_slug"),
+        when(3, F.array(F.lit("other_general"), F.lit("")), "array<string>").alias("categories"), when(1, tag, None).alias("tags"),
+        F.when(at == 2, event(F.lit("TECH"), none)).when(at == 6, event(none, F.array(F.lit("politics"), F.lit("CRYPTO")))).alias("events"),
+        F.when(k % 3 == 0, "1996-01-01T00:00:00").when(k % 3 == 1, "1997-06-01T02:00:00+02:00").otherwise("never").alias("fee_waiver_expiration_time"),
+    )
+
+
+_MARKETS = (
+    "mk AS (SELECT 'M' || s_suppkey AS instrument_id, s_suppkey AS k, [0, 37, 72, 300, 30][s_suppkey // 8 % 5 + 1] AS bps FROM supplier), "
+    "rs AS (SELECT *, CASE WHEN bps = 0 THEN 0.0 WHEN k % 8 IN (0, 6) THEN 0.2 WHEN k % 8 IN (1, 2, 3, 7) THEN 0.25 WHEN bps = 72 THEN 0.2 WHEN bps IN (30, 300) THEN 0.25 ELSE 0.0 END AS share FROM mk)"
+)
+
+
 @query(
     "add_commission",
     sql(
-        "SELECT instrument_id, seq, CAST(round(CAST(quantity AS DECIMAL(14,4)) * CAST(0.02 AS DECIMAL(12,8)) * CAST(price * (1 - price) AS DECIMAL(18,8)), 5) AS DOUBLE) AS taker_fee, "
-        "CAST(ceil(CAST(0.07 AS DECIMAL(6,4)) * CAST(quantity AS DECIMAL(14,2)) * CAST(price * (1 - price) AS DECIMAL(18,8)) * 100) AS DOUBLE) / 100 AS cent_fee FROM fx_fills",
+        _MARKETS + ", f AS (SELECT instrument_id, seq, side, round(CAST(quantity AS DECIMAL(14,4)) * CAST(bps / 10000.0 AS DECIMAL(12,8)) * CAST(price * (1 - price) AS DECIMAL(18,8)), 5) AS fee, share FROM fx_fills JOIN rs USING (instrument_id)) "
+        "SELECT instrument_id, seq, CAST(CASE side WHEN 'no' THEN -round(CAST(fee AS DECIMAL(18,5)) * CAST(share AS DECIMAL(4,2)), 5) ELSE fee END AS DOUBLE) + 0.0 AS commission FROM f",
         "fx_fills",
     ),
 )
 def add_commission(spark, d):
-    q, p = F.col("quantity"), F.col("price")
-    return fx.fills(spark, d).select("instrument_id", "seq", S.taker_fee(q, p, F.lit(200)).cast("double").alias("taker_fee"), S.cent_fee(q, p, F.lit(0.07)).cast("double").alias("cent_fee"))
+    """Takers' fees and makers' rebates of every fill; orders of the side no are limit orders."""
+    fills = fx.fills(spark, d).withColumn("order_type", F.when(F.col("side") == "no", "limit").otherwise("market"))
+    return E.add_commission(fills.drop("commission"), _fee_markets(spark, d), "bps").select("instrument_id", "seq", (F.col("commission").cast("double") + F.lit(0.0)).alias("commission"))
+
+
+@query(
+    "add_commission_cents",
+    sql(
+        _MARKETS + ", w AS (SELECT *, CASE k % 3 WHEN 0 THEN TIMESTAMP '1996-01-01 00:00:00' WHEN 1 THEN TIMESTAMP '1997-06-01 00:00:00' END AS until FROM mk) SELECT instrument_id, seq, "
+        "CASE WHEN make_timestamp(ts_ns // 1000) <= until THEN 0.0 ELSE CAST(ceil(CAST(CASE WHEN bps > 0 THEN bps / 10000.0 ELSE 0.07 END AS DECIMAL(6,4)) * CAST(quantity AS DECIMAL(14,2)) * CAST(price * (1 - price) AS DECIMAL(18,8)) * 100) AS DOUBLE) / 100 END AS commission FROM fx_fills JOIN w USING (instrument_id)",
+        "fx_fills",
+    ),
+)
+def add_commission_cents(spark, d):
+    """Fees to the next cent, with waivers that end at a time, with and without a zone, and one that cannot be read."""
+    fills = fx.fills(spark, d).drop("commission").withColumn("ordered_ns", F.col("ts_ns"))
+    return E.add_commission(fills, _fee_markets(spark, d), "cents").select("instrument_id", "seq", F.col("commission").cast("double").alias("commission"))
 
 
-@query("rebate_share", "SELECT p_partkey, CAST(CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE 0.25 END AS DOUBLE) AS share FROM part")
+@query("rebate_share", sql(_MARKETS + " SELECT instrument_id, CAST(share AS DOUBLE) AS share FROM rs"))
 def rebate_share(spark, d):
-    return fx.table(spark, d, "part").select("p_partkey", S.rebate_share(F.col("p_type"), F.col("p_size") % 5).alias("share"))
+    """The share by label at any place of the payload, by known rates without one, and none for what is not classified."""
+    m = _fee_markets(spark, d)
+    return m.select("instrument_id", E.rebate_share(E.market_labels(m), F.col("bps")).alias("share"))
 
 
 @query("slipped_price", sql("SELECT instrument_id, seq, round(CASE action WHEN 'buy' THEN least(CAST(price AS DOUBLE) + 0.02 + CAST(price AS DOUBLE) * 0.01, 1.0) ELSE greatest(CAST(price AS DOUBLE) - (0.02 + CAST(price AS DOUBLE) * 0.01), 0.0) END, 6) AS p FROM fx_fills", "fx_fills"))

@@ -195,3 +195,22 @@ def test_empty_inputs_give_empty_results(spark):
     prices = frame(spark, [], "instrument_id string, ts_ns bigint, seq bigint, price double")
     assert P.dense_equity(fills, prices, 1.0).count() == 0
     assert G.mean_reversion(prices, 5, 0.1, 0.1).count() == 0
+
+
+def test_commissions_by_label_rate_and_waiver(spark):
+    from pmspark.operators import fees as E
+
+    cases = [("Crypto", 50, 0.2), ("not crypto at all", 50, 0.25), ("not crypto at all", 37, 0.0), (None, 720, 0.2), (None, 41, 0.0), ("Other-General", 37, 0.25), ("sports", 0, 0.0), ("", None, 0.0)]
+    markets = frame(spark, [(f"m{i}", c, None if b is None else b / 10_000) for i, (c, b, _) in enumerate(cases)], "instrument_id string, category string, taker_fee double")
+    fills = frame(spark, [(f"m{i}", kind, 0.5, 100.0) for i in range(len(cases)) for kind in ("limit", "market")] + [("unknown", "market", 0.5, 1.0)], "instrument_id string, order_type string, price double, quantity double")
+    got = {(r["instrument_id"], r["order_type"]): float(r["commission"]) for r in E.add_commission(fills, markets, "bps").collect()}
+    for i, (_, bps, share) in enumerate(cases):
+        fee = 25 * (bps or 0) / 10_000
+        assert got[f"m{i}", "market"] == pytest.approx(fee) and got[f"m{i}", "limit"] == pytest.approx(-fee * share)
+    assert got["unknown", "market"] == 0
+    assert all(float(r["commission"]) >= 0 for r in E.add_commission(fills, markets, "bps", rebates=False).collect())
+    waived = frame(spark, [("a", "1970-01-01T00:00:01", 0.1), ("b", "soon", None), ("c", None, 0.02)], "instrument_id string, fee_waiver_expiration_time string, taker_fee double")
+    orders = frame(spark, [(k, t, p, 10.0) for k in "abcd" for t in (10**9, 10**9 + 1) for p in (0.5, 1.0)], "instrument_id string, ordered_ns bigint, price double, quantity double")
+    got = {(r["instrument_id"], r["ordered_ns"] - 10**9, r["price"]): float(r["commission"]) for r in E.add_commission(orders, waived, "cents").collect()}
+    assert [got[k, t, 0.5] for k in "abcd" for t in (0, 1)] == [0, 0.25, 0.18, 0.18, 0.05, 0.05, 0.18, 0.18]
+    assert not any(v for (_, _, p), v in got.items() if p == 1.0)
