@@ -342,8 +342,10 @@ def sample_grid(points: DataFrame, n: int, seed: int) -> DataFrame:
     return points.orderBy(digest, *points.columns).limit(n)
 
 
-def grid_trades(quotes: DataFrame, grid: DataFrame, windows: DataFrame, signal: str = "mean_reversion") -> DataFrame:
-    """Per trial, window and instrument: P&L, drawdown, fills and coverage of a signal of ``signals.SIGNALS``.
+def grid_trades(quotes: DataFrame, grid: DataFrame, windows: DataFrame, signal: str = "mean_reversion", loss_limit: float | None = None) -> DataFrame:
+    """Per trial, window and instrument: P&L, drawdown, fills and coverage of a signal of ``signals.SIGNALS``, and whether the run ended early.
+
+    A run whose loss reaches ``loss_limit`` stops there: later quotes of its window do not count, and if there are any, it ``ended_early``.
 
     ``grid`` has trial, win and the signal's parameters; ``windows`` name, start_ns, end_ns, holdout. Both are as small as the
     caller's lists: the windows become literals of one pass over the quotes, and what depends on the window length alone is
@@ -369,15 +371,20 @@ def grid_trades(quotes: DataFrame, grid: DataFrame, windows: DataFrame, signal:
     q = q.withColumn("gain", F.coalesce(held * (F.col("price") - F.col("was")), F.lit(0.0))).withColumn("fill", (F.col("position") != held).cast("int"))
     q = q.withColumn("equity", F.sum("gain").over(per.rowsBetween(Window.unboundedPreceding, 0)))
     q = q.withColumn("peak", F.greatest(F.max("equity").over(per.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+    lost = F.lit(False) if loss_limit is None else F.col("equity") <= -loss_limit
+    stopped = F.coalesce(F.max(lost).over(per.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    q = q.withColumn("_live", F.lit(True) if loss_limit is None else ~stopped)
+    live = lambda c: F.when(F.col("_live"), c)
+    through = F.max(live(F.col("ts_ns")))
     return q.groupBy("trial", "name", "holdout", "instrument_id").agg(
-        F.sum("gain").alias("pnl"), F.max(F.col("peak") - F.col("equity")).alias("drawdown"), F.sum("fill").alias("fills"),
-        ((F.max("ts_ns") - F.first("start_ns")) / (F.first("end_ns") - F.first("start_ns"))).alias("coverage"),
+        F.sum(live(F.col("gain"))).alias("pnl"), F.max(live(F.col("peak") - F.col("equity"))).alias("drawdown"), F.sum(live(F.col("fill"))).alias("fills"),
+        ((through - F.first("start_ns")) / (F.first("end_ns") - F.first("start_ns"))).alias("coverage"), (through < F.max("ts_ns")).alias("ended_early"),
     )
 
 
 def score(evals: DataFrame, cash: float, min_fills: int) -> DataFrame:
-    """P&L - half the drawdown - 10 cash * (0.98 - coverage, if above 0) - 2 if there are too few fills."""
-    short = F.greatest(F.lit(0.98) - F.col("coverage"), F.lit(0.0)) * 10 * cash
+    """P&L - half the drawdown - the cash if a run ended early - 10 cash * (0.98 - coverage, if above 0) - 2 if there are too few fills."""
+    short = F.greatest(F.lit(0.98) - F.col("coverage"), F.lit(0.0)) * 10 * cash + F.when(F.col("ended_early"), float(cash)).otherwise(0.0)
     return evals.withColumn("score", F.col("pnl") - 0.5 * F.col("drawdown") - short - F.when(F.col("fills") < min_fills, 2.0).otherwise(0.0))
 
 
@@ -386,7 +393,7 @@ INVALID = -1e9
 
 def score_windows(trades: DataFrame, grid: DataFrame, windows: DataFrame, cash: float, min_fills: int) -> DataFrame:
     """One row for every trial and window; a trial without result gets the invalid score."""
-    per = trades.groupBy("trial", "name").agg(F.sum("pnl").alias("pnl"), F.sum("drawdown").alias("drawdown"), F.sum("fills").alias("fills"), F.avg("coverage").alias("coverage"))
+    per = trades.groupBy("trial", "name").agg(F.sum("pnl").alias("pnl"), F.sum("drawdown").alias("drawdown"), F.sum("fills").alias("fills"), F.avg("coverage").alias("coverage"), F.max("ended_early").alias("ended_early"))
     every = windows.select("name", "holdout").crossJoin(F.broadcast(grid.select("trial")))
     return score(every.join(per, ["trial", "name"], "left"), cash, min_fills).withColumn("score", F.coalesce("score", F.lit(INVALID)))
 

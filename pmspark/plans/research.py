@@ -331,6 +331,8 @@ def ledger_match(spark, d):
 _WINDOWS = f"ws(name, start_ns, end_ns, holdout) AS (VALUES ('a', {_T0}, {_T0 + 10 * _DAY}, false), ('b', {_T0 + 10 * _DAY + 1}, {_T0 + 20 * _DAY}, false), ('c', {_T0 + 20 * _DAY + 1}, {_T0 + 29 * _DAY}, true))"
 _GRID = 'gr(trial, win, entry, "exit") AS (VALUES (0, 5, 0.05003, 0.01003), (1, 5, 0.10003, 0.01003), (2, 10, 0.05003, 0.01003), (3, 10, 0.10003, 0.02003), (4, 100000, 0.05003, 0.01003))'
 _GROUP = "PARTITION BY trial, name, instrument_id ORDER BY ts_ns, seq"
+#: A run's loss that ends it: some windows of the given tables have such runs, and others not.
+_LOSS = 0.20003
 _EVALS = (
     f"{_WINDOWS}, {_GRID}, qw AS (SELECT p.instrument_id, p.ts_ns, p.seq, CAST(p.price AS DOUBLE) AS price, ws.* FROM fx_prices p JOIN ws ON p.ts_ns BETWEEN ws.start_ns AND ws.end_ns), "
     + ", ".join(f"m{n} AS (SELECT *, {n} AS win, CASE WHEN count(*) OVER w = {n} THEN avg(price) OVER w END AS mean FROM qw WINDOW w AS (PARTITION BY name, instrument_id ORDER BY ts_ns, seq ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))" for n in (5, 10, 100000))
@@ -338,9 +340,10 @@ _EVALS = (
     f'sg AS (SELECT *, coalesce(last_value(CASE WHEN price >= mean - "exit" THEN 0 WHEN price <= mean - entry THEN 1 END IGNORE NULLS) OVER ({_GROUP} ROWS UNBOUNDED PRECEDING), 0) AS position FROM mm JOIN gr USING (win)), '
     f"gn AS (SELECT *, coalesce(lag(position, 1, 0) OVER w * (price - lag(price) OVER w), 0) AS gain, CAST(position <> lag(position, 1, 0) OVER w AS INT) AS fill FROM sg WINDOW w AS ({_GROUP})), "
     f"eq AS (SELECT *, sum(gain) OVER ({_GROUP} ROWS UNBOUNDED PRECEDING) AS equity FROM gn), pk AS (SELECT *, greatest(max(equity) OVER ({_GROUP} ROWS UNBOUNDED PRECEDING), 0) AS peak FROM eq), "
-    "ev AS (SELECT trial, name, holdout, instrument_id, sum(gain) AS pnl, max(peak - equity) AS drawdown, sum(fill) AS fills, CAST(max(ts_ns) - any_value(start_ns) AS DOUBLE) / (any_value(end_ns) - any_value(start_ns)) AS coverage FROM pk GROUP BY 1, 2, 3, 4), "
-    "sw AS (SELECT trial, name, sum(pnl) AS pnl, sum(drawdown) AS drawdown, sum(fills) AS fills, avg(coverage) AS coverage FROM ev GROUP BY 1, 2), "
-    "sc AS (SELECT ws.name, ws.holdout, gr.trial, pnl, drawdown, fills, coverage, coalesce(pnl - 0.5 * drawdown - 10 * 100 * greatest(0.98 - coverage, 0) - CASE WHEN fills < 5 THEN 2 ELSE 0 END, -1e9) AS score FROM ws CROSS JOIN gr LEFT JOIN sw USING (trial, name)), "
+    f"lv AS (SELECT *, coalesce(max(CAST(equity <= -{_LOSS} AS INT)) OVER ({_GROUP} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS live FROM pk), "
+    "ev AS (SELECT trial, name, holdout, instrument_id, sum(gain) FILTER (live) AS pnl, max(peak - equity) FILTER (live) AS drawdown, sum(fill) FILTER (live) AS fills, CAST(max(ts_ns) FILTER (live) - any_value(start_ns) AS DOUBLE) / (any_value(end_ns) - any_value(start_ns)) AS coverage, max(ts_ns) FILTER (live) < max(ts_ns) AS ended_early FROM lv GROUP BY 1, 2, 3, 4), "
+    "sw AS (SELECT trial, name, sum(pnl) AS pnl, sum(drawdown) AS drawdown, sum(fills) AS fills, avg(coverage) AS coverage, bool_or(ended_early) AS ended_early FROM ev GROUP BY 1, 2), "
+    "sc AS (SELECT ws.name, ws.holdout, gr.trial, pnl, drawdown, fills, coverage, coalesce(pnl - 0.5 * drawdown - CASE WHEN ended_early THEN 100 ELSE 0 END - 10 * 100 * greatest(0.98 - coverage, 0) - CASE WHEN fills < 5 THEN 2 ELSE 0 END, -1e9) AS score FROM ws CROSS JOIN gr LEFT JOIN sw USING (trial, name)), "
     "lb AS (SELECT trial, median(score) FILTER (NOT holdout) AS train_score, median(pnl) FILTER (NOT holdout) AS train_pnl, median(score) FILTER (holdout) AS holdout_score, median(pnl) FILTER (holdout) AS holdout_pnl FROM sc GROUP BY 1), "
     "rk AS (SELECT *, row_number() OVER (ORDER BY round(train_score, 6) DESC, trial) AS train_rank FROM lb), hk AS (SELECT *, CASE WHEN train_rank <= 3 THEN holdout_score END AS kept FROM rk)"
 )
@@ -357,7 +360,7 @@ def _splits(spark):
 
 
 def scored(spark, d):
-    return R.score_windows(R.grid_trades(px(spark, d), _grid(spark), _splits(spark)), _grid(spark), _splits(spark), 100.0, 5)
+    return R.score_windows(R.grid_trades(px(spark, d), _grid(spark), _splits(spark), loss_limit=_LOSS), _grid(spark), _splits(spark), 100.0, 5)
 
 
 def _board(spark, d):
@@ -365,9 +368,9 @@ def _board(spark, d):
     return R.rank_trials(b.withColumn("train_score", F.round("train_score", 6)), 3)
 
 
-@query("grid_search", sql(_EVALS + " SELECT trial, name, holdout, instrument_id, round(pnl, 6) + 0.0 AS pnl, round(drawdown, 6) + 0.0 AS drawdown, CAST(fills AS BIGINT) AS fills, round(coverage, 6) AS coverage FROM ev", "fx_prices"))
+@query("grid_search", sql(_EVALS + " SELECT trial, name, holdout, instrument_id, round(pnl, 6) + 0.0 AS pnl, round(drawdown, 6) + 0.0 AS drawdown, CAST(fills AS BIGINT) AS fills, round(coverage, 6) AS coverage, ended_early FROM ev", "fx_prices"))
 def grid_search(spark, d):
-    e = R.grid_trades(px(spark, d), _grid(spark), _splits(spark))
+    e = R.grid_trades(px(spark, d), _grid(spark), _splits(spark), loss_limit=_LOSS)
     return doubles(e, "pnl", "drawdown", "coverage").withColumn("pnl", F.col("pnl") + F.lit(0.0)).withColumn("drawdown", F.col("drawdown") + F.lit(0.0))
 
 
@@ -383,7 +386,7 @@ _FAR = f", ('z', {_T0 + 900 * _DAY}, {_T0 + 901 * _DAY}, true))"
 def invalid_trials(spark, d):
     far = spark.createDataFrame([("z", _T0 + 900 * _DAY, _T0 + 901 * _DAY, True)], _splits(spark).schema)
     windows = _splits(spark).unionByName(far)
-    scored = R.score_windows(R.grid_trades(px(spark, d), _grid(spark), windows), _grid(spark), windows, 100.0, 5)
+    scored = R.score_windows(R.grid_trades(px(spark, d), _grid(spark), windows, loss_limit=_LOSS), _grid(spark), windows, 100.0, 5)
     return scored.where(F.col("score") == R.INVALID).select("trial", "name")
 
 
