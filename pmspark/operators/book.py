@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from pmspark.functions.scalar import ACTION, LAST_FLAG, SIDE
 
 KEY = "instrument_id"
+HOUR = 3_600_000_000_000
+#: Priority of the row that closes a book at a missing hour: before all others of its time.
+RESET = -1
 
 
 def priority() -> Column:
@@ -29,17 +32,28 @@ def drop_late_updates(updates: DataFrame, batch: str) -> DataFrame:
     return u.join(seen, [KEY, batch]).where("_seen is null or _key >= _seen").drop("_key", "_seen")
 
 
-def gate_on_snapshot(updates: DataFrame, gap: Column, opened: Column | None = None) -> DataFrame:
-    """Without the price changes before the first non-empty snapshot since the last gap (rows where ``gap`` holds).
+def gate_on_snapshot(updates: DataFrame, missing: DataFrame, opened: Column | None = None) -> DataFrame:
+    """Without the price changes before the first non-empty snapshot since the last missing hour.
 
-    Where ``opened`` holds for an instrument, its book is known up to its first gap.
+    ``missing`` (instrument_id, hour_ns), as of ``research.missing_hours`` or ``hour_gaps``, are merged into the order of updates, each before all rows of its
+    time: it closes the instrument's book. An hour that was loaded but is empty is not missing. Where ``opened`` holds for an instrument, its
+    book is known up to its first missing hour.
     """
     w = Window.partitionBy(KEY).orderBy("ts_ns", "priority", "seq")
-    u = updates.withColumn("priority", priority()).withColumn("_part", F.sum(gap.cast("int")).over(w))
+    resets = missing.select(KEY, F.col("hour_ns").alias("ts_ns"), F.lit(RESET).alias("priority"))
+    u = updates.withColumn("priority", priority()).unionByName(resets, allowMissingColumns=True)
+    u = u.withColumn("_part", F.sum((F.col("priority") == RESET).cast("int")).over(w))
     is_book = (F.col("priority") == 0) & (F.col("size") > 0)
     open_ = F.max(is_book.cast("int")).over(Window.partitionBy(KEY, "_part").orderBy("ts_ns", "priority", "seq").rowsBetween(Window.unboundedPreceding, 0))
     known = F.lit(False) if opened is None else (F.col("_part") == 0) & F.coalesce(opened, F.lit(False))
-    return u.withColumn("_open", open_).where((F.col("priority") == 0) | (F.col("_open") == 1) | known).drop("_part", "_open", "priority")
+    u = u.withColumn("_open", open_).where((F.col("priority") != RESET) & ((F.col("priority") == 0) | (F.col("_open") == 1) | known))
+    return u.select(*updates.columns)
+
+
+def hour_gaps(hours: DataFrame, span: int = HOUR) -> DataFrame:
+    """The first missing hour (``hour_ns``) of each gap between an instrument's loaded hours (starts in ``hour_ns``, repeats allowed)."""
+    was = F.lag("hour_ns").over(Window.partitionBy(KEY).orderBy("hour_ns"))
+    return hours.withColumn("_was", was).where(F.col("hour_ns") > F.col("_was") + span).select(KEY, (F.col("_was") + span).alias("hour_ns"))
 
 
 def updates_to_deltas(updates: DataFrame, start_ns: int | None = None, end_ns: int | None = None, gated: bool = False) -> DataFrame:
@@ -98,14 +112,21 @@ def level_intervals(deltas: DataFrame) -> DataFrame:
 
 
 def stab(points: DataFrame, intervals: DataFrame, block: int) -> DataFrame:
-    """Levels alive at each point (instrument, sequence): an equi-join on blocks of sequence numbers, then the bounds.
+    """Levels alive at each point (instrument, sequence): an equi-join on dyadic blocks of sequence numbers, then the bounds.
 
-    An interval has a row for each block that it touches, a point one.
+    The blocks of ``block`` numbers that an interval touches are put together to the fewest aligned runs of 1, 2, 4, ... of them: at most two of a size, so
+    an interval has rows for the logarithm of its length, and of a short one there are one or two. A point looks at the one run of each size that it is in. No two
+    runs of an interval overlap, so no level is found twice.
     """
-    blocks = F.explode(F.sequence(F.expr(f"from_seq div {block}"), F.expr(f"(to_seq - 1) div {block}")))
-    spread = intervals.withColumn("_block", blocks)
-    at = points.withColumn("_block", F.expr(f"sequence div {block}"))
-    return at.join(spread, [KEY, "_block"]).where("from_seq <= sequence and sequence < to_seq").drop("_block", "from_seq", "to_seq", "epoch")
+    # Of numbers from 1 on, [lo, hi) is what lies strictly between lo - 1 and hi: going up the sizes, the right neighbour of a left child and the left one of a right child.
+    s = intervals.withColumn("_lo", F.expr(f"cast(from_seq div {block} as bigint)")).withColumn("_hi", F.expr(f"cast((to_seq - 1) div {block} + 2 as bigint)"))
+    sizes = "sequence(0, length(bin(_lo ^ _hi)) - 2)"
+    left = f"transform(filter({sizes}, k -> shiftright(_lo, k) % 2 = 0), k -> struct(k as _size, shiftright(_lo, k) + 1 as _block))"
+    right = f"transform(filter({sizes}, k -> shiftright(_hi, k) % 2 = 1), k -> struct(k as _size, shiftright(_hi, k) - 1 as _block))"
+    runs = s.select(*intervals.columns, F.expr(f"inline(concat({left}, {right}))"))
+    at = points.withColumn("_at", F.expr(f"cast(sequence div {block} + 1 as bigint)"))
+    at = at.select(*points.columns, F.expr("inline(transform(sequence(0, length(bin(_at)) - 1), k -> struct(k as _size, shiftright(_at, k) as _block)))"))
+    return at.join(runs, [KEY, "_size", "_block"]).where("from_seq <= sequence and sequence < to_seq").drop("_size", "_block", "from_seq", "to_seq", "epoch")
 
 
 #: Bits of a number that holds levels, or words of levels.
@@ -157,7 +178,7 @@ def best_quote(deltas: DataFrame) -> DataFrame:
 
 
 def book_at(deltas: DataFrame, times: DataFrame, block: int = 64) -> DataFrame:
-    """The levels of the whole book as of each (instrument, ts_ns): side, price_cents, size."""
+    """The levels of the whole book as of each row of ``times`` (instrument_id, ts_ns and more): side, price_cents, size. Rows whose book is empty are left out."""
     from .asof import asof
 
     seqs = deltas.select(KEY, "ts_ns", F.col("sequence").alias("seq"), "sequence")

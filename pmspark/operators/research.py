@@ -9,6 +9,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pmspark.functions.scalar import SIDE
+
 
 def main_market(markets: DataFrame) -> DataFrame:
     """The market of each (event, slug) with the largest volume."""
@@ -282,16 +284,23 @@ def ledger_windows(ledger: DataFrame) -> DataFrame:
     return out.withColumn("end", F.greatest("end", F.col("start") + minutes * 60))
 
 
-def ledger_match(ledger: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Would an immediate order at the ledger's price have crossed the quote of its time, and for what size?"""
-    from .asof import asof
+def ledger_match(ledger: DataFrame, deltas: DataFrame) -> DataFrame:
+    """What an immediate order at the ledger's price would have got from the book of its time: the other side's levels up to the price, best first.
 
-    orders = ledger.select("instrument_id", "ts_ns", "side", "price", "size", "input_seq")
-    out = asof(orders, quotes.select("instrument_id", "ts_ns", "seq", "bid", "ask", "bid_size", "ask_size"), "instrument_id", ["bid", "ask", "bid_size", "ask_size"])
-    buy = F.col("side") == "BUY"
-    crossed = F.coalesce(F.when(buy, F.col("ask") <= F.col("price")).otherwise(F.col("bid") >= F.col("price")), F.lit(False))
-    visible = F.when(buy, F.col("ask_size")).otherwise(F.col("bid_size"))
-    return out.withColumn("crossed", crossed).withColumn("fillable", F.when(crossed, F.least(F.col("size").cast("double"), visible)).otherwise(0.0))
+    Adds crossed, fillable (the size that these levels hold, at most the order's), average (its price, null if nothing) and levels (how many it takes from).
+    ``input_seq`` names an order; ``deltas`` are those of ``book.updates_to_deltas``. The book of a time has all deltas of that time.
+    """
+    from . import book as B
+
+    orders = ledger.select("instrument_id", "ts_ns", F.col("side").alias("_side"), F.col("price").alias("_price"), F.col("size").alias("_wanted"), "input_seq")
+    buy, limit, cents = F.col("_side") == "BUY", F.col("_price").cast("decimal(18,6)") * 100, F.col("price_cents").cast("decimal(18,6)")
+    within = F.when(buy, (F.col("side") == SIDE["SELL"]) & (cents <= limit)).otherwise((F.col("side") == SIDE["BUY"]) & (cents >= limit))
+    best_first = Window.partitionBy("input_seq").orderBy(F.when(buy, F.col("price_cents")).otherwise(-F.col("price_cents")))
+    before = F.coalesce(F.sum("size").over(best_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walk = B.book_at(deltas, orders).where(within).withColumn("_take", F.greatest(F.least(F.col("_wanted") - before, F.col("size")), F.lit(0)).cast("double"))
+    got = walk.groupBy("input_seq").agg(F.sum("_take").alias("fillable"), F.sum(F.col("_take") * F.col("price_cents")).alias("_cost"), F.count_if(F.col("_take") > 0).alias("levels"))
+    out = ledger.join(got, "input_seq", "left").withColumns({"fillable": F.coalesce("fillable", F.lit(0.0)), "levels": F.coalesce("levels", F.lit(0))})
+    return out.withColumn("crossed", F.col("levels") > 0).withColumn("average", F.when(F.col("crossed"), F.col("_cost") / F.col("fillable") / 100)).drop("_cost")
 
 
 # Planning.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pmspark.operators import book as B
+from pmspark.operators import research as R
 from pmspark.registry import query
 
 from . import fixtures as fx
@@ -32,13 +33,19 @@ def drop_late_updates(spark, d):
 @query(
     "gate_on_snapshot",
     sql(
-        f"k AS (SELECT *, {_PRIO} AS prio, sum(CAST(seq % 97 = 0 AS INT)) OVER (PARTITION BY instrument_id ORDER BY ts_ns, {_PRIO}, seq) AS part FROM fx_updates), "
-        "o AS (SELECT *, max(CAST(prio = 0 AND size > 0 AS INT)) OVER (PARTITION BY instrument_id, part ORDER BY ts_ns, prio, seq ROWS UNBOUNDED PRECEDING) AS open FROM k) SELECT instrument_id, seq FROM o WHERE prio = 0 OR open = 1",
+        f"ph AS (SELECT instrument_id, unnest(range(min(hour_ns), max(hour_ns) + 1, {fx.SPAN})) AS ts_ns FROM fx_loaded GROUP BY 1), mh AS (SELECT * FROM ph EXCEPT SELECT * FROM fx_loaded), "
+        f"u AS (SELECT instrument_id, seq, ts_ns, {_PRIO} AS prio, size FROM fx_updates UNION ALL SELECT instrument_id, NULL, ts_ns, -1, 0 FROM mh), k AS (SELECT *, sum(CAST(prio = -1 AS INT)) OVER (PARTITION BY instrument_id ORDER BY ts_ns, prio, seq ROWS UNBOUNDED PRECEDING) AS part FROM u), "
+        "o AS (SELECT *, max(CAST(prio = 0 AND size > 0 AS INT)) OVER (PARTITION BY instrument_id, part ORDER BY ts_ns, prio, seq ROWS UNBOUNDED PRECEDING) AS open FROM k) SELECT instrument_id, seq FROM o WHERE prio = 0 OR (prio > 0 AND open = 1)",
         "fx_updates",
+        "fx_loaded",
     ),
 )
 def gate_on_snapshot(spark, d):
-    return B.gate_on_snapshot(fx.updates(spark, d), F.col("seq") % 97 == 0).select("instrument_id", "seq")
+    """Books that close at the hours that are planned for an instrument and not loaded."""
+    loaded = fx.loaded(spark, d)
+    hours = F.explode(F.sequence(F.min("hour_ns"), F.max("hour_ns"), F.lit(fx.SPAN)))
+    planned = loaded.groupBy("instrument_id").agg(hours.alias("hour_ns"))
+    return B.gate_on_snapshot(fx.updates(spark, d), R.missing_hours(planned, loaded)).select("instrument_id", "seq")
 
 
 _DELTAS = (

@@ -79,6 +79,15 @@ def updates(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: What stands for an hour of the archive: ship dates are whole days, and few to an instrument.
+SPAN = 864_000_000_000_000
+
+
+def loaded(spark: SparkSession, d: str) -> DataFrame:
+    """The hours (of SPAN) of which the archive has something of the instrument: instrument_id, hour_ns."""
+    return _lines(spark, d).select("instrument_id", F.expr(f"ts_ns div {SPAN} * {SPAN}").alias("hour_ns")).distinct()
+
+
 def snapshots(spark: SparkSession, d: str) -> DataFrame:
     """instrument_id, ts_ns (first of the month), bids, asks as array<struct<price, size>> of texts."""
     u = updates(spark, d).withColumn("month", F.date_trunc("month", F.timestamp_micros(F.expr("ts_ns div 1000"))))
@@ -144,6 +153,7 @@ VIEWS = {
     "fx_prices": f"SELECT 'U' || user_id AS instrument_id, epoch_us(ts) * 1000 AS ts_ns, event_id AS seq, CAST({_PRICE} AS DECIMAL(4,3)) AS price, event_id % 50 + 1 AS size FROM events",
     "fx_trades": f"SELECT 'U' || user_id AS asset, (epoch_us(ts) // 3600000000) * 3600 AS ts_s, '0x' || md5(CAST(event_id // 3 AS VARCHAR)) AS transaction_hash, CASE event_type WHEN 'click' THEN 'BUY' WHEN 'view' THEN 'SELL' WHEN 'purchase' THEN ' buy ' WHEN 'signup' THEN 'MINT' ELSE '' END AS side, CAST({_PRICE} AS DECIMAL(4,3)) AS price, event_id % 50 + 1 AS size, event_id AS input_seq FROM events",
     "fx_updates": "SELECT instrument_id, ts_ns, seq, CASE WHEN day(l_shipdate) <= 2 THEN 'book_snapshot' ELSE 'price_change' END AS update_type, CASE l_linestatus WHEN 'O' THEN 'BUY' ELSE 'SELL' END AS side, CAST(CASE l_linestatus WHEN 'O' THEN 30 ELSE 41 END + round(l_discount * 100) AS BIGINT) AS price_cents, CAST(CASE l_returnflag WHEN 'R' THEN 0 ELSE l_quantity END AS BIGINT) AS size FROM fx_lines",
+    "fx_loaded": f"SELECT DISTINCT instrument_id, ts_ns // {SPAN} * {SPAN} AS hour_ns FROM fx_lines",
     "fx_levels": "SELECT instrument_id, epoch_us(date_trunc('month', make_timestamp(ts_ns // 1000))) * 1000 AS ts_ns, side, price_cents, arg_max(size, seq) AS size FROM fx_updates GROUP BY ALL HAVING arg_max(size, seq) > 0",
     "fx_quotes": "SELECT instrument_id, ts_ns, ts_ns AS seq, bid_c / 100.0 AS bid, ask_c / 100.0 AS ask, bid_size, ask_size, (CAST(bid_c / 100.0 AS DOUBLE) + CAST(ask_c / 100.0 AS DOUBLE)) / 2 AS mid FROM (SELECT instrument_id, ts_ns, max(price_cents) FILTER (side = 'BUY') AS bid_c, min(price_cents) FILTER (side = 'SELL') AS ask_c, CAST(arg_max(size, price_cents) FILTER (side = 'BUY') AS DOUBLE) AS bid_size, CAST(arg_min(size, price_cents) FILTER (side = 'SELL') AS DOUBLE) AS ask_size FROM fx_levels GROUP BY ALL) WHERE bid_c IS NOT NULL AND ask_c IS NOT NULL",
     "fx_ledger": "SELECT 'C' || (o_custkey % 50) AS slug, o_custkey % 2 AS outcome_index, epoch_us(o_orderdate) // 1000000 AS ts, CASE o_orderstatus WHEN 'F' THEN 'SELL' ELSE 'BUY' END AS side, CAST((1 + o_orderkey % 99) / 100.0 AS DECIMAL(9,4)) AS price, 1 + o_orderkey % 40 AS size, md5(CAST(o_orderkey AS VARCHAR)) AS tx, o_orderkey AS input_seq FROM orders",
@@ -152,7 +162,7 @@ VIEWS = {
     "fx_equity": "SELECT instrument_id, ts_ns, seq, CAST(cash AS DOUBLE) AS equity FROM fx_cash",
     "fx_completed": "SELECT l_returnflag AS channel, 'M' || l_suppkey AS slug, l_linestatus AS segment, CAST(l_shipdate AS DATE) AS day, count(*) AS rows FROM lineitem GROUP BY ALL",
 }
-_NEEDS = {"fx_fills": ["fx_lines"], "fx_updates": ["fx_lines"], "fx_levels": ["fx_lines", "fx_updates"], "fx_quotes": ["fx_lines", "fx_updates", "fx_levels"], "fx_cash": ["fx_lines", "fx_fills"], "fx_equity": ["fx_lines", "fx_fills", "fx_cash"]}
+_NEEDS = {"fx_fills": ["fx_lines"], "fx_updates": ["fx_lines"], "fx_loaded": ["fx_lines"], "fx_levels": ["fx_lines", "fx_updates"], "fx_quotes": ["fx_lines", "fx_updates", "fx_levels"], "fx_cash": ["fx_lines", "fx_fills"], "fx_equity": ["fx_lines", "fx_fills", "fx_cash"]}
 
 
 def sql(body: str, *views: str) -> str:

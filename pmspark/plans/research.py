@@ -9,6 +9,7 @@ from pmspark.registry import query
 
 from . import fixtures as fx
 from .accounts import doubles
+from .book import _INTERVALS, _deltas
 from .fixtures import sql
 from .signals import px
 
@@ -316,16 +317,20 @@ def ledger_replay_windows(spark, d):
 @query(
     "ledger_match",
     sql(
-        "o AS (SELECT 'M' || CAST(substr(slug, 2) AS BIGINT) AS instrument_id, ts * 1000000000 AS ts_ns, side, price, size, input_seq FROM fx_ledger), j AS (SELECT o.*, q.bid, q.ask, q.bid_size, q.ask_size FROM o ASOF LEFT JOIN fx_quotes q ON o.instrument_id = q.instrument_id AND o.ts_ns >= q.ts_ns), "
-        "c AS (SELECT *, coalesce(CASE side WHEN 'BUY' THEN CAST(ask AS DOUBLE) <= CAST(price AS DOUBLE) ELSE CAST(bid AS DOUBLE) >= CAST(price AS DOUBLE) END, false) AS crossed FROM j) "
-        "SELECT input_seq, crossed, CASE WHEN crossed THEN least(size, CASE side WHEN 'BUY' THEN ask_size ELSE bid_size END) ELSE 0.0 END AS fillable FROM c",
+        _INTERVALS
+        + ", o AS (SELECT 'M' || CAST(substr(slug, 2) AS BIGINT) AS instrument_id, ts * 1000000000 AS ts_ns, side, price, size, input_seq FROM fx_ledger), sq AS (SELECT instrument_id, ts_ns, max(sequence) AS sequence FROM deltas GROUP BY 1, 2), "
+        "t AS (SELECT o.*, sq.sequence FROM o ASOF JOIN sq ON o.instrument_id = sq.instrument_id AND o.ts_ns >= sq.ts_ns), "
+        "w AS (SELECT t.input_seq, t.size AS wanted, iv.size AS held, price_cents, sum(iv.size) OVER (PARTITION BY t.input_seq ORDER BY CASE t.side WHEN 'BUY' THEN price_cents ELSE -price_cents END) AS upto FROM t JOIN iv ON t.instrument_id = iv.instrument_id AND from_seq <= t.sequence AND t.sequence < to_seq "
+        "AND iv.side = CASE t.side WHEN 'BUY' THEN 2 ELSE 1 END AND CASE t.side WHEN 'BUY' THEN price_cents <= 100 * price ELSE price_cents >= 100 * price END), "
+        "g AS (SELECT input_seq, CAST(greatest(least(wanted - (upto - held), held), 0) AS DOUBLE) AS take, price_cents FROM w), s AS (SELECT input_seq, sum(take) AS fillable, sum(take * price_cents) AS cost, count(*) FILTER (take > 0) AS levels FROM g GROUP BY 1) "
+        "SELECT input_seq, coalesce(levels, 0) > 0 AS crossed, coalesce(fillable, 0.0) AS fillable, round(cost / fillable / 100, 6) AS average, coalesce(levels, 0) AS levels FROM o LEFT JOIN s USING (input_seq)",
         "fx_ledger",
-        "fx_quotes",
+        "fx_updates",
     ),
 )
 def ledger_match(spark, d):
-    orders = fx.ledger(spark, d).withColumn("instrument_id", F.concat(F.lit("M"), F.substr("slug", F.lit(2)))).withColumn("ts_ns", F.col("ts") * _NS).withColumn("price", F.col("price").cast("double"))
-    return R.ledger_match(orders, fx.quotes(spark, d)).select("input_seq", "crossed", "fillable")
+    orders = fx.ledger(spark, d).withColumn("instrument_id", F.concat(F.lit("M"), F.substr("slug", F.lit(2)))).withColumn("ts_ns", F.col("ts") * _NS)
+    return R.ledger_match(orders, _deltas(spark, d)).select("input_seq", "crossed", "fillable", F.round("average", 6).alias("average"), "levels")
 
 
 _WINDOWS = f"ws(name, start_ns, end_ns, holdout) AS (VALUES ('a', {_T0}, {_T0 + 10 * _DAY}, false), ('b', {_T0 + 10 * _DAY + 1}, {_T0 + 20 * _DAY}, false), ('c', {_T0 + 20 * _DAY + 1}, {_T0 + 29 * _DAY}, true))"

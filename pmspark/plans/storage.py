@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from pmspark.operators import portfolio as P
@@ -444,28 +446,29 @@ def _part(late=True):
 
 
 def _stream_deltas(spark, d):
-    updates = fx.updates(spark, d).withColumn("gap", F.col("seq") % 97 == 0)
-    return V.incremental(V.in_parts(updates, O.scratch(spark), _part(), _PARTS), O.scratch(spark), V.deltas_step)
+    rows = V.with_hours(fx.updates(spark, d), fx.loaded(spark, d))
+    return V.incremental(V.in_parts(rows, O.scratch(spark), _part(), _PARTS), O.scratch(spark), partial(V.deltas_step, span=fx.SPAN))
 
 
 _STREAMED = (
     f"pu AS (SELECT *, CASE update_type WHEN 'book_snapshot' THEN 0 ELSE 1 END AS prio, greatest(least(CAST(floor((ts_ns - {_STREAM_START}) / {_SPAN}.0) AS INT) + CASE WHEN seq % 101 = 0 THEN 1 ELSE 0 END, {_PARTS - 1}), 0) AS part FROM fx_updates), "
     "mk AS (SELECT instrument_id, part, max(ts_ns // 1000000000 * 10 + prio) AS most FROM pu GROUP BY 1, 2), mb AS (SELECT pu.*, (SELECT max(most) FROM mk WHERE mk.instrument_id = pu.instrument_id AND mk.part < pu.part) AS seen FROM pu), "
     "ft AS (SELECT * FROM mb WHERE seen IS NULL OR ts_ns // 1000000000 * 10 + prio >= seen), "
-    "gp AS (SELECT *, sum(CAST(seq % 97 = 0 AS INT)) OVER (PARTITION BY instrument_id ORDER BY ts_ns, prio, seq) AS run FROM ft), "
+    f"ha AS (SELECT *, lag(hour_ns) OVER (PARTITION BY instrument_id ORDER BY hour_ns) + {fx.SPAN} AS due FROM fx_loaded), fr AS (SELECT instrument_id, ts_ns, seq, update_type, side, price_cents, size, prio FROM ft UNION ALL SELECT instrument_id, due, NULL, NULL, NULL, NULL, NULL, -1 FROM ha WHERE hour_ns > due), "
+    "gp AS (SELECT *, sum(CAST(prio = -1 AS INT)) OVER (PARTITION BY instrument_id ORDER BY ts_ns, prio, seq ROWS UNBOUNDED PRECEDING) AS run FROM fr), "
     "go AS (SELECT *, max(CAST(prio = 0 AND size > 0 AS INT)) OVER (PARTITION BY instrument_id, run ORDER BY ts_ns, prio, seq ROWS UNBOUNDED PRECEDING) AS open FROM gp), "
-    "su AS (SELECT * FROM go WHERE prio = 0 OR open = 1), "
+    "su AS (SELECT * FROM go WHERE prio = 0 OR (prio > 0 AND open = 1)), "
     + _DELTAS.replace("fx_updates", "su").replace("FROM sn WHERE seen = 1", "FROM sn")
 )
 
 
-@query("stream_deltas", sql(_STREAMED + " SELECT instrument_id, event_index, action, side, price_cents, size, flags, sequence, ts_ns FROM deltas", "fx_updates"))
+@query("stream_deltas", sql(_STREAMED + " SELECT instrument_id, event_index, action, side, price_cents, size, flags, sequence, ts_ns FROM deltas", "fx_updates", "fx_loaded"))
 def stream_deltas(spark, d):
     """Updates in three batches with late rows and gaps: the same deltas as of one batch without the late rows."""
     return _stream_deltas(spark, d)
 
 
-@query("stream_best_quote", sql(_BEST.replace("fx_updates", "su").replace("FROM sn WHERE seen = 1", "FROM sn").replace("lv AS (", _STREAMED[: _STREAMED.index("lv AS (")] + "lv AS (", 1) + " SELECT * FROM best", "fx_updates"))
+@query("stream_best_quote", sql(_BEST.replace("fx_updates", "su").replace("FROM sn WHERE seen = 1", "FROM sn").replace("lv AS (", _STREAMED[: _STREAMED.index("lv AS (")] + "lv AS (", 1) + " SELECT * FROM best", "fx_updates", "fx_loaded"))
 def stream_best_quote(spark, d):
     """The deltas above as a stream of their own, in three batches by time."""
     stream = V.in_parts(_stream_deltas(spark, d), O.scratch(spark), _part(late=False), _PARTS)

@@ -72,11 +72,12 @@ def in_parts(df: DataFrame, folder: str, part: Column, parts: int) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def incremental(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """All rows that ``step(batch, state) -> (rows, new state)`` puts out over what is available; the first state is None.
+def incremental(stream: DataFrame, folder: str, step: Callable) -> DataFrame:
+    """All rows that ``step(batch, state) -> (rows, after)`` puts out over what is available; the first state is None, the next is ``after(rows as written)``.
 
     A batch writes its rows and the state after it under its number, so that a repeated batch replaces its own, and its state is read
-    by the next one only. States are tables: they grow with the instruments, are shuffled by Spark, and no Python sees a row.
+    by the next one only. Rows are planned once: the state comes from what was written. States are tables: they grow with the instruments, are shuffled
+    by Spark, and no Python sees a row.
     """
     spark = stream.sparkSession
 
@@ -84,37 +85,62 @@ def incremental(stream: DataFrame, folder: str, step: Callable[[DataFrame, DataF
         state = spark.read.parquet(f"{folder}/state/{number - 1}") if number else None
         rows, after = step(batch, state)
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
-        after.write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        written = spark.read.schema(rows.schema).parquet(f"{folder}/rows/batch={number}")
+        after(written).write.mode("overwrite").parquet(f"{folder}/state/{number}")
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").drop("batch")
 
 
-def deltas_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Deltas of a batch of updates (with ``gap``): rows below an instrument's last key are late and dropped, and after a gap its book is
-    closed until the next snapshot. The state has the last key, whether the book is open, and the last numbers."""
-    kinds = "last_ts bigint, last_priority int, open boolean, last_event bigint, last_sequence bigint"
+#: Update type of a row that says that an hour of its instrument was loaded.
+LOADED = "hour"
+
+
+def with_hours(updates: DataFrame, hours: DataFrame) -> DataFrame:
+    """Updates and a row for each loaded hour (instrument_id, hour_ns)."""
+    return updates.unionByName(hours.select(B.KEY, F.col("hour_ns").alias("ts_ns"), F.lit(LOADED).alias("update_type")), allowMissingColumns=True)
+
+
+def deltas_step(batch: DataFrame, state: DataFrame | None, span: int = B.HOUR) -> tuple[DataFrame, Callable]:
+    """Deltas of a batch of updates ``with_hours`` of ``span``. Rows below an instrument's last key are late and dropped. An hour that follows its last loaded one by
+    more than a span closes the book at the end of that one, until the next snapshot.
+
+    The state has the last key, whether the book was open then, closings after it (late rows may still come before them), the last hour and the last numbers.
+    """
+    kinds = "last_ts bigint, last_priority int, open boolean, closings array<bigint>, last_hour bigint, last_event bigint, last_sequence bigint"
     if state is None:
         state = batch.select(B.KEY).distinct().select(B.KEY, *(F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in kinds.split(", "))))
-    known = batch.join(state, B.KEY, "left").withColumn("priority", B.priority())
+    updates = batch.where(F.col("update_type") != LOADED)
+    hours = batch.where(F.col("update_type") == LOADED).select(B.KEY, F.expr(f"ts_ns div {span} * {span}").alias("hour_ns"))
+    hours = hours.unionByName(state.where("last_hour is not null").select(B.KEY, F.col("last_hour").alias("hour_ns")))
+    closings = B.hour_gaps(hours, span).unionByName(state.select(B.KEY, F.explode("closings").alias("hour_ns")))
+    known = updates.join(state, B.KEY, "left").withColumn("priority", B.priority())
     key, last = F.struct(F.col("ts_ns"), F.col("priority")), F.struct(F.col("last_ts").alias("ts_ns"), F.col("last_priority").alias("priority"))
     fresh = known.where(F.col("last_ts").isNull() | (key >= last))
-    gated = B.gate_on_snapshot(fresh, F.col("gap"), F.col("open"))
+    gated = B.gate_on_snapshot(fresh, closings, F.col("open"))
     made = B.updates_to_deltas(gated.select(*batch.columns), gated=True).join(state.select(B.KEY, "last_event", "last_sequence"), B.KEY, "left")
     made = made.withColumn("event_index", F.col("event_index") + F.coalesce(F.col("last_event") + 1, F.lit(0))).withColumn("sequence", F.col("sequence") + F.coalesce("last_sequence", F.lit(0)))
     out = made.drop("last_event", "last_sequence")
-    place, book = F.struct("ts_ns", "priority", "seq"), (F.col("priority") == 0) & (F.col("size") > 0)
-    seen = fresh.groupBy(B.KEY).agg(F.max(key).alias("_key"), F.max(F.when(F.col("gap"), place)).alias("_gap"), F.max(F.when(book, place)).alias("_book"))
-    ends = out.groupBy(B.KEY).agg(F.max("event_index").alias("_event"), F.max("sequence").alias("_sequence"))
-    after = state.join(seen, B.KEY, "full_outer").join(ends, B.KEY, "left")
-    open_ = F.when(F.col("_book") >= F.coalesce("_gap", "_book"), True).when(F.col("_gap").isNotNull(), False).otherwise(F.coalesce("open", F.lit(False)))
-    return out, after.select(
-        B.KEY, F.coalesce("_key.ts_ns", "last_ts").alias("last_ts"), F.coalesce("_key.priority", "last_priority").alias("last_priority"), open_.alias("open"),
-        F.coalesce("_event", "last_event").cast("bigint").alias("last_event"), F.coalesce("_sequence", "last_sequence").cast("bigint").alias("last_sequence"),
-    )
-
-
-def quotes_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+
+    def after(written: DataFrame) -> DataFrame:
+        seen = fresh.select(B.KEY, key.alias("_key"), F.when((F.col("priority") == 0) & (F.col("size") > 0), F.col("ts_ns")).alias("_book"))
+        seen = seen.unionByName(hours.select(B.KEY, F.col("hour_ns").alias("_hour")), True).unionByName(closings.select(B.KEY, F.col("hour_ns").alias("_closing")), True)
+        seen = seen.unionByName(written.select(B.KEY, F.col("event_index").alias("_event"), F.col("sequence").alias("_sequence")), True)
+        seen = seen.groupBy(B.KEY).agg(*(F.max(c).alias(c) for c in ("_key", "_book", "_hour", "_event", "_sequence")), F.collect_set("_closing").alias("_closings"))
+        s = state.join(seen, B.KEY, "full_outer").withColumn("last_ts", F.coalesce("_key.ts_ns", "last_ts")).withColumn("last_priority", F.coalesce("_key.priority", "last_priority"))
+        past = lambda c: F.coalesce(c <= F.col("last_ts"), F.lit(False))
+        closed = F.array_max(F.filter("_closings", past))
+        open_ = F.when(F.col("_book") >= F.coalesce(closed, "_book"), True).when(closed.isNotNull(), False).otherwise(F.coalesce("open", F.lit(False)))
+        # Closings of instruments that this batch does not name stay as they are: they came in from the state.
+        return s.select(
+            B.KEY, "last_ts", "last_priority", open_.alias("open"), F.filter("_closings", lambda c: ~past(c)).alias("closings"), F.coalesce("_hour", "last_hour").alias("last_hour"),
+            F.coalesce("_event", "last_event").cast("bigint").alias("last_event"), F.coalesce("_sequence", "last_sequence").cast("bigint").alias("last_sequence"),
+        )
+
+    return out, after
+
+
+def quotes_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, Callable]:
     """Best quotes of a batch of deltas. The state is each instrument's book, which a batch takes in as an event before its own."""
     columns = [B.KEY, "event_index", "action", "side", "price_cents", "size", "flags", "sequence", "ts_ns"]
     deltas, first = batch.select(*columns), batch.groupBy(B.KEY).agg(F.min("sequence").alias("_first"))
@@ -129,10 +155,10 @@ def quotes_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, D
     live = B.with_epoch(deltas)
     newest = live.groupBy(B.KEY).agg(F.max("epoch").alias("_epoch"))
     live = live.join(newest, B.KEY).where((F.col("epoch") == F.col("_epoch")) & (F.col("action") != ACTION["CLEAR"]))
-    return out, live.groupBy(B.KEY, "side", "price_cents").agg(F.max_by("size", "sequence").alias("size")).where("size > 0")
+    return out, lambda _: live.groupBy(B.KEY, "side", "price_cents").agg(F.max_by("size", "sequence").alias("size")).where("size > 0")
 
 
-def snapshots_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def snapshots_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, Callable]:
     """Level changes of a batch of snapshots against the one before, which is the state; older ones are late and dropped."""
     columns = [B.KEY, "ts_ns", "bids", "asks"]
     both, last = batch.select(*columns), None
@@ -143,4 +169,4 @@ def snapshots_step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame
     if last is not None:
         out = out.join(last, B.KEY, "left").where("_last is null or ts_ns > _last").drop("_last")
     after = both.groupBy(B.KEY).agg(F.max_by(F.struct("ts_ns", "bids", "asks"), "ts_ns").alias("s"))
-    return out, after.select(B.KEY, "s.ts_ns", "s.bids", "s.asks")
+    return out, lambda _: after.select(B.KEY, "s.ts_ns", "s.bids", "s.asks")

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from pmspark.operators import asof as A
 from pmspark.operators import book as B
 from pmspark.operators import portfolio as P
+from pmspark.operators import research as R
 from pmspark.operators import scan as S
 from pmspark.operators import signals as G
 from pmspark.sources import readers as I
 from pmspark.sources import sinks as O
+from pmspark.streaming import streams as V
 
 HOUR = 3600 * 10**9
 
@@ -152,7 +154,9 @@ def test_average_cost_resets_at_flat(spark):
 def test_gate_and_late_rows(spark):
     rows = [("m", 1, 1, "price_change", 5, 0), ("m", 2, 2, "book_snapshot", 5, 0), ("m", 3, 3, "price_change", 5, 1), ("m", 2, 4, "price_change", 5, 2)]
     u = frame(spark, rows, "instrument_id string, ts_ns bigint, seq bigint, update_type string, size bigint, batch int")
-    assert sorted(r["seq"] for r in B.gate_on_snapshot(u, F.lit(False)).collect()) == [2, 3, 4]
+    missing = frame(spark, [("m", 3), ("x", 1)], "instrument_id string, hour_ns bigint")
+    assert sorted(r["seq"] for r in B.gate_on_snapshot(u, missing.limit(0)).collect()) == [2, 3, 4]
+    assert sorted(r["seq"] for r in B.gate_on_snapshot(u, missing).collect()) == [2, 4]
     assert sorted(r["seq"] for r in B.drop_late_updates(u, "batch").collect()) == [1, 2, 3]
 
 
@@ -214,3 +218,45 @@ def test_commissions_by_label_rate_and_waiver(spark):
     got = {(r["instrument_id"], r["ordered_ns"] - 10**9, r["price"]): float(r["commission"]) for r in E.add_commission(orders, waived, "cents").collect()}
     assert [got[k, t, 0.5] for k in "abcd" for t in (0, 1)] == [0, 0.25, 0.18, 0.18, 0.05, 0.05, 0.18, 0.18]
     assert not any(v for (_, _, p), v in got.items() if p == 1.0)
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_stab_finds_each_level_once_with_few_rows_an_interval(spark, block):
+    rng = random.Random(block)
+    spans = [(a, a + n) for n in (1, 2, 63, 64, 65, 1000, 99_999) for a in (1, 2, 63, 64, 65, 128, rng.randrange(1, 5000))]
+    intervals = frame(spark, [("m", 1, 1, i, 1, a, b) for i, (a, b) in enumerate(spans)], "instrument_id string, epoch bigint, side int, price_cents bigint, size bigint, from_seq int, to_seq int")
+    points = sorted({p for a, b in spans for p in (a - 1, a, a + 1, b - 1, b)} | {rng.randrange(100_000) for _ in range(50)})
+    got = sorted(tuple(r) for r in B.stab(frame(spark, [("m", p) for p in points], "instrument_id string, sequence int"), intervals, block).select("sequence", "price_cents").collect())
+    assert got == sorted((p, i) for p in points for i, (a, b) in enumerate(spans) if a <= p < b)
+
+
+def deltas_of(spark, rows):
+    return B.updates_to_deltas(frame(spark, rows, "instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents bigint, size bigint"))
+
+
+def test_ledger_match_walks_the_book_up_to_its_price(spark):
+    book = [("m", 1, i, "book_snapshot", s, p, q) for i, (s, p, q) in enumerate([("SELL", 41, 10), ("SELL", 42, 5), ("SELL", 45, 100), ("BUY", 39, 7), ("BUY", 38, 1)])]
+    deltas = deltas_of(spark, [*book, ("m", 5, 9, "price_change", "SELL", 41, 0)])
+    orders = [("m", 0, "BUY", "0.45", 1, 1), ("m", 1, "BUY", "0.42", 12, 2), ("m", 1, "BUY", "0.42", 100, 3), ("m", 5, "BUY", "0.44", 8, 4), ("m", 4, "SELL", "0.38", 8, 5), ("m", 4, "SELL", "0.40", 8, 6), ("x", 4, "SELL", "0.40", 8, 7)]
+    ledger = frame(spark, orders, "instrument_id string, ts_ns bigint, side string, price string, size bigint, input_seq bigint")
+    got = {r["input_seq"]: (r["crossed"], r["fillable"], r["average"] and round(r["average"], 6), r["levels"]) for r in R.ledger_match(ledger, deltas).collect()}
+    assert got == {
+        1: (False, 0.0, None, 0),
+        2: (True, 12.0, round((10 * 0.41 + 2 * 0.42) / 12, 6), 2),
+        3: (True, 15.0, round((10 * 0.41 + 5 * 0.42) / 15, 6), 2),
+        4: (True, 5.0, 0.42, 1),
+        5: (True, 8.0, round((7 * 0.39 + 0.38) / 8, 6), 2),
+        6: (False, 0.0, None, 0),
+        7: (False, 0.0, None, 0),
+    }
+
+
+def test_streamed_books_close_an_hour_after_their_last_hour(spark):
+    """The hour 2 is never loaded: what comes later waits for a snapshot, and a row of hour 1 that comes late still goes into the open book."""
+    rows = [("m", 0, 1, "book_snapshot", 0), ("m", HOUR, 2, "price_change", 1), ("m", HOUR + 5, 3, "price_change", 2), ("m", 3 * HOUR, 4, "price_change", 2), ("m", 4 * HOUR, 5, "book_snapshot", 3), ("m", 4 * HOUR + 1, 6, "price_change", 3)]
+    updates = frame(spark, [(k, t, n, u, "BUY", 40 + n, 5, batch) for k, t, n, u, batch in rows], "instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents bigint, size bigint, batch int")
+    hours = frame(spark, [("m", h * HOUR, b) for h, b in ((0, 0), (1, 1), (3, 1), (4, 3))], "instrument_id string, hour_ns bigint, batch int")
+    marks = V.with_hours(updates.limit(0), hours).drop("batch").join(hours.select(F.col("hour_ns").alias("ts_ns"), "batch"), "ts_ns").select(*updates.columns)
+    stream = V.in_parts(updates.unionByName(marks), O.scratch(spark), F.col("batch"), 4)
+    out = V.incremental(stream, O.scratch(spark), V.deltas_step)
+    assert sorted((r["ts_ns"], r["price_cents"]) for r in out.where("action <> 4").collect()) == [(0, 41), (HOUR, 42), (HOUR + 5, 43), (4 * HOUR, 45), (4 * HOUR + 1, 46)]
