@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pmspark.operators import portfolio as P
 from pmspark.operators import research as R
 from pmspark.registry import query
+from pmspark.sources import blob as X
 from pmspark.sources import readers as I
 from pmspark.sources import sinks as O
 from pmspark.streaming import streams as V
@@ -148,14 +149,19 @@ def scan_fills_dialects(spark, d):
     return out
 
 
-@query("scan_hive_blob", "SELECT 'M' || l_suppkey AS slug, l_linestatus AS segment, CAST(month(l_shipdate) AS INT) AS month, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND year(l_shipdate) = 1997 AND month(l_shipdate) IN (3, 4) AND NOT (l_suppkey % 3 = 0 AND l_linestatus = 'O') GROUP BY 1, 2, 3")
+def _market_days(spark, d):
+    return fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"), F.col("l_orderkey").alias("order"))
+
+
+@query("scan_hive_blob", "SELECT l_returnflag AS channel, 'M' || l_suppkey AS slug, l_linestatus AS segment, CAST(month(l_shipdate) AS INT) AS month, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-01-01' + CAST(l_suppkey % 40 AS INT) AND DATE '1997-03-20' AND NOT (l_suppkey % 3 = 0 AND l_linestatus = 'O') GROUP BY 1, 2, 3, 4")
 def scan_hive_blob(spark, d):
-    """Two months of a channel, which prune the files, for requests of all suppliers; one in three asks for one segment only."""
-    days = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"))
-    O.write_blob(days, path := O.scratch(spark))
+    """Days from a first one of each market's own, of all channels, by the manifest; one market in three is asked for by one segment only."""
+    X.write_blob(_market_days(spark, d), path := O.scratch(spark), part_days=400)
     segments = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("F"))).otherwise(F.array(F.lit("O"), F.lit("F")))
-    requests = fx.table(spark, d, "supplier").select(F.concat(F.lit("M"), "s_suppkey").alias("slug"), F.explode(segments).alias("segment"))
-    return I.scan_blob(spark, path, "A", [(1997, 3), (1997, 4)], requests).groupBy("slug", "segment", "month").agg(F.count("*").alias("n"))
+    first, last = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("s_suppkey") % 40).cast("int")), F.lit("1997-03-20").cast("date")
+    requests = fx.table(spark, d, "supplier").select(F.explode(F.array(*map(F.lit, "ANR"))).alias("channel"), F.concat(F.lit("M"), "s_suppkey").alias("slug"), segments.alias("segment"), first.alias("first_day"), last.alias("last_day")).withColumn("segment", F.explode("segment"))
+    out = X.scan_blob(spark, path, requests).groupBy("channel", "slug", "segment", "month")
+    return out.agg(F.count("*").alias("n"), F.sum("order").alias("orders"))
 
 
 @query("scan_public_trades", sql("SELECT asset, ts_s, count(*) AS n FROM fx_trades WHERE ts_s BETWEEN 1704153600 AND 1704672000 GROUP BY 1, 2", "fx_trades"))
@@ -224,11 +230,21 @@ def sink_comparison(spark, d):
     return spark.read.schema("slug string, outcome_index bigint, trades bigint").csv(path, header=True)
 
 
-@query("sink_blob_parts", "SELECT l_returnflag AS channel, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2")
+_PART_BYTES, _PART_DAYS = 6_000, 400
+
+
+@query(
+    "sink_blob_parts",
+    "WITH l AS (SELECT l_returnflag AS channel, 'M' || l_suppkey AS slug, l_linestatus AS segment, CAST(l_shipdate AS DATE) AS day FROM lineitem), m AS (SELECT *, count(*) AS n, sum(strlen(channel) + strlen(slug) + strlen(segment) + 12 + 4 + 8) AS b FROM l GROUP BY ALL), "
+    f"u AS (SELECT *, sum(greatest(b, {-(-_PART_BYTES // _PART_DAYS)})) OVER (PARTITION BY channel, year(day), month(day) ORDER BY slug, segment, day) - greatest(b, {-(-_PART_BYTES // _PART_DAYS)}) AS before FROM m) "
+    f"SELECT channel, CAST(year(day) AS INT) AS year, CAST(month(day) AS INT) AS month, CAST(before // {_PART_BYTES} AS BIGINT) AS part, count(*) AS market_days, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(b) AS BIGINT) AS bytes, max(slug) AS last FROM u GROUP BY 1, 2, 3, 4",
+)
 def sink_blob_parts(spark, d):
-    days = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"))
-    O.write_blob(days, path := O.scratch(spark))
-    return spark.read.parquet(path).groupBy("channel", "year").agg(F.count("*").alias("n"))
+    """What lies in each part, with its market-days."""
+    X.write_blob(_market_days(spark, d), path := O.scratch(spark), _PART_BYTES, _PART_DAYS)
+    parts = spark.read.parquet(f"{path}/data").groupBy("channel", "year", "month", F.col("part").cast("bigint").alias("part"))
+    kept = parts.agg(F.countDistinct("slug", "segment", "day").alias("market_days"), F.count("*").alias("rows"), F.max("slug").alias("last"))
+    return kept.join(X.manifest(spark, path).groupBy("channel", "year", "month", "part").agg(F.sum("bytes").alias("bytes")), ["channel", "year", "month", "part"])
 
 
 @query("sink_summary", sql(_SETTLED + f"SELECT coalesce(instrument_id, 'TOTAL') AS instrument_id, CAST(sum(fills) AS BIGINT) AS fills, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in _MONEY)} FROM settled GROUP BY ROLLUP (instrument_id)", "fx_fills", "fx_outcomes"))
@@ -371,10 +387,9 @@ def resolve_source_priority(spark, d):
 @query("validate_hours", "SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, l_returnflag AS channel, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3")
 def validate_hours(spark, d):
     """The files of a layout by month, each of which has rows; of a month's files the rows are added up."""
-    days = fx.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), F.concat(F.lit("M"), "l_suppkey").alias("slug"), F.col("l_linestatus").alias("segment"), F.to_date("l_shipdate").alias("day"))
-    O.write_blob(days, path := O.scratch(spark))
+    X.write_blob(_market_days(spark, d), path := O.scratch(spark))
     part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
-    files = I.validate_hours(spark.read.parquet(path)).groupBy(part("year").cast("int").alias("year"), part("month").cast("int").alias("month"), part("channel").alias("channel"))
+    files = I.validate_hours(spark.read.parquet(f"{path}/data")).groupBy(part("year").cast("int").alias("year"), part("month").cast("int").alias("month"), part("channel").alias("channel"))
     return files.agg(F.sum("rows").alias("rows"))
 
 

@@ -123,14 +123,6 @@ def flatten_book_sides(df: DataFrame) -> DataFrame:
     return df.withColumn("bid_prices", part("bids", "price")).withColumn("bid_sizes", part("bids", "size")).withColumn("ask_prices", part("asks", "price")).withColumn("ask_sizes", part("asks", "size")).drop("bids", "asks")
 
 
-def scan_blob(spark: SparkSession, root: str, channel: str, months: list[tuple[int, int]], requests: DataFrame) -> DataFrame:
-    """The ``channel=/year=/month=`` layout: partition filters prune the files, requests are joined on slug and segment."""
-    month = F.lit(False)
-    for y, m in months:
-        month |= (F.col("year") == y) & (F.col("month") == m)
-    return join_requests(spark.read.parquet(root).where((F.col("channel") == channel) & month), requests, ["slug", "segment"])
-
-
 def scan_public_trades(spark: SparkSession, path: str, start_s: int, end_s: int) -> DataFrame:
     t = spark.read.schema(PUBLIC_TRADES).json(path).where(F.col("timestamp").between(start_s, end_s))
     return t.select("asset", F.col("timestamp").alias("ts_s"), F.col("transactionHash").alias("transaction_hash"), "side", "price", "size")

@@ -62,13 +62,6 @@ def write_by_day(df: DataFrame, path: str, ts: str = "ts_ns", buckets: int = BUC
     out.write.partitionBy("day", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def write_blob(df: DataFrame, root: str, rows_per_file: int = 5_000_000) -> None:
-    """The ``channel=/year=/month=`` layout, sorted by slug, segment and day, zstd, in files of bounded rows."""
-    out = df.withColumn("year", F.year("day")).withColumn("month", F.month("day"))
-    out = out.repartitionByRange("channel", "year", "month", "slug", "segment").sortWithinPartitions("channel", "year", "month", "slug", "segment", "day")
-    out.write.partitionBy("channel", "year", "month").mode("append").option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(root)
-
-
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
     """A leaderboard, comparison or summary: small tables, in one file."""
     w = df.coalesce(1).write.mode("overwrite")

@@ -1,3 +1,4 @@
+import pathlib
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pmspark.operators import portfolio as P
 from pmspark.operators import research as R
 from pmspark.operators import scan as S
 from pmspark.operators import signals as G
+from pmspark.sources import blob as X
 from pmspark.sources import readers as I
 from pmspark.sources import sinks as O
 from pmspark.streaming import streams as V
@@ -260,3 +262,53 @@ def test_streamed_books_close_an_hour_after_their_last_hour(spark):
     stream = V.in_parts(updates.unionByName(marks), O.scratch(spark), F.col("batch"), 4)
     out = V.incremental(stream, O.scratch(spark), V.deltas_step)
     assert sorted((r["ts_ns"], r["price_cents"]) for r in out.where("action <> 4").collect()) == [(0, 41), (HOUR, 42), (HOUR + 5, 43), (4 * HOUR, 45), (4 * HOUR + 1, 46)]
+
+
+def market_days(spark, rows):
+    return frame(spark, rows, "channel string, slug string, segment string, day string, size bigint").withColumn("day", F.col("day").cast("date"))
+
+
+def everything(spark, slugs="abcz", first="2024-01-01", last="2024-12-31"):
+    return frame(spark, [("t", x, "0", first, last) for x in slugs], "channel string, slug string, segment string, first_day string, last_day string").withColumns({c: F.col(c).cast("date") for c in ("first_day", "last_day")})
+
+
+def test_parts_are_cut_by_bytes_and_days_and_split_no_market_day(spark):
+    rng = random.Random(1)
+    days = [("t", f"m{i:04}", "0", f"2024-{1 + i % 2:02}-{1 + i % 28:02}", rng.choice([10, 100, 900, 5000])) for i in range(600)]
+    cut = X.cut_parts(market_days(spark, days).withColumns({"year": F.year("day"), "month": F.month("day"), "bytes": F.col("size")}), 4000, 40)
+    parts = {}
+    for r in cut.orderBy("slug", "segment", "day").collect():
+        parts.setdefault((r["month"], r["part"]), []).append(r["bytes"])
+    assert all(len(p) <= 40 and sum(p[:-1]) < 4000 for p in parts.values()) and sum(map(len, parts.values())) == 600
+    rows = market_days(spark, [d for d in days for _ in range(rng.choice([1, 30]))])
+    X.write_blob(rows, path := O.scratch(spark), 2000, 40)
+    kept = spark.read.parquet(f"{path}/data")
+    assert kept.count() == rows.count()
+    assert kept.groupBy("slug", "segment", "day").agg(F.countDistinct("part", "month").alias("n")).where("n > 1").isEmpty()
+    assert X.manifest(spark, path).agg(F.sum("rows")).first()[0] == rows.count()
+
+
+def test_a_store_reads_what_its_manifest_names(spark):
+    path = O.scratch(spark)
+    first = market_days(spark, [("t", "a", "0", "2024-01-01", 1), ("t", "a", "0", "2024-01-02", 2), ("t", "b", "0", "2024-01-01", 3), ("q", "a", "0", "2024-01-01", 9)])
+    none = market_days(spark, [("t", "z", "0", "2024-01-05", 0)]).drop("size").withColumn("checked_at", F.col("day"))
+    assert X.write_blob(first, path, empty=none) == 1
+    sizes = lambda **k: sorted(r["size"] for r in X.scan_blob(spark, path, everything(spark), **k).collect())
+    assert sizes() == [1, 2, 3]
+    # A write that fails before its commit leaves an orphan, which nobody reads and the next write replaces.
+    market_days(spark, [("t", "a", "0", "2024-01-03", 77)]).withColumns({"year": F.lit(2024), "month": F.lit(1), "part": F.lit(0)}).write.partitionBy("channel", "year", "month", "part").parquet(f"{path}/data/version=2")
+    assert sizes() == [1, 2, 3]
+    second = market_days(spark, [("t", "a", "0", "2024-01-02", 20), ("t", "z", "0", "2024-01-05", 5)]).withColumn("note", F.lit("new"))
+    gone = market_days(spark, [("t", "b", "0", "2024-01-01", 0)]).drop("size").withColumn("checked_at", F.col("day"))
+    assert X.write_blob(second, path, empty=gone) == 2
+    assert sizes() == [1, 5, 20] and sizes(version=1) == [1, 2, 3]
+    assert sorted((r["slug"], r["rows"]) for r in X.manifest(spark, path).where("channel = 't'").collect()) == [("a", 1), ("a", 1), ("b", 0), ("z", 1)]
+    assert sorted(str(r["note"]) for r in X.scan_blob(spark, path, everything(spark, "az")).collect()) == ["None", "new", "new"]
+    # What the manifest does not name is not opened, even in a version that counts.
+    stray = pathlib.Path(path, "data", "version=1", "channel=t", "year=2024", "month=1", "part=5")
+    stray.mkdir(parents=True)
+    (stray / "x.parquet").write_text("no parquet")
+    assert sizes() == [1, 5, 20]
+    assert X.scan_blob(spark, path, everything(spark, "q")).isEmpty()
+    with pytest.raises(ValueError, match="no version"):
+        X.manifest(spark, O.scratch(spark))
