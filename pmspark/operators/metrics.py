@@ -62,15 +62,26 @@ def return_stats(equity: DataFrame) -> DataFrame:
     """
     r = with_returns(equity)
     daily = r.groupBy(KEY, F.floor(F.col("ts_ns") / DAY_NS).alias("day")).agg(F.sum("ret").alias("d"))
+    order = F.struct("ts_ns", "seq")
+    total = drawdown_series(equity).groupBy(KEY).agg(((F.max_by("equity", order) / F.min_by("equity", order) - 1) * 100).alias("total_return"), (F.max("drawdown") * 100).alias("max_drawdown"))
+    return total.join(_risk(daily, KEY), KEY, "left")
+
+
+def _risk(daily: DataFrame, key: str) -> DataFrame:
     down = F.sqrt(F.avg(F.pow(F.least("d", F.lit(0.0)), 2)))
-    risk = daily.where("d is not null").groupBy(KEY).agg(
+    return daily.where("d is not null").groupBy(key).agg(
         (F.try_divide(F.avg("d"), F.stddev_samp("d")) * F.sqrt(F.lit(252.0))).alias("sharpe"),
         (F.try_divide(F.avg("d"), down) * F.sqrt(F.lit(252.0))).alias("sortino"),
         F.try_divide(F.sum(F.greatest("d", F.lit(0.0))), -F.sum(F.least("d", F.lit(0.0)))).alias("profit_factor"),
     )
-    order = F.struct("ts_ns", "seq")
-    total = drawdown_series(equity).groupBy(KEY).agg(((F.max_by("equity", order) / F.min_by("equity", order) - 1) * 100).alias("total_return"), (F.max("drawdown") * 100).alias("max_drawdown"))
-    return total.join(risk, KEY, "left")
+
+
+def joint_stats(joint: DataFrame, name: str) -> DataFrame:
+    """``return_stats`` of a ``joint_drawdown``, as the instrument ``name``. Its rows know their change, so no order of them is needed again: days are summed apart."""
+    j = joint.select(F.lit(name).alias(KEY), "ts_ns", "total", F.try_divide("change", F.col("total") - F.col("change")).alias("ret"), F.try_divide("drawdown", "peak").alias("down"))
+    daily = j.groupBy(KEY, F.floor(F.col("ts_ns") / DAY_NS).alias("day")).agg(F.sum("ret").alias("d"))
+    total = j.groupBy(KEY).agg(((F.try_divide(F.max_by("total", "ts_ns"), F.min_by("total", "ts_ns")) - 1) * 100).alias("total_return"), (F.max("down") * 100).alias("max_drawdown"))
+    return total.join(_risk(daily, KEY), KEY, "left")
 
 
 def rolling_sharpe(equity: DataFrame, window: int | None = None, periods: float = 252.0) -> DataFrame:
@@ -143,7 +154,7 @@ def joint_drawdown(equities: DataFrame, timeline: DataFrame | None = None) -> Da
     b = blocked(last.withColumn("change", change).groupBy("ts_ns").agg(F.sum("change").alias("change")))
     total = running(b, F.sum, "change", lambda x, y: F.coalesce(x, F.lit(0.0)) + y, "total")
     peak = running(total, F.max, "total", lambda x, y: F.greatest(x, y), "peak")
-    return peak.select("ts_ns", "total", "peak", (F.col("peak") - F.col("total")).alias("drawdown"))
+    return peak.select("ts_ns", "change", "total", "peak", (F.col("peak") - F.col("total")).alias("drawdown"))
 
 
 def largest_gap(records: DataFrame, limit_ns: int) -> DataFrame:

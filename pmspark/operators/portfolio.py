@@ -56,6 +56,21 @@ def summary_total(settled: DataFrame) -> DataFrame:
     return settled.rollup(KEY).agg(*agg).withColumn(KEY, F.coalesce(KEY, F.lit("TOTAL")))
 
 
+def summary(settled: DataFrame, fills: DataFrame, coverage: DataFrame, equity: DataFrame) -> DataFrame:
+    """``summary_total`` with quantity, notional, average price, coverage and return statistics.
+
+    On the TOTAL row the average price comes from the sums, coverage is the mean of the finite ones, and the statistics are those of the sum of all equity series.
+    """
+    from .metrics import joint_drawdown, joint_stats, return_stats
+
+    per = settled.join(fill_stats(fills).select(KEY, "quantity", "notional"), KEY, "left").join(coverage.select(KEY, "coverage"), KEY, "left")
+    finite = F.when(F.abs("coverage") < float("inf"), F.col("coverage"))
+    agg = [F.sum(c).alias(c) for c in ("cash_flow", "open_quantity", "commissions", "pnl", "fills", "quantity", "notional")]
+    out = per.rollup(KEY).agg(*agg, F.avg(finite).alias("coverage")).withColumn(KEY, F.coalesce(KEY, F.lit("TOTAL")))
+    out = out.withColumn("avg_price", F.try_divide(F.col("notional").cast("double"), F.col("quantity").cast("double")))
+    return out.join(return_stats(equity).unionByName(joint_stats(joint_drawdown(equity), "TOTAL")), KEY, "left")
+
+
 def fill_stats(fills: DataFrame) -> DataFrame:
     good = fills.where("quantity > 0 and price >= 0 and action in ('buy', 'sell')")
     out = good.groupBy(KEY).agg(F.sum("quantity").alias("quantity"), F.sum(F.col("price") * F.col("quantity")).alias("notional"), F.count("*").alias("fills"))

@@ -324,12 +324,21 @@ def missing_hours(planned: DataFrame, present: DataFrame) -> DataFrame:
     return planned.join(present, ["instrument_id", "hour_ns"], "left_anti")
 
 
-def plan_jobs(catalog: DataFrame, channels: list[str], segments: list[str], start: str, end: str) -> DataFrame:
-    """channel, slug, segment, day: each market's days (first_day to last_day, clipped) for every channel and segment."""
-    days = F.sequence(F.greatest("first_day", F.lit(start).cast("date")), F.least("last_day", F.lit(end).cast("date")))
-    inside = catalog.where((F.col("first_day") <= F.lit(end).cast("date")) & (F.col("last_day") >= F.lit(start).cast("date")))
-    out = inside.select("slug", F.explode(days).alias("day"))
-    return out.withColumn("channel", F.explode(F.array(*map(F.lit, channels)))).withColumn("segment", F.explode(F.array(*map(F.lit, segments))))
+def plan_jobs(catalog: DataFrame, channels: dict[str, tuple[str, str]], segments: list[str], start: str | None = None, end: str | None = None, status: str | None = None, slugs: list[str] | None = None) -> DataFrame:
+    """channel, slug, segment, day: for every channel and segment the days for which the market has that channel, clipped to start and end.
+
+    ``channels`` names the columns of a channel's first and last day: dates, times or their text. A channel whose columns the catalog lacks has no job,
+    nor has a market without both days, without a slug, of another ``status`` or, where ``slugs`` are given, not among them.
+    """
+    wanted = catalog.where("slug <> ''") if status is None else catalog.where("slug <> ''").where(F.col("status") == status)
+    wanted = wanted if slugs is None else wanted.where(F.col("slug").isin(slugs))
+    bound = lambda name: F.col(name).cast("string").try_cast("timestamp").cast("date")
+    clip = lambda f, c, day: c if day is None else F.when(c.isNotNull(), f(c, F.lit(day).cast("date")))
+    spans = [F.struct(F.lit(k).alias("channel"), clip(F.greatest, bound(a), start).alias("a"), clip(F.least, bound(b), end).alias("b")) for k, (a, b) in channels.items() if {a, b} <= set(catalog.columns)]
+    if not spans:
+        raise ValueError(f"the catalog has no days of any channel of {', '.join(channels)}")
+    out = wanted.select("slug", F.inline(F.array(*spans))).where("a <= b").select("channel", "slug", F.explode(F.sequence("a", "b")).alias("day"))
+    return out.withColumn("segment", F.explode(F.array(*map(F.lit, segments))))
 
 
 def prune_jobs(jobs: DataFrame, completed: DataFrame, empty: DataFrame, today: str, recheck_days: int) -> DataFrame:

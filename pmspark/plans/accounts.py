@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pmspark.operators import metrics as M
 from pmspark.operators import portfolio as P
 from pmspark.registry import query
 
@@ -32,9 +33,50 @@ def settlement_pnl(spark, d):
     return doubles(_settled(spark, d), *_MONEY).select("instrument_id", "last_side", "fills", *_MONEY)
 
 
-@query("summary_total", sql(_SETTLED + f"SELECT coalesce(instrument_id, 'TOTAL') AS instrument_id, CAST(sum(fills) AS BIGINT) AS fills, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in _MONEY)} FROM settled GROUP BY ROLLUP (instrument_id)", "fx_fills", "fx_outcomes"))
+_FIRST, _LAST = 694_224_000_000_000_000, 880_000_000_000_000_000
+_STATS = ("total_return", "max_drawdown", "sharpe", "sortino", "profit_factor")
+
+
+def _stats(name, rows, returns):
+    """SQL of return statistics of ``rows`` (instrument_id, ts_ns, seq, equity) under the key ``name``."""
+    return (
+        f"{name}_r AS (SELECT *, {returns} AS ret, max(equity) OVER (PARTITION BY instrument_id ORDER BY ts_ns, seq) AS peak FROM {rows}), {name}_d AS (SELECT instrument_id, ts_ns // 86400000000000 AS day, sum(ret) AS d FROM {name}_r GROUP BY 1, 2 HAVING sum(ret) IS NOT NULL), "
+        f"{name}_k AS (SELECT instrument_id, avg(d) / nullif(stddev_samp(d), 0) * sqrt(252) AS sharpe, avg(d) / nullif(sqrt(avg(pow(least(d, 0), 2))), 0) * sqrt(252) AS sortino, sum(greatest(d, 0)) / nullif(-sum(least(d, 0)), 0) AS profit_factor FROM {name}_d GROUP BY 1), "
+        f"{name} AS (SELECT * FROM (SELECT instrument_id, (arg_max(equity, (ts_ns, seq)) / arg_min(equity, (ts_ns, seq)) - 1) * 100 AS total_return, max((peak - equity) / peak) * 100 AS max_drawdown FROM {name}_r GROUP BY 1) LEFT JOIN {name}_k USING (instrument_id))"
+    )
+
+
+_CHANGE = "equity / nullif(lag(equity) OVER (PARTITION BY instrument_id ORDER BY ts_ns, seq), 0) - 1"
+
+
+@query(
+    "summary_total",
+    sql(
+        _SETTLED
+        + ", fs AS (SELECT instrument_id, sum(quantity) AS quantity, sum(price * quantity) AS notional FROM fx_fills WHERE quantity > 0 AND price >= 0 AND action IN ('buy', 'sell') GROUP BY 1), "
+        f"rq AS (SELECT instrument_id, {_FIRST} AS a, {_LAST} + CAST(substr(instrument_id, 2) AS BIGINT) % 5 * 10000000000000000 AS b FROM fx_outcomes), ls AS (SELECT instrument_id, max(ts_ns) AS z FROM fx_fills GROUP BY 1), "
+        "cv AS (SELECT instrument_id, CASE WHEN substr(instrument_id, -1) = '3' THEN NULL WHEN z IS NULL THEN 0 ELSE greatest(least(CAST(least(z, b) - a AS DOUBLE) / (b - a), 1), 0) END AS coverage FROM rq LEFT JOIN ls USING (instrument_id)), "
+        "jl AS (SELECT instrument_id, ts_ns, arg_max(cash, seq) AS e FROM fx_cash GROUP BY 1, 2), jc AS (SELECT ts_ns, sum(e - coalesce(was, 0)) AS change FROM (SELECT *, lag(e) OVER (PARTITION BY instrument_id ORDER BY ts_ns) AS was FROM jl) GROUP BY 1), "
+        "js AS (SELECT 'TOTAL' AS instrument_id, ts_ns, 0 AS seq, CAST(sum(change) OVER (ORDER BY ts_ns) AS DOUBLE) AS equity FROM jc), "
+        + _stats("own", "fx_equity", _CHANGE)
+        + ", "
+        + _stats("joint", "js", _CHANGE)
+        + ", st AS (SELECT * FROM own UNION ALL SELECT * FROM joint), "
+        f"su AS (SELECT coalesce(instrument_id, 'TOTAL') AS instrument_id, CAST(sum(fills) AS BIGINT) AS fills, {', '.join(f'CAST(sum({c}) AS DOUBLE) AS {c}' for c in (*_MONEY, 'quantity', 'notional'))}, avg(coverage) AS coverage FROM settled LEFT JOIN fs USING (instrument_id) LEFT JOIN cv USING (instrument_id) GROUP BY ROLLUP (instrument_id)) "
+        f"SELECT instrument_id, fills, {', '.join((*_MONEY, 'quantity', 'notional'))}, round(notional / quantity, 6) AS avg_price, round(coverage, 6) AS coverage, {', '.join(f'round({c}, 5) + 0.0 AS {c}' for c in _STATS)} FROM su LEFT JOIN st USING (instrument_id)",
+        "fx_fills",
+        "fx_outcomes",
+        "fx_equity",
+    ),
+)
 def summary_total(spark, d):
-    return doubles(P.summary_total(_settled(spark, d)), *_MONEY)
+    """Instruments and their total, with the statistics of the joint equity; the coverage of one in ten is not a number."""
+    fills = fx.fills(spark, d)
+    number = F.substr("instrument_id", F.lit(2)).cast("bigint")
+    requests = fx.outcomes(spark, d).select("instrument_id", F.lit(_FIRST).alias("start_ns"), (F.lit(_LAST) + number % 5 * 10_000_000_000_000_000).alias("end_ns"))
+    coverage = M.coverage(fills, requests).withColumn("coverage", F.when(F.col("instrument_id").endswith("3"), float("nan")).otherwise(F.col("coverage")))
+    out = P.summary(_settled(spark, d), fills, coverage, fx.equity(spark, d))
+    return doubles(out, *_MONEY, "quantity", "notional", "avg_price", "coverage").withColumns({c: F.round(c, 5) + F.lit(0.0) for c in _STATS})
 
 
 @query("fill_stats", sql("SELECT instrument_id, CAST(sum(quantity) AS DOUBLE) AS quantity, CAST(sum(price * quantity) AS DOUBLE) AS notional, count(*) AS fills, round(CAST(sum(price * quantity) AS DOUBLE) / CAST(sum(quantity) AS DOUBLE), 6) AS avg_price FROM fx_fills WHERE quantity > 0 AND price >= 0 AND action IN ('buy', 'sell') GROUP BY 1", "fx_fills"))

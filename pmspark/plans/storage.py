@@ -276,7 +276,10 @@ def promote_schema(spark, d):
 
 # Manifests.
 
-_JOBS = "jb AS (SELECT ch AS channel, 'M' || s_suppkey AS slug, sg AS segment, CAST(unnest(generate_series(DATE '1997-01-01', DATE '1997-01-01' + CAST(s_suppkey % 40 AS INT), INTERVAL 1 DAY)) AS DATE) AS day FROM supplier, (VALUES ('A'), ('N')) a(ch), (VALUES ('O'), ('F')) b(sg))"
+_JOBS = (
+    "ch AS (SELECT 'A' AS channel, s_suppkey AS k, DATE '1997-01-01' AS a FROM supplier UNION ALL SELECT 'N', s_suppkey, DATE '1997-01-06' FROM supplier WHERE s_suppkey % 11 <> 0), "
+    "jb AS (SELECT channel, 'M' || k AS slug, sg AS segment, CAST(unnest(generate_series(a, DATE '1997-01-01' + CAST(k % 40 AS INT), INTERVAL 1 DAY)) AS DATE) AS day FROM ch, (VALUES ('O'), ('F')) b(sg) WHERE k % 7 <> 0 AND a <= DATE '1997-01-01' + CAST(k % 40 AS INT))"
+)
 _TEXT_DAY = "strftime(day, '%Y-%m-%d') AS day"
 
 
@@ -285,10 +288,14 @@ def _day(df):
 
 
 def _jobs(spark, d):
-    k = F.col("s_suppkey")
-    first = F.lit("1997-01-01").cast("date")
-    catalog = fx.table(spark, d, "supplier").select(F.concat(F.lit("M"), k).alias("slug"), F.date_sub(first, 10).alias("first_day"), F.date_add(first, (k % 40).cast("int")).alias("last_day"))
-    return R.plan_jobs(catalog, ["A", "N"], ["O", "F"], "1997-01-01", "1997-12-31")
+    """Channels with days of their own: A from before the window on, N from later and not of all markets, R in none; markets that are open only."""
+    k, first = F.col("s_suppkey"), F.lit("1997-01-01").cast("date")
+    last = F.date_add(first, (k % 40).cast("int"))
+    later = F.when(k % 11 != 0, F.date_format(last, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    catalog = fx.table(spark, d, "supplier").select(
+        F.concat(F.lit("M"), k).alias("slug"), F.when(k % 7 == 0, "closed").otherwise("open").alias("status"), F.date_sub(first, 10).alias("A_from"), last.alias("A_to"), F.lit("1997-01-06").alias("N_from"), later.alias("N_to")
+    )
+    return R.plan_jobs(catalog, {c: (f"{c}_from", f"{c}_to") for c in "ANR"}, ["O", "F"], "1997-01-01", "1997-12-31", "open")
 
 
 def _empty(spark, d):
@@ -425,7 +432,9 @@ def stream_session(spark, d):
 
 @query("stream_dedupe", "SELECT count(*) AS n FROM events")
 def stream_dedupe(spark, d):
-    return V.finished(V.stream_distinct(V.stream_events(spark, d)), O.scratch(spark)).agg(F.count("*").alias("n"))
+    """Events that come up to three times."""
+    copies = V.stream_events(spark, d).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("event_id") % 3)))
+    return V.finished(V.stream_distinct(copies), O.scratch(spark)).agg(F.count("*").alias("n"))
 
 
 @query("stream_static", "SELECT e.event_id, c.c_mktsegment AS label FROM events e JOIN customer c ON c.c_custkey = e.user_id")
