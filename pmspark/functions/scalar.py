@@ -135,7 +135,7 @@ def cent_fee(quantity: Column, price: Column, rate: Column) -> Column:
     return (F.ceil(exact.cast("decimal(28,10)") * 100) / 100).cast("decimal(18,2)")
 
 
-def slipped_price(price: Column, side: Column, tick: Column, ticks: int, share: float) -> Column:
+def slipped_price(price: Column, side: Column, tick: Column, ticks: int, share: float | Column) -> Column:
     """Adverse price: buys pay ticks and a share more, at most 1; sells get as much less, at least 0."""
     off = tick * ticks + price * share
     return F.when(side == "buy", F.least(price + off, F.lit(1.0))).otherwise(F.greatest(price - off, F.lit(0.0)))

@@ -142,7 +142,7 @@ def scan_fills_dialects(spark, d):
         "c": e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("block_timestamp"), F.col("value").alias("price_usdc"), size.alias("matched_size"), F.col("event_type").alias("aggressor_side")),
         "d": e.select(F.expr("unix_micros(ts) div 1000000").alias("timestamp"), F.col("value").alias("matched_price"), size.alias("fill_size"), F.col("event_type").alias("trader_side"), name.alias("trade_id")),
     }
-    read, out = I.resolve_dialect("fills"), None
+    read, out = I.resolve_dialect("Binary", " fills", "chain"), None
     for k, df in raw.items():
         part = read(df).withColumn("dialect", F.lit(k))
         out = part if out is None else out.unionByName(part)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pmspark.functions import scalar as S
 from pmspark.operators import fees as E
+from pmspark.operators import slippage as P
 from pmspark.operators import trades as T
 from pmspark.registry import query
 
@@ -185,10 +186,30 @@ def rebate_share(spark, d):
     return m.select("instrument_id", E.rebate_share(E.market_labels(m), F.col("bps")).alias("share"))
 
 
-@query("slipped_price", sql("SELECT instrument_id, seq, round(CASE action WHEN 'buy' THEN least(CAST(price AS DOUBLE) + 0.02 + CAST(price AS DOUBLE) * 0.01, 1.0) ELSE greatest(CAST(price AS DOUBLE) - (0.02 + CAST(price AS DOUBLE) * 0.01), 0.0) END, 6) AS p FROM fx_fills", "fx_fills"))
+_TAGS = ("CASE seq % 5 WHEN 0 THEN 'entry' WHEN 1 THEN 'exit' END", "CASE seq % 6 WHEN 0 THEN 12.5 WHEN 1 THEN -3 END")
+
+
+@query(
+    "slipped_price",
+    sql(
+        f"o AS (SELECT *, CAST(price AS DOUBLE) AS ask, CAST(price AS DOUBLE) - 0.005 AS bid, {_TAGS[0]} AS intent, {_TAGS[1]} AS seen, CASE seq % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE CAST(quantity AS DOUBLE) / 2 END AS leaves FROM fx_fills WHERE action IN ('buy', 'sell')), "
+        "e AS (SELECT *, CASE intent WHEN 'entry' THEN true WHEN 'exit' THEN false ELSE seq % 4 <> 0 AND action = 'buy' END AS entry, CASE WHEN leaves > 0 THEN leaves ELSE CAST(quantity AS DOUBLE) END AS q FROM o, (VALUES ('bps', 0.001), ('cents', 0.01)) t(schedule, tick)), "
+        "h AS (SELECT *, CASE WHEN entry THEN 0.01 ELSE 0.02 END AS share, CASE WHEN seen > 0 THEN seen * 2 ELSE greatest(20, q) END AS held FROM e) "
+        "SELECT instrument_id, seq, schedule, entry, CASE WHEN seq % 9 <> 0 THEN round(CASE action WHEN 'buy' THEN least(ask + 2 * tick + ask * share, 1) ELSE greatest(bid - (2 * tick + bid * share), 0) END, 6) END AS slipped, CASE WHEN seq % 9 <> 0 THEN CAST(held AS DOUBLE) END AS held, CASE WHEN seq % 9 <> 0 THEN CAST(least(held, q) AS DOUBLE) END AS fillable FROM h",
+        "fx_fills",
+    ),
+)
 def slipped_price(spark, d):
-    p = S.slipped_price(F.col("price").cast("double"), F.col("action"), F.lit(0.01), 2, 0.01)
-    return fx.fills(spark, d).select("instrument_id", "seq", F.round(p, 6).alias("p"))
+    """Buys and sells as orders of every kind, by both schedules."""
+    n, price = F.col("seq"), F.col("price").cast("double")
+    intent = F.when(n % 5 == 0, f"{P.INTENT} Entry ").when(n % 5 == 1, f"{P.INTENT}exit").when(n % 5 == 2, P.INTENT)
+    seen = F.when(n % 6 == 0, f"{P.VISIBLE}12.5").when(n % 6 == 1, f"{P.VISIBLE}-3").when(n % 6 == 2, f"{P.VISIBLE}many")
+    orders = fx.fills(spark, d).where("action in ('buy', 'sell')").select(
+        "instrument_id", "seq", F.upper("action").alias("side"), F.when(n % 9 == 0, "LIMIT").otherwise("MARKET").alias("order_type"), F.when(n % 7 > 0, F.array(F.lit("x"), intent, seen)).otherwise(F.array(intent, seen)).alias("tags"),
+        F.when(n % 4 == 0, True).alias("reduce_only"), F.when(n % 3 == 1, 0.0).when(n % 3 == 2, F.col("quantity").cast("double") / 2).alias("leaves"), "quantity", (price - 0.005).alias("bid"), price.alias("ask"), F.lit(0.001).alias("tick"),
+    )
+    each = [P.slip_orders(orders, s, 2, 0.01, 0.02, 20.0, 2.0).select("instrument_id", "seq", F.lit(s).alias("schedule"), "entry", F.round("slipped", 6).alias("slipped"), "held", "fillable") for s in ("bps", "cents")]
+    return each[0].unionByName(each[1])
 
 
 _TRADE_ID = "right(transaction_hash, 24) || '-' || right(asset, 4) || '-' || lpad(CAST(row_number() OVER (PARTITION BY transaction_hash, asset ORDER BY ts_s, nth) - 1 AS VARCHAR), 6, '0')"

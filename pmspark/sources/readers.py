@@ -29,18 +29,29 @@ FILL_ALIASES = {
 }
 FILL_REQUIRED = ("ts_ns", "price", "size")
 
-#: Dialects of archives by name: how a raw table becomes canonical. Registered by ``register_dialect``.
-DIALECTS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+#: How a raw table becomes canonical, by (platform, data type, vendor). Registered by ``register_dialect``.
+DIALECTS: dict[tuple[str, str, str], Callable[[DataFrame], DataFrame]] = {}
 
 
-def register_dialect(name: str, read: Callable[[DataFrame], DataFrame]) -> None:
-    DIALECTS[name] = read
+def _dialect(platform: object, data_type: object, vendor: object) -> tuple[str, str, str]:
+    """Names by their text, whatever their case and blanks; of enumerations the member's name."""
+    return tuple(str(getattr(x, "name", x)).strip().casefold() for x in (platform, data_type, vendor))
 
 
-def resolve_dialect(name: str) -> Callable[[DataFrame], DataFrame]:
-    if name not in DIALECTS:
-        raise NotImplementedError(f"no dialect {name!r}; known: {', '.join(sorted(DIALECTS))}")
-    return DIALECTS[name]
+def register_dialect(platform: object, data_type: object, vendor: object, read: Callable[[DataFrame], DataFrame]) -> None:
+    """Takes the place of what was registered under the same names."""
+    DIALECTS[_dialect(platform, data_type, vendor)] = read
+
+
+def unregister_dialect(platform: object, data_type: object, vendor: object) -> Callable[[DataFrame], DataFrame] | None:
+    return DIALECTS.pop(_dialect(platform, data_type, vendor), None)
+
+
+def resolve_dialect(platform: object, data_type: object, vendor: object) -> Callable[[DataFrame], DataFrame]:
+    key = _dialect(platform, data_type, vendor)
+    if key not in DIALECTS:
+        raise NotImplementedError(f"no dialect {'/'.join(key)}; known: {', '.join(sorted(map('/'.join, DIALECTS)))}")
+    return DIALECTS[key]
 
 
 def resolve_aliases(df: DataFrame, spec: dict[str, tuple[str, ...]], required: tuple[str, ...] = ()) -> dict[str, str | None]:
@@ -180,8 +191,8 @@ def validate_hours(files: DataFrame) -> DataFrame:
     return files.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows")).where("rows > 0")
 
 
-register_dialect("fills", fills_of_dialect)
-register_dialect("fixed", fixed_rows)
-register_dialect("payload", lambda df: parse_payload(df)[0])
-register_dialect("snapshots_nested", nested_sides)
-register_dialect("snapshots_flat", lambda df: nested_sides(df, "flat"))
+register_dialect("binary", "fills", "chain", fills_of_dialect)
+register_dialect("binary", "book", "fixed", fixed_rows)
+register_dialect("binary", "book", "payload", lambda df: parse_payload(df)[0])
+register_dialect("binary", "snapshots", "nested", nested_sides)
+register_dialect("binary", "snapshots", "flat", lambda df: nested_sides(df, "flat"))

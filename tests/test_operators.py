@@ -10,6 +10,7 @@ from pmspark.operators import portfolio as P
 from pmspark.operators import research as R
 from pmspark.operators import scan as S
 from pmspark.operators import signals as G
+from pmspark.operators import slippage as L
 from pmspark.sources import blob as X
 from pmspark.sources import readers as I
 from pmspark.sources import sinks as O
@@ -312,3 +313,16 @@ def test_a_store_reads_what_its_manifest_names(spark):
     assert X.scan_blob(spark, path, everything(spark, "q")).isEmpty()
     with pytest.raises(ValueError, match="no version"):
         X.manifest(spark, O.scratch(spark))
+
+
+def test_dialects_go_by_platform_data_type_and_vendor():
+    I.register_dialect("Binary", "fills", " Other ", lambda df: df)
+    assert I.resolve_dialect("BINARY ", "Fills", "other") is not I.resolve_dialect("binary", "fills", "chain")
+    assert I.unregister_dialect("binary", "fills", "other") and I.unregister_dialect("binary", "fills", "other") is None
+    with pytest.raises(NotImplementedError, match="binary/fills/other"):
+        I.resolve_dialect("binary", "fills", "other")
+
+
+def test_slippage_refuses_negative_ticks(spark):
+    with pytest.raises(ValueError, match="negative"):
+        L.slip_orders(spark.range(1), "bps", ticks=-1)
