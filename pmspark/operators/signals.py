@@ -128,7 +128,7 @@ def hysteresis(signals: DataFrame) -> DataFrame:
     return signals.withColumn("position", F.coalesce(F.last(mark, ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
 
-def affine_scan(x: DataFrame, value: str, a: float, seed: int, name: str) -> DataFrame:
+def affine_scan(x: DataFrame, value: str, a: float, seed: int, name: str, chunk: int = 128) -> DataFrame:
     """y = (1 - a) y' + a x along each instrument, seeded by the mean of the first ``seed`` values; null before.
 
     The recurrence is a parallel prefix of affine maps (``scan.affine``) over rows numbered in pieces, so an instrument may have any share of the
@@ -140,7 +140,7 @@ def affine_scan(x: DataFrame, value: str, a: float, seed: int, name: str) -> Dat
     own = (KEY, "ts_ns", "seq", "_piece", value)
     rest = x.where(F.col("_n") > seed).select(*own, F.lit(1 - a).alias("_keep"), (a * F.col(value)).cast("double").alias("_add"))
     rows = rest.unionByName(start.select(*own, F.lit(0.0).alias("_keep"), F.col("_add").cast("double").alias("_add")))
-    return affine(rows, KEY, ("ts_ns", "seq"), F.col("_keep"), F.col("_add"), name, most=most).drop("_keep", "_add")
+    return affine(rows, KEY, ("ts_ns", "seq"), F.col("_keep"), F.col("_add"), name, chunk=chunk, most=most).drop("_keep", "_add")
 
 
 def ema_cross(q: DataFrame, fast: int, slow: int, buffer: float) -> DataFrame:
