@@ -66,9 +66,10 @@ def stream_closed_bars(events: DataFrame, size: str) -> DataFrame:
 
 def in_parts(df: DataFrame, folder: str, part: Column, parts: int) -> DataFrame:
     """A stream of df in ``parts`` batches, by the number ``part``."""
-    numbered = df.withColumn("_part", part)
+    df.withColumn("_part", part).write.partitionBy("_part").parquet(f"{folder}-all")  # so that df is planned once
+    numbered = df.sparkSession.read.parquet(f"{folder}-all")
     for i in range(parts):  # one after another: the source reads files by age
-        numbered.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+        numbered.where(F.col("_part") == i).select(*df.columns).coalesce(1).write.mode("append").parquet(folder)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
