@@ -100,7 +100,10 @@ def tag_value(tags: Column, name: str) -> Column:
 
 def ns_text(ns: Column) -> Column:
     """UTC time with nine fractional digits."""
-    return F.concat(F.date_format(F.timestamp_micros(F.expr("0") + F.floor(ns / NS) * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(ns, F.lit(NS)).cast("string"), 9, "0"), F.lit("Z"))
+    part = F.pmod(ns, F.lit(NS))
+    # In whole numbers: as a double, the last nanoseconds of a second round up to the next one.
+    second = F.call_function("div", ns, F.lit(NS)) - F.when((ns < 0) & (part > 0), 1).otherwise(0)
+    return F.concat(F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(part.cast("string"), 9, "0"), F.lit("Z"))
 
 
 def clip01(x: Column) -> Column:

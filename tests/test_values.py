@@ -40,3 +40,12 @@ def test_fees(spark):
 def test_fixed_raw_is_half_even(spark):
     got = [int(r[0]) for r in values(spark, [(0.125,), (0.375,)], "p double", S.fixed_raw(F.col("p"), 2))]
     assert got == [12 * 10**14, 38 * 10**14]
+
+
+def test_ns_text_keeps_the_last_nanoseconds_of_a_second(spark):
+    ns = [1_706_745_599_999_999_999, 1_706_745_600_000_000_000, 1_706_745_599_999_999_900, 0, -1, -1_000_000_000]
+    got = [r[0] for r in values(spark, [(x,) for x in ns], "ns bigint", S.ns_text(F.col("ns")))]
+    assert got == [
+        "2024-01-31T23:59:59.999999999Z", "2024-02-01T00:00:00.000000000Z", "2024-01-31T23:59:59.999999900Z",
+        "1970-01-01T00:00:00.000000000Z", "1969-12-31T23:59:59.999999999Z", "1969-12-31T23:59:59.000000000Z",
+    ]
