@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pmspark.functions.scalar import ACTION, SIDE
 from pmspark.operators import book as B
@@ -64,32 +68,52 @@ def stream_closed_bars(events: DataFrame, size: str) -> DataFrame:
 # Operators with a state: each batch goes through the batch operators, with a table of what earlier batches left.
 
 
-def in_parts(df: DataFrame, folder: str, part: Column, parts: int) -> DataFrame:
-    """A stream of df in ``parts`` batches, by the number ``part``."""
-    numbered = df.withColumn("_part", part)
-    for i in range(parts):  # one after another: the source reads files by age
-        numbered.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+@dataclass
+class Parts:
+    """A stream of the files of a folder, to which each of ``arrivals`` adds the next ones when all before have been read."""
 
+    stream: DataFrame
+    arrivals: list[Callable[[], None]]
 
-def incremental(stream: DataFrame, folder: str, step: Callable) -> DataFrame:
+
+def in_parts(df: DataFrame, folder: str, part: Column, parts: int) -> Parts:
+    """A stream of df in ``parts`` batches, by the number ``part``. df is planned once, and a batch has as many files as its rows take tasks."""
+    spark = df.sparkSession
+    df.withColumn("_part", part).write.partitionBy("_part").parquet(all_ := f"{folder}-all")
+    numbered = spark.read.schema(StructType([*df.schema.fields, StructField("_part", LongType())])).parquet(all_)
+
+    def arrive(i: int) -> None:
+        numbered.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(folder)
+
+    spark.createDataFrame([], df.schema).write.parquet(folder)
+    return Parts(spark.readStream.schema(df.schema).parquet(folder), [partial(arrive, i) for i in range(parts)])
+
+
+def incremental(parts: Parts, folder: str, step: Callable) -> DataFrame:
     """All rows that ``step(batch, state) -> (rows, after)`` puts out over what is available; the first state is None, the next is ``after(rows as written)``.
 
     A batch writes its rows and the state after it under its number, so that a repeated batch replaces its own, and its state is read
     by the next one only. Rows are planned once: the state comes from what was written. States are tables: they grow with the instruments, are shuffled
-    by Spark, and no Python sees a row.
+    by Spark, and no Python sees a row. Each arrival is read by a run of its own, which goes on from the checkpoint. A step in whose state rows wait
+    for later ones takes ``ended``: the rows that then come out of the last state are put out with the others, and wait on in it for a next run.
     """
-    spark = stream.sparkSession
+    stream, spark = parts.stream, parts.stream.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        state = spark.read.parquet(f"{folder}/state/{number - 1}") if number else None
+        state = spark.read.parquet(f"{folder}/state/batch={number - 1}") if number else None
         rows, after = step(batch, state)
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
         written = spark.read.schema(rows.schema).parquet(f"{folder}/rows/batch={number}")
-        after(written).write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        after(written).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
 
-    stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/*").drop("batch")
+    for arrive in parts.arrivals:
+        arrive()
+        stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{folder}/rows").drop("batch")
+    if "ended" not in signature(step).parameters:
+        return out
+    last = spark.read.parquet(f"{folder}/state").agg(F.max("batch")).first()[0]
+    return out.unionByName(step(spark.createDataFrame([], stream.schema), spark.read.parquet(f"{folder}/state/batch={last}"), ended=True)[0])
 
 
 #: Update type of a row that says that an hour of its instrument was loaded.
@@ -101,40 +125,50 @@ def with_hours(updates: DataFrame, hours: DataFrame) -> DataFrame:
     return updates.unionByName(hours.select(B.KEY, F.col("hour_ns").alias("ts_ns"), F.lit(LOADED).alias("update_type")), allowMissingColumns=True)
 
 
-def deltas_step(batch: DataFrame, state: DataFrame | None, span: int = B.HOUR) -> tuple[DataFrame, Callable]:
+def deltas_step(batch: DataFrame, state: DataFrame | None, span: int = B.HOUR, ended: bool = False) -> tuple[DataFrame, Callable]:
     """Deltas of a batch of updates ``with_hours`` of ``span``. Rows below an instrument's last key are late and dropped. An hour that follows its last loaded one by
     more than a span closes the book at the end of that one, until the next snapshot.
 
-    The state has the last key, whether the book was open then, closings after it (late rows may still come before them), the last hour and the last numbers.
+    Rows of an instrument's last key wait for a later key, or until the stream has ``ended``: a later batch may have more of that key, which belong to the same
+    snapshot, or between the changes that wait.
+
+    The state has the last key, the time of the last row that was put out and whether the book was open then, closings after it (late rows may still come before
+    them), the last hour, the last numbers, and what waits.
     """
-    kinds = "last_ts bigint, last_priority int, open boolean, closings array<bigint>, last_hour bigint, last_event bigint, last_sequence bigint"
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in batch.schema.fields)
+    kinds = {"last_ts": "bigint", "last_priority": "int", "done_ts": "bigint", "open": "boolean", "closings": "array<bigint>", "last_hour": "bigint", "last_event": "bigint", "last_sequence": "bigint", "waiting": f"array<struct<{fields}>>"}
     if state is None:
-        state = batch.select(B.KEY).distinct().select(B.KEY, *(F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in kinds.split(", "))))
+        state = batch.select(B.KEY).distinct().select(B.KEY, *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
     updates = batch.where(F.col("update_type") != LOADED)
     hours = batch.where(F.col("update_type") == LOADED).select(B.KEY, F.expr(f"ts_ns div {span} * {span}").alias("hour_ns"))
     hours = hours.unionByName(state.where("last_hour is not null").select(B.KEY, F.col("last_hour").alias("hour_ns")))
     closings = B.hour_gaps(hours, span).unionByName(state.select(B.KEY, F.explode("closings").alias("hour_ns")))
-    known = updates.join(state, B.KEY, "left").withColumn("priority", B.priority())
+    updates = updates.unionByName(state.select(F.inline("waiting")))
+    known = updates.join(state.drop("waiting"), B.KEY, "left").withColumn("priority", B.priority())
     key, last = F.struct(F.col("ts_ns"), F.col("priority")), F.struct(F.col("last_ts").alias("ts_ns"), F.col("last_priority").alias("priority"))
     fresh = known.where(F.col("last_ts").isNull() | (key >= last))
-    gated = B.gate_on_snapshot(fresh, closings, F.col("open"))
+    fresh = fresh.withColumn("_waits", F.lit(False) if ended else key == F.max(key).over(Window.partitionBy(B.KEY)))
+    gated = B.gate_on_snapshot(fresh.where("not _waits"), closings, F.col("open"))
     made = B.updates_to_deltas(gated.select(*batch.columns), gated=True).join(state.select(B.KEY, "last_event", "last_sequence"), B.KEY, "left")
     made = made.withColumn("event_index", F.col("event_index") + F.coalesce(F.col("last_event") + 1, F.lit(0))).withColumn("sequence", F.col("sequence") + F.coalesce("last_sequence", F.lit(0)))
     out = made.drop("last_event", "last_sequence")
 
     def after(written: DataFrame) -> DataFrame:
-        seen = fresh.select(B.KEY, key.alias("_key"), F.when((F.col("priority") == 0) & (F.col("size") > 0), F.col("ts_ns")).alias("_book"))
+        done = ~F.col("_waits")
+        book = F.when(done & (F.col("priority") == 0) & (F.col("size") > 0), F.col("ts_ns"))
+        seen = fresh.select(B.KEY, key.alias("_key"), F.when(done, F.col("ts_ns")).alias("_done"), book.alias("_book"), F.when(F.col("_waits"), F.struct(*batch.columns)).alias("_wait"))
         seen = seen.unionByName(hours.select(B.KEY, F.col("hour_ns").alias("_hour")), True).unionByName(closings.select(B.KEY, F.col("hour_ns").alias("_closing")), True)
         seen = seen.unionByName(written.select(B.KEY, F.col("event_index").alias("_event"), F.col("sequence").alias("_sequence")), True)
-        seen = seen.groupBy(B.KEY).agg(*(F.max(c).alias(c) for c in ("_key", "_book", "_hour", "_event", "_sequence")), F.collect_set("_closing").alias("_closings"))
+        seen = seen.groupBy(B.KEY).agg(*(F.max(c).alias(c) for c in ("_key", "_done", "_book", "_hour", "_event", "_sequence")), F.collect_set("_closing").alias("_closings"), F.collect_list("_wait").alias("_waiting"))
         s = state.join(seen, B.KEY, "full_outer").withColumn("last_ts", F.coalesce("_key.ts_ns", "last_ts")).withColumn("last_priority", F.coalesce("_key.priority", "last_priority"))
-        past = lambda c: F.coalesce(c <= F.col("last_ts"), F.lit(False))
+        s = s.withColumn("done_ts", F.coalesce("_done", "done_ts"))
+        past = lambda c: F.coalesce(c <= F.col("done_ts"), F.lit(False))
         closed = F.array_max(F.filter("_closings", past))
         open_ = F.when(F.col("_book") >= F.coalesce(closed, "_book"), True).when(closed.isNotNull(), False).otherwise(F.coalesce("open", F.lit(False)))
-        # Closings of instruments that this batch does not name stay as they are: they came in from the state.
+        # Closings of instruments that this batch does not name stay as they are: they came in from the state. So do the rows that wait.
         return s.select(
-            B.KEY, "last_ts", "last_priority", open_.alias("open"), F.filter("_closings", lambda c: ~past(c)).alias("closings"), F.coalesce("_hour", "last_hour").alias("last_hour"),
-            F.coalesce("_event", "last_event").cast("bigint").alias("last_event"), F.coalesce("_sequence", "last_sequence").cast("bigint").alias("last_sequence"),
+            B.KEY, "last_ts", "last_priority", "done_ts", open_.alias("open"), F.filter("_closings", lambda c: ~past(c)).alias("closings"), F.coalesce("_hour", "last_hour").alias("last_hour"),
+            F.coalesce("_event", "last_event").cast("bigint").alias("last_event"), F.coalesce("_sequence", "last_sequence").cast("bigint").alias("last_sequence"), F.col("_waiting").alias("waiting"),
         )
 
     return out, after

@@ -265,6 +265,15 @@ def test_streamed_books_close_an_hour_after_their_last_hour(spark):
     assert sorted((r["ts_ns"], r["price_cents"]) for r in out.where("action <> 4").collect()) == [(0, 41), (HOUR, 42), (HOUR + 5, 43), (4 * HOUR, 45), (4 * HOUR + 1, 46)]
 
 
+def test_streamed_rows_of_one_time_are_put_together_over_batches(spark):
+    """Of a snapshot one row comes a batch later, as does the first of two changes of one time: the deltas are those of one batch."""
+    rows = [("m", 1, 1, "book_snapshot", 40, 0), ("m", 1, 2, "book_snapshot", 41, 1), ("m", 2, 3, "price_change", 41, 2), ("m", 2, 4, "price_change", 42, 1), ("m", 3, 5, "price_change", 43, 3), ("n", 1, 1, "book_snapshot", 50, 0), ("n", 1, 2, "price_change", 50, 1)]
+    updates = frame(spark, [(k, t, n, u, "BUY", p, 5, b) for k, t, n, u, p, b in rows], "instrument_id string, ts_ns bigint, seq bigint, update_type string, side string, price_cents bigint, size bigint, batch int")
+    out = V.incremental(V.in_parts(updates, O.scratch(spark), F.col("batch"), 4), O.scratch(spark), V.deltas_step)
+    want = B.updates_to_deltas(updates.drop("batch"))
+    assert sorted(map(tuple, out.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
 def market_days(spark, rows):
     return frame(spark, rows, "channel string, slug string, segment string, day string, size bigint").withColumn("day", F.col("day").cast("date"))
 
