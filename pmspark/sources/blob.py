@@ -1,9 +1,12 @@
 """A store of market-days in parts of bounded size, and the versions of its manifest.
 
-    <root>/data/version=/channel=/year=/month=/part=/     rows, by slug, segment and day
-    <root>/manifest/version=/                             market-days of the version: rows, bytes, part
+    <root>/data/version=/channel=/year=/month=/part=/     rows, by part_no, slug, segment and day
+    <root>/manifest/version=/                             market-days of the version: rows, bytes, part, folder
     <root>/commits/                                       the versions that count
 
+A folder holds a part, or as many small ones in a row as fill FOLDER_BYTES, and has the number of the first; part_no is each row's own. So the number of files grows
+with the bytes, however small the parts are.
+
 A version counts from the moment in which its number is appended to the commits, which comes last. What a failed write leaves behind is under
 a number that nothing names, and the next write takes that number and replaces it. There is one writer at a time.
 """
@@ -23,7 +26,9 @@ from .sinks import promote_schema
 KEYS = ["channel", "slug", "segment", "day"]
 #: Bytes before compression, and market-days, that fill a part.
 PART_BYTES, PART_DAYS = 512 << 20, 10_000
-MANIFEST = "channel string, slug string, segment string, day date, rows bigint, bytes bigint, year int, month int, part bigint, checked_at date"
+#: Bytes before compression from which on the next part begins a folder of its own.
+FOLDER_BYTES = 32 << 20
+MANIFEST = "channel string, slug string, segment string, day date, rows bigint, bytes bigint, year int, month int, part bigint, folder bigint, checked_at date"
 #: Columns that the folders name.
 PLACE = StructType([StructField("version", LongType()), StructField("year", IntegerType()), StructField("month", IntegerType()), StructField("part", LongType())])
 _WIDTH = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4, "bigint": 8, "double": 8, "timestamp": 8, "timestamp_ntz": 8}
@@ -36,7 +41,7 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def cut_parts(days: DataFrame, part_bytes: int = PART_BYTES, part_days: int = PART_DAYS) -> DataFrame:
-    """Adds ``part`` to market-days with their ``bytes``, numbered within each channel and month.
+    """Adds ``part`` to market-days with their ``bytes``, numbered within each channel and month, and ``folder``, the first of the parts that lie with it.
 
     Parts are cut where the running sum, by slug, segment and day, passes a multiple of ``part_bytes``; a market-day counts for at least its share of
     ``part_days``. So a part has at most part_days market-days, and less than part_bytes without its last one. No market-day is split.
@@ -44,7 +49,11 @@ def cut_parts(days: DataFrame, part_bytes: int = PART_BYTES, part_days: int = PA
     least = -(-part_bytes // part_days)
     before = Window.partitionBy("channel", "year", "month").orderBy("slug", "segment", "day").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.coalesce(F.sum(F.greatest("bytes", F.lit(least))).over(before), F.lit(0))
-    return days.withColumn("_upto", upto).withColumn("part", F.expr(f"_upto div {part_bytes}")).drop("_upto")
+    real = F.coalesce(F.sum("bytes").over(before), F.lit(0))
+    cut = days.withColumns({"_upto": upto, "_real": real}).withColumn("part", F.expr(f"_upto div {part_bytes}"))
+    # A part lies where its first market-day would, so it is never split.
+    cut = cut.withColumn("_run", F.floor(F.min("_real").over(Window.partitionBy("channel", "year", "month", "part")) / FOLDER_BYTES))
+    return cut.withColumn("folder", F.min("part").over(Window.partitionBy("channel", "year", "month", "_run"))).drop("_upto", "_real", "_run")
 
 
 def versions(spark: SparkSession, root: str) -> dict[int, StructType]:
@@ -61,27 +70,27 @@ def versions(spark: SparkSession, root: str) -> dict[int, StructType]:
 def write_blob(df: DataFrame, root: str, part_bytes: int = PART_BYTES, part_days: int = PART_DAYS, empty: DataFrame | None = None) -> int:
     """Writes market-days (channel, slug, segment, day and what else a row has) as one new version, and returns its number.
 
-    A market-day that the store has already is replaced, and its mark as empty goes; ``empty`` (the keys, checked_at) marks days without rows, and their rows go. The rows of a part
-    lie in its folder, sorted, in a file of their own; a market-day of more than ``part_bytes`` is dealt to several tasks and files of that
+    A market-day that the store has already is replaced, and its mark as empty goes; ``empty`` (the keys, checked_at) marks days without rows, and their rows go. The rows of a folder
+    are sorted, by part and market-day, in a file of their own; a market-day of more than ``part_bytes`` is dealt to several tasks and files of that
     folder, so none has to hold it. Statistics of row groups and pages find a market-day in its file.
     """
     spark = df.sparkSession
     version = max(versions(spark, root), default=0) + 1
     month = lambda x: x.withColumns({"year": F.year("day"), "month": F.month("day")})
     sized = df.groupBy(*KEYS).agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes"))
-    cut = cut_parts(month(sized), part_bytes, part_days).select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("bytes").alias("_bytes"), "part")
+    cut = cut_parts(month(sized), part_bytes, part_days).select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("bytes").alias("_bytes"), F.col("part").alias("part_no"), F.col("folder").alias("part"))
     rows = df.join(cut, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEYS]).drop(*(f"_{k}" for k in KEYS))
     pieces = F.ceil(F.col("_bytes") / part_bytes).cast("bigint")
     # Only a market-day larger than a part has more than one piece.
     piece = F.when(pieces > 1, F.pmod(F.xxhash64(*(c for c, kind in df.dtypes if not kind.startswith("map"))), pieces)).otherwise(0)
-    rows = month(rows).withColumn("_piece", piece).repartition("channel", "year", "month", "part", "_piece").sortWithinPartitions("channel", "year", "month", "part", "slug", "segment", "day")
+    rows = month(rows).withColumn("_piece", piece).repartition("channel", "year", "month", "part", "_piece").sortWithinPartitions("channel", "year", "month", "part", "part_no", "slug", "segment", "day")
     data = f"{root}/data/version={version}"
     rows.drop("_bytes", "_piece").write.partitionBy("channel", "year", "month", "part").mode("overwrite").option("compression", "zstd").parquet(data)
     # The manifest tells what was written.
-    written = spark.read.schema(StructType([*df.schema.fields, *PLACE.fields[1:]])).parquet(data)
-    entries = written.groupBy(*KEYS, "year", "month", "part").agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes")).withColumn("checked_at", F.lit(None).cast("date"))
+    written = spark.read.schema(StructType([*df.schema.fields, StructField("part_no", LongType()), *PLACE.fields[1:]])).parquet(data)
+    entries = written.groupBy(*KEYS, "year", "month", F.col("part_no").alias("part"), F.col("part").alias("folder")).agg(F.count("*").alias("rows"), F.sum(row_bytes(df)).alias("bytes")).withColumn("checked_at", F.lit(None).cast("date"))
     if empty is not None:
-        none = {"rows": F.lit(0).cast("bigint"), "bytes": F.lit(0).cast("bigint"), "part": F.lit(None).cast("bigint")}
+        none = {"rows": F.lit(0).cast("bigint"), "bytes": F.lit(0).cast("bigint"), "part": F.lit(None).cast("bigint"), "folder": F.lit(None).cast("bigint")}
         marks = month(empty.select(*KEYS, "checked_at").join(entries.select(*KEYS), KEYS, "left_anti")).withColumns(none)
         entries = entries.unionByName(marks)
     entries.write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
@@ -103,8 +112,8 @@ def manifest(spark: SparkSession, root: str, version: int | None = None) -> Data
 def scan_blob(spark: SparkSession, root: str, requests: DataFrame, version: int | None = None) -> DataFrame:
     """The rows of the requested market-days: requests have channel, slug, segment, first_day and last_day (both included), and may overlap.
 
-    The manifest names the parts, and only those of committed versions are opened: no orphan, no part that was replaced as a whole. Of a part
-    come the market-days that it still stands for. The numbers of the parts come to the driver, as does the list of files of any table. Columns that a version does
+    The manifest names the folders, and only those of committed versions are opened: no orphan, no folder that was replaced as a whole. Of a folder
+    come the market-days that it still stands for. The numbers of the folders come to the driver, as does the list of files of any table. Columns that a version does
     not have are null; versions whose columns contradict each other are an error.
     """
     columns = versions(spark, root)
@@ -113,6 +122,7 @@ def scan_blob(spark: SparkSession, root: str, requests: DataFrame, version: int
         raise ValueError(f"the versions at {root} have columns of different types")
     r = requests.select("channel", "slug", "segment", "first_day", "last_day")
     held = manifest(spark, root, version).where("rows > 0").join(r, ["channel", "slug", "segment"]).where(F.col("day").between(F.col("first_day"), F.col("last_day")))
+    held = held.withColumn("part", F.col("folder"))
     place = F.concat_ws("/", "version", "channel", "year", "month", "part")
     places = [p["place"] for p in held.select(place.alias("place")).distinct().collect()]
     paths = [f"{root}/data/version={v}" for v in sorted({int(p.split("/", 1)[0]) for p in places} or columns)]

@@ -298,6 +298,18 @@ def test_parts_are_cut_by_bytes_and_days_and_split_no_market_day(spark):
     assert X.manifest(spark, path).agg(F.sum("rows")).first()[0] == rows.count()
 
 
+def test_small_parts_share_folders_and_none_is_split(spark, monkeypatch):
+    days = [("t", f"m{i:04}", "0", f"2024-01-{1 + i % 28:02}", 1) for i in range(400)]
+    monkeypatch.setattr(X, "FOLDER_BYTES", 4000)
+    X.write_blob(market_days(spark, days), path := O.scratch(spark), 100, 40)
+    kept = spark.read.parquet(f"{path}/data")
+    places = kept.groupBy("part_no").agg(F.countDistinct("part").alias("n"), F.min("part").alias("folder")).collect()
+    total = X.manifest(spark, path).agg(F.sum("bytes")).first()[0]
+    assert len(places) > 100 and all(p["n"] == 1 and p["folder"] <= p["part_no"] for p in places)
+    assert len(list(pathlib.Path(path, "data").rglob("*.parquet"))) == len({p["folder"] for p in places}) == -(-total // 4000)
+    assert X.scan_blob(spark, path, everything(spark, ["m0007", "m0399"])).count() == 2
+
+
 def test_a_store_reads_what_its_manifest_names(spark):
     path = O.scratch(spark)
     first = market_days(spark, [("t", "a", "0", "2024-01-01", 1), ("t", "a", "0", "2024-01-02", 2), ("t", "b", "0", "2024-01-01", 3), ("q", "a", "0", "2024-01-01", 9)])
