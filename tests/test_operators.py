@@ -352,13 +352,13 @@ def test_slippage_refuses_negative_ticks(spark):
 def test_shuffles_have_partitions_by_the_rows_of_the_tables(spark, small, monkeypatch):
     from pmspark.plans import fixtures as fx
 
-    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    names = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
     was = {k: spark.conf.get(k, None) for k in names}
     for k in names:
         spark.conf.unset(k)
     monkeypatch.setattr(fx, "TASK_ROWS", 500)
     fx.updates(spark, small), fx.outcomes(spark, small)
     rows = spark.read.parquet(f"{small}/lineitem.parquet").count()
-    assert int(spark.conf.get(names[0])) == -(-rows // 500) and int(spark.conf.get(names[1])) == fx.TASK_BYTES
+    assert int(spark.conf.get(names[0])) == -(-rows // 500) and int(spark.conf.get(names[1])) == fx.TASK_BYTES and int(spark.conf.get(names[2])) == fx.SPLIT_BYTES
     for k, v in was.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
