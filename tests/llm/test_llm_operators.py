@@ -350,6 +350,32 @@ def test_toxicity_learns_and_holds_out(spark, none):
     assert kept.columns == docs.columns and kept.where("doc_id < 600 and doc_id % 3 = 1").count() >= 198
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A word of toxic rows beyond the first 2,500 by hash, which a bounded sample leaves out, and one of a text of over 2 MB; with several workers."""
+    monkeypatch.setattr(toxicity, "WORKER_ROWS", 3000)
+    rng = random.Random(7)
+    ids = spark.range(12_000).withColumn("toxic", (F.col("id") % 2).cast("int"))
+    late = {r["id"] for y in (0, 1) for r in ids.where(~toxicity.held_out(F.col("id"))).where(F.col("toxic") == y).orderBy(F.xxhash64("id"), "id").collect()[2500:]}
+    held = {r["id"] for r in ids.where(toxicity.held_out(F.col("id"))).collect()}
+    word = lambda i: (["villain"] if i not in late and i not in held else ["rotter"]) if i % 2 else []
+    docs = spark.createDataFrame([(i, " ".join([f"v{rng.randrange(300)}" for _ in range(8)] + word(i)), "en") for i in range(12_000)], "doc_id bigint, text string, lang string").repartition(5)
+    out = toxicity.judge_toxicity(docs, ids.select(F.col("id").alias("doc_id"), "toxic")).where("held_out").collect()
+    assert len(late) > 2000 and sum(r["predicted"] == r["doc_id"] % 2 for r in out) >= 0.98 * len(out)
+    long = spark.createDataFrame([(0, "v1 " * 900_000, "en")], "doc_id bigint, text string, lang string")
+    assert toxicity._labelled(docs.unionByName(long), ids.select(F.col("id").alias("doc_id"), "toxic").where("id < 10")).agg(F.max(F.length("text"))).first()[0] == 2_700_000
+
+
+def test_long_texts_are_pooled_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    m = toxicity._initial(np.arange(1 << 12))
+    begins = np.array([0, 700, 700, 720, 4000])
+    buckets = rng.integers(0, 1 << 12, (4000, 4))
+    want = m.logits(buckets, begins), m.tops(*m.embed(buckets, begins))
+    monkeypatch.setattr(toxicity, "PLACES", 256)
+    got = m.logits(buckets, begins), m.tops(*m.embed(buckets, begins))
+    assert np.allclose(got[0], want[0], atol=1e-5) and np.allclose(got[1][0], want[1][0], atol=1e-5) and (got[1][1] == want[1][1]).mean() > 0.99
+
+
 # Decontamination.
 
 
