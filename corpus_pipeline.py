@@ -24,8 +24,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their shingles of five words."""
-    return one_of_each(docs, near_copies(docs))
+    """One document of each group of texts that op3's fingerprints link, within 3 bits by BK-trees, or that share 0.8 of their shingles of five words."""
+    return one_of_each(docs, near_copies(docs, radius=3))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -408,7 +408,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return in_batches(chosen).mapInArrow(own, "id bigint, holder string")
 
 
-def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS) -> DataFrame:
+def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_WORDS, radius: int | None = None) -> DataFrame:
     """doc_id, text_id (a hash of the text's words) and component_id of every row: texts are linked from a Jaccard similarity of
     ``similar`` of their word shingles on. Equal texts, but for case and spacing, are one node.
 
@@ -416,6 +416,7 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_
     bits, and have shingle sets that sketches of a bit for each shingle do not tell apart. A shard puts out fewer pairs than it has nodes: those that
     join its candidates. What they join is a group, and ``families.links`` finds the exact links of a group from whole texts, in time that grows
     with the group's size and not its square, whether its texts are just above the threshold or just below.
+    With a ``radius``, texts whose fingerprints of ``near_duplicates`` differ in so many bits or fewer are linked too, by its BK-trees.
     """
     num, den = Fraction(similar).limit_denominator(10_000).as_integer_ratio()
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -423,20 +424,35 @@ def near_copies(docs: DataFrame, similar: float = SIMILAR, words: int = SIMILAR_
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fps, sizes, odd = sketches(batch.column(1), words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (ids, *fps.T, sizes)), pa.array(odd, pa.list_(pa.int64()))], ["doc_id", "id", *_FPS, "n", "odd"])
-
-    each = written(in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "n")) + ", odd array<bigint>"))
-    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*_FPS, "n", "odd"))))
+            out = [batch.column(0), *map(pa.array, (ids, *fps.T, sizes)), pa.array(odd, pa.list_(pa.int64()))]
+            if radius is not None:
+                out.append(pa.array(np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.int64, count=batch.num_rows)))
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "id", *_FPS, "n", "odd", *own])
+
+    own = () if radius is None else ("fp",)
+    each = written(in_batches(docs).select("doc_id", "text").mapInArrow(read, f"doc_id {id_type}, " + ", ".join(f"{c} bigint" for c in ("id", *_FPS, "n")) + ", odd array<bigint>" + "".join(f", {c} bigint" for c in own)))
+    nodes = written(each.groupBy("id").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in (*_FPS, "n", "odd", *own))))
     masks = _random_masks()
     groups = cut(components(_candidates(nodes, _neighbours(nodes, masks), masks, num, den)).select(F.col("root").alias("group"), F.col("node").alias("id")))
     wanted = cut(nodes.join(small(cut(groups.select("id"))), "id").select("id", "first"))
-    found = components(family_links(groups, nodes, _texts(docs, wanted), num, den, shingles_of(words)))
+    pairs = family_links(groups, nodes, _texts(docs, wanted), num, den, shingles_of(words))
+    found = components(pairs if radius is None else pairs.select("a", "b").unionByName(_fingerprint_links(nodes, radius)))
     member = written(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = cut(member.groupBy("root").agg(F.min("first").alias("component_id")))
     classes = cut(member.join(least, "root").select(F.col("id").alias("_id"), "component_id"))
     return each.join(classes, F.col("id") == F.col("_id")).select("doc_id", F.col("id").alias("text_id"), "component_id")
 
 
+def _fingerprint_links(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs a, b of ids, enough to join all whose ``fp`` the links of ``near_duplicates`` join."""
+    prints = cut(nodes.select("fp").distinct())
+    found = components(links(prints, radius))
+    roots = nodes.select("id", "fp").join(found, F.col("fp") == F.col("node"), "left").select("id", F.coalesce("root", "fp").alias("of"))
+    roots = cut(roots)
+    least = cut(roots.groupBy("of").agg(F.min("id").alias("b"), F.count("*").alias("_many")).where("_many > 1").select(F.col("of").alias("_of"), "b"))
+    return roots.join(least, F.col("of") == F.col("_of")).where("id <> b").select(F.col("id").alias("a"), "b")
+
+
 def one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """One row of ``docs`` of every component (``classes``: doc_id, text_id, component_id), that of its smallest doc_id; rows without a doc_id stay.
 

@@ -649,6 +649,19 @@ def test_near_dedup_and_toxicity_stages_equal_brute_force(spark, small):
     assert sorted(r["doc_id"] for r in left) == sorted(r["doc_id"] for r in judged)
 
 
+def test_near_dedup_keeps_one_of_what_op3_links(spark):
+    """Texts of a fingerprint within 3 bits and a similarity below 0.8 are one group, as op3 has them."""
+    import corpus_pipeline
+
+    base = [f"w{i % 9}" for i in range(1600)]
+    rows = [(0, " ".join(base)), (1, " ".join(base + [f"x{i}" for i in range(500)])), (2, "quite another text of a few words"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    a, b = (simhash.fingerprint(t) for _, t in rows[:2])
+    assert bin((a ^ b) & simhash._MASK).count("1") <= 3
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 2, 3]
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline
 
