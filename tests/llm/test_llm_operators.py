@@ -187,6 +187,23 @@ def test_parities_exclude_only_unlike_sets():
             assert may or len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
 
 
+def test_components_of_few_edges_take_few_partitions(spark):
+    """Chains and a hub, dealt over many partitions, of which each would have files of its own in every checkpoint."""
+    pairs = [(10 * k + i, 10 * k + i + 1) for k in range(40) for i in range(7)] + [(1000, 1000 + i) for i in range(1, 300)]
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(50))
+        assert found.rdd.getNumPartitions() <= 8 + 60
+        got = {r["node"]: r["root"] for r in found.collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {10 * k + i: 10 * k for k in range(40) for i in range(8)} | {1000 + i: 1000 for i in range(300)}
+
+
 @pytest.mark.parametrize("changed", [3, 4, 6])
 def test_candidates_of_a_family_grow_with_its_size(spark, changed):
     """Families of texts around a similarity of 0.8 to each other, of 300, 600 and 1200 texts."""
