@@ -11,6 +11,7 @@ from pmspark.operators import research as R
 from pmspark.operators import scan as S
 from pmspark.operators import signals as G
 from pmspark.operators import slippage as L
+from pmspark.registry import queries
 from pmspark.sources import blob as X
 from pmspark.sources import readers as I
 from pmspark.sources import sinks as O
@@ -362,3 +363,21 @@ def test_shuffles_have_partitions_by_the_rows_of_the_tables(spark, small, monkey
     assert int(spark.conf.get(names[0])) == -(-rows // 500) and int(spark.conf.get(names[1])) == fx.TASK_BYTES and int(spark.conf.get(names[2])) == fx.SPLIT_BYTES
     for k, v in was.items():
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+ONCE = [
+    (O, "write_by_day", "sink_deltas"),
+]
+
+
+@pytest.mark.parametrize("module, operator, name", ONCE)
+def test_what_a_query_takes_in_several_places_is_worked_out_once(spark, small, monkeypatch, module, operator, name):
+    """Its operator gets tables without the windows that make them."""
+    seen, held = [], getattr(module, operator)
+    monkeypatch.setattr(module, operator, lambda *a, **k: (seen.extend(x for x in a if hasattr(x, "_jdf")), held(*a, **k))[1])
+    queries()[name](spark, small)
+    assert seen and not any("Window" in _plan(df) for df in seen)
