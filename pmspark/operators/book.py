@@ -103,11 +103,10 @@ def level_intervals(deltas: DataFrame) -> DataFrame:
 
     A level lasts until its next delta or the end of the epoch.
     """
-    d = with_epoch(deltas)
-    ends = d.groupBy(KEY, "epoch").agg((F.max("sequence") + 1).alias("_end"))
+    d = with_epoch(deltas).withColumn("_end", F.max("sequence").over(Window.partitionBy(KEY, "epoch")) + 1)
     following = F.lead("sequence").over(Window.partitionBy(KEY, "epoch", "side", "price_cents").orderBy("sequence"))
     levels = d.where(F.col("action") != ACTION["CLEAR"]).withColumn("_next", following)
-    out = levels.join(ends, [KEY, "epoch"]).withColumn("to_seq", F.coalesce("_next", "_end"))
+    out = levels.withColumn("to_seq", F.coalesce("_next", "_end"))
     return out.where("size > 0").select(KEY, "epoch", "side", "price_cents", "size", F.col("sequence").alias("from_seq"), "to_seq")
 
 

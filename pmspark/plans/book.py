@@ -126,7 +126,7 @@ _MID = "978307200000000000"
     ),
 )
 def book_at_time(spark, d):
-    deltas = _deltas(spark, d)
+    deltas = fx.once(_deltas(spark, d))
     times = deltas.select("instrument_id").distinct().withColumn("ts_ns", F.lit(int(_MID)))
     return B.book_at(deltas, times)
 

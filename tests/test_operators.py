@@ -381,6 +381,7 @@ def test_a_joint_drawdown_sorts_an_instrument_once_and_gathers_no_times(spark, m
 
 ONCE = [
     (O, "write_by_day", "sink_deltas"),
+    (B, "book_at", "book_at_time"),
 ]
 
 
