@@ -157,7 +157,7 @@ _DENSE = (
 
 def _dense(spark, d):
     """Every fill's price is the market's of half a day before, so the last fill lies after the last price."""
-    f = fx.fills(spark, d)
+    f = fx.once(fx.fills(spark, d))
     return P.dense_equity(f, f.select("instrument_id", (F.col("ts_ns") - 43_200_000_000_000).alias("ts_ns"), "seq", "price"), 1_000_000)
 
 
@@ -216,7 +216,7 @@ def average_cost(spark, d):
     ).replace("FROM k) , k2", "FROM k), k2"),
 )
 def allocation_value(spark, d):
-    dense = _dense(spark, d)
+    dense = fx.once(_dense(spark, d))
     return P.allocation_value(dense, 5, dense.groupBy("ts_ns").agg(F.sum("cash").alias("cash"))).withColumn("value", F.round("value", 2))
 
 

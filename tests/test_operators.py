@@ -382,6 +382,8 @@ def test_a_joint_drawdown_sorts_an_instrument_once_and_gathers_no_times(spark, m
 ONCE = [
     (O, "write_by_day", "sink_deltas"),
     (B, "book_at", "book_at_time"),
+    (P, "allocation_value", "allocation_value"),
+    (P, "dense_equity", "dense_equity"),
 ]
 
 
