@@ -383,6 +383,7 @@ ONCE = [
     (O, "write_by_day", "sink_deltas"),
     (B, "book_at", "book_at_time"),
     (P, "allocation_value", "allocation_value"),
+    (I, "parse_payload", "payload_parse"),
     (P, "dense_equity", "dense_equity"),
 ]
 
