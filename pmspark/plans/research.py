@@ -330,7 +330,7 @@ def ledger_replay_windows(spark, d):
 )
 def ledger_match(spark, d):
     orders = fx.ledger(spark, d).withColumn("instrument_id", F.concat(F.lit("M"), F.substr("slug", F.lit(2)))).withColumn("ts_ns", F.col("ts") * _NS)
-    return R.ledger_match(orders, _deltas(spark, d)).select("input_seq", "crossed", "fillable", F.round("average", 6).alias("average"), "levels")
+    return R.ledger_match(orders, fx.once(_deltas(spark, d))).select("input_seq", "crossed", "fillable", F.round("average", 6).alias("average"), "levels")
 
 
 _WINDOWS = f"ws(name, start_ns, end_ns, holdout) AS (VALUES ('a', {_T0}, {_T0 + 10 * _DAY}, false), ('b', {_T0 + 10 * _DAY + 1}, {_T0 + 20 * _DAY}, false), ('c', {_T0 + 20 * _DAY + 1}, {_T0 + 29 * _DAY}, true))"

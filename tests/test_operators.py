@@ -384,6 +384,7 @@ ONCE = [
     (B, "book_at", "book_at_time"),
     (P, "allocation_value", "allocation_value"),
     (I, "parse_payload", "payload_parse"),
+    (R, "ledger_match", "ledger_match"),
     (P, "dense_equity", "dense_equity"),
 ]
 
