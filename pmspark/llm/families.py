@@ -32,6 +32,8 @@ MEMBERS, TOKENS = 2048, 1 << 22
 SAMPLED = 1 << 17
 #: Groups of groups: each has about half as many sets as the last at most.
 LEVELS = 48
+#: Longs of sketches that a task holds as one group.
+LONGS = 1 << 22
 #: Rows of a key that are dealt beside their least id, which an aggregate finds; a sample of one in so many keys' ids shows those keys.
 HOT, SAMPLE = 8192, 64
 
@@ -301,22 +303,30 @@ def met_by(up: np.ndarray, i: int, others: np.ndarray, first: int = 0) -> None:
 
 
 def possible(sizes: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """Of each row the least place that rows which may be similar join it with."""
-    up, held = np.arange(len(sizes)), Sketches(sketches)
-    for i in range(1, len(sizes)):
-        before = np.arange(i)
-        met_by(up, i, before[held.may_be(np.full(i, i), before, sizes, num, den)])
+    """Of each row the least place that rows which may be similar join it with.
+
+    What is reached is compared with what is not reached yet, so most of a family leaves with its first row; only strangers are compared two by two.
+    """
+    up, left, held = np.arange(len(sizes)), np.arange(len(sizes)), Sketches(sketches)
+    while len(left) > 1:
+        first, left = int(left[0]), left[1:]
+        reached = [first]
+        while reached and len(left):
+            near = held.may_be(np.full(len(left), reached.pop()), left, sizes, num, den)
+            up[left[near]] = first
+            reached += left[near].tolist()
+            left = left[~near]
     return up
 
 
-def sharpened(groups: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+def sharpened(groups: DataFrame, nodes: DataFrame, num: int, den: int, parted: int | None = None) -> DataFrame:
     """A written table of groups, parted where sketches (``odd`` of ``nodes``) show that no link can lead across, and then united where they overlap.
 
     What is left of a group holds together by pairs that look similar, so the united groups are little more than components, and an id is in one
-    of them. Groups of more than MEMBERS stay as they are, beside these.
+    of them. Groups of more than ``parted`` (MEMBERS, if not given) sets or of more than LONGS longs of sketches stay as they are, beside these.
     """
     rows = groups.join(nodes.select("id", "n", "odd"), "id").select("group", "id", "n", "odd")
-    most = MEMBERS
+    most, room = parted or MEMBERS, LONGS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def put(group, head, id_):
@@ -327,22 +337,28 @@ def sharpened(groups: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFr
             several = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1).tolist()
             return put([group] * len(several), [ids[root[i]] for i in several], [ids[i] for i in several])
 
-        now, ids, sizes, odd = None, [], [], []
+        def rest(group: int, ids: list[int], sizes: list[int], odd: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
+            if whole:
+                yield put([group] * len(ids), [None] * len(ids), ids)
+            elif len(ids) > 1:
+                yield closed(group, ids, sizes, odd)
+
+        now, ids, sizes, odd, longs, whole = None, [], [], [], 0, False
         for batch in batches:
             for group, id_, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(3)), arrays(batch.column(3)), strict=True):
                 if group != now:
-                    if 1 < len(ids) <= most:
-                        yield closed(now, ids, sizes, odd)
-                    now, ids, sizes, odd = group, [], [], []
+                    yield from rest(now, ids, sizes, odd, whole)
+                    now, ids, sizes, odd, longs, whole = group, [], [], [], 0, False
                 ids.append(id_)
-                sizes.append(n)
-                odd.append(sketch)
-                if len(ids) > most:  # goes through as it comes, the first of it at once
-                    fresh = ids if len(ids) == most + 1 else ids[-1:]
-                    yield put([group] * len(fresh), [None] * len(fresh), fresh)
-                    ids, sizes, odd = [*ids[:most], id_], [], []
-        if 1 < len(ids) <= most:
-            yield closed(now, ids, sizes, odd)
+                longs += len(sketch)
+                whole = whole or len(ids) > most or longs > room
+                if not whole:
+                    sizes.append(n)
+                    odd.append(sketch)
+                elif odd or len(ids) >= 8192:  # goes through as it comes
+                    yield from rest(now, ids, sizes, odd, whole)
+                    ids, sizes, odd = [], [], []
+        yield from rest(now, ids, sizes, odd, whole)
 
     dealt = rows.repartition("group").sortWithinPartitions("group", "id")
     found = cut(in_batches(dealt).mapInArrow(part, "group bigint, head bigint, id bigint"))

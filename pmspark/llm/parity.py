@@ -6,10 +6,11 @@ shingles. Two sets that are similar enough differ in T shingles at most, where T
 sketch of a band has T + 1 blocks, T for its largest size, so by the pigeonhole principle two similar sets agree on a block, and a
 shuffle by (band, block, bits) brings them together. A document has keys in its own band and in those above that a partner may lie in. Blocks with no bit or one say
 little and would bring strangers together, so there are some spare blocks: similar sets then agree on more blocks than there are
-spare ones, and a document sends its poor blocks only if it has more of them. Nothing is lost by that.
+spare ones, and a document sends its blocks of one bit only if it has more of both kinds, and its empty ones only if it has more of those. An empty
+block then goes with each key of a second sketch, of which similar sets share one too, for alone it would gather a share of the whole table. Nothing is lost by that.
 
 Equal sets are one node. Nodes that share a key come under the key's first node. Such a group is parted where other sketches, of a bit for each shingle, differ in more
-bits than similar sets can, and then ``families.links`` finds its exact links from whole texts, without comparing every two. A distributed union-find makes the components.
+bits than similar sets can, large ones too, so that a family goes on as one group and strangers in none, and then ``families.links`` finds its exact links from whole texts, without comparing every two. A distributed union-find makes the components.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; one of fewer words than a shingle is its whole sequence;
 repeated rows each give a row, and rows that repeat a doc_id with another text count by their own text; a null
@@ -30,8 +31,12 @@ from .components import components
 from .families import SAMPLE, Reader, homes, links, parities, sharpened
 
 WORDS, NUM, DEN = 4, 85, 100
-#: The sizes of a band grow by this; bits of a block, as a power of 2; one block in so many is a spare one.
-BAND, BITS, SPARE = 1.4, 12, 12
+#: The sizes of a band grow by this; bits of a block, as a power of 2 (with few, blocks of strangers with a bit or two are often equal); one block in so many is a spare one.
+BAND, BITS, SPARE = 1.4, 32, 12
+#: What the second sketch adds to hashes of shingles.
+SECOND = 0xA0761D6478BD642F
+#: Largest group that sketches part.
+PARTED = 1 << 15
 #: Largest size of a set.
 LARGEST = 1 << 40
 
@@ -94,12 +99,12 @@ class Bands:
         order = np.argsort(row, kind="stable")
         return key[order].view(np.int64), np.append(0, np.cumsum(np.bincount(row, minlength=len(sizes))))
 
-    def _sketched(self, h: np.ndarray, at: np.ndarray, here: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _sketched(self, h: np.ndarray, at: np.ndarray, here: np.ndarray, band: np.ndarray, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
         counts = at[here + 1] - at[here]
         mine = np.arange(int(counts.sum())) + np.repeat(at[here] - (np.cumsum(counts) - counts), counts)
         blocks = self.blocks[band]
         base = np.cumsum(blocks) - blocks
-        x = mixed(h[mine])
+        x = mixed(h[mine] + np.uint64(SECOND if second else 0))
         block = ((x >> np.uint64(34)) * np.repeat(blocks, counts).astype(np.uint64)) >> np.uint64(30)
         bit = np.sort(((np.repeat(base, counts).astype(np.uint64) + block) << np.uint64(BITS)) | (x & np.uint64((1 << BITS) - 1)))
         # A bit is set if an odd number of shingles fall on it.
@@ -112,9 +117,20 @@ class Bands:
         row = np.repeat(np.arange(len(here)), blocks)
         name = (np.repeat(band, blocks) << 40) + np.arange(len(n)) - np.repeat(base, blocks)
         key = mixed(mixed(name.astype(np.uint64)) + (sums[edges[1:]] - sums[edges[:-1]]))
-        poor = n < 2
-        sent = ~poor | (np.bincount(row, weights=poor, minlength=len(here)) > self.spare[band])[row]
-        return key[sent], here[row[sent]]
+        # Of two similar sets one may leave out more than the other: at most as many blocks as there are spare ones, so they still share one that both send.
+        many = [(np.bincount(row, weights=n <= bits, minlength=len(here)) > self.spare[band])[row] for bits in (0, 1)]
+        empty = np.flatnonzero((n == 0) & many[0])
+        sent = (n > 1) | (n == 1) & many[1]
+        if second or not len(empty):
+            sent[empty] = True
+            return key[sent], here[row[sent]]
+        again = np.unique(row[empty])
+        other, of = self._sketched(h, at, here[again], band[again], second=True)
+        begins, ends = np.searchsorted(of, here[row[empty]]), np.searchsorted(of, here[row[empty]], "right")
+        times = ends - begins
+        pick = np.arange(int(times.sum())) + np.repeat(begins - (np.cumsum(times) - times), times)
+        both = mixed(np.repeat(key[empty], times) + mixed(other[pick]))
+        return np.append(key[sent], both), np.append(here[row[sent]], np.repeat(here[row[empty]], times))
 
 
 def reader(words: int = WORDS) -> Reader:
@@ -175,7 +191,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, num: int = NUM, den:
     each = _read(docs, words)
     nodes = written(each.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("odd").alias("odd")))
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    groups = sharpened(homes(keyed(docs, words, num, den), keyed(sample, words, num, den)), nodes, num, den)
+    groups = sharpened(homes(keyed(docs, words, num, den), keyed(sample, words, num, den)), nodes, num, den, PARTED)
     wanted = cut(nodes.join(small(cut(groups.select("id").distinct())), "id").select(F.col("first").alias("doc_id"), "id"))
     found = cut(components(links(groups, nodes, holders(docs, wanted, words), num, den, reader(words))))
     member = cut(nodes.join(found, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root")))

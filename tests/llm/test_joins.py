@@ -128,6 +128,22 @@ def test_groups_are_parted_by_sketches_and_united_where_they_overlap(spark, monk
         assert set(map(frozenset, got.values())) == want and len(got) == len(want)
 
 
+def test_large_groups_of_strangers_and_families_are_parted_by_sketches(spark, monkeypatch):
+    """What overlapping large groups have: each family once, and no stranger; a group beyond the limits goes through whole."""
+    rng = random.Random(3)
+    sets = family(rng, 40, 60, 3) + family(rng, 40, 60, 3) + [set(rng.sample(range(10**9), 25)) for _ in range(30)]
+    nodes = spark.createDataFrame([(i, len(s), o.tolist()) for i, (s, o) in enumerate(zip(sets, sketches(sets), strict=True))], "id bigint, n bigint, odd array<bigint>")
+    every, pair = range(len(sets)), alike(sets, 85, 100)[0]
+    groups = spark.createDataFrame([(g, i) for g, ids in ((0, every), (1, every[1:]), (2, every[:70]), (3, pair)) for i in ids], "group bigint, id bigint").repartition(3)
+    monkeypatch.setattr(families, "MEMBERS", 12)
+    for longs, want in ((1 << 22, {frozenset(every[:40]), frozenset(every[40:80])}), (8 * 50, {frozenset(every), frozenset(pair)})):
+        monkeypatch.setattr(families, "LONGS", longs)
+        got = {}
+        for r in families.sharpened(groups, nodes, 85, 100, 1000).collect():
+            got.setdefault(r["group"], []).append(r["id"])
+        assert set(map(frozenset, got.values())) == want and sum(map(len, got.values())) == sum(map(len, want))
+
+
 def test_sketches_of_any_lengths_never_part_what_is_similar():
     rng = random.Random(12)
     sets = [s for size in (40, 500, 520, 1100, 2100) for s in family(rng, 8, size, size // 14)]
@@ -179,6 +195,21 @@ def test_shingle_join_equals_brute_force(spark):
     assert got == want and len(set(at)) < len(known) - 50
 
 
+def test_shingle_join_reads_no_strangers_of_large_groups(spark, monkeypatch):
+    """A family beyond MEMBERS is one group of exact links, and strangers are in none."""
+    rng, groups = random.Random(5), []
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(f"x{k}" if i in at else w for i, w in enumerate(base)) for k in range(60) for at in [{rng.randrange(150)}]]
+    texts += [" ".join(f"y{rng.randrange(10**9)}" for _ in range(150)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = [shingles(t) for t in texts]
+    monkeypatch.setattr(families, "MEMBERS", 20)
+    monkeypatch.setattr(parity, "links", lambda g, *more: groups.append(g.collect()) or families.links(g, *more))
+    got = {r["doc_id"]: r["component_id"] for r in parity.similar_documents(df).collect()}
+    assert got == dict(enumerate(roots(len(sets), alike(sets, 85, 100))))
+    assert len(groups[0]) == 60 and len({r["group"] for r in groups[0]}) == 1
+
+
 def test_shingle_join_of_empty_tables_and_text_ids(spark, none):
     assert parity.similar_documents(none).count() == 0
     df = spark.createDataFrame([("b", "a b c d e f g h"), ("a", "A B c d e f g h"), ("c", "q")], "doc_id string, text string")
@@ -202,6 +233,23 @@ def test_similar_sets_share_a_key():
             assert set(keys[: at[1]].tolist()) & set(keys[at[1] :].tolist())
 
 
+@pytest.mark.parametrize("size", [20, 45, 400])
+def test_strangers_do_not_gather_at_poor_blocks(size):
+    """Sets that have nothing in common: no key is of more than a few of them, however many there are. A copy of each still shares a key with it."""
+    n, edits = 4000, 15 * 2 * size // 185 // 2
+    h = np.random.default_rng(size).integers(1 << 62, size=(n, size), dtype=np.uint64) << np.uint64(2)
+    other = h.copy()
+    other[:, :edits] += np.uint64(1)
+    rows = np.sort(np.concatenate([h, other]), axis=1)
+    bands = parity.Bands()
+    keys, at = bands.keys(rows.ravel(), np.arange(2 * n + 1) * size)
+    assert np.unique(keys[: at[n]], return_counts=True)[1].max() <= 3
+    first, last = bands.of(np.array([size, size * 100 // 85]))
+    assert len(keys) <= 1.1 * 2 * n * bands.blocks[first : last + 1].sum()
+    for i in range(n):
+        assert np.isin(keys[at[i] : at[i + 1]], keys[at[n + i] : at[n + i + 1]]).any()
+
+
 def test_sketches_differ_in_no_more_blocks_than_sets_in_shingles():
     rng = random.Random(9)
     bands = parity.Bands()
